@@ -88,9 +88,17 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
         powers, inverses = _powers_to(n + 1)
-        total = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE_VALUES[low] * powers[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverses[self.start] ^ (self.end - self.start).astype(_U))
+        self._total, self._inverses = np.zeros(n + 1, _U), inverses
+        np.cumsum(_BYTE_VALUES[low] * powers[:n], out=self._total[1:])
+        self.hash = self._hash(self.start, self.end)
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._total[end] - self._total[start]) * self._inverses[start] ^ (end - start).astype(_U))
+
+    def prefix_hash(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(indices of the words longer than ``n`` bytes, hashes of their first ``n`` bytes)."""
+        long = np.flatnonzero(self.end - self.start > n)
+        return long, mix(self._hash(self.start[long], self.start[long] + n) + _U(n))
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

@@ -5,19 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_jaccard import jaccard_components
+from .packing import pack
+from .toxicity import toxicity
+from .url_filter import Rule, judge_urls
+
+#: Fixed by the contract of the query.
+URL_RULES = (
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), word_tokenizer_path())
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_filter": r"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut),
+        rules(host, path, verdict) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                   ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        best AS (
+            SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+                   row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host) DESC NULLS LAST, length(r.path) DESC) AS k
+            FROM parts p LEFT JOIN rules r
+              ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE k = 1""",
+}
