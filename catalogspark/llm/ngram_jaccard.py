@@ -1,15 +1,15 @@
 """Exact Jaccard join of texts on distinct word n-grams, by vertical partitioning of one global n-gram order.
 
-1. The order puts rare n-grams first: n-grams that are frequent within some part of the table are counted there,
-   summed, and the ``COMMON_LIMIT`` most frequent of them go last (a bounded list; which n-grams it holds changes the
-   work and never the result). All others follow their hash.
-2. Texts with equal sets are one class. Of each class, the first ``n - ceil(t n) + 1`` n-grams in the global order
-   go to an inverted index; two sets that reach the threshold share one of them.
-3. Candidate pairs are cut by size and by the sizes of 64 fragments: ``sum(min(a_f, b_f))`` bounds the overlap.
-4. Overlaps are counted fragment by fragment, each (pair, fragment) by itself, and summed per pair.
-
-Candidates come in two steps, so that a family of near copies isn't expanded into all its pairs: first neighbours
-along each index entry, then only pairs from different components of what is linked by then."""
+1. A first global order follows the n-grams' hashes, with the ``COMMON_LIMIT`` most frequent ones last (a bounded list;
+   which n-grams it holds changes the work and never the result). Texts with equal sets are one class. Of each class,
+   the first ``n - ceil(t n) + 1`` n-grams go to an inverted index: two sets that reach the threshold share one of them.
+   Classes without an index neighbour that sizes and shared counts allow are done.
+2. Among the rest, n-grams are counted exactly and the order becomes rare first. N-grams that one class alone has bound
+   the overlap of any pair: ``min(a - alone_a, b - alone_b)``; classes with too many of them are done.
+3. Candidates come from prefixes of that order in two steps, so that a family of near copies isn't expanded into all
+   its pairs: first along each index entry, each class with the one that has least alone and with its neighbour; then
+   only pairs from different components of what is linked by then. The sizes of 64 fragments cut pairs once more.
+4. Overlaps are counted fragment by fragment, each (pair, fragment) by itself, and summed per pair."""
 
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ COMMON_LEAST = 12
 PART_SHINGLES = 1 << 22
 FRAGMENTS = 8
 BROADCAST_IDS = 1 << 20
+HOT_RUN = 2000
 BINS = 64
 _S = np.int64
 
@@ -76,23 +77,24 @@ def _profiles(n: int, percent: int, common: np.ndarray):
                 at = np.searchsorted(sorted_common, flat)
                 is_common = (at < len(sorted_common)) & (sorted_common[np.minimum(at, max(len(sorted_common) - 1, 0))] == flat) if len(common) else np.zeros(len(flat), bool)
                 starts = np.concatenate([[0], np.cumsum(size)])
-                heads = []
+                heads, last = [], np.zeros(b - a, _S)
                 for d in range(b - a):
                     s, k = sets[d], int(size[d])
                     take = k - -(-percent * k // 100) + 1 if k else 0
                     mask = is_common[starts[d] : starts[d + 1]]
-                    if mask.any():
-                        rare, often = s[~mask], s[mask]
-                        if len(rare) < take:
-                            rank = sorted_at[at[starts[d] : starts[d + 1]][mask]]
-                            rare = np.concatenate([rare, often[np.argsort(rank)]])
-                        heads.append(rare[:take].view(_S))
-                    else:
-                        heads.append(s[:take].view(_S))
+                    head = s[~mask] if mask.any() else s
+                    if len(head) < take:
+                        rank = sorted_at[at[starts[d] : starts[d + 1]][mask]]
+                        last[d] = (1 << 62) + np.sort(rank)[take - len(head) - 1]
+                        head = np.concatenate([head, s[mask][np.argsort(rank)]])
+                    elif k:
+                        last[d] = head[take - 1] >> np.uint64(2)
+                    heads.append(head[:take].view(_S))
                 yield pa.record_batch(
                     {
                         "doc_id": pa.array(ids[a:b], pa.int64()),
                         "n": size,
+                        "last": last,
                         "fp1": fp1.view(_S),
                         "fp2": fp2.view(_S),
                         "bins": pa.array([x.tobytes() for x in bins.astype(np.uint16 if bins.max(initial=0) < 65536 else np.uint32)], pa.binary()),
@@ -103,6 +105,65 @@ def _profiles(n: int, percent: int, common: np.ndarray):
     return run
 
 
+def _least(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest overlap with which sets of these sizes reach the threshold."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def _open(percent: int):
+    """Ids in the runs of equal ``h`` that have a neighbour there which sizes and shared counts allow.
+
+    Below the lower of their last index n-grams, two sets share at most ``min(shared)`` n-grams, and above it the set
+    with that last n-gram has ``n - take`` left. A run over HOT_RUN rows isn't looked into: all of it stays."""
+
+    def of_run(ids, n, last, shared):
+        order = np.argsort(last, kind="stable")
+        ids, n, shared = ids[order], n[order], shared[order]
+        need = _least(n[:, None], n[None, :], percent) - (-(-percent * n // 100) - 1)[:, None]
+        fits = (np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent) & (np.minimum(shared[:, None], shared[None, :]) >= need)
+        fits &= np.arange(len(n))[:, None] < np.arange(len(n))[None, :]
+        return ids[fits.any(0) | fits.any(1)]
+
+    def run(batches):
+        held: list[tuple] = []
+        hot = None
+        for batch in batches:
+            h, *rest = (batch.column(k).to_numpy() for k in ("h", "id", "n", "last", "shared"))
+            cuts = np.flatnonzero(np.diff(h)) + 1
+            keep = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
+                if held and held[0][0] != h[a]:
+                    keep.append(of_run(*(np.concatenate(x) for x in zip(*(r[1] for r in held), strict=True))))
+                    held = []
+                if hot is not None and hot == h[a]:
+                    keep.append(rest[0][a:b])
+                    continue
+                held.append((h[a], [x[a:b] for x in rest]))
+                if sum(len(r[1][0]) for r in held) > HOT_RUN:
+                    hot = h[a]
+                    keep += [r[1][0] for r in held]
+                    held = []
+            if keep:
+                yield pa.record_batch({"doc_id": np.unique(np.concatenate(keep))})
+        if held:
+            yield pa.record_batch({"doc_id": of_run(*(np.concatenate(x) for x in zip(*(r[1] for r in held), strict=True)))})
+
+    return run
+
+
+def _grams(n: int):
+    """(h, id): all n-grams of each text."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in text_chunks(batch.column("text")):
+                sets = shingle_sets(Words(data, offsets), n)
+                yield pa.record_batch({"h": np.concatenate(sets).view(_S), "id": np.repeat(ids[a:b], [len(s) for s in sets]).astype(_S)})
+
+    return run
+
+
 def _segments(n: int):
     """(doc_id, fragment, seg): the sorted n-grams of a text that fall into each fragment of the hash order."""
 
@@ -167,9 +228,10 @@ def _verified(pairs: DataFrame, profiles: DataFrame, source: DataFrame, n: int,
     return total.join(may, ["a", "b"]).where(F.col("o") * 100 >= (F.col("an") + F.col("bn") - F.col("o")) * percent).select("a", "b", "o", "an", "bn")
 
 
-def _near(a, b, percent: int):
-    """The sizes alone allow the threshold."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _near(percent: int):
+    """Sizes ``xn``, ``yn`` and the counts ``xmet``, ``ymet`` of n-grams that any other set has allow the threshold."""
+    most = F.least("xmet", "ymet")
+    return most * 100 >= (F.col("xn") + F.col("yn") - most) * percent
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -186,24 +248,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     here = source.select("text").mapInArrow(_frequent_here(n), "h long, c long")
     often = here.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_LEAST).orderBy(F.desc("c"), "h").limit(COMMON_LIMIT)
     common = often.select("h").toPandas()["h"].to_numpy(_S)[::-1].view(np.uint64)  # bounded by COMMON_LIMIT
-    profile_schema = "doc_id long, n long, fp1 long, fp2 long, bins binary, head array<long>"
+    profile_schema = "doc_id long, n long, last long, fp1 long, fp2 long, bins binary, head array<long>"
     profiles = stored(source.mapInArrow(_profiles(n, percent, common), profile_schema), "profiles")
     full = profiles.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = full.select("doc_id", "n", "bins", "head").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    # the inverted index, without entries that one text alone has
-    index = reps.select(F.explode("head").alias("h"), F.col("doc_id").alias("id"), "n")
-    rare = Window.partitionBy("h")
-    postings = stored(index.withColumn("df", F.count("*").over(rare)).where("df > 1").drop("df"), "postings")
+    reps = full.select("doc_id", "n", "last", "bins", "head").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    # the first index, without entries that one class alone has
+    by_gram = Window.partitionBy("h")
+    index = reps.select(F.explode("head").alias("h"), F.col("doc_id").alias("id"))
+    shared = stored(index.withColumn("df", F.count("*").over(by_gram)).where("df > 1").drop("df"), "shared")
+    sizes = reps.select(F.col("doc_id").alias("id"), "n", "last").join(shared.groupBy("id").agg(F.count("*").alias("shared")), "id")
+    runs = shared.join(sizes, "id").repartition("h").sortWithinPartitions("h")
+    open_ = stored(runs.mapInArrow(_open(percent), "doc_id long").distinct(), "open")
+
+    # the rare-first order of what is open; ``n - alone`` n-grams are in other sets too
+    grams = _of(source, open_).dropDuplicates(["doc_id"]).mapInArrow(_grams(n), "h long, id long")
+    counted = stored(grams.withColumn("df", F.count("*").over(by_gram)).where("df > 1"), "counted")
+    met = counted.groupBy("id").agg(F.count("*").alias("met")).join(reps.select(F.col("doc_id").alias("id"), "n"), "id")
+    met = met.where(F.col("met") * 100 >= F.col("n") * percent)
+    ranked = counted.join(met, "id").withColumn("at", F.col("n") - F.col("met") + F.row_number().over(Window.partitionBy("id").orderBy("df", "h")))
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    postings = stored(ranked.where(F.col("at") <= take).select("h", "id", "n", "met", "at"), "postings")
     known = reps.select("doc_id", "bins")
 
-    along = Window.partitionBy("h").orderBy("n", "id")
-    beside = [
-        postings.select(F.lag("id").over(along).alias("x"), F.lag("n").over(along).alias("xn"), F.col("id").alias("y"), F.col("n").alias("yn")),
-        postings.select(F.first("id").over(along).alias("x"), F.first("n").over(along).alias("xn"), F.col("id").alias("y"), F.col("n").alias("yn")),
-    ]
-    first = beside[0].unionByName(beside[1]).where((F.col("x") != F.col("y")) & _near(F.col("xn"), F.col("yn"), percent))
+    along = Window.partitionBy("h").orderBy(F.col("n") - F.col("met"), "n", "id")
+    row = lambda get: [get(k).over(along).alias(f"x{k}") for k in ("id", "n", "met")] + [F.col(k).alias(f"y{k}") for k in ("id", "n", "met")]
+    beside = postings.select(*row(F.lag)).unionByName(postings.select(*row(F.first)))
+    first = beside.where((F.col("xid") != F.col("yid")) & _near(percent)).select(F.col("xid").alias("x"), F.col("xn").alias("xn"), F.col("yid").alias("y"), F.col("yn").alias("yn"))
     ordered = lambda df: df.select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
         F.when(F.col("x") < F.col("y"), F.col("xn")).otherwise(F.col("yn")).alias("an"),
@@ -214,14 +286,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # what is linked by now needs no further pair inside; pairs across are all tried
     joined = stored(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
-    placed = stored(postings.join(joined.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c")), "placed")
+    placed = stored(postings.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "placed")
     spread = placed.groupBy("h").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed").select("h")
-    open_ = placed.join(spread, "h", "left_semi")
-    across = (
-        open_.select("h", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-        .join(open_.select("h", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc")), "h")
-        .where((F.col("xc") < F.col("yc")) & _near(F.col("xn"), F.col("yn"), percent))
-    )
+    mixed = placed.join(spread, "h", "left_semi")
+    side = lambda s: mixed.select("h", *[F.col(k).alias(s + k) for k in ("id", "n", "met", "at", "c")])
+    # the smaller set of a pair needs no more than this much of its own prefix
+    short = lambda s: F.col(s + "at") <= F.col(s + "n") - F.ceil(F.col(s + "n") * (2 * percent) / (100 + percent)) + 1
+    in_reach = F.when(F.col("xn") < F.col("yn"), short("x")).when(F.col("xn") > F.col("yn"), short("y")).otherwise(short("x") | short("y"))
+    across = side("x").join(side("y"), "h").where((F.col("xc") < F.col("yc")) & _near(percent) & in_reach)
+    across = across.select(F.col("xid").alias("x"), "xn", F.col("yid").alias("y"), "yn")
     rest = stored(ordered(across).join(tried, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, known, source, n, percent)
     edges = stored(links.select("a", "b").unionByName(more.select("a", "b")), "edges")
