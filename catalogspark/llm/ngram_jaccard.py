@@ -7,7 +7,7 @@
 2. Among the rest, n-grams are counted exactly and the order becomes rare first. N-grams that one class alone has bound
    the overlap of any pair: ``min(a - alone_a, b - alone_b)``; classes with too many of them are done.
 3. Candidates come from prefixes of that order in two steps, so that a family of near copies isn't expanded into all
-   its pairs: first along each index entry, each class with the one that has least alone and with its neighbour; then
+   its pairs: first along each index entry, each class with the one that has fewest rarer n-grams and with its neighbour; then
    only pairs from different components of what is linked by then. The sizes of 64 fragments cut pairs once more.
 4. Overlaps are counted fragment by fragment, each (pair, fragment) by itself, and summed per pair."""
 
@@ -229,8 +229,9 @@ def _verified(pairs: DataFrame, profiles: DataFrame, source: DataFrame, n: int,
 
 
 def _near(percent: int):
-    """Sizes ``xn``, ``yn`` and the counts ``xmet``, ``ymet`` of n-grams that any other set has allow the threshold."""
-    most = F.least("xmet", "ymet")
+    """The two sets may reach the threshold if the n-gram at places ``xat``, ``yat`` of their orders is the first that
+    they share. A pair is thus found at its first shared n-gram, or not at all."""
+    most = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) + 1
     return most * 100 >= (F.col("xn") + F.col("yn") - most) * percent
 
 
@@ -269,11 +270,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     met = met.where(F.col("met") * 100 >= F.col("n") * percent)
     ranked = counted.join(met, "id").withColumn("at", F.col("n") - F.col("met") + F.row_number().over(Window.partitionBy("id").orderBy("df", "h")))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    postings = stored(ranked.where(F.col("at") <= take).select("h", "id", "n", "met", "at"), "postings")
+    postings = stored(ranked.where(F.col("at") <= take).select("h", "id", "n", "at"), "postings")
     known = reps.select("doc_id", "bins")
 
-    along = Window.partitionBy("h").orderBy(F.col("n") - F.col("met"), "n", "id")
-    row = lambda get: [get(k).over(along).alias(f"x{k}") for k in ("id", "n", "met")] + [F.col(k).alias(f"y{k}") for k in ("id", "n", "met")]
+    along = Window.partitionBy("h").orderBy("at", "n", "id")
+    row = lambda get: [get(k).over(along).alias(f"x{k}") for k in ("id", "n", "at")] + [F.col(k).alias(f"y{k}") for k in ("id", "n", "at")]
     beside = postings.select(*row(F.lag)).unionByName(postings.select(*row(F.first)))
     first = beside.where((F.col("xid") != F.col("yid")) & _near(percent)).select(F.col("xid").alias("x"), F.col("xn").alias("xn"), F.col("yid").alias("y"), F.col("yn").alias("yn"))
     ordered = lambda df: df.select(
@@ -289,7 +290,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     placed = stored(postings.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "placed")
     spread = placed.groupBy("h").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed").select("h")
     mixed = placed.join(spread, "h", "left_semi")
-    side = lambda s: mixed.select("h", *[F.col(k).alias(s + k) for k in ("id", "n", "met", "at", "c")])
+    side = lambda s: mixed.select("h", *[F.col(k).alias(s + k) for k in ("id", "n", "at", "c")])
     # the smaller set of a pair needs no more than this much of its own prefix
     short = lambda s: F.col(s + "at") <= F.col(s + "n") - F.ceil(F.col(s + "n") * (2 * percent) / (100 + percent)) + 1
     in_reach = F.when(F.col("xn") < F.col("yn"), short("x")).when(F.col("xn") > F.col("yn"), short("y")).otherwise(short("x") | short("y"))
