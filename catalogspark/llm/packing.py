@@ -6,9 +6,13 @@ open windows are cut to powers of two, so that padding doesn't grow with the num
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from functools import cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 END_ID = 2
-WORDS_KEPT = 400_000
+#: Distinct words whose ids a task keeps, at most.
+WORDS_KEPT = 500_000
+#: Documents that are tokenized together.
+DOCS_AT_ONCE = 1024
 
 OUT_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -25,49 +32,114 @@ OUT_SCHEMA = (
 )
 
 
+def _letter_merges(path: str):
+    """A fast encoder of words of basic Latin letters and accented ones, or None if the file's merges aren't in the
+    order of their ids.
+
+    The file's symbols are bytes, of which the last in a word is another symbol than the same byte before it. Here
+    both kinds get a byte value of their own, so that a merge by ranks of byte strings gives the file's ids."""
+    import tiktoken
+
+    data = json.loads(Path(path).read_text())
+    vocabulary, merges = data["model"]["vocab"], data["model"]["merges"]
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    if data["model"]["end_of_word_suffix"] != "</w>" or any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        return None
+    inner = [*range(97, 123), 0xC3, *range(0x80, 0xC0)]
+    inner_code = {b: k for k, b in enumerate(inner)}
+    final_code = {b: len(inner) + k for k, b in enumerate(x for x in inner if x != 0xC3)}
+    # the byte-level alphabet: printable characters stand for themselves, the other bytes for 256 and up in order
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in same} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in same)}
+    ranks = {}
+    for token, number in vocabulary.items():
+        ends = token.endswith("</w>")
+        symbols = [byte_of.get(c) for c in token.removesuffix("</w>")]
+        if symbols and all(x in inner_code for x in symbols) and not (ends and symbols[-1] == 0xC3):
+            last = final_code[symbols[-1]] if ends else inner_code[symbols[-1]]
+            ranks[bytes([*[inner_code[x] for x in symbols[:-1]], last])] = number
+    if any(bytes([c]) not in ranks for c in [*inner_code.values(), *final_code.values()]):
+        return None
+    inner_table = bytes(inner_code.get(b, 255) for b in range(256))
+    final_table = bytes(final_code.get(b, 255) for b in range(256))
+    core = tiktoken.Encoding("letters", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def encode(word: str) -> list[int]:
+        raw = word.encode()
+        return core.encode_single_piece(raw[:-1].translate(inner_table) + raw[-1:].translate(final_table))
+
+    return encode
+
+
+#: A word of letters with at most punctuation behind it: the two are encoded apart.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
 class WordTokenizer:
-    """Token ids of many texts, each distinct word encoded once.
+    """Token ids of many texts, each distinct word encoded once per worker while it is kept.
 
-    Right for tokenizers that drop white space before the merges and never join what stands on its two sides; texts are
-    cut at blanks and line ends only, all other white space is left to the tokenizer."""
+    Right for tokenizers that lower the case, drop white space before the merges and split letters from punctuation;
+    texts are cut at blanks and line ends only. Words of letters go through :func:`_letter_merges`, all others through
+    the tokenizer itself; special tokens' strings within a text are ordinary text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for word, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(coded.ids, np.uint32)
-        return [self.known[w] for w in words]
-
-    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.letters = _letter_merges(path)
+        self.tails: dict[str, list[int]] = {"": []}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {"\n": 0}  # no word holds a line end: that entry is the end of a text
+        self.sizes = np.ones(1, np.int64)
+        self.pool = np.array([END_ID], np.uint32)
+
+    def _tail(self, text: str) -> list[int]:
+        if text not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": []}
+            self.tails[text] = self.plain.encode(text, add_special_tokens=False).ids
+        return self.tails[text]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.at) > WORDS_KEPT:
+            self._clear()
+        new = [w for w in words if w not in self.at]
+        coded: list[list[int] | None] = [None] * len(new)
+        if self.letters:
+            for k, w in enumerate(new):
+                if found := _LETTERS.fullmatch(w):
+                    coded[k] = self.letters(found[1].lower()) + self._tail(found[2])
+        rest = [k for k, c in enumerate(coded) if c is None]
+        for k, c in zip(rest, self.plain.encode_batch([new[k] for k in rest], add_special_tokens=False), strict=True):
+            coded[k] = c.ids
+        for w in new:
+            self.at[w] = len(self.at)
+        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in coded], np.int64)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(coded), np.uint32)])
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Per text its ids and END_ID."""
         lists = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), "[ \n]")
         flat = pc.list_flatten(lists)
-        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-        coded = flat.dictionary_encode()
-        per_word = self._ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in per_word], np.int64)
-        pool = np.concatenate(per_word) if per_word else np.zeros(0, np.uint32)
-        at = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else np.zeros(0, np.int64)
-        codes = coded.indices.to_numpy()
-        counts = pc.list_value_length(lists).to_numpy()
-        first = np.concatenate([[0], np.cumsum(counts)])
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            own = codes[a:b]
-            n = sizes[own]
-            total = int(n.sum())
-            out = np.empty(total + 1, np.uint32)
-            begin = np.cumsum(n) - n
-            out[:total] = pool[np.repeat(at[own] - begin, n) + np.arange(total)]
-            out[total] = END_ID
-            yield out
+        coded = (flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn(words)
+        code = np.array([self.at[w] for w in words], np.int64)[coded.indices.to_numpy()]
+        code = np.insert(code, np.cumsum(pc.list_value_length(lists).to_numpy()), 0)
+        starts = np.cumsum(self.sizes) - self.sizes
+        n = self.sizes[code]
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat(starts[code] - (ends - n), n) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.flatnonzero(code == 0)])[:-1]
+
+
+@cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker."""
+    return WordTokenizer(path)
 
 
 class _Piece:
@@ -174,7 +246,7 @@ class HierarchicalPacker:
 
 def _pack(path: str, tiers: tuple[int, ...], group_tokens: int, pool_docs: int):
     def run(batches):
-        tokenizer = WordTokenizer(path)
+        tokenizer = _tokenizer(path)
         packer = HierarchicalPacker(tiers, group_tokens, pool_docs, TaskContext.get().partitionId() << 36)
         names = [f.strip().split(" ")[0] for f in OUT_SCHEMA.split(",")]
 
@@ -184,8 +256,8 @@ def _pack(path: str, tiers: tuple[int, ...], group_tokens: int, pool_docs: int):
             return pa.record_batch({k: pa.array(v, pa.int64()) for k, v in zip(names, columns, strict=True)})
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
                 ids = part.column("doc_id").to_pylist()
                 for doc, tokens in zip(ids, tokenizer(part.column("text")), strict=True):
                     packer.add(doc, tokens)
