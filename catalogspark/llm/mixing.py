@@ -116,7 +116,7 @@ def fit_rates(soft: DataFrame, targets: Mapping[str, float] = TARGETS, domains:
             at += 1
     if not now.sum():
         return [], now.tolist(), (share * (total or 0)).tolist()
-    wanted = share * (total if total is not None else float(np.max(now / np.maximum(share, 1e-12))))
+    wanted = share * (total if total is not None else float(np.max(now[share > 0] / share[share > 0])))
     scaled = np.linalg.pinv(moment + 1e-9 * np.trace(moment) * np.eye(k))
     steps: list[list[float]] = []
     pace = 1.0

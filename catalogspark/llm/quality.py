@@ -69,8 +69,7 @@ def measure(docs: DataFrame) -> DataFrame:
     step = step.withColumn("_r", F.sort_array(F.transform(F.filter("_p", lambda p, k: (p["h"] == same(k - 1)) | (p["h"] == same(k + 1))), lambda p: p["i"])))
     added = F.transform("_r", lambda i, k: F.when(k == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), i - F.get("_r", k - 1))))
     long = lambda c: c.cast("long")
-    return step.select(
-        *[docs[c] for c in docs.columns if c not in MEASURES],
+    measured = F.struct(
         long(F.col("_n")).alias("n_words"),
         long(F.length("_t") - F.length(F.regexp_replace("_t", r"[^\x20\x09-\x0D]", ""))).alias("word_chars"),
         long(F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).alias("n_symbols"),
@@ -78,6 +77,8 @@ def measure(docs: DataFrame) -> DataFrame:
         long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
     )
+    # a generator of one row: filters on measurements then stay above it, else they would be worked out once more there
+    return step.select(*[F.col(c) for c in docs.columns if c not in MEASURES], F.inline(F.array(measured)))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")

@@ -15,6 +15,10 @@ from catalogspark.llm.tables import stored
 from catalogspark.llm.toxicity import score, train
 
 
+#: Shares of tokens; the filters before have taken out most of what isn't of high quality.
+MIXTURE = {"clean_high": 0.9, "clean_low": 0.1, "toxic": 0.0}
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     return ledger(docs).where(passes("v1")).select(*docs.columns)
@@ -37,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the rates fitted to the target weights say."""
-    return mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MIXTURE)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
