@@ -21,6 +21,8 @@ TARGETS: Mapping[str, float] = {"clean_high": 0.75, "clean_low": 0.15, "toxic":
 STEPS = 25
 TOLERANCE = 1e-6
 _SMOOTH = 1.0
+#: Combinations of features that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def label_domain() -> Column:
@@ -28,63 +30,53 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean_high").when(F.col("quality") == 0, "clean_low")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``tokens`` and an array ``f`` of discrete features, one bin of each kind.
+def _features(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, tokens, f): each row whole, its tokens, and an array of discrete features, one bin of each kind.
 
     Tokens are counted as runs between blanks. A null text counts as empty; nulls of lang and source are bins of their
     own."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("_t", text).withColumn("_words", F.length("_t") - F.length(F.replace("_t", F.lit(" "), F.lit(""))))
-    marks = lambda c: F.length("_t") - F.length(F.replace("_t", F.lit(c), F.lit("")))
-    out = out.withColumn("tokens", F.when(F.trim("_t") == "", 0).otherwise(1 + F.col("_words") + marks("\n")).cast("long"))
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?" if c != "text" else ""))
+    out = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), named("text").alias("t"), named("lang").alias("lang"), named("source").alias("source"))
+    marks = lambda c: F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))
+    out = out.withColumn("tokens", F.when(F.trim("t") == "", 0).otherwise(1 + marks(" ") + marks("\n")).cast("long"))
     per = lambda n: F.floor(F.least(F.lit(9), 10 * n / F.greatest(F.col("tokens"), F.lit(1)))).cast("int")
-    symbols = sum((marks(c) for c in "#*$%|"), F.lit(0))
+    symbols = F.length("t") - F.length(F.translate("t", "#*$%|", ""))
     kinds = {
-        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("?")),
-        "source": F.coalesce(F.col("source").cast("string"), F.lit("?")),
-        "size": F.floor(F.log2(F.col("tokens") + 1)).cast("int"),
-        "word": F.floor(F.length("_t") / F.greatest(F.col("tokens"), F.lit(1))).cast("int"),
-        "symbols": per(symbols),
-        "stops": per(10 * marks(".") / 10),
-        "lines": per(marks("\n")),
-    }
-    return out.withColumn("f", F.array(*[F.concat(F.lit(k + "="), v.cast("string")) for k, v in kinds.items()])).drop("_t", "_words")
-
-
-def posteriors(docs: DataFrame, labels: DataFrame, domain: Column | None = None, domains: Sequence[str] = DOMAINS) -> DataFrame:
-    """``docs`` with ``tokens`` and ``p``: an array of the probabilities of each domain, which sum to 1.
-
-    Naive Bayes over :func:`features`: counts of all labelled rows, one row for each feature bin. A doc_id labelled
-    twice counts with each label; labels without a document, of null or of no domain count nothing. Without any label
-    all domains are equally likely."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("_id"), (label_domain() if domain is None else domain).alias("_d")).where("_id is not null and _d is not null")
-    held = features(docs)
-    seen = held.select(F.col("doc_id").cast("long").alias("_id"), "f").join(marked, "_id").where(F.col("_d").isin(list(domains)))
-    one = lambda d: F.sum(F.when(F.col("_d") == d, 1).otherwise(0))
-    bins = stored(seen.select("_d", F.explode("f").alias("b")).groupBy("b").agg(F.array(*[one(d) for d in domains]).alias("n")), "bins")
-    kind = F.split("b", "=")[0]
-    kinds = {r["k"]: r for r in bins.groupBy(kind.alias("k")).agg(F.count("*").alias("values"), *[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(len(domains))]).collect()}
-    total = next(iter(kinds.values()), None)
-    prior = [float(np.log((total[f"n{k}"] if total else 0) + _SMOOTH)) for k in range(len(domains))]
-    # log P(bin | domain) for each bin; unseen bins have the same small count for all domains
-    scores = F.lit(None).cast("array<double>")
+        "lang": F.col("lang"), "source": F.col("source"), "size": F.floor(F.log2(F.col("tokens") + 1)).cast("int"),
+        "word": F.floor(F.least(F.lit(30), F.length("t") / F.greatest(F.col("tokens"), F.lit(1)))).cast("int"),
+        "symbols": per(symbols), "stops": per(marks(".")), "lines": per(marks("\n")),
+    }
+    return out.select("_row", "doc_id", "tokens", F.array(*[F.concat(F.lit(k + "="), v.cast("string")) for k, v in kinds.items()]).alias("f"))
+
+
+def posteriors(slim: DataFrame, labels: DataFrame, domain: Column | None = None, domains: Sequence[str] = DOMAINS) -> DataFrame:
+    """(f, tokens, p) for each distinct combination of features in ``slim(doc_id, tokens, f)``: all its tokens, and the
+    probabilities of each domain, which sum to 1.
+
+    Naive Bayes over the bins of f: counts of all labelled rows, one row for each bin. A doc_id labelled twice counts
+    with each label; labels without a document, of null or of no domain count nothing. Without any label all domains
+    are equally likely."""
+    k_of = range(len(domains))
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (label_domain() if domain is None else domain).alias("d")).where("doc_id is not null")
+    seen = slim.select("doc_id", "f").join(marked.where(F.col("d").isin(list(domains))), "doc_id")
+    bins = seen.select("d", F.explode("f").alias("b")).groupBy("b").agg(F.array(*[F.sum(F.when(F.col("d") == d, 1).otherwise(0)) for d in domains]).alias("n"))
+    bins = stored(bins.withColumn("kind", F.split("b", "=")[0]), "bins")
+    # a row for each kind of feature
+    kinds = {r["kind"]: r for r in bins.groupBy("kind").agg(F.count("*").alias("size"), *[F.sum(F.col("n")[k]).alias(f"n{k}") for k in k_of]).collect()}
+    some = next(iter(kinds.values()), None)
+    prior = [float(np.log((some[f"n{k}"] if some else 0) + _SMOOTH)) for k in k_of]
+    known, unseen = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
     for name, row in kinds.items():
-        log_p = F.array(*[F.log((F.col("n")[k] + _SMOOTH) / (row[f"n{k}"] + _SMOOTH * (row["values"] + 1))) for k in range(len(domains))])
-        scores = F.when(kind == name, log_p).otherwise(scores)
-    table = bins.select("b", scores.alias("s"))
-    unseen = {name: [float(np.log(_SMOOTH / (row[f"n{k}"] + _SMOOTH * (row["values"] + 1)))) for k in range(len(domains))] for name, row in kinds.items()}
-    # bins are few combinations of few values: documents meet them by distinct combinations
-    combos = held.groupBy("f").agg(F.count("*").alias("docs")).select("f").withColumn("c", F.xxhash64("f"))
-    long = combos.select("c", "f", F.explode("f").alias("b")).join(table, "b", "left")
-    default = F.lit(None).cast("array<double>")
-    for name, values in unseen.items():
-        default = F.when(kind == name, F.array(*map(F.lit, values))).otherwise(default)
-    filled = F.coalesce("s", default, F.array(*[F.lit(0.0)] * len(domains)))
-    summed = long.select("c", "f", filled.alias("s")).groupBy("f").agg(*[(F.sum(F.col("s")[k]) + prior[k]).alias(f"z{k}") for k in range(len(domains))])
-    top = F.greatest(*[F.col(f"z{k}") for k in range(len(domains))])
-    odds = [F.exp(F.col(f"z{k}") - top) for k in range(len(domains))]
-    both = summed.select("f", F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("p"))
-    return held.join(both, "f").drop("f")
+        mass = [row[f"n{k}"] + _SMOOTH * (row["size"] + 1) for k in k_of]
+        known = F.when(F.col("kind") == name, F.array(*[F.log((F.col("n")[k] + _SMOOTH) / mass[k]) for k in k_of])).otherwise(known)
+        unseen = F.when(F.split("b", "=")[0] == name, F.array(*[F.lit(float(np.log(_SMOOTH / m))) for m in mass])).otherwise(unseen)
+    combos = slim.groupBy("f").agg(F.sum("tokens").alias("tokens"))
+    each = combos.select("f", "tokens", F.explode("f").alias("b")).join(bins.select("b", known.alias("s")), "b", "left")
+    score = F.coalesce("s", unseen, F.array(*[F.lit(0.0)] * len(domains)))
+    summed = each.select("f", "tokens", score.alias("s")).groupBy("f", "tokens").agg(*[(F.sum(F.col("s")[k]) + prior[k]).alias(f"z{k}") for k in k_of])
+    top = F.greatest(*[F.col(f"z{k}") for k in k_of])
+    odds = [F.exp(F.col(f"z{k}") - top) for k in k_of]
+    return summed.select("f", "tokens", F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("p"))
 
 
 def _rate(p: Column, steps: Sequence[Sequence[float]]) -> Column:
@@ -136,21 +128,29 @@ def fit_rates(soft: DataFrame, targets: Mapping[str, float] = TARGETS, domains:
     return steps, now.tolist(), wanted.tolist()
 
 
+def _rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None) -> DataFrame:
+    """(_row, tokens, p, rate): documents of one combination of features share a posterior, and so a rate; the fit runs
+    over combinations with their tokens, and only those are joined to the documents."""
+    held = _features(docs)
+    soft = stored(posteriors(stored(held.drop("_row"), "features"), labels), "soft")
+    steps, _, _ = fit_rates(soft.select("tokens", "p"), targets, total=total)
+    rates = soft.select("f", "p", _rate(F.col("p"), steps).alias("rate"))
+    return held.join(F.broadcast(rates) if soft.count() <= BROADCAST_ROWS else rates, "f").drop("f", "doc_id")
+
+
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None) -> DataFrame:
-    """``docs`` with ``tokens``, ``p`` (array over DOMAINS) and ``rate``, a row per row.
+    """``docs(doc_id, text, lang, source, ...)`` with ``tokens``, ``p`` (array over DOMAINS) and ``rate``, a row per row.
 
-    Empty documents have no tokens and take part like others at their posterior; an empty table gives no rows; columns
-    of ``docs`` named tokens, p or rate are replaced."""
-    clean = docs.drop("tokens", "p", "rate", "f")
-    soft = stored(posteriors(clean, labels), "soft")
-    steps, _, _ = fit_rates(soft.select("tokens", "p"), targets, total=total)
-    return soft.withColumn("rate", _rate(F.col("p"), steps))
+    Empty documents have no tokens and take part like others at their posterior; repeated rows are rated each; an empty
+    table gives no rows; columns of ``docs`` named tokens, p or rate are replaced, all others kept."""
+    kept = [F.col(f"_row.{c}") for c in docs.columns if c not in ("tokens", "p", "rate")]
+    return _rated(docs, labels, targets, total).select(*kept, "tokens", "p", "rate")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None) -> DataFrame:
     """``docs`` in the mixture: each row as often as its rate says, the fraction decided by a hash of doc_id, so that the
-    same documents are repeated whenever it runs."""
-    rated = mixing_rates(docs, labels, targets, total)
-    chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
+    same documents are repeated whenever it runs. All columns are kept."""
+    rated = _rated(docs, labels, targets, total)
+    chance = F.pmod(F.xxhash64(F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
     copies = F.floor(F.col("rate") + chance).cast("int")
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")

@@ -53,7 +53,7 @@ def measure(docs: DataFrame) -> DataFrame:
     places with an equal neighbour each adds what the one before it doesn't cover."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     gap = r"[\x20\x09-\x0D]+"
-    step = docs.withColumn("_t", text)
+    step = docs.select(F.struct(*[c for c in docs.columns if c not in MEASURES]).alias("_row"), text.alias("_t"))
     step = step.withColumn("_w", F.filter(F.split("_t", gap), lambda w: w != ""))
     step = step.withColumn("_n", F.size("_w"))
     step = step.withColumn("_l", F.filter(F.split("_t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")))
@@ -78,7 +78,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
     )
     # a generator of one row: filters on measurements then stay above it, else they would be worked out once more there
-    return step.select(*[F.col(c) for c in docs.columns if c not in MEASURES], F.inline(F.array(measured)))
+    return step.select("_row", F.inline(F.array(measured))).select("_row.*", *MEASURES)
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
