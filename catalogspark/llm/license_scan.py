@@ -82,7 +82,8 @@ def align(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int
             row[c] = max(up, side, hit)
         best[i] = row
     matched = int(best[n].max())
-    i, c, places = n, int(best[n].argmax()), []
+    # of equally good ends the one nearest to the shift, so that each of two near copies is found from its own
+    i, c, places = n, min(np.flatnonzero(best[n] == matched).tolist(), key=lambda k: abs(k - BAND)), []
     while i > 0 and best[i, c] > 0:
         j = i - 1 + shift - BAND + c
         if 0 <= j < len(words) and template[i - 1] == words[j] and best[i, c] == best[i - 1, c] + 1:
@@ -105,16 +106,16 @@ def _scan(index: TemplateIndex, coverage: float):
         for place in np.flatnonzero(index.hashes[at] == grams):
             k = at[place]
             while k < len(index.hashes) and index.hashes[k] == grams[place]:
-                hits.add((int(index.template[k]), int(place - index.place[k]) // BAND))
+                hits.add((int(index.template[k]), int(place - index.place[k])))
                 k += 1
         out = []
-        for t, cell in hits:
-            matched, first, last = align(index.words[t], h, cell * BAND + BAND // 2)
+        for t, shift in hits:
+            matched, first, last = align(index.words[t], h, shift)
             if matched >= coverage * len(index.words[t]):
                 out.append((t, first, last, matched))
-        # one finding for each place: the longest match first, what it covers goes
+        # one finding for each place: most matched words first, then the shorter template; what it covers goes
         kept: list[tuple[int, int, int, int]] = []
-        for f in sorted(out, key=lambda f: (-f[3], f[0], f[1])):
+        for f in sorted(out, key=lambda f: (-f[3], len(index.words[f[0]]), f[0], f[1])):
             if not any(f[1] <= g[2] and g[1] <= f[2] for g in kept):
                 kept.append(f)
         return sorted(kept, key=lambda f: f[1])

@@ -64,7 +64,7 @@ def _profiles(n: int, percent: int, common: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id")
             for a, b, data, offsets in text_chunks(batch.column("text")):
                 sets = shingle_sets(Words(data, offsets), n)
                 size = np.array([len(s) for s in sets], _S)
@@ -92,7 +92,7 @@ def _profiles(n: int, percent: int, common: np.ndarray):
                     heads.append(head[:take].view(_S))
                 yield pa.record_batch(
                     {
-                        "doc_id": pa.array(ids[a:b], pa.int64()),
+                        "doc_id": ids.slice(a, b - a),
                         "n": size,
                         "last": last,
                         "fp1": fp1.view(_S),

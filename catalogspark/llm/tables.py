@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="catalogspark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="catalogspark-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
