@@ -5,16 +5,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="catalogspark-")
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path below ``spark.checkpoint.dir``; below a temporary folder only where that is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="catalogspark-")
-        spark.conf.set("spark.checkpoint.dir", known)
+    known = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return f"{known.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
