@@ -143,6 +143,35 @@ ORACLE_SQL: dict[str, str] = {
         reach(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.u, b.v FROM reach r JOIN edges b ON r.v = b.u)
         SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.v) AS component_id
         FROM d JOIN reach r ON r.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op8_chat_quotes": r"""
+        WITH m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+        l AS (
+            SELECT rid, conv_id, turn, pos, line, regexp_extract(line, '^(?: {0,3}>)+ ?') AS marks
+            FROM (SELECT rid, conv_id, turn, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM m)),
+        v AS (SELECT *, length(marks) - length(replace(marks, '>', '')) AS level, substr(line, length(marks) + 1) AS body FROM l),
+        own AS (
+            SELECT m.rid, m.conv_id, m.turn, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS own
+            FROM m LEFT JOIN v ON v.rid = m.rid GROUP BY ALL),
+        runs AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY pos) AS passage FROM (
+            SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY pos) THEN 1 ELSE 0 END AS new FROM v)),
+        q AS (
+            SELECT rid, conv_id, turn, passage, level, trim(regexp_replace(lower(string_agg(body, chr(10) ORDER BY pos)), '[^\p{L}\p{N}]+', ' ', 'g')) AS form
+            FROM runs WHERE level > 0 GROUP BY ALL),
+        parts AS (
+            SELECT conv_id, turn, unnest(list_concat([own], regexp_split_to_array(own, '\n\s*\n'), string_split(own, chr(10)))) AS p
+            FROM own WHERE conv_id IN (SELECT conv_id FROM q)),
+        keys AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) AS form FROM parts),
+        linked AS (
+            SELECT q.rid, q.passage, q.level, max(k.turn) AS original
+            FROM q LEFT JOIN keys k ON k.conv_id = q.conv_id AND k.form = q.form AND k.turn < q.turn WHERE q.form <> '' GROUP BY ALL),
+        per AS (
+            SELECT rid, count(*) AS n_quotes, count(original) AS n_linked, coalesce(max(original) FILTER (level = 1), max(original)) AS quoted FROM linked GROUP BY rid),
+        o AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, t) - 1 AS position,
+                   max(turn) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM m)
+        SELECT o.conv_id, o.turn, o.role, position, CASE WHEN o.conv_id IS NOT NULL AND o.turn IS NOT NULL THEN coalesce(quoted, earlier) END AS reply_to,
+               coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, own.own AS text
+        FROM o JOIN own ON own.rid = o.rid LEFT JOIN per ON per.rid = o.rid""",
     "op10_url_filter": r"""
         WITH cut AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -135,6 +135,9 @@ def test_replies(spark):
     for r in got:
         if r.conv_id in (1, 2):
             assert (r.position, r.reply_to, r.text, r.n_linked) == want[r.conv_id, r.turn]
+    con = duckdb.connect()
+    con.register("conversations", df.select("conv_id", "turn", "role", "text").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert values(con.execute(ORACLE_SQL["op8_chat_quotes"]).df()) == values(reply_order(df).toPandas())
     formatted = {(r.conv_id, r.turn): r.formatted for r in chat_lines(reply_order(df)).collect()}
     assert formatted[2, 0] == "<|user|>\nother talk" and formatted[2, 1] == "<|user|>\n"
     assert reply_order(df.limit(0)).count() == 0
@@ -156,7 +159,7 @@ def values(df):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and values(got) == values(want)
