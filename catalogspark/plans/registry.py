@@ -46,11 +46,19 @@ _CARD = ["id", "type", "name", "namespace", "rev", "version", "description"]
 _CARD_SQL = f"id, type, name, namespace, rev, version, description, tag, env, {_TS} AS updated_at"
 
 
+#: Queries that are named like the operator that they import.
+_NAMES = {
+    "cards": "card_view", "attrs_normalized": "normalize_attrs", "requesters_parsed": "parse_requesters", "publish_validated": "validate_publish",
+    "status_validated": "validate_set_status", "entitlement_pairs": "entitlements", "generated_entries": "generate_entries",
+}
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        name = _NAMES.get(f.__name__, f.__name__)
+        QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[name] = sql
         return f
 
     return add
