@@ -23,10 +23,11 @@ from .tables import stored
 
 COMMON_LIMIT = 1 << 18
 COMMON_LEAST = 12
-PART_SHINGLES = 1 << 22
+PART_SHINGLES = 1 << 21
 FRAGMENTS = 8
 BROADCAST_IDS = 1 << 20
 HOT_RUN = 2000
+OPEN_BLOCK = 64
 BINS = 64
 _S = np.int64
 
@@ -119,10 +120,16 @@ def _open(percent: int):
     def of_run(ids, n, last, shared):
         order = np.argsort(last, kind="stable")
         ids, n, shared = ids[order], n[order], shared[order]
-        need = _least(n[:, None], n[None, :], percent) - (-(-percent * n // 100) - 1)[:, None]
-        fits = (np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent) & (np.minimum(shared[:, None], shared[None, :]) >= need)
-        fits &= np.arange(len(n))[:, None] < np.arange(len(n))[None, :]
-        return ids[fits.any(0) | fits.any(1)]
+        left = -(-percent * n // 100) - 1
+        found = np.zeros(len(n), bool)
+        for at in range(0, len(n), OPEN_BLOCK):  # each row with those behind it, a block of rows at a time
+            a, b = slice(at, at + OPEN_BLOCK), slice(at, None)
+            need = _least(n[a, None], n[None, b], percent) - left[a, None]
+            fits = (np.minimum(n[a, None], n[None, b]) * 100 >= np.maximum(n[a, None], n[None, b]) * percent) & (np.minimum(shared[a, None], shared[None, b]) >= need)
+            fits &= np.arange(fits.shape[0])[:, None] < np.arange(fits.shape[1])[None, :]
+            found[a] |= fits.any(1)
+            found[b] |= fits.any(0)
+        return ids[found]
 
     def run(batches):
         held: list[tuple] = []
