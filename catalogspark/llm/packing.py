@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 END_ID = 2
 #: Distinct words whose ids a task keeps, at most.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 #: Documents that are tokenized together.
-DOCS_AT_ONCE = 1024
+DOCS_AT_ONCE = 512
 
 OUT_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
