@@ -16,7 +16,7 @@ from catalogspark.llm.toxicity import score, train
 
 
 #: Shares of tokens; the filters before have taken out most of what isn't of high quality.
-MIXTURE = {"clean_high": 0.9, "clean_low": 0.1, "toxic": 0.0}
+MIXTURE = {"clean_high": 0.97, "clean_low": 0.03, "toxic": 0.0}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
