@@ -2,8 +2,9 @@
 
 A classifier fitted on a labelled table gives each document a posterior over domains; nonnegative rates of documents are
 then fitted by projected-gradient least squares, so that the expected tokens of each domain meet its target. Only
-built-in functions: the classifier is a table of counts, each gradient step one aggregate of as many numbers as there
-are domains, and a document's rate follows from the few steps taken so far, so no table is rewritten between steps."""
+built-in functions: the classifier is two tables of counts, of words and of bins, each gradient step one aggregate of as
+many numbers as there are domains, and a document's rate follows from the few steps taken so far, so no table is
+rewritten between steps."""
 
 from __future__ import annotations
 
@@ -21,8 +22,11 @@ TARGETS: Mapping[str, float] = {"clean_high": 0.75, "clean_low": 0.15, "toxic":
 STEPS = 25
 TOLERANCE = 1e-6
 _SMOOTH = 1.0
-#: Combinations of features that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: A word speaks for a domain if it is in so many labelled documents at least, and in so many standard deviations more of
+#: the domain's than its share in all of them lets expect.
+MIN_DOCS, MIN_DEVIATION = 3, 8.0
+#: What is cut from both ends of a word.
+_MARKS = ".,;:!?\"'()[]{}"
 
 
 def label_domain() -> Column:
@@ -31,14 +35,17 @@ def label_domain() -> Column:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(_row, doc_id, tokens, f): each row whole, its tokens, and an array of discrete features, one bin of each kind.
+    """(_id, _row, doc_id, tokens, words, f): a number for each row, the row whole, its tokens, hashes of its distinct
+    words (32 bits), and an array of discrete features, one bin of each kind.
 
-    Tokens are counted as runs between blanks. A null text counts as empty; nulls of lang and source are bins of their
-    own."""
+    Tokens are runs between blanks; words are such runs in lower case without punctuation at their ends. A null text
+    counts as empty; nulls of lang and source are bins of their own."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?" if c != "text" else ""))
     out = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), named("text").alias("t"), named("lang").alias("lang"), named("source").alias("source"))
+    out = out.withColumn("runs", F.filter(F.split("t", r"\s+"), lambda w: w != ""))
+    out = out.withColumn("tokens", F.size("runs").cast("long"))
+    words = F.array_distinct(F.transform("runs", lambda w: F.hash(F.btrim(F.lower(w), F.lit(_MARKS)))))
     marks = lambda c: F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))
-    out = out.withColumn("tokens", F.when(F.trim("t") == "", 0).otherwise(1 + marks(" ") + marks("\n")).cast("long"))
     per = lambda n: F.floor(F.least(F.lit(9), 10 * n / F.greatest(F.col("tokens"), F.lit(1)))).cast("int")
     symbols = F.length("t") - F.length(F.translate("t", "#*$%|", ""))
     kinds = {
@@ -46,19 +53,62 @@ def _features(docs: DataFrame) -> DataFrame:
         "word": F.floor(F.least(F.lit(30), F.length("t") / F.greatest(F.col("tokens"), F.lit(1)))).cast("int"),
         "symbols": per(symbols), "stops": per(marks(".")), "lines": per(marks("\n")),
     }
-    return out.select("_row", "doc_id", "tokens", F.array(*[F.concat(F.lit(k + "="), v.cast("string")) for k, v in kinds.items()]).alias("f"))
+    bins = F.array(*[F.concat(F.lit(k + "="), v.cast("string")) for k, v in kinds.items()])
+    return out.select(F.monotonically_increasing_id().alias("_id"), "_row", "doc_id", "tokens", words.alias("words"), bins.alias("f"))
+
+
+def _marked(labels: DataFrame, domain: Column | None, domains: Sequence[str]) -> DataFrame:
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (label_domain() if domain is None else domain).alias("d"))
+    return marked.where(F.col("doc_id").isNotNull() & F.col("d").isin(list(domains)))
+
+
+def word_evidence(held: DataFrame, labels: DataFrame, domain: Column | None = None, domains: Sequence[str] = DOMAINS) -> DataFrame:
+    """(h, k, s): the words that speak for a domain, its number and by how much they do.
+
+    s is the logarithm of how much likelier the word is in the domain than in all labelled documents, divided by the
+    number of words for the domain that stand in a document beside it, itself included, on average: words that come
+    together don't count again and again."""
+    marked = _marked(labels, domain, domains)
+    own = marked.groupBy("doc_id").agg(F.collect_list("d").alias("ds"))
+    seen = stored(held.select("_id", "doc_id", "words").join(own.hint("merge"), "doc_id").drop("doc_id"), "labelled", "zstd")
+    of = {r["d"]: r["n"] for r in seen.select(F.explode("ds").alias("d")).groupBy("d").agg(F.count("*").alias("n")).collect()}  # a row for each domain
+    all_ = float(sum(of.values()))
+    times = lambda d: F.size(F.filter("ds", lambda x: x == d)).alias(f"n_{d}")
+    each = seen.select("words", F.size("ds").alias("n"), *[times(d) for d in domains])
+    counts = each.select("n", *[f"n_{d}" for d in domains], F.explode("words").alias("h")).groupBy("h")
+    counts = counts.agg(F.sum("n").alias("df"), *[F.sum(f"n_{d}").alias(f"n{k}") for k, d in enumerate(domains)]).where(F.col("df") >= MIN_DOCS)
+    share, found = F.col("df") / F.lit(all_ or 1.0), []
+    for k, d in enumerate(domains):
+        part = of.get(d, 0) / (all_ or 1.0)
+        spread = F.sqrt(F.col("df") * part * (1 - part) * (1 - share))
+        far = F.when(spread > 0, (F.col(f"n{k}") - F.col("df") * part) / spread).otherwise(0.0)
+        gain = F.log((F.col(f"n{k}") + 2 * share) / (of.get(d, 0) + 2.0) / share)
+        found.append(F.struct(far.alias("far"), F.lit(k).alias("k"), gain.alias("s")))
+    best = counts.select("h", F.array_max(F.array(*found)).alias("b")).where((F.col("b.far") >= MIN_DEVIATION) & (F.col("b.s") > 0))
+    chosen = stored(best.select("h", "b.k", "b.s"), "vocabulary")
+    hits = stored(seen.select("_id", F.explode("words").alias("h")).join(chosen, "h").select("_id", "h", "k"), "hits")
+    beside = hits.join(hits.groupBy("_id", "k").agg(F.count("*").alias("m")), ["_id", "k"]).groupBy("h").agg(F.avg("m").alias("m"))
+    return stored(chosen.join(beside, "h").select("h", "k", (F.col("s") / F.col("m")).alias("s")), "evidence")
+
+
+def with_words(held: DataFrame, evidence: DataFrame, domains: Sequence[str] = DOMAINS) -> DataFrame:
+    """(_id, doc_id, tokens, f): f with a bin for each domain of the sum of what a document's words say for it; a
+    document without any such word is in bin 0."""
+    sums = [F.sum(F.when(F.col("k") == k, F.col("s")).otherwise(0.0)).alias(f"e{k}") for k in range(len(domains))]
+    said = held.select("_id", F.explode("words").alias("h")).join(evidence, "h").groupBy("_id").agg(*sums)
+    level = lambda e: F.when(e > 0, 1 + F.least(F.lit(8), F.floor(4 * e))).otherwise(0).cast("string")
+    bins = F.array(*[F.concat(F.lit(f"says {d}="), level(F.col(f"e{k}"))) for k, d in enumerate(domains)])
+    return held.select("_id", "doc_id", "tokens", "f").join(said.hint("merge"), "_id", "left").select("_id", "doc_id", "tokens", F.concat("f", bins).alias("f"))
 
 
 def posteriors(slim: DataFrame, labels: DataFrame, domain: Column | None = None, domains: Sequence[str] = DOMAINS) -> DataFrame:
-    """(f, tokens, p) for each distinct combination of features in ``slim(doc_id, tokens, f)``: all its tokens, and the
-    probabilities of each domain, which sum to 1.
+    """(_id, tokens, p) per row of ``slim(_id, doc_id, tokens, f)``: the probabilities of each domain, which sum to 1.
 
     Naive Bayes over the bins of f: counts of all labelled rows, one row for each bin. A doc_id labelled twice counts
     with each label; labels without a document, of null or of no domain count nothing. Without any label all domains
     are equally likely."""
     k_of = range(len(domains))
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (label_domain() if domain is None else domain).alias("d")).where("doc_id is not null")
-    seen = slim.select("doc_id", "f").join(marked.where(F.col("d").isin(list(domains))), "doc_id")
+    seen = slim.select("doc_id", "f").join(_marked(labels, domain, domains), "doc_id")
     bins = seen.select("d", F.explode("f").alias("b")).groupBy("b").agg(F.array(*[F.sum(F.when(F.col("d") == d, 1).otherwise(0)) for d in domains]).alias("n"))
     bins = stored(bins.withColumn("kind", F.split("b", "=")[0]), "bins")
     # a row for each kind of feature
@@ -70,13 +120,20 @@ def posteriors(slim: DataFrame, labels: DataFrame, domain: Column | None = None,
         mass = [row[f"n{k}"] + _SMOOTH * (row["size"] + 1) for k in k_of]
         known = F.when(F.col("kind") == name, F.array(*[F.log((F.col("n")[k] + _SMOOTH) / mass[k]) for k in k_of])).otherwise(known)
         unseen = F.when(F.split("b", "=")[0] == name, F.array(*[F.lit(float(np.log(_SMOOTH / m))) for m in mass])).otherwise(unseen)
-    combos = slim.groupBy("f").agg(F.sum("tokens").alias("tokens"))
-    each = combos.select("f", "tokens", F.explode("f").alias("b")).join(bins.select("b", known.alias("s")), "b", "left")
+    each = slim.select("_id", "tokens", F.explode("f").alias("b")).join(bins.select("b", known.alias("s")), "b", "left")
     score = F.coalesce("s", unseen, F.array(*[F.lit(0.0)] * len(domains)))
-    summed = each.select("f", "tokens", score.alias("s")).groupBy("f", "tokens").agg(*[(F.sum(F.col("s")[k]) + prior[k]).alias(f"z{k}") for k in k_of])
+    summed = each.select("_id", "tokens", score.alias("s")).groupBy("_id", "tokens").agg(*[(F.sum(F.col("s")[k]) + prior[k]).alias(f"z{k}") for k in k_of])
     top = F.greatest(*[F.col(f"z{k}") for k in k_of])
     odds = [F.exp(F.col(f"z{k}") - top) for k in k_of]
-    return summed.select("f", "tokens", F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("p"))
+    return summed.select("_id", "tokens", F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("p"))
+
+
+def _cells(soft: DataFrame, k: int) -> DataFrame:
+    """(tokens, p) of documents taken together by posteriors to three decimals: all their tokens, and the mean of their
+    posteriors by tokens, so that sums over tokens stay the same."""
+    near = [F.round(F.col("p")[i], 3).alias(f"q{i}") for i in range(k)]
+    mean = [F.sum(F.col("tokens") * F.col("p")[i]) / F.sum("tokens") for i in range(k)]
+    return soft.where("tokens > 0").groupBy(*near).agg(F.sum("tokens").alias("tokens"), F.array(*mean).alias("p")).select("tokens", "p")
 
 
 def _rate(p: Column, steps: Sequence[Sequence[float]]) -> Column:
@@ -129,13 +186,13 @@ def fit_rates(soft: DataFrame, targets: Mapping[str, float] = TARGETS, domains:
 
 
 def _rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None) -> DataFrame:
-    """(_row, tokens, p, rate): documents of one combination of features share a posterior, and so a rate; the fit runs
-    over combinations with their tokens, and only those are joined to the documents."""
-    held = _features(docs)
-    soft = stored(posteriors(stored(held.drop("_row"), "features"), labels), "soft")
-    steps, _, _ = fit_rates(soft.select("tokens", "p"), targets, total=total)
-    rates = soft.select("f", "p", _rate(F.col("p"), steps).alias("rate"))
-    return held.join(F.broadcast(rates) if soft.count() <= BROADCAST_ROWS else rates, "f").drop("f", "doc_id")
+    """(_row, tokens, p, rate): the fit runs over cells of documents with nearly the same posterior; each document's rate
+    follows from its own. Tables with a row for each document are joined by sorting at every size."""
+    held = stored(_features(docs), "features", "zstd")
+    slim = stored(with_words(held, word_evidence(held, labels)), "bins")
+    soft = stored(posteriors(slim, labels), "soft")
+    steps, _, _ = fit_rates(stored(_cells(soft, len(DOMAINS)), "cells"), targets, total=total)
+    return held.select("_id", "_row").join(soft.select("_id", "tokens", "p", _rate(F.col("p"), steps).alias("rate")).hint("merge"), "_id").drop("_id")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None) -> DataFrame:

@@ -231,6 +231,27 @@ def test_mixing(spark):
     assert all(abs(copies[k] - rates[k]) < 1 for k in rates)
 
 
+def test_mixing_reads_words(spark):
+    """Posteriors of documents without labels, whose domains only words tell apart."""
+    rng = np.random.default_rng(5)
+    common, bad, spam = [f"word{i}" for i in range(400)], ["scum", "idiot", "trash", "moron"], ["click", "buy", "cheap", "deal"]
+    rows, kind = [], []
+    for k in range(1500):
+        words = list(rng.choice(common, 40))
+        kind.append(2 if k % 5 == 1 else 1 if k % 5 == 2 else 0)
+        for place in rng.choice(40, 3, replace=False) if kind[-1] else ():
+            words[place] = str(rng.choice(bad if kind[-1] == 2 else spam)) + "!"
+        rows.append((k, "  ".join(words) + "\n\n ", "en", "web", None))
+    source = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, int(kind[k] != 1), int(kind[k] == 2)) for k in range(1000)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mixing_rates(source, labels).collect()}
+    assert {r.tokens for r in got.values()} == {40}
+    held = [(kind[k], got[k].p) for k in range(1000, 1500)]
+    for d in range(3):
+        assert np.mean([np.argmax(p) == d for k, p in held if k == d]) > 0.95
+        assert np.mean([p[d] for k, p in held if k == d]) > 0.9 and np.mean([p[d] for k, p in held if k != d]) < 0.05
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(0, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     source = docs(spark, TEXTS, True)
