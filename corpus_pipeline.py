@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), where docs has the columns of ``document
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalogspark.llm.mixing import mixed
 from catalogspark.llm.ngram_jaccard import jaccard_components
@@ -24,19 +24,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return ledger(docs).where(passes("v1")).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, a number of each row's own, kept in a file so that it stays the same."""
+    return stored(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed", "zstd")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go. The model learns from the documents that are left and their labels."""
+    """Rows that score 0.5 or more go, each by its own text. The model learns from the documents that are left and
+    their labels."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = score(docs, model).where("score >= 0.5").select("doc_id").distinct()
-    return docs.join(stored(toxic, "toxic"), "doc_id", "left_anti").select(*docs.columns)
+    rows = _keyed(docs)
+    toxic = score(rows.select(F.col("_key").alias("doc_id"), "text"), model).where("score >= 0.5").select(F.col("doc_id").alias("_key"))
+    return rows.join(stored(toxic, "toxic"), "_key", "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest doc_id stays; of
-    repeated rows all copies of it, and rows without doc_id."""
-    groups = jaccard_components(docs, n=5, percent=80)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five words, similarity 0.8) one row stays, that with the smallest doc_id, of
+    equal ones any; null doc_ids come last. Rows without words stay."""
+    rows = _keyed(docs)
+    groups = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80)
+    several = stored(groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "several")
+    groups = groups.join(several, "component_id").select(F.col("doc_id").alias("_key"), "component_id")
+    placed = stored(groups.join(rows.select("_key", "doc_id"), "_key"), "groups")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key"))
+    gone = placed.select("_key").join(stays.select("_key"), "_key", "left_anti")
+    return rows.join(stored(gone, "gone"), "_key", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,6 +189,25 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_goes_by_row(spark, tmp_path):
+    """Rows without a doc_id or with another's are judged by their own texts."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    clean = lambda: " ".join(f"w{i}" for i in rng.integers(0, 300, 40))
+    bad = lambda: clean() + " you idiot scum"
+    copy = clean()
+    rows = [(k, bad() if k % 2 else clean(), "en", "web") for k in range(200)]
+    rows += [(None, bad(), "en", "web"), (None, clean(), "en", "odd"), (900, bad(), "en", "web"), (900, clean(), "en", "odd")]
+    rows += [(None, copy, "en", "copy"), (None, copy, "en", "copy"), (901, copy, "en", "first"), (901, copy, "en", "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    spark.createDataFrame([(k, 1, k % 2) for k in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()
+    assert not [r for r in left if "idiot" in r.text] and sum(r.source == "odd" for r in left) == 2
+    one = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).where(F.col("text") == copy).collect()
+    assert [(r.doc_id, r.source) for r in one] == [(901, "first")]
+
+
 def fails(m):
     n, chars, symbols, lines, dup, repeat = m
     return n < 10 or 100 * repeat > 20 * n or 10 * symbols > 3 * n or chars < 2 * n or chars > 25 * n or (dup >= 3 and 10 * dup > 3 * lines)
