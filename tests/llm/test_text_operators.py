@@ -204,7 +204,59 @@ def test_toxicity(spark):
     assert np.mean([got[k].predicted == rows[k][2] for k in held]) >= 0.95
     for k, text, y in rows:
         for span in got[k].spans if y and got[k].predicted else []:
-            assert "vile" in text.encode()[span.begin : span.end].decode()
+            assert "vile" in text[span.begin : span.end]
+
+
+def brute_noisy_or(model, text):
+    """Sentences of a text with their scores by plain loops over words, and the noisy-or of all."""
+    import pyarrow as pa
+
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    none, sentences = 1.0, []
+    for piece in re.split(r"(?<=[\n!.?])", text):
+        own = re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", piece)
+        if own:
+            (_, _, data, offsets), *_ = kernels.text_chunks(pa.array([" ".join(own)]))
+            chunk = kernels.Words(data, offsets, kernels.NOT_ALNUM)
+            hashes = set(chunk.hash.tolist()).union(*(chunk.prefix_hash(n)[1].tolist() for n in toxicity.PREFIXES))
+            p = 1 / (1 + np.exp(-model.bias - sum(weight.get(h, 0.0) for h in hashes)))
+            none *= 1 - p
+            at = text.index(piece)
+            begin = at + piece.index(own[0])
+            sentences.append((begin, at + piece.rindex(own[-1]) + len(own[-1]), p))
+    return 1 - none, sentences
+
+
+def test_noisy_or_equals_plain_loops(spark):
+    rows = [(k, f"é{k} " + t + "!", y) for k, t, y in toxic_docs(spark)]
+    source = spark.createDataFrame([(k, t, None, None, None) for k, t, _ in rows], DOCS)
+    model = toxicity.train(source, spark.createDataFrame([(k, None, y) for k, _, y in rows], "doc_id long, quality int, toxic int"))
+    for r in toxicity.score(source, model, located=True).collect():
+        want, sentences = brute_noisy_or(model, rows[r.doc_id][1])
+        assert abs(r.score - want) < 1e-9
+        assert [(s.begin, s.end) for s in r.spans] == [(a, b) for a, b, p in sentences if p >= 0.5]
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(6)
+    labels, bags = np.array([1, 0, 1]), np.array([0, 0, 1, 2, 2])
+    sentences, words = np.array([0, 0, 1, 2, 3, 4]), np.array([0, 2, 1, 2, 0, 1])
+    w = rng.normal(size=4)
+
+    def loss(w):
+        z = np.bincount(sentences, w[words], 5) + w[-1]
+        none = np.exp(np.bincount(bags, -np.logaddexp(0, z), 3))
+        return -np.sum(np.where(labels > 0, np.log(1 - none), np.log(none)))
+
+    steps = [(loss(w + 1e-6 * e) - loss(w - 1e-6 * e)) / 2e-6 for e in np.eye(4)]
+    assert np.allclose(toxicity.gradient(labels, bags, sentences, words, w), steps, atol=1e-6)
+
+
+def test_one_doc_id_with_two_texts_trains_the_same_model(spark):
+    rows = [(k, t, y) for k, t, y in toxic_docs(spark)] + [(3, "another text " * 9, 0)]
+    labels = spark.createDataFrame([(k, None, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    models = [toxicity.train(spark.createDataFrame([(k, t, None, None, None) for k, t, _ in order], DOCS).repartition(n), labels) for order, n in ((rows, 3), (rows[::-1], 5))]
+    assert (models[0].words == models[1].words).all() and np.allclose(models[0].weights, models[1].weights, atol=1e-9)
 
 
 def test_toxicity_edges(spark):
