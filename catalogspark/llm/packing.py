@@ -1,15 +1,17 @@
 """Hierarchical packing: documents go to context-size tiers, every tier fills its own windows, gaps in long windows are
-filled from shorter tiers, and windows of one tier form step groups of equal token count.
+filled from shorter tiers, and all windows are dealt to step groups of equal token count.
 
-Each partition packs its own rows in one streaming pass with bounded pools; nothing is gathered or shuffled. Its last
-open windows are cut to powers of two, so that padding doesn't grow with the number of partitions."""
+Each partition packs its own rows in one streaming pass with bounded pools; no text is gathered or shuffled. Its last
+open windows are cut to powers of two, so that padding doesn't grow with the number of partitions. Groups are numbered
+over all partitions afterwards, from the number of windows of each."""
 
 from __future__ import annotations
 
 import json
 import re
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, deque
 from functools import cache
 from itertools import chain
 from pathlib import Path
@@ -18,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from .tables import stored
 
 END_ID = 2
 #: Distinct words whose ids a task keeps, at most.
@@ -26,10 +30,7 @@ WORDS_KEPT = 300_000
 #: Documents that are tokenized together.
 DOCS_AT_ONCE = 512
 
-OUT_SCHEMA = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-    "window long, step_group long"
-)
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, part long, nth long"
 
 
 def _letter_merges(path: str):
@@ -157,67 +158,76 @@ class _Piece:
 class HierarchicalPacker:
     """Packs the documents of one partition; ``out`` collects finished pieces."""
 
-    def __init__(self, tiers: tuple[int, ...], group_tokens: int, pool_docs: int, base: int):
-        self.tiers, self.group_tokens, self.pool_docs, self.base = tiers, group_tokens, pool_docs, base
-        self.pools: list[list] = [[] for _ in tiers]  # sorted by (size, order of arrival)
-        self.waiting = [0] * len(tiers)  # tokens in each pool
-        self.sequences = self.arrivals = 0
-        self.groups: dict[int, tuple[int, int]] = {}
-        self.next_group = 0
+    def __init__(self, tiers: tuple[int, ...], pool_docs: int, part: int):
+        self.tiers, self.pool_docs, self.part = tiers, pool_docs, part
+        self.sizes: list[list[int]] = [[] for _ in tiers]  # of the pieces that wait in each tier, sorted, each size once
+        self.waiting: dict[int, deque[_Piece]] = {}  # pieces of a size in order of arrival
+        self.docs, self.tokens = [0] * len(tiers), [0] * len(tiers)  # waiting in each tier
+        self.sequences = 0
+        self.written: Counter[int] = Counter()  # sequences of each window
         self.out: list[tuple] = []
 
     def _tier(self, size: int) -> int:
-        return next(k for k, t in enumerate(self.tiers) if size <= t)
+        return bisect_left(self.tiers, size)
 
     def _put(self, piece: _Piece) -> None:
-        k = self._tier(len(piece.ids))
-        insort(self.pools[k], (len(piece.ids), self.arrivals, piece), key=lambda x: x[:2])
-        self.waiting[k] += len(piece.ids)
-        self.arrivals += 1
-
-    def _take(self, room: int, below: int) -> _Piece | None:
-        """The longest waiting piece of at most ``room`` ids from the tiers up to ``below``."""
-        for k in range(below, -1, -1):
-            at = bisect_right(self.pools[k], room, key=lambda x: x[0]) - 1
-            if at >= 0:
-                size, _, piece = self.pools[k].pop(at)
-                self.waiting[k] -= size
-                return piece
-        return None
-
-    def _any(self, below: int) -> _Piece | None:
-        """Some waiting piece to cut: the shortest of the longest tier that has one."""
+        size = len(piece.ids)
+        k = self._tier(size)
+        if size not in self.waiting:
+            self.waiting[size] = deque()
+            insort(self.sizes[k], size)
+        self.waiting[size].append(piece)
+        self.docs[k] += 1
+        self.tokens[k] += size
+
+    def _pop(self, size: int) -> _Piece:
+        k, queue = self._tier(size), self.waiting[size]
+        piece = queue.popleft()
+        if not queue:
+            del self.waiting[size]
+            del self.sizes[k][bisect_left(self.sizes[k], size)]
+        self.docs[k] -= 1
+        self.tokens[k] -= size
+        return piece
+
+    def _fitting(self, room: int, below: int) -> list[int]:
+        """Sizes of waiting pieces of the tiers up to ``below`` to put next: one or two that fill ``room`` exactly, else the
+        longest that fits."""
+        if room <= self.tiers[below] and room in self.waiting:
+            return [room]
+        for k in range(below + 1):
+            for size in self.sizes[k]:
+                other = room - size
+                if other < size:
+                    break
+                if other <= self.tiers[below] and other in self.waiting and (other > size or len(self.waiting[size]) > 1):
+                    return [other, size]
         for k in range(below, -1, -1):
-            if self.pools[k]:
-                size, _, piece = self.pools[k].pop(0)
-                self.waiting[k] -= size
-                return piece
-        return None
+            at = bisect_right(self.sizes[k], room)
+            if at:
+                return [self.sizes[k][at - 1]]
+        return []
 
     def _write(self, pieces: list[_Piece], window: int) -> None:
-        group, used = self.groups.get(window, (None, 0))
-        if group is None or used + window > self.group_tokens:
-            group, used = self.next_group, 0
-            self.next_group += 1
-        self.groups[window] = (group, used + window)
-        at = 0
+        at, number = 0, (self.part << 36) + self.sequences
         for p in pieces:
-            self.out.append((p.doc, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.total, self.base + self.sequences, at, window, self.base + group))
+            crc = zlib.crc32(p.ids.astype("<u4").tobytes())
+            self.out.append((p.doc, p.start, len(p.ids), crc, p.total, number, at, window, self.part, self.written[window]))
             at += len(p.ids)
         self.sequences += 1
+        self.written[window] += 1
 
     def _fill(self, window: int, pieces: list[_Piece], below: int) -> None:
-        """Complete one window: whole pieces that fit, the longest first, then the head of one more."""
+        """Complete one window: whole pieces that fit, and only if none does the head of one more."""
         room = window - sum(len(p.ids) for p in pieces)
-        while room and (piece := self._take(room, below)):
-            pieces.append(piece)
-            room -= len(piece.ids)
-        while room and (piece := self._any(below)):
-            head, tail = piece.cut(min(room, len(piece.ids)))
+        while room and (sizes := self._fitting(room, below)):
+            for size in sizes:
+                pieces.append(self._pop(size))
+                room -= size
+        if room and (longer := next((s[0] for s in reversed(self.sizes[: below + 1]) if s), None)):
+            head, tail = self._pop(longer).cut(room)
             pieces.append(head)
-            room -= len(head.ids)
-            if len(tail.ids):
-                self._put(tail)
+            self._put(tail)
         self._write(pieces, window)
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -228,27 +238,26 @@ class HierarchicalPacker:
             self._write([head], top)
         self._put(piece)
         last = len(self.tiers) - 1
-        while len(self.pools[last]) > self.pool_docs and sum(self.waiting) >= 2 * top:
-            size, _, long = self.pools[last].pop()
-            self.waiting[last] -= size
-            self._fill(top, [long], last - 1 if sum(self.waiting[:last]) >= top - size else last)
+        while self.docs[last] > self.pool_docs and sum(self.tokens) >= 2 * top:
+            size = self.sizes[last][-1]
+            self._fill(top, [self._pop(size)], last - 1 if sum(self.tokens[:last]) >= top - size else last)
         for k in range(last):
-            while len(self.pools[k]) > self.pool_docs and self.waiting[k] >= self.tiers[k]:
+            while self.docs[k] > self.pool_docs and self.tokens[k] >= self.tiers[k]:
                 self._fill(self.tiers[k], [], k)
 
     def finish(self) -> None:
         last, top = len(self.tiers) - 1, self.tiers[-1]
-        while sum(self.waiting) >= top:
+        while sum(self.tokens) >= top:
             self._fill(top, [], last)
-        while rest := sum(self.waiting):  # powers of two need no padding
+        while rest := sum(self.tokens):  # powers of two need no padding
             self._fill(1 << (rest.bit_length() - 1), [], last)
 
 
-def _pack(path: str, tiers: tuple[int, ...], group_tokens: int, pool_docs: int):
+def _pack(path: str, tiers: tuple[int, ...], pool_docs: int):
     def run(batches):
         tokenizer = _tokenizer(path)
-        packer = HierarchicalPacker(tiers, group_tokens, pool_docs, TaskContext.get().partitionId() << 36)
-        names = [f.strip().split(" ")[0] for f in OUT_SCHEMA.split(",")]
+        packer = HierarchicalPacker(tiers, pool_docs, TaskContext.get().partitionId())
+        names = [f.strip().split(" ")[0] for f in _PIECES.split(",")]
 
         def flush():
             columns = list(zip(*packer.out, strict=True))
@@ -281,13 +290,32 @@ def pack(
 
     A document is its token ids and then END_ID; a null or empty text is END_ID alone. Every id lies in exactly one
     piece; pieces of a sequence stand at gapless offsets from 0. ``window`` is the sequence's length: a tier, or a
-    smaller power of two for the last tokens of a partition, so that no sequence needs padding. Windows of one length
-    share a ``step_group`` up to ``group_tokens`` tokens. ``tiers`` are ascending powers of two.
+    smaller power of two for the last tokens of a partition, so that no sequence needs padding. Sequences of a
+    ``step_group`` have ``group_tokens`` tokens together, a power of two from ``tiers[-1]``; only the last group of all
+    can have fewer. ``tiers`` are ascending powers of two.
 
     Sequences depend on how rows lie in partitions, not on the order of tasks: a task that runs again gives the same
     rows for the same partition. Repeated rows and null ids are packed like others; an empty table gives no pieces;
     further columns are ignored."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers must be ascending powers of two")
+    if group_tokens & (group_tokens - 1) or group_tokens < tiers[-1]:
+        raise ValueError("group_tokens must be a power of two, of the longest tier at least")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_pack(tokenizer_path, tuple(tiers), group_tokens, pool_docs), OUT_SCHEMA)
+    pieces = stored(source.mapInArrow(_pack(tokenizer_path, tuple(tiers), pool_docs), _PIECES), "pieces", "zstd")
+    return _in_groups(pieces, group_tokens)
+
+
+def _in_groups(pieces: DataFrame, group_tokens: int) -> DataFrame:
+    """``pieces`` with ``step_group``: sequences in order of window, the longest first, each ``group_tokens`` tokens of
+    that order. Windows are powers of two, so no window lies across a group's end. What is counted is a row for each
+    partition and window; the sums of whole windows, a row for each power of two, pass the driver."""
+    counts = stored(pieces.groupBy("part", "window").agg(((F.max("nth") + 1) * F.col("window")).alias("tokens")), "counts")
+    longer, before = 0, F.lit(0).cast("long")
+    for r in counts.groupBy("window").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("window")).collect():
+        before = F.when(F.col("window") == r["window"], F.lit(longer)).otherwise(before)
+        longer += r["tokens"]
+    earlier = F.sum("tokens").over(Window.partitionBy("window").orderBy("part")) - F.col("tokens")
+    starts = stored(counts.select("part", "window", (before + earlier).alias("at")), "starts")
+    group = F.floor((F.col("at") + F.col("nth") * F.col("window")) / group_tokens).cast("long")
+    return pieces.join(starts, ["part", "window"]).select(*[f.strip().split(" ")[0] for f in _PIECES.split(",")[:8]], group.alias("step_group"))

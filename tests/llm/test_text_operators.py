@@ -167,6 +167,23 @@ def test_packing(spark):
     assert max(groups.values()) <= 65536
 
 
+def test_step_groups_are_balanced(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["word"] * int(n)) for n in np.concatenate([rng.integers(1, 700, 900), rng.integers(1000, 9000, 60)])]
+    for parts in (1, 7):
+        rows = packing.pack(docs(spark, texts).repartition(parts), word_tokenizer_path(), group_tokens=8192).collect()
+        groups, windows, pieces = collections.Counter(), collections.defaultdict(set), collections.Counter(r.doc_id for r in rows)
+        for sequence, group, window in {(r.sequence_id, r.step_group, r.window) for r in rows}:
+            groups[group] += window
+            windows[group].add(window)
+        assert sorted(groups) == list(range(len(groups))) and all(groups[g] == 8192 for g in list(range(len(groups)))[:-1]) and groups[len(groups) - 1] <= 8192
+        assert sum(len(w) > 1 for w in windows.values()) <= 13
+        long = sum(-(-(len(t.split()) + 1) // 4096) for t in texts if len(t.split()) >= 4096)
+        assert len(rows) - len(texts) - 2 < long + 0.25 * len(texts)  # few short documents are cut
+    with pytest.raises(ValueError):
+        packing.pack(docs(spark, texts), word_tokenizer_path(), group_tokens=5000)
+
+
 def test_fast_letters_equal_the_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer
