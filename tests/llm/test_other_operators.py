@@ -56,6 +56,33 @@ def test_embeddings(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_extreme_magnitudes(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 1e200]), (4, [2e200, 2e200]), (5, [5e-324, 0.0]), (6, [1.7e308, 1.7e308]), (7, [1e200, 1e-200]), (8, [0.0, 3.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame([(k, v, 1) for k, v in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 5: (3, 1), 7: (3, 1), 3: (2, 3), 4: (2, 3), 6: (2, 3), 8: (0, 8)}
+
+
+def test_hot_vector_and_blocks_of_tiles(spark, monkeypatch):
+    from catalogspark.llm import embedding_dedup
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(12, 6))
+    rows = [(k, (base[k % 12] + 0.2 * rng.normal(size=6) if k % 3 else base[0]).tolist(), 1) for k in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embedding_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_TILES", 2)
+    monkeypatch.setattr(embedding_dedup, "PARTNERS", 3)
+    x = np.array([v for _, v, _ in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    got = near_duplicates(df, tile=8).collect()
+    assert len(got) == 240 and all(r.n_links == near[r.vec_id].sum() for r in got)
+    best = np.arange(240)
+    for _ in range(240):
+        best = np.minimum(best, np.where(near, best[None, :], 999).min(1))
+    assert all(r.component_id == best[r.vec_id] for r in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head &amp; tail&nbsp;x</h1><p>One <b>bold</b> and
