@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import connected_components
 from .kernels import Words, list_array, shingle_sets, text_chunks
-from .tables import stored
+from .tables import drop_stored, stored
 
 COMMON_LIMIT = 1 << 18
 COMMON_LEAST = 12
@@ -27,6 +27,8 @@ PART_SHINGLES = 1 << 21
 FRAGMENTS = 8
 BROADCAST_IDS = 1 << 20
 HOT_RUN = 2000
+#: Rows of one n-gram that meet in a task; more are dealt to several. Rows of a class above which it is joined by broadcast.
+DEALT, HOT_CLASS = 500, 100_000
 OPEN_BLOCK = 64
 BINS = 64
 _S = np.int64
@@ -115,7 +117,8 @@ def _open(percent: int):
     """Ids in the runs of equal ``h`` that have a neighbour there which sizes and shared counts allow.
 
     Below the lower of their last index n-grams, two sets share at most ``min(shared)`` n-grams, and above it the set
-    with that last n-gram has ``n - take`` left. A run over HOT_RUN rows isn't looked into: all of it stays."""
+    with that last n-gram has ``n - take`` left. Runs over HOT_RUN rows aren't looked into, all of them stay: these don't
+    come here."""
 
     def of_run(ids, n, last, shared):
         order = np.argsort(last, kind="stable")
@@ -133,7 +136,6 @@ def _open(percent: int):
 
     def run(batches):
         held: list[tuple] = []
-        hot = None
         for batch in batches:
             h, *rest = (batch.column(k).to_numpy() for k in ("h", "id", "n", "last", "shared"))
             cuts = np.flatnonzero(np.diff(h)) + 1
@@ -142,14 +144,7 @@ def _open(percent: int):
                 if held and held[0][0] != h[a]:
                     keep.append(of_run(*(np.concatenate(x) for x in zip(*(r[1] for r in held), strict=True))))
                     held = []
-                if hot is not None and hot == h[a]:
-                    keep.append(rest[0][a:b])
-                    continue
                 held.append((h[a], [x[a:b] for x in rest]))
-                if sum(len(r[1][0]) for r in held) > HOT_RUN:
-                    hot = h[a]
-                    keep += [r[1][0] for r in held]
-                    held = []
             if keep:
                 yield pa.record_batch({"doc_id": np.unique(np.concatenate(keep))})
         if held:
@@ -242,7 +237,29 @@ def _near(percent: int):
     return most * 100 >= (F.col("xn") + F.col("yn") - most) * percent
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def _repeated(grams: DataFrame) -> DataFrame:
+    """``grams(h, ...)`` with ``df``, how many rows have the same h, where that is more than one. Counts are added up before
+    they are shuffled and joined back, so that a very common n-gram isn't one group."""
+    counts = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    return grams.join(counts, "h")
+
+
+def _dealt(postings: DataFrame) -> DataFrame:
+    """``postings`` with ``parts``, over how many tasks the rows of their n-gram are dealt, and ``part``, one of them."""
+    counts = postings.groupBy("h").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    return postings.join(counts, "h").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+
+def _with_classes(profiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """Texts that have a class with other texts, with its columns; very large classes are broadcast, as they are few."""
+    key = ["n", "fp1", "fp2"]
+    hot, cold = classes.where(F.col("size") > HOT_CLASS), classes.where(F.col("size") <= HOT_CLASS)
+    found = profiles.join(F.broadcast(hot), key)
+    rest = profiles.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key, "left")
+    return found.unionByName(rest)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
     """Groups of texts joined by links: two texts link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` for their sets of
     distinct ``n``-word shingles (words: runs between blanks and controls 9-13; A-Z lower-cased; n-grams are compared
     by 64-bit hashes).
@@ -251,7 +268,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     row: class_id is the smallest doc_id with the same set, component_id the smallest reachable by links.
     Null or empty texts have no shingles and stand alone; a text under ``n`` words is one shingle; repeated rows come
     back as often as they came; a null doc_id stays null in every id column; an empty table gives an empty result;
-    further columns are ignored."""
+    further columns are ignored.
+
+    With ``links`` also n_links: the number of other documents that a document links with (doc_ids that repeat count
+    once). Then pairs inside what is linked are looked at as well, so the work grows with the number of links."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     here = source.select("text").mapInArrow(_frequent_here(n), "h long, c long")
     often = here.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_LEAST).orderBy(F.desc("c"), "h").limit(COMMON_LIMIT)
@@ -259,30 +279,38 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     profile_schema = "doc_id long, n long, last long, fp1 long, fp2 long, bins binary, head array<long>"
     profiles = stored(source.mapInArrow(_profiles(n, percent, common), profile_schema), "profiles")
     full = profiles.where("n > 0 and doc_id is not null")
-    classes = stored(full.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = stored(full.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id"), (F.count_distinct("doc_id") if links else F.count("*")).alias("size")), "classes")
     reps = full.select("doc_id", "n", "last", "bins", "head").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     # the first index, without entries that one class alone has
-    by_gram = Window.partitionBy("h")
     index = reps.select(F.explode("head").alias("h"), F.col("doc_id").alias("id"))
-    shared = stored(index.withColumn("df", F.count("*").over(by_gram)).where("df > 1").drop("df"), "shared")
+    shared = stored(_repeated(index), "shared")
     sizes = reps.select(F.col("doc_id").alias("id"), "n", "last").join(shared.groupBy("id").agg(F.count("*").alias("shared")), "id")
-    runs = shared.join(sizes, "id").repartition("h").sortWithinPartitions("h")
-    open_ = stored(runs.mapInArrow(_open(percent), "doc_id long").distinct(), "open")
+    runs = shared.where(F.col("df") <= HOT_RUN).drop("df").join(sizes, "id").repartition("h").sortWithinPartitions("h")
+    hot = shared.where(F.col("df") > HOT_RUN).select(F.col("id").alias("doc_id"))
+    open_ = stored(runs.mapInArrow(_open(percent), "doc_id long").unionByName(hot).distinct(), "open")
 
     # the rare-first order of what is open; ``n - alone`` n-grams are in other sets too
     grams = _of(source, open_).dropDuplicates(["doc_id"]).mapInArrow(_grams(n), "h long, id long")
-    counted = stored(grams.withColumn("df", F.count("*").over(by_gram)).where("df > 1"), "counted")
+    grams = stored(grams, "grams")
+    counted = stored(_repeated(grams), "counted")
+    drop_stored(grams)
     met = counted.groupBy("id").agg(F.count("*").alias("met")).join(reps.select(F.col("doc_id").alias("id"), "n"), "id")
     met = met.where(F.col("met") * 100 >= F.col("n") * percent)
     ranked = counted.join(met, "id").withColumn("at", F.col("n") - F.col("met") + F.row_number().over(Window.partitionBy("id").orderBy("df", "h")))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     postings = stored(ranked.where(F.col("at") <= take).select("h", "id", "n", "at"), "postings")
+    drop_stored(counted)
+    postings = stored(_dealt(postings), "dealt")
     known = reps.select("doc_id", "bins")
 
-    along = Window.partitionBy("h").orderBy("at", "n", "id")
+    along = Window.partitionBy("h", "part").orderBy("at", "n", "id")
     row = lambda get: [get(k).over(along).alias(f"x{k}") for k in ("id", "n", "at")] + [F.col(k).alias(f"y{k}") for k in ("id", "n", "at")]
     beside = postings.select(*row(F.lag)).unionByName(postings.select(*row(F.first)))
+    heads = postings.where("parts > 1").groupBy("h", "part").agg(F.min(F.struct("at", "n", "id")).alias("y"))
+    tops = heads.groupBy("h").agg(F.min("y").alias("x"))
+    heads = heads.join(tops, "h").select(*[F.col(f"{s}.{k}").alias(s + k) for s in ("x", "y") for k in ("id", "n", "at")])
+    beside = beside.unionByName(heads)
     first = beside.where((F.col("xid") != F.col("yid")) & _near(percent)).select(F.col("xid").alias("x"), F.col("xn").alias("xn"), F.col("yid").alias("y"), F.col("yn").alias("yn"))
     ordered = lambda df: df.select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
@@ -290,28 +318,40 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         F.when(F.col("x") < F.col("y"), F.col("yn")).otherwise(F.col("xn")).alias("bn"),
     ).distinct()
     tried = stored(ordered(first), "tried")
-    links = stored(_verified(tried, known, source, n, percent), "links")
-
-    # what is linked by now needs no further pair inside; pairs across are all tried
-    joined = stored(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
-    placed = stored(postings.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "placed")
+    linked = stored(_verified(tried, known, source, n, percent), "links")
+
+    # what is linked by now needs no further pair inside, unless links are counted; pairs across are all tried
+    placed = postings.withColumn("c", F.col("id"))
+    if not links:
+        joined = stored(connected_components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
+        placed = postings.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    placed = stored(placed, "placed")
     spread = placed.groupBy("h").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed").select("h")
-    mixed = placed.join(spread, "h", "left_semi")
-    side = lambda s: mixed.select("h", *[F.col(k).alias(s + k) for k in ("id", "n", "at", "c")])
+    mixed = stored(placed.join(spread, "h", "left_semi"), "mixed")
+    side = lambda s: mixed.select("h", "parts", "part", *[F.col(k).alias(s + k) for k in ("id", "n", "at", "c")])
+    every = side("y").drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     # the smaller set of a pair needs no more than this much of its own prefix
     short = lambda s: F.col(s + "at") <= F.col(s + "n") - F.ceil(F.col(s + "n") * (2 * percent) / (100 + percent)) + 1
     in_reach = F.when(F.col("xn") < F.col("yn"), short("x")).when(F.col("xn") > F.col("yn"), short("y")).otherwise(short("x") | short("y"))
-    across = side("x").join(side("y"), "h").where((F.col("xc") < F.col("yc")) & _near(percent) & in_reach)
+    across = side("x").drop("parts").join(every, ["h", "part"]).where((F.col("xc") < F.col("yc")) & _near(percent) & in_reach)
     across = across.select(F.col("xid").alias("x"), "xn", F.col("yid").alias("y"), "yn")
     rest = stored(ordered(across).join(tried, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, known, source, n, percent)
-    edges = stored(links.select("a", "b").unionByName(more.select("a", "b")), "edges")
+    edges = stored(linked.select("a", "b").unionByName(more.select("a", "b")), "edges")
     final = stored(connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    grouped = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("n", "fp1", "fp2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return profiles.select("doc_id", "n", "fp1", "fp2").join(grouped, ["n", "fp1", "fp2"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-    )
+    grouped = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
+    if links:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.join(classes.select(F.col("class_id").alias("b"), "size"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("size").alias("near"))
+        grouped = grouped.join(near, "class_id", "left").withColumn("n_links", F.coalesce("near", F.lit(0)) + F.col("size") - 1)
+    extra = ["n_links"] * links
+    grouped = grouped.where("size > 1 or component is not null").select("n", "fp1", "fp2", "size", "class_id", F.coalesce("component", "class_id").alias("component_id"), *extra)
+    grouped = stored(grouped, "grouped")
+    slim = profiles.select("doc_id", "n", "fp1", "fp2")
+    alone = slim.where("n = 0 or doc_id is null").withColumns({c: F.lit(None).cast("long") for c in ["size", "class_id", "component_id", *extra]})
+    placed = alone.unionByName(_with_classes(slim.where("n > 0 and doc_id is not null"), grouped))
+    return placed.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in extra],
+    )

@@ -101,6 +101,31 @@ def test_jaccard_families(spark):
     assert [got[k] for k in range(90)] == brute_components(texts, 5, 80)[1]
 
 
+@pytest.mark.parametrize("limits", [{}, {"HOT_RUN": 3, "DEALT": 4, "HOT_CLASS": 2}, {"COMMON_LIMIT": 5, "COMMON_LEAST": 2, "BROADCAST_IDS": 0}, {"PART_SHINGLES": 1, "OPEN_BLOCK": 2}])
+def test_jaccard_limits_change_no_result(spark, monkeypatch, limits):
+    import random
+
+    from catalogspark.llm import ngram_jaccard
+
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    random.seed(6)
+    base, texts = [f"w{random.randrange(300)}" for _ in range(60)], []
+    for k in range(60):
+        own = list(base) if k % 3 else [f"w{random.randrange(300)}" for _ in range(50)] + base[:9]
+        for _ in range(k % 5):
+            own[random.randrange(len(own))] = f"edit{random.randrange(30)}"
+        texts.append(" ".join(own))
+    texts += [texts[0]] * 4 + ["", ""]
+    sets, best = brute_components(texts, 4, 80)
+    near = [{j for j, b in enumerate(sets) if j != i and a and b and 100 * len(a & b) >= 80 * len(a | b)} for i, a in enumerate(sets)]
+    for links in (False, True):
+        got = {r.doc_id: r for r in jaccard_components(docs(spark, texts), 4, 80, links=links).where("doc_id is not null").collect()}
+        assert [got[k].component_id for k in range(len(texts))] == best
+        if links:
+            assert [got[k].n_links for k in range(len(texts))] == [len(x) for x in near]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(200)] + [(300, 300), (400, 399), (400, 399)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
