@@ -144,7 +144,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.v) AS component_id
         FROM d JOIN reach r ON r.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op8_chat_quotes": r"""
-        WITH m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+        WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
         l AS (
             SELECT rid, conv_id, turn, pos, line, regexp_extract(line, '^(?: {0,3}>)+ ?') AS marks
             FROM (SELECT rid, conv_id, turn, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM m)),
@@ -155,23 +155,43 @@ ORACLE_SQL: dict[str, str] = {
         runs AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY pos) AS passage FROM (
             SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY pos) THEN 1 ELSE 0 END AS new FROM v)),
         q AS (
-            SELECT rid, conv_id, turn, passage, level, trim(regexp_replace(lower(string_agg(body, chr(10) ORDER BY pos)), '[^\p{L}\p{N}]+', ' ', 'g')) AS form
-            FROM runs WHERE level > 0 GROUP BY ALL),
+            SELECT *, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) AS form
+            FROM (SELECT rid, conv_id, turn, passage, level, string_agg(body, chr(10) ORDER BY pos) AS body FROM runs WHERE level > 0 GROUP BY ALL)),
         parts AS (
-            SELECT conv_id, turn, unnest(list_concat([own], regexp_split_to_array(own, '\n\s*\n'), string_split(own, chr(10)))) AS p
+            SELECT conv_id, turn, unnest(list_concat([own], regexp_split_to_array(own, '\n\s*\n'), string_split(own, chr(10)), regexp_split_to_array(own, '[.!?]+\s+|\n+'))) AS p
             FROM own WHERE conv_id IN (SELECT conv_id FROM q)),
         keys AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) AS form FROM parts),
-        linked AS (
-            SELECT q.rid, q.passage, q.level, max(k.turn) AS original
-            FROM q LEFT JOIN keys k ON k.conv_id = q.conv_id AND k.form = q.form AND k.turn < q.turn WHERE q.form <> '' GROUP BY ALL),
+        units AS (
+            SELECT DISTINCT rid, conv_id, turn, passage, trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) AS form
+            FROM (SELECT rid, conv_id, turn, passage, unnest(regexp_split_to_array(body, '[.!?]+\s+|\n+')) AS u FROM q WHERE form <> '')),
+        asked AS (
+            SELECT rid, conv_id, turn, passage, form, true AS whole, 0 AS words FROM q WHERE form <> ''
+            UNION ALL SELECT rid, conv_id, turn, passage, form, false, len(string_split(form, ' ')) FROM units WHERE form <> ''),
+        met AS (
+            SELECT a.rid, a.passage, a.form, a.whole, a.words, max(k.turn) AS original
+            FROM asked a JOIN keys k ON k.conv_id = a.conv_id AND k.form = a.form AND k.turn < a.turn GROUP BY ALL),
+        said AS (SELECT rid, passage, original, bool_or(whole) AS whole, sum(words) AS words FROM met GROUP BY ALL),
+        best AS (SELECT rid, passage, arg_max(original, (whole, words, original)) AS original FROM said GROUP BY ALL),
+        linked AS (SELECT q.rid, q.passage, q.level, b.original FROM q LEFT JOIN best b ON b.rid = q.rid AND b.passage = q.passage WHERE q.form <> ''),
         per AS (
             SELECT rid, count(*) AS n_quotes, count(original) AS n_linked, coalesce(max(original) FILTER (level = 1), max(original)) AS quoted FROM linked GROUP BY rid),
         o AS (
-            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, t) - 1 AS position,
-                   max(turn) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM m)
-        SELECT o.conv_id, o.turn, o.role, position, CASE WHEN o.conv_id IS NOT NULL AND o.turn IS NOT NULL THEN coalesce(quoted, earlier) END AS reply_to,
-               coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, own.own AS text
-        FROM o JOIN own ON own.rid = o.rid LEFT JOIN per ON per.rid = o.rid""",
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, t) - 1 AS seat,
+                   max(turn) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM m),
+        a AS (
+            SELECT o.rid, o.conv_id, o.turn, o.role, seat, earlier, CASE WHEN o.conv_id IS NOT NULL AND o.turn IS NOT NULL THEN coalesce(quoted, earlier) END AS reply_to,
+                   coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, own.own AS text
+            FROM o JOIN own ON own.rid = o.rid LEFT JOIN per ON per.rid = o.rid),
+        bent AS (SELECT * FROM a WHERE conv_id IN (SELECT conv_id FROM a WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND reply_to <> earlier)),
+        tree(conv_id, seat, path) AS (
+            SELECT conv_id, seat, [seat] FROM bent WHERE reply_to IS NULL
+            UNION ALL
+            SELECT b.conv_id, b.seat, list_append(t.path, b.seat) FROM tree t
+            JOIN (SELECT conv_id, turn, min(seat) AS seat FROM bent WHERE turn IS NOT NULL GROUP BY ALL) f ON f.conv_id = t.conv_id AND f.seat = t.seat
+            JOIN bent b ON b.conv_id = f.conv_id AND b.reply_to = f.turn),
+        places AS (SELECT conv_id, seat, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS place FROM tree)
+        SELECT a.conv_id, a.turn, a.role, coalesce(place, a.seat) AS position, reply_to, n_quotes, n_linked, text
+        FROM a LEFT JOIN places p ON p.conv_id = a.conv_id AND p.seat = a.seat""",
     "op10_url_filter": r"""
         WITH cut AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

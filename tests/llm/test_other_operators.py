@@ -142,18 +142,35 @@ def brute_replies(rows):
         linked = []
         for level, lines in passages:
             key = form("\n".join(lines))
-            hits = [u for (d, u), text in own.items() if key and d == c and u < t and key in {form(x) for x in [text, *re.split(r"\n\s*\n", text), *text.split("\n")]}]
+            units = {u: {form(x) for x in [text, *re.split(r"\n\s*\n", text), *text.split("\n"), *re.split(r"[.!?]+\s+|\n+", text)]} for (d, u), text in own.items() if d == c and u < t}
+            hits = [u for u, forms in units.items() if key and key in forms]
+            if not hits:
+                votes = {}
+                for x in {form(x) for x in re.split(r"[.!?]+\s+|\n+", "\n".join(lines))} - {""}:
+                    if at := [u for u, forms in units.items() if x in forms]:
+                        votes[max(at)] = votes.get(max(at), 0) + len(x.split())
+                hits = [max((n, u) for u, n in votes.items())[1]] if votes else []
             linked += [(level, max(hits))] if hits else []
         before = [u for d, u in own if d == c and u < t]
         first = [u for level, u in linked if level == 1] or [u for _, u in linked]
-        out[c, t] = (len(before), max(first) if first else max(before, default=None), own[c, t], len(linked))
-    return out
+        out[c, t] = (max(first) if first else max(before, default=None), own[c, t], len(linked))
+    places = {}
+    for c in {c for c, _ in out}:
+        def walk(t):
+            places[c, t] = len([1 for d, _ in places if d == c])
+            for u in sorted(u for d, u in out if d == c and out[d, u][0] == t):
+                walk(u)
+
+        for t in sorted(u for d, u in out if d == c and out[d, u][0] is None):
+            walk(t)
+    return {key: (places[key], *value) for key, value in out.items()}
 
 
 def test_replies(spark):
     rows = [
         (1, 0, "user", "Hello there.\n\nSecond part: yes"), (1, 1, "assistant", "> hello THERE\nHi!"), (1, 2, "user", ">> Hello there.\n> Hi!\nBye"), (1, 5, "user", " > second part - yes\n>> unknown\nok"),
-        (1, 7, "user", "> Bye\n\n> Hi!\nmulti"), (2, 0, "user", "> Hello there.\nother talk"), (2, 1, None, None), (2, 3, "user", ">\n> \nonly marks"),
+        (1, 7, "user", "> Bye\n\n> Hi!\nmulti"), (1, 8, "user", "> Second part: yes\n> not said by anyone\ntwo"),
+        (1, 9, "user", "next"), (1, 10, "user", "> Bye\nagain"), (2, 0, "user", "> Hello there.\nother talk"), (2, 1, None, None), (2, 3, "user", ">\n> \nonly marks"),
     ]
     df = spark.createDataFrame(rows + [(None, 1, "user", "lost"), (3, None, "user", "> x")], "conv_id long, turn long, role string, text string").withColumns({"row": F.lit(1), "part": F.lit(1), "at": F.lit(1), "h": F.lit(1)})
     want = brute_replies(rows)
@@ -171,6 +188,22 @@ def test_replies(spark):
     assert "Python" not in reply_order(df)._jdf.queryExecution().toString()
 
 
+def test_hot_quotes_and_trees(spark):
+    """One passage quoted all over one conversation, and replies to far messages, over several partitions."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(150):
+        text = f"Point {k} is made. We all agree on this"
+        if k % 3 == 0:
+            text = "> We all agree on this\n" + text
+        elif k % 7 == 0 and k:
+            text = f"> Point {int(rng.integers(k))} is made.\n" + text
+        rows.append((5, k, "user", text))
+    want = brute_replies(rows)
+    got = reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)).collect()
+    assert {(r.conv_id, r.turn): (r.position, r.reply_to, r.text, r.n_linked) for r in got} == want
+
+
 def test_one_hot_conversation(spark):
     rows = [(9, k // 2, "user", f"m{k}") for k in range(300)]
     got = reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()
