@@ -27,7 +27,8 @@ def _contract(batches):
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round; ``edges`` hold u > v. Minima come from a pre-aggregated table, so a hub is never gathered."""
+    """One round; ``edges`` hold u > v. Minima come from a pre-aggregated table, so that a hub's edges are only streamed
+    past its minimum: a join that adaptive execution splits where a hub is larger than a task should be."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

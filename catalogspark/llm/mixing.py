@@ -13,13 +13,13 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import stored
+from .tables import drop_stored, stored
 
 #: Classes of the labelled table.
 DOMAINS = ("clean_high", "clean_low", "toxic")
 #: Wanted shares of tokens.
 TARGETS: Mapping[str, float] = {"clean_high": 0.75, "clean_low": 0.15, "toxic": 0.10}
-STEPS = 25
+#: The fit ends when all domains are off by less than this share of the total, or when no step gains more than this.
 TOLERANCE = 1e-6
 _SMOOTH = 1.0
 #: A word speaks for a domain if it is in so many labelled documents at least, and in so many standard deviations more of
@@ -145,12 +145,15 @@ def _rate(p: Column, steps: Sequence[Sequence[float]]) -> Column:
     return F.aggregate(moves, F.lit(1.0), move)
 
 
-def fit_rates(soft: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Sequence[str] = DOMAINS, total: float | None = None) -> tuple[list[list[float]], list[float], list[float]]:
+def fit_rates(
+    soft: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Sequence[str] = DOMAINS, total: float | None = None
+) -> tuple[list[list[float]], list[float], list[float]]:
     """(steps, expected tokens of each domain, their targets) for documents (tokens, p).
 
     Minimises the squared distance of ``sum(rate * tokens * p)`` from the targets over rates >= 0, starting at 1. Each
     step goes along the gradient, scaled by the domains' second moments; a step that makes the distance no smaller is
-    halved. ``total`` tokens, by default as many as let no domain that is short of its share lose any: the largest ratio
+    halved; it ends at the targets or, where rates can't reach them, at the least distance: what is off then is told by the
+    sums returned. ``total`` tokens, by default as many as let no domain that is short of its share lose any: the largest ratio
     of present tokens to wanted share."""
     k = len(domains)
     share = np.array([targets[d] for d in domains], float)
@@ -169,39 +172,40 @@ def fit_rates(soft: DataFrame, targets: Mapping[str, float] = TARGETS, domains:
     scaled = np.linalg.pinv(moment + 1e-9 * np.trace(moment) * np.eye(k))
     steps: list[list[float]] = []
     pace = 1.0
-    for _ in range(STEPS):
-        off = now - wanted
-        if np.abs(off).max() <= TOLERANCE * wanted.sum():
-            break
+    while np.abs(off := now - wanted).max() > TOLERANCE * wanted.sum() and pace > TOLERANCE:
         trial = steps + [(pace * scaled @ off).tolist()]
         sums = soft.withColumn("r", _rate(F.col("p"), trial)).agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()
         after = np.array([float(x) for x in sums])
-        if np.linalg.norm(after - wanted) < np.linalg.norm(off):
+        gain = 1 - np.linalg.norm(after - wanted) / np.linalg.norm(off)
+        if gain > 0:
             steps, now = trial, after
-        else:
+        if gain <= TOLERANCE:
             pace /= 2
-            if pace < 1e-3:
-                break
     return steps, now.tolist(), wanted.tolist()
 
 
 def _rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None) -> DataFrame:
-    """(_row, tokens, p, rate): the fit runs over cells of documents with nearly the same posterior; each document's rate
+    """(_row, tokens, p, rate, residual): the fit runs over cells of documents with nearly the same posterior; each document's rate
     follows from its own. Tables with a row for each document are joined by sorting at every size."""
     held = stored(_features(docs), "features", "zstd")
     slim = stored(with_words(held, word_evidence(held, labels)), "bins")
     soft = stored(posteriors(slim, labels), "soft")
-    steps, _, _ = fit_rates(stored(_cells(soft, len(DOMAINS)), "cells"), targets, total=total)
-    return held.select("_id", "_row").join(soft.select("_id", "tokens", "p", _rate(F.col("p"), steps).alias("rate")).hint("merge"), "_id").drop("_id")
+    drop_stored(slim)
+    steps, now, wanted = fit_rates(stored(_cells(soft, len(DOMAINS)), "cells"), targets, total=total)
+    off = float(np.abs(np.subtract(now, wanted)).max() / (sum(wanted) or 1.0))
+    rated = soft.select("_id", "tokens", "p", _rate(F.col("p"), steps).alias("rate"), F.lit(off).alias("residual"))
+    return held.select("_id", "_row").join(rated.hint("merge"), "_id").drop("_id")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None) -> DataFrame:
-    """``docs(doc_id, text, lang, source, ...)`` with ``tokens``, ``p`` (array over DOMAINS) and ``rate``, a row per row.
+    """``docs(doc_id, text, lang, source, ...)`` with ``tokens``, ``p`` (array over DOMAINS), ``rate``, and ``residual``, the
+    same on every row: by which share of all tokens the domain that is furthest off misses its target. A row per row.
 
     Empty documents have no tokens and take part like others at their posterior; repeated rows are rated each; an empty
-    table gives no rows; columns of ``docs`` named tokens, p or rate are replaced, all others kept."""
-    kept = [F.col(f"_row.{c}") for c in docs.columns if c not in ("tokens", "p", "rate")]
-    return _rated(docs, labels, targets, total).select(*kept, "tokens", "p", "rate")
+    table gives no rows; columns of ``docs`` named tokens, p, rate or residual are replaced, all others kept."""
+    added = ("tokens", "p", "rate", "residual")
+    kept = [F.col(f"_row.{c}") for c in docs.columns if c not in added]
+    return _rated(docs, labels, targets, total).select(*kept, *added)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None) -> DataFrame:

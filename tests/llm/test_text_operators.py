@@ -346,6 +346,130 @@ def test_mixing_reads_words(spark):
         assert np.mean([p[d] for k, p in held if k == d]) > 0.9 and np.mean([p[d] for k, p in held if k != d]) < 0.05
 
 
+def brute_mixing(held, labels, domains):
+    """Posteriors by plain loops from rows (doc_id, words, f) and labels (doc_id, domain)."""
+    import math
+
+    by_doc = collections.defaultdict(list)
+    for k, d in labels:
+        if k is not None and d in domains:
+            by_doc[k].append(d)
+    seen = [(r, by_doc[r.doc_id]) for r in held if r.doc_id in by_doc]
+    of = {d: sum(ds.count(d) for _, ds in seen) for d in domains}
+    total = sum(of.values())
+    counts = collections.defaultdict(lambda: [0] * len(domains))
+    for r, ds in seen:
+        for w in r.words:
+            for k, d in enumerate(domains):
+                counts[w][k] += ds.count(d)
+    chosen = {}
+    for w, n in counts.items():
+        df = sum(n)
+        if df >= mixing.MIN_DOCS:
+            found = []
+            for k, d in enumerate(domains):
+                part, share = of[d] / total, df / total
+                spread = math.sqrt(df * part * (1 - part) * (1 - share))
+                found.append(((n[k] - df * part) / spread if spread > 0 else 0.0, k, math.log((n[k] + 2 * share) / (of[d] + 2.0) / share)))
+            far, k, gain = max(found)
+            if far >= mixing.MIN_DEVIATION and gain > 0:
+                chosen[w] = (k, gain)
+    beside = collections.defaultdict(list)
+    for r, _ in seen:
+        per = collections.Counter(chosen[w][0] for w in r.words if w in chosen)
+        for w in r.words:
+            if w in chosen:
+                beside[w].append(per[chosen[w][0]])
+    evidence = {w: (k, g / (sum(beside[w]) / len(beside[w]))) for w, (k, g) in chosen.items()}
+
+    def bins(r):
+        e = [sum(evidence[w][1] for w in r.words if evidence.get(w, (None,))[0] == k) for k in range(len(domains))]
+        return [*r.f, *(f"says {d}={1 + min(8, math.floor(4 * x)) if x > 0 else 0}" for d, x in zip(domains, e, strict=True))]
+
+    table = collections.defaultdict(lambda: [0] * len(domains))
+    for r, ds in seen:
+        for b in bins(r):
+            for k, d in enumerate(domains):
+                table[b][k] += ds.count(d)
+    kinds = collections.defaultdict(list)
+    for b, n in table.items():
+        kinds[b.split("=")[0]].append(n)
+    out = []
+    for r in held:
+        z = [math.log(of[d] + 1.0) for d in domains]
+        for b in bins(r):
+            rows = kinds[b.split("=")[0]]
+            for k in range(len(domains)):
+                z[k] += math.log((table[b][k] if b in table else 0) + 1.0) - math.log(sum(n[k] for n in rows) + len(rows) + 1.0)
+        odds = [math.exp(x - max(z)) for x in z]
+        out.append([o / sum(odds) for o in odds])
+    return out, len(evidence)
+
+
+def test_posteriors_and_rates_equal_plain_loops(spark):
+    rng = np.random.default_rng(9)
+    common = [f"word{i}" for i in range(120)]
+    rows, labels = [], []
+    for k in range(400):
+        words = list(rng.choice(common, int(rng.integers(5, 40))))
+        kind = k % 4
+        if kind == 1:
+            words[0] = "scum!"
+        if kind == 2:
+            words[1:3] = ["Buy,", "cheap."]
+        rows.append((k, " ".join(words), "en" if k % 3 else None, f"s{k % 2}", None))
+        if k % 2 or k % 5 == 0:
+            labels.append((k, int(kind != 2), int(kind == 1)))
+    labels += [(1, 0, 0), (None, 1, 1), (7, None, None)]
+    source = spark.createDataFrame(rows, DOCS)
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = mixing._features(source).select("doc_id", "words", "f", "tokens").collect()
+    domain = lambda q, t: "toxic" if t == 1 else "clean_high" if q == 1 else "clean_low" if q == 0 else None
+    want, n = brute_mixing(held, [(k, domain(q, t)) for k, q, t in labels], mixing.DOMAINS)
+    assert n >= 3
+    got = {r.doc_id: r for r in mixing.mixing_rates(source, marked).collect()}
+    for r, p in zip(held, want, strict=True):
+        assert np.allclose(got[r.doc_id].p, p, atol=1e-9) and got[r.doc_id].tokens == r.tokens
+    # projected gradient descent by plain steps over single documents reaches the same sums
+    tokens, p = np.array([r.tokens for r in held], float), np.array(want)
+    share = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    present = (tokens[:, None] * p).sum(0)
+    wanted = share * max(present / share)
+    rate, scale = np.ones(len(held)), np.linalg.inv((tokens[:, None, None] * p[:, :, None] * p[:, None, :]).sum(0))
+    for _ in range(500):
+        off = (rate[:, None] * tokens[:, None] * p).sum(0) - wanted
+        rate = np.maximum(rate - p @ (0.5 * scale @ off), 0)
+    assert np.abs((rate[:, None] * tokens[:, None] * p).sum(0) - wanted).max() < 1e-5 * wanted.sum()
+    sums = (np.array([got[r.doc_id].rate for r in held])[:, None] * tokens[:, None] * p).sum(0)
+    assert np.abs(sums - wanted).max() < 2e-3 * wanted.sum()
+    assert {r.residual <= mixing.TOLERANCE for r in got.values()} == {True}
+
+
+def test_targets_out_of_reach_tell_what_is_off(spark):
+    """No document is of the wanted domain: the fit ends at the least distance and says so."""
+    soft = spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (20, [0.9, 0.1, 0.0])], "tokens long, p array<double>")
+    steps, now, wanted = mixing.fit_rates(soft, {"clean_high": 0.5, "clean_low": 0.0, "toxic": 0.5}, total=100.0)
+    assert wanted == [50.0, 0.0, 50.0] and now[2] == 0 and abs(now[0] - 50) < 5 and now[1] < 1
+
+
+def test_held_out_documents_of_sf01(spark):
+    """Recall and log loss on a fifth of the labels, and shares by true labels after mixing."""
+    sf = "/root/testdata/sf0.1"
+    source, labels = spark.read.parquet(f"{sf}/documents.parquet").repartition(8), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    got = mixing.mixing_rates(source, labels.where(~held)).select("doc_id", "tokens", "p", "rate", "residual")
+    rows = got.join(labels.withColumn("d", mixing.label_domain()).where("d is not null"), "doc_id").select("d", "tokens", "p", "rate", "residual", held.alias("out")).collect()
+    k_of = {d: k for k, d in enumerate(mixing.DOMAINS)}
+    out = [(k_of[r.d], np.array(r.p)) for r in rows if r.out]
+    assert np.mean([np.argmax(p) == 2 for k, p in out if k == 2]) > 0.75
+    assert np.mean([-np.log(max(p[k], 1e-12)) for k, p in out]) < 0.35
+    tokens = np.zeros(3)
+    for r in rows:
+        tokens[k_of[r.d]] += r.rate * r.tokens
+    assert np.abs(tokens / tokens.sum() - [mixing.TARGETS[d] for d in mixing.DOMAINS]).max() < 0.04
+    assert rows[0].residual <= mixing.TOLERANCE
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(0, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     source = docs(spark, TEXTS, True)
@@ -371,7 +495,10 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("way", ["trie", "table", "join"])
+def test_urls(spark, monkeypatch, way):
+    from catalogspark.llm import url_filter
+
     rules = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"), Rule("net", "/es/", "block"), Rule("org", "/a/b", "block"), Rule("org", "/", "allow")]
     cases = {
         "http://x.com/": ("com/", "allow"), "HTTP://A.Example.COM/en/1?q#f": ("example.com/en/", "block"), "http://www.example.com/en/": ("www.example.com/en/", "allow"),
@@ -379,6 +506,9 @@ def test_urls(spark):
         "ftp://q.net/es/": ("net/es/", "block"), "http://q.net/esp/": (None, "deny"), "http://q.org/a/bc/d": ("org/a/b", "block"), "http://q.org/a/c": ("org/", "allow"), "no url": (None, "deny"), None: (None, "deny"), "": (None, "deny"),
     }
     rows = spark.createDataFrame([(k, u) for k, u in enumerate(cases)], "page_id long, url string").withColumns({"host": F.lit(1), "path": F.lit(2), "after": F.lit(3), "raw": F.lit(1)})
+    if way != "trie":
+        rules = spark.createDataFrame([*rules, Rule("example.com", "/en/", "allow")], "host string, path string, verdict string")
+        monkeypatch.setattr(url_filter, "TRIE_RULES", 2 if way == "join" else 100)
     got = judge_urls(rows.unionByName(rows), rules, "deny").collect()
     assert len(got) == 2 * len(cases)
     for r in got:
