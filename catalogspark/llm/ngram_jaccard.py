@@ -285,8 +285,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, links: bo
     # the first index, without entries that one class alone has
     index = reps.select(F.explode("head").alias("h"), F.col("doc_id").alias("id"))
     shared = stored(_repeated(index), "shared")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as the work is more than its bytes tell
     sizes = reps.select(F.col("doc_id").alias("id"), "n", "last").join(shared.groupBy("id").agg(F.count("*").alias("shared")), "id")
-    runs = shared.where(F.col("df") <= HOT_RUN).drop("df").join(sizes, "id").repartition("h").sortWithinPartitions("h")
+    runs = shared.where(F.col("df") <= HOT_RUN).drop("df").join(sizes, "id").repartition(tasks, "h").sortWithinPartitions("h")
     hot = shared.where(F.col("df") > HOT_RUN).select(F.col("id").alias("doc_id"))
     open_ = stored(runs.mapInArrow(_open(percent), "doc_id long").unionByName(hot).distinct(), "open")
 
