@@ -13,10 +13,12 @@ from pyspark.sql import Column, functions as F
 
 from ..schema import TOP_COLUMNS
 
+#: Fixed by the grammar: characters of a key, escapes of a value, blanks.
 _KEY = re.compile(r"[A-Za-z0-9_.:/-]+")
 _VALUE = re.compile(r"(?:[^()\\]|\\[\\*()])*")
-_SPACE = re.compile(r"\s*")
-_INTEGER = re.compile(r"-?\d+")
+_BLANK = " \t\r\n"
+_SPACE = re.compile(rf"[{_BLANK}]*")
+_INTEGER = re.compile(r"-?[0-9]+")
 
 
 class InvalidFilterError(ValueError):
@@ -33,9 +35,14 @@ def eq_column(field: str, value: str) -> Column:
 
 
 def eq_rev(value: str, position: int = 0) -> Column:
-    if not _INTEGER.fullmatch(value.strip()):
+    """Integers as they compare, whatever their zeros; one that no revision can have equals none."""
+    digits = value.strip(_BLANK)
+    if not _INTEGER.fullmatch(digits):
         raise InvalidFilterError("rev needs an integer", position)
-    return F.coalesce(F.col("rev") == F.lit(int(value)).cast("decimal(38,0)"), F.lit(False))
+    sign, digits = digits[0] == "-", digits.lstrip("-0") or "0"
+    if len(digits) > 10 or int(digits) >= 1 << 31:
+        return F.lit(False)
+    return F.coalesce(F.col("rev") == F.lit(-int(digits) if sign else int(digits)), F.lit(False))
 
 
 def eq_attr(key: str, value: str) -> Column:
@@ -130,7 +137,7 @@ class _Text:
         self.at = found.end()
         if self.at < len(self.text) and self.text[self.at] != ")":
             raise InvalidFilterError("unescaped parenthesis or unknown escape", self.at)
-        raw = found[0].rstrip() if not re.search(r"\\\s*$", found[0]) else found[0]
+        raw = found[0].rstrip(_BLANK) if not re.search(rf"\\[{_BLANK}]*$", found[0]) else found[0]
         if self.at == len(self.text) and begin == self.at:
             raise InvalidFilterError("expected a value", self.at)
         scope, name = resolve(key[0], start)

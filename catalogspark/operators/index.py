@@ -13,8 +13,8 @@ from .numbering import number_rows
 TOKEN = ["kind", "scope", "key", "value"]
 
 
-def tokens(latest: DataFrame) -> DataFrame:
-    """(id, kind, scope, key, value): the distinct tokens of each entry. Equality tokens of columns that aren't empty
+def tokens(latest: DataFrame, *carried: str) -> DataFrame:
+    """(id, carried columns, kind, scope, key, value): the distinct tokens of each entry. Equality tokens of columns that aren't empty
     and of every attribute value; presence tokens (null value) of such columns and every attribute key."""
     token = lambda kind, scope, key, value: F.struct(F.lit(kind).alias("kind"), F.lit(scope).alias("scope"), key.alias("key"), value.alias("value"))
     nothing = F.lit(None).cast("string")
@@ -27,7 +27,7 @@ def tokens(latest: DataFrame) -> DataFrame:
     present = F.transform(pairs, lambda p: token("present", "attr", p["key"], nothing))
     equal = F.flatten(F.transform(pairs, lambda p: F.transform(F.array_distinct(p["value"]), lambda v: token("eq", "attr", p["key"], v))))
     every = F.concat(F.filter(F.array(*top), lambda t: t.isNotNull()), F.coalesce(present, F.array()), F.coalesce(equal, F.array()))
-    return latest.select("id", F.inline(every))
+    return latest.select("id", *carried, F.inline(every))
 
 
 def build_postings(latest: DataFrame) -> DataFrame:
@@ -38,11 +38,20 @@ def build_postings(latest: DataFrame) -> DataFrame:
 def packed_postings(latest: DataFrame) -> DataFrame:
     """(token, bucket, bitmap, n): documents numbered by id, 32768 to a bucket, so no token is gathered whole."""
     numbered = number_rows(latest, ["id"], "doc")
-    rows = tokens(numbered).join(numbered.select("id", "doc"), "id")
-    grouped = rows.groupBy(*TOKEN, F.bitmap_bucket_number("doc").alias("bucket"))
+    grouped = tokens(numbered, "doc").groupBy(*TOKEN, F.bitmap_bucket_number("doc").alias("bucket"))
     return grouped.agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc")).alias("bitmap")).withColumn("n", F.bitmap_count("bitmap"))
 
 
+def unpack_postings(packed: DataFrame) -> DataFrame:
+    """(token, doc) from packed postings: the numbers of the bits that are set."""
+    octets = F.transform(F.sequence(F.lit(0), F.length("bitmap") - 1), lambda k: F.conv(F.substring(F.hex("bitmap"), 2 * k + 1, F.lit(2)), 16, 10).cast("int"))
+    rows = packed.select(*TOKEN, "bucket", F.posexplode(octets).alias("at", "octet")).where("octet <> 0")
+    rows = rows.select(*TOKEN, "bucket", "at", "octet", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where("(shiftright(octet, bit) & 1) = 1")
+    # numbers above 0 are counted from 1 in buckets from 1; 0 alone is in bucket 0
+    doc = F.when(F.col("bucket") == 0, F.lit(0)).otherwise((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1)
+    return rows.select(*TOKEN, doc.cast("long").alias("doc"))
+
+
 def token_counts(latest: DataFrame) -> DataFrame:
     return tokens(latest).groupBy(*TOKEN).agg(F.count("*").alias("n"))
 
@@ -77,7 +86,9 @@ def eval_on_postings(postings: DataFrame, universe: DataFrame, text: str) -> Dat
     leaves = list(dict.fromkeys(tuple(x[:4]) for x in filter_leaves(text)))
 
     def is_leaf(kind, scope, key, value):
-        value = str(int(value)) if (scope, key, kind) == ("top", "rev", "eq") else value
+        if (scope, key, kind) == ("top", "rev", "eq"):  # as a token is written: without zeros in front
+            digits = value.strip().lstrip("-0") or "0"
+            value = f"-{digits}" if value.strip().startswith("-") and digits != "0" else digits
         same = (F.col("kind") == kind) & (F.col("scope") == scope) & (F.col("key") == key)
         return same if kind == "present" else same & (F.col("value") == F.lit(value))
 

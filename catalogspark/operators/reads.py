@@ -27,14 +27,19 @@ def list_versions(entries: DataFrame, ids: DataFrame | None = None, requester: R
 
 
 def _asked(latest: DataFrame, requests: DataFrame, requester: Requester) -> DataFrame:
-    return requests.select("ord", "id").join(latest.withColumn("_seen", visible_to(requester)), "id")
+    """Entries that are asked for, each once, with whether they may be seen."""
+    return latest.join(requests.select("id").distinct(), "id", "left_semi").withColumn("_seen", visible_to(requester))
 
 
 def batch_get(latest: DataFrame, requests: DataFrame, requester: Requester = ANONYMOUS) -> DataFrame:
-    """A row for each request (ord, id) whose entry exists and is visible; repeated requests repeat it."""
-    return _asked(latest, requests, requester).where("_seen").drop("_seen")
+    """A row for each request (ord, id) whose entry exists and is visible, in order of ``ord``; repeated requests repeat
+    it. Of the catalog only the entries asked for are shuffled; a request that very many make is one row on that side."""
+    found = _asked(latest, requests, requester).where("_seen").drop("_seen")
+    return requests.select("ord", "id").join(found, "id").orderBy("ord")
 
 
 def batch_get_omitted(latest: DataFrame, requests: DataFrame, requester: Requester = ANONYMOUS) -> DataFrame:
     """How many requests were for hidden entries."""
-    return _asked(latest, requests, requester).agg(F.count_if(~F.col("_seen")).alias("omitted"))
+    hidden = _asked(latest, requests, requester).where(~F.col("_seen")).select("id")
+    asked = requests.groupBy("id").agg(F.count("*").alias("n"))  # added up before the join
+    return asked.join(hidden, "id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("omitted"))

@@ -29,10 +29,15 @@ def _stamped(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def _committed(state: State, rows: DataFrame, now: Column) -> State:
-    """``state`` with new revisions (ord, change_type, entry columns)."""
+    """``state`` with new revisions (ord, change_type, entry columns). Their changes are numbered, which writes a table,
+    when the log is asked for."""
     entries = rows.select(*ENTRY_COLUMNS)
-    log = assign_seq(state.changes, rows.select("ord", "id", "rev", "change_type")).withColumn("changed_at", now)
-    return State(state.entries.unionByName(entries), merge_latest(state.latest, entries), state.changes.unionByName(log.select(*CHANGE_COLUMNS)))
+
+    def log() -> DataFrame:
+        new = assign_seq(state.changes, rows.select("ord", "id", "rev", "change_type")).withColumn("changed_at", now)
+        return state.changes.unionByName(new.select(*CHANGE_COLUMNS))
+
+    return State(state.entries.unionByName(entries), merge_latest(state.latest, entries), log)
 
 
 def publish_batch(state: State, batch: DataFrame, now: Column) -> State:
@@ -67,7 +72,8 @@ def set_status_batch(state: State, batch: DataFrame, now: Column) -> tuple[State
 def apply_commands(state: State, commands: DataFrame, now: Column) -> tuple[State, DataFrame]:
     """(state, rejected) for an ordered mix (ord, op, id, content, status, reason), many to an id: the result of applying
     them one at a time. A command's segment is the number of publishes up to it; within a segment the publish, or in
-    segment 0 the stored latest revision, gives the content, and the last status and reason so far are laid over it."""
+    segment 0 the stored latest revision, gives the content, and the last status and reason so far are laid over it. The
+    commands of one id are one group of a window: they depend on one another."""
     stored = state.latest.join(commands.select("id").distinct(), "id", "left_semi").select("id", F.col("rev").alias("_rev"), F.struct(*_CONTENT).alias("_stored"))
     by_id = Window.partitionBy("id").orderBy("ord")
     publish = F.col("op") == "publish"

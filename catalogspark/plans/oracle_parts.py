@@ -1,9 +1,9 @@
 """Common table expressions in DuckDB SQL for the tables of ``sources.adapters``; attributes are columns of their own."""
 
-_TAGS = "['finance','pdf','docs','search','code','support']"
-_CAPS = "['summarize','extract','classify']"
-_ENVS = "['prod','staging','dev']"
-_GROUPS = "['eng','finance','ops']"
+_TAGS = "['ledger','paper','notes','lookup','build','helpdesk']"
+_CAPS = "['shorten','pull','label']"
+_ENVS = "['live','trial','lab']"
+_GROUPS = "['core','money','field']"
 
 
 def _attrs(k: str, tag: str | None = None, env: str | None = None) -> str:
@@ -28,12 +28,12 @@ EVENTS = f"""
 
 def _doc(rev: int, tag: str | None, env: str | None, more: str, where: str) -> str:
     return f"""SELECT 'doc:' || lang || ':' || doc_id AS id, {rev} AS rev, lang AS type, source AS namespace, 'Document ' || doc_id AS name,
-        substr(text, 1, 200) AS description, {_attrs("doc_id", tag, env)}, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id % 97){more} AS updated_at, doc_id
+        text AS description, {_attrs("doc_id", tag, env)}, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id % 97){more} AS updated_at, doc_id
         FROM documents {where}"""
 
 
 DOCS = f"""
-    dent AS ({_doc(1, None, None, "", "")} UNION ALL {_doc(2, "'support'", "'prod'", " + INTERVAL 1 DAY", "WHERE doc_id % 4 = 0")}),
+    dent AS ({_doc(1, None, None, "", "")} UNION ALL {_doc(2, "'helpdesk'", "'live'", " + INTERVAL 1 DAY", "WHERE doc_id % 4 = 0")}),
     dlat AS (SELECT * FROM dent QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1)"""
 
 TOKENS = """
@@ -55,7 +55,7 @@ TOKENS = """
 REQUESTERS = """
     req0 AS (
         SELECT c_custkey AS requester, c_custkey % 4 <> 0 AS authenticated,
-               CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'eng' WHEN 2 THEN 'finance, ops' WHEN 3 THEN ' ops ,,eng' ELSE 'legal' END AS g FROM customer),
+               CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'core' WHEN 2 THEN 'money, field' WHEN 3 THEN ' field ,,core' ELSE 'law' END AS g FROM customer),
     req AS (
         SELECT requester, authenticated,
                CASE WHEN authenticated THEN list_distinct(list_filter(list_transform(string_split(g, ','), lambda x: trim(x)), lambda x: x <> '')) ELSE [] END AS groups
@@ -63,13 +63,13 @@ REQUESTERS = """
 
 COMMANDS = """
     cmd AS (
-        SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN 'set_status' ELSE 'publish' END AS op, 'cust:' || o_custkey AS id,
-               ['finance','pdf','docs','search','code','support'][o_orderkey * 5 % 6 + 1] AS tag,
+        SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN 'set_status' ELSE 'publish' END AS op, 'cust:' || o_custkey || CASE WHEN o_orderkey % 5 = 0 THEN ':new' ELSE '' END AS id,
+               ['ledger','paper','notes','lookup','build','helpdesk'][o_orderkey * 5 % 6 + 1] AS tag,
                CASE o_orderstatus WHEN 'P' THEN 'active' WHEN 'O' THEN 'deprecated' ELSE 'disabled' END AS status,
                CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS reason FROM orders),
     base AS (
         SELECT 'cust:' || c_custkey AS id, c_custkey % 3 + 1 AS rev, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'stored' END AS reason
-        FROM customer WHERE c_custkey % 5 = 0)"""
+        FROM customer)"""
 
 BENCH = """
     runs AS (

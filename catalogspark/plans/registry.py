@@ -12,10 +12,10 @@ from ..functions.access import parse_requesters
 from ..functions.normalize import card_view, normalize_attrs, validate_publish, validate_set_status
 from ..functions.filters import text_match
 from ..operators import benchreport, entitlements, feed, index, latest, numbering, reads, search, writes
-from ..schema import CHANGE_COLUMNS, Requester, State
+from ..schema import CHANGE_COLUMNS, ENTRY_SCHEMA, Requester, State
 from ..sources import adapters, exports, loaders
-from ..sources.generate import generate_entries
-from ..sources.storage import shared_path, written
+from ..sources.generate import entries_of
+from ..sources.storage import shared_path
 from ..streaming import streams
 from .oracle_parts import BENCH, COMMANDS, DOCS, EVENTS, REQUESTERS, TOKENS
 
@@ -23,24 +23,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-FLAGSHIP = "(&(type=en)(tag=finance)(!(env=dev)))"
+FLAGSHIP = "(&(type=en)(tag=ledger)(!(env=lab)))"
 SUITE = {
-    "summarize_prod": "(&(capability=summarize)(env=prod))",
-    "finance_active": "(&(type=en)(tag=finance)(status=active))",
-    "tag_support": "(tag=support)",
+    "shorten_live": "(&(capability=shorten)(env=live))",
+    "ledger_active": "(&(type=en)(tag=ledger)(status=active))",
+    "tag_helpdesk": "(tag=helpdesk)",
     "endpoint_presence": "(endpoint=*)",
     "tag_never": "(tag=__never__)",
 }
 SUITE_SQL = {
-    "summarize_prod": "capability = 'summarize' AND env = 'prod'",
-    "finance_active": "type = 'en' AND tag = 'finance' AND status = 'active'",
-    "tag_support": "tag = 'support'",
+    "shorten_live": "capability = 'shorten' AND env = 'live'",
+    "ledger_active": "type = 'en' AND tag = 'ledger' AND status = 'active'",
+    "tag_helpdesk": "tag = 'helpdesk'",
     "endpoint_presence": "endpoint IS NOT NULL",
     "tag_never": "tag = '__never__'",
 }
-STAFF = Requester(True, ("finance", "ops"))
-_STAFF_SQL = "(visibility <> 'restricted' OR allowed_group IN ('finance', 'ops'))"
-_FLAG_SQL = "type = 'en' AND tag = 'finance' AND env <> 'dev' AND visibility = 'public'"
+STAFF = Requester(True, ("money", "field"))
+_STAFF_SQL = "(visibility <> 'restricted' OR allowed_group IN ('money', 'field'))"
+_FLAG_SQL = "type = 'en' AND tag = 'ledger' AND env <> 'lab' AND visibility = 'public'"
 _TS = "strftime(updated_at, '%Y-%m-%d %H:%M:%S.%g')"
 _CARD = ["id", "type", "name", "namespace", "rev", "version", "description"]
 _CARD_SQL = f"id, type, name, namespace, rev, version, description, tag, env, {_TS} AS updated_at"
@@ -84,6 +84,11 @@ def _flat(rows: DataFrame) -> DataFrame:
     return rows.select(*_CARD, _one("tag"), _one("env"), _time())
 
 
+def _flat_with_meta(rows: DataFrame) -> DataFrame:
+    """With meta in one way of writing it."""
+    return rows.select(*_CARD, _one("tag"), _one("env"), _time(), F.concat(F.lit('{"k": '), F.get_json_object("meta", "$.k"), F.lit("}")).alias("meta"))
+
+
 def _events(spark, sf):
     return adapters.entries_from_events(_t(spark, sf, "events"))
 
@@ -100,6 +105,11 @@ def _docs(spark, sf):
     return latest.latest_revisions(adapters.entries_from_documents(_t(spark, sf, "documents")), repair=False)
 
 
+def _bare_docs(spark, sf):
+    """Documents as entries without their texts, for what doesn't read these."""
+    return latest.latest_revisions(adapters.entries_from_documents(_t(spark, sf, "documents")).drop("description"), repair=False)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(search.search(_docs(spark, sf), FLAGSHIP, limit=1000, view=None))
 
@@ -114,7 +124,7 @@ def search_topk(spark, sf):
 
 @query(f"WITH {DOCS} SELECT count(*) AS n FROM (SELECT 1 FROM dlat WHERE {_FLAG_SQL} LIMIT 15)")
 def search_unordered(spark, sf):
-    return search.search(_docs(spark, sf), FLAGSHIP, limit=15, sort="none", view="ids").agg(F.count("*").alias("n"))
+    return search.search(_bare_docs(spark, sf), FLAGSHIP, limit=15, sort="none", view="ids").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE (contains(lower(name), '1%') OR contains(lower(description), 'th') OR contains(lower(name), 'th')) AND visibility = 'public' ORDER BY updated_at DESC, id DESC LIMIT 50")
@@ -133,9 +143,9 @@ def search_presence(spark, sf):
     return _flat(search.search(_docs(spark, sf), "(&(endpoint=*)(owner=* )(version=*)(rev=*))", limit=200, view=None))
 
 
-@query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE tag = 'finance' AND {_STAFF_SQL} ORDER BY updated_at DESC, id DESC LIMIT 200")
+@query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE tag = 'ledger' AND {_STAFF_SQL} ORDER BY updated_at DESC, id DESC LIMIT 200")
 def search_visibility_group(spark, sf):
-    return _flat(search.search(_docs(spark, sf), "(tag=finance)", requester=STAFF, limit=200, view=None))
+    return _flat(search.search(_docs(spark, sf), "(tag=ledger)", requester=STAFF, limit=200, view=None))
 
 
 @query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE visibility = 'public' AND (updated_at < TIMESTAMP '2024-01-03 12:00:00' OR updated_at = TIMESTAMP '2024-01-03 12:00:00' AND id < 'doc:en:500') ORDER BY updated_at DESC, id DESC LIMIT 30")
@@ -145,22 +155,22 @@ def search_cursor_page2(spark, sf):
 
 @query(f"WITH {DOCS}, r AS (SELECT id, row_number() OVER (ORDER BY updated_at DESC, id DESC) - 1 AS rank FROM dlat WHERE {_FLAG_SQL}) SELECT id, rank, rank // 10 AS page, rank % 10 AS place FROM r")
 def paginate(spark, sf):
-    return search.paginate(_docs(spark, sf).where(search.matches(FLAGSHIP)).select("id", "updated_at"), 10).select("id", "rank", "page", "place")
+    return search.paginate(_bare_docs(spark, sf).where(search.matches(FLAGSHIP)).select("id", "updated_at"), 10).select("id", "rank", "page", "place")
 
 
 @query(f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter_name, id FROM dlat WHERE {w} AND {_STAFF_SQL}" for n, w in SUITE_SQL.items()))
 def search_many(spark, sf):
-    return search.search_many(_docs(spark, sf), SUITE, STAFF)
+    return search.search_many(_bare_docs(spark, sf), SUITE, STAFF)
 
 
 @query(f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter_name, count(*) AS hits FROM dlat WHERE {w} AND visibility = 'public'" for n, w in SUITE_SQL.items()))
 def filter_hits(spark, sf):
-    return search.filter_hits(_docs(spark, sf), SUITE)
+    return search.filter_hits(_bare_docs(spark, sf), SUITE)
 
 
-@query(f"WITH {DOCS}, m AS (SELECT id FROM dlat WHERE tag = 'support' OR NOT env = 'prod') SELECT id, (SELECT count(*) FROM m) AS count FROM m ORDER BY id LIMIT 25")
+@query(f"WITH {DOCS}, m AS (SELECT id FROM dlat WHERE tag = 'helpdesk' OR NOT env = 'live') SELECT id, (SELECT count(*) FROM m) AS count FROM m ORDER BY id LIMIT 25")
 def ids_with_count(spark, sf):
-    return search.search_ids_with_count(_docs(spark, sf), "(|(tag=support)(!(env=prod)))", 25)
+    return search.search_ids_with_count(_bare_docs(spark, sf), "(|(tag=helpdesk)(!(env=live)))", 25)
 
 
 @query(f"WITH {DOCS}, p AS (SELECT updated_at, id FROM dlat WHERE {_FLAG_SQL} ORDER BY updated_at DESC, id DESC LIMIT 20) SELECT CASE WHEN count(*) >= 20 THEN strftime(min(updated_at), '%Y-%m-%d %H:%M:%S.%g') END AS updated_at, CASE WHEN count(*) >= 20 THEN arg_min(id, (updated_at, id)) END AS id FROM p")
@@ -206,15 +216,14 @@ def batch_get_omitted(spark, sf):
 
 @query(f"WITH {EVENTS} SELECT {_CARD_SQL}, meta FROM latest")
 def latest_revisions(spark, sf):
-    return _latest(spark, sf).select(*_CARD, _one("tag"), _one("env"), _time(), F.get_json_object("meta", "$.k").alias("k")).withColumn("meta", F.concat(F.lit('{"k": '), "k", F.lit("}"))).drop("k")
+    return _flat_with_meta(_latest(spark, sf))
 
 
-@query(f"WITH {EVENTS}, a AS (SELECT * FROM ent WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1), b AS (SELECT * FROM ent WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1) SELECT {_CARD_SQL} FROM (SELECT * FROM a UNION SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1")
+@query(f"WITH {EVENTS}, a AS (SELECT * FROM ent WHERE rev % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1), b AS (SELECT * FROM ent WHERE rev % 2 = 1 OR rev % 3 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1) SELECT {_CARD_SQL} FROM (SELECT * FROM a UNION SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1")
 def merge_latest(spark, sf):
-    events = adapters._numbered_events(_t(spark, sf, "events")).select("id", "rev", "event_id")
-    rows = _events(spark, sf).join(events, ["id", "rev"])
-    part = lambda n: latest.latest_revisions(rows.where(F.col("event_id") % n == 0).drop("event_id"), repair=False)
-    return _flat(latest.merge_latest(part(2), part(3)))
+    rows = _events(spark, sf)
+    part = lambda which: latest.latest_revisions(rows.where(which), repair=False)
+    return _flat(latest.merge_latest(part("rev % 2 = 0"), part("rev % 2 = 1 or rev % 3 = 0")))
 
 
 _LINES = "l AS (SELECT 'order:' || l_orderkey AS id, l_linenumber AS rev, l_partkey, l_quantity, l_extendedprice, l_suppkey, l_discount, l_tax FROM lineitem)"
@@ -259,10 +268,9 @@ def changes_left_join(spark, sf):
     return feed.changes_with_entries(_changes(spark, sf), _events(spark, sf), "left").select("seq", "id", "rev", "name", _one("tag"))
 
 
-@query(f"WITH {EVENTS}, page AS (SELECT c.id FROM chg c JOIN ent e ON e.id = c.id AND e.rev = c.rev WHERE c.seq > 500 AND e.visibility = 'public' ORDER BY c.seq LIMIT 100), cache AS (SELECT id, max(rev) AS rev FROM ent WHERE event_id < 9000 AND event_id % 3 = 0 GROUP BY id HAVING max(rev) % 2 = 0) SELECT l.id, k.rev AS cached_rev, l.rev, CASE WHEN k.rev IS NULL THEN 'new' WHEN k.rev < l.rev THEN 'stale' ELSE 'unchanged' END AS state FROM (SELECT DISTINCT id FROM page) p JOIN latest l ON l.id = p.id LEFT JOIN cache k ON k.id = p.id")
+@query(f"WITH {EVENTS}, page AS (SELECT c.id FROM chg c JOIN ent e ON e.id = c.id AND e.rev = c.rev WHERE c.seq > 500 AND e.visibility = 'public' ORDER BY c.seq LIMIT 100), cache AS (SELECT id, max(rev) AS rev FROM ent WHERE rev % 3 = 0 GROUP BY id HAVING max(rev) % 2 = 0) SELECT l.id, k.rev AS cached_rev, l.rev, CASE WHEN k.rev IS NULL THEN 'new' WHEN k.rev < l.rev THEN 'stale' ELSE 'unchanged' END AS state FROM (SELECT DISTINCT id FROM page) p JOIN latest l ON l.id = p.id LEFT JOIN cache k ON k.id = p.id")
 def cache_refresh(spark, sf):
-    numbered = adapters._numbered_events(_t(spark, sf, "events")).where("event_id % 50 <> 49 and event_id < 9000 and event_id % 3 = 0")
-    cache = numbered.groupBy("id").agg(F.max("rev").alias("rev")).where("rev % 2 = 0")
+    cache = _events(spark, sf).where("rev % 3 = 0").groupBy("id").agg(F.max("rev").alias("rev")).where("rev % 2 = 0")
     page = feed.changes_feed(_changes(spark, sf), _events(spark, sf), 500, 100)
     return feed.cache_refresh(cache, page, _latest(spark, sf))
 
@@ -285,12 +293,12 @@ def entitlement_pairs(spark, sf):
 
 @query(f"WITH {DOCS}, {REQUESTERS} SELECT requester AS subject, count(*) AS visible FROM req, dlat WHERE {_SEES} GROUP BY requester")
 def entitlement_counts(spark, sf):
-    return entitlements.entitlement_counts(_docs(spark, sf), _requesters(spark, sf))
+    return entitlements.entitlement_counts(_bare_docs(spark, sf), _requesters(spark, sf))
 
 
 @query(f"WITH {DOCS} SELECT visibility AS class, NULL AS allowed_group, count(*) AS entries FROM dlat GROUP BY 1 UNION ALL SELECT 'restricted', allowed_group, count(*) FROM dlat WHERE visibility = 'restricted' GROUP BY 2")
 def visibility_counts(spark, sf):
-    return index.visibility_counts(_docs(spark, sf))
+    return index.visibility_counts(_bare_docs(spark, sf))
 
 
 @query(f"WITH {REQUESTERS} SELECT requester, authenticated, CASE WHEN authenticated THEN CAST(requester AS VARCHAR) END AS subject, array_to_string(list_sort(groups), ',') AS groups FROM req")
@@ -304,40 +312,45 @@ def requesters_parsed(spark, sf):
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT id, kind, scope, key, value FROM tok")
 def tokens(spark, sf):
-    return index.tokens(_docs(spark, sf))
+    return index.tokens(_bare_docs(spark, sf))
 
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT kind, scope, key, value, count(*) AS n FROM tok GROUP BY ALL")
 def postings_size(spark, sf):
-    return index.token_counts(_docs(spark, sf))
+    return index.token_counts(_bare_docs(spark, sf))
 
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT kind, scope, key, value, count(*) AS n FROM tok GROUP BY ALL")
 def packed_postings_size(spark, sf):
-    return index.packed_postings(_docs(spark, sf)).groupBy(*index.TOKEN).agg(F.sum("n").alias("n"))
+    return index.packed_postings(_bare_docs(spark, sf)).groupBy(*index.TOKEN).agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {DOCS}, {TOKENS}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS doc FROM dlat) SELECT kind, scope, key, value, doc FROM tok JOIN n ON n.id = tok.id")
+def packed_postings_members(spark, sf):
+    return index.unpack_postings(index.packed_postings(_bare_docs(spark, sf)))
 
 
 @query(f"WITH {DOCS}, {TOKENS}, c AS (SELECT kind, count(*) AS n FROM tok GROUP BY kind, scope, key, value), s AS (SELECT count(*) FILTER (kind = 'eq') AS eq_tokens, count(*) FILTER (kind = 'present') AS presence_tokens, CAST(sum(n) AS BIGINT) AS cardinality FROM c), d AS (SELECT count(*) AS docs FROM dlat) SELECT docs, eq_tokens, presence_tokens, cardinality, (cardinality + docs) * 4 AS memory_approx FROM s, d")
 def index_stats(spark, sf):
-    return index.index_stats(_docs(spark, sf))
+    return index.index_stats(_bare_docs(spark, sf))
 
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT kind, scope, key, value, count(*) AS n FROM tok WHERE scope = 'attr' AND key IN ('tag', 'env', 'owner') GROUP BY ALL")
 def attr_value_counts(spark, sf):
-    return index.attr_value_counts(_docs(spark, sf), ["tag", "env", "owner"])
+    return index.attr_value_counts(_bare_docs(spark, sf), ["tag", "env", "owner"])
 
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT key, count(DISTINCT value) AS values FROM tok WHERE scope = 'attr' AND kind = 'eq' GROUP BY key")
 def distinct_attr_values(spark, sf):
-    return index.distinct_attr_values(_docs(spark, sf))
+    return index.distinct_attr_values(_bare_docs(spark, sf))
 
 
-_MIXED = "(|(&(type=en)(tag=finance))(!(|(endpoint=*)(version=1.2))))"
+_MIXED = "(|(&(type=en)(tag=ledger))(!(|(endpoint=*)(version=1.2))))"
 
 
-@query(f"WITH {DOCS} SELECT id FROM dlat WHERE type = 'en' AND tag = 'finance' OR NOT (endpoint IS NOT NULL OR coalesce(version = '1.2', false))")
+@query(f"WITH {DOCS} SELECT id FROM dlat WHERE type = 'en' AND tag = 'ledger' OR NOT (endpoint IS NOT NULL OR coalesce(version = '1.2', false))")
 def eval_on_postings(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _bare_docs(spark, sf)
     return index.eval_on_postings(index.build_postings(docs), docs, _MIXED)
 
 
@@ -509,28 +522,51 @@ def status_validated(spark, sf):
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT kind, 'bench:' || CASE kind WHEN 'eq' THEN 'eq:' ELSE 'pr:' END || scope || ':' || key || coalesce(':' || replace(replace(replace(value, ':', '%3A'), '/', '%2F'), ' ', '%20'), '') AS set_key, id FROM tok UNION ALL SELECT 'universe', 'bench:universe', id FROM dlat")
 def export_set_members(spark, sf):
-    return exports.export_set_members(_docs(spark, sf))
+    return exports.export_set_members(_bare_docs(spark, sf))
 
 
 @query(f"WITH {DOCS} SELECT id, type, namespace, env, status, visibility, tag, capability, coalesce(endpoint, '') AS endpoint FROM dlat")
-def export_flat_docs(spark, sf):
-    return exports.export_flat_docs(_docs(spark, sf)).withColumn("endpoint", F.coalesce("endpoint", F.lit("")))
+def export_flat_bare_docs(spark, sf):
+    return exports.export_flat_docs(_bare_docs(spark, sf)).withColumn("endpoint", F.coalesce("endpoint", F.lit("")))
 
 
 @query(f"WITH {DOCS} SELECT id AS uid, id AS cn, type AS ou, namespace AS o, env AS l, status AS title, visibility AS employeeType, tag AS businessCategory, capability AS departmentNumber, endpoint AS labeledURI FROM dlat")
 def export_directory_attrs(spark, sf):
     lists = ("businessCategory", "departmentNumber", "labeledURI")
-    return exports.export_directory_attrs(_docs(spark, sf)).withColumns({c: F.array_join(c, ",") for c in lists})
+    return exports.export_directory_attrs(_bare_docs(spark, sf)).withColumns({c: F.array_join(c, ",") for c in lists})
 
 
-@query("""WITH i AS (SELECT row_number() OVER () - 1 AS i FROM events), k AS (SELECT i, CASE WHEN i % 10 < 6 THEN 'skill' WHEN i % 10 < 8 THEN 'rag' ELSE 'mcp' END AS t FROM i)
+@query("""WITH i AS (SELECT event_id AS i FROM events), k AS (SELECT i, CASE WHEN i % 10 < 6 THEN 'skill' WHEN i % 10 < 8 THEN 'rag' ELSE 'mcp' END AS t FROM i)
     SELECT t || ':bench:' || lpad(CAST(i AS VARCHAR), 9, '0') AS id, upper(t) || ' Bench ' || i AS name, ['finance','pdf','docs','search','code','support'][5 * i % 6 + 1] AS tag,
     CASE t WHEN 'rag' THEN ['retrieve','embed','rerank'][i % 3 + 1] ELSE ['summarize','extract','classify'][i % 3 + 1] END AS capability,
     CASE WHEN i % 20 = 0 THEN 'restricted' WHEN i % 8 = 0 THEN 'internal' ELSE 'public' END AS visibility,
     CASE WHEN i % 20 = 0 THEN ['eng','finance','ops'][11 * i % 3 + 1] END AS allowed_group, 'https://' || t || '.bench.local/' || i AS endpoint FROM k""")
 def generated_entries(spark, sf):
-    n = _t(spark, sf, "events").count()
-    return generate_entries(spark, n).select("id", "name", *[_one(k) for k in ("tag", "capability", "visibility", "allowed_group", "endpoint")])
+    return entries_of(_t(spark, sf, "events").select(F.col("event_id").alias("i"))).select("id", "name", *[_one(k) for k in ("tag", "capability", "visibility", "allowed_group", "endpoint")])
+
+
+_READ = """
+    r AS (
+        SELECT 'line:' || event_id AS id, event_id % 9 AS rev, event_type AS type, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS description,
+               CASE WHEN event_id % 3 = 2 THEN NULL ELSE 't' || (event_id % 7) END AS tag, CASE event_id % 3 WHEN 0 THEN CAST(event_id % 10 AS VARCHAR) WHEN 1 THEN '' END AS size,
+               CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS n,
+               CASE WHEN event_id % 2 = 0 THEN '2024-02-03 04:05:06.' ELSE '2024-02-03 02:05:06.' END || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') AS updated_at FROM events)"""
+
+
+@query(f"WITH {_READ} SELECT * FROM r")
+def read_entries_jsonl(spark, sf):
+    path = shared_path(spark, "lines")
+    adapters.json_lines_from_events(_t(spark, sf, "events")).write.text(path)
+    rows = loaders.read_entries_jsonl(spark, path)
+    return rows.select("id", "rev", "type", "description", _joined("tag"), _joined("size"), F.get_json_object("meta", "$.n").alias("n"), _time())
+
+
+@query(f"WITH {EVENTS} SELECT {_CARD_SQL}, meta FROM latest")
+def write_entries_jsonl(spark, sf):
+    path = shared_path(spark, "written")
+    exports.write_entries_jsonl(_latest(spark, sf), path)
+    rows = spark.read.schema(ENTRY_SCHEMA).json(path)
+    return _flat_with_meta(rows)
 
 
 # --- benchmark reports ------------------------------------------------------------------------------------------------
@@ -541,6 +577,18 @@ def bench_report(spark, sf):
     return benchreport.bench_report(adapters.bench_runs_from_events(_t(spark, sf, "events")))
 
 
+@query("""WITH s AS (
+        SELECT user_id AS u, event_type AS suite, max(event_id) AS last, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY ALL),
+    r AS (
+        SELECT CASE WHEN u % 3 <> 0 THEN 'd' ELSE 'unknown' END AS dataset, 't' || (u % 2) AS target, suite, n, CAST(last % 100 AS DOUBLE) AS req,
+               10 + u % 10 - CASE WHEN u % 2 = 0 THEN 0 ELSE 9 END AS hour, u FROM s)
+    SELECT dataset, 'default' AS scenario, target, suite, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * hour, '%Y-%m-%d %H:%M:%S.%g') AS ts, n AS p50_ms, req AS req_per_sec_avg FROM r""")
+def read_bench_runs(spark, sf):
+    path = shared_path(spark, "runs")
+    adapters.bench_files_from_events(_t(spark, sf, "events")).write.partitionBy("run").text(path)
+    return loaders.read_bench_runs(spark, path, "part-*").select("dataset", "scenario", "target", "suite", _time("ts"), "p50_ms", "req_per_sec_avg")
+
+
 @query(f"WITH {BENCH}, r AS (SELECT a.dataset, a.suite, a.req_per_sec_avg / b.req_per_sec_avg AS ratio FROM report a JOIN report b ON a.dataset = b.dataset AND a.suite = b.suite AND a.target = 't0' AND b.target = 't1' WHERE b.req_per_sec_avg <> 0) SELECT dataset, suite, ratio, row_number() OVER (PARTITION BY dataset ORDER BY ratio DESC, suite DESC) = 1 AS best FROM r")
 def speedup(spark, sf):
     return benchreport.speedup(benchreport.bench_report(adapters.bench_runs_from_events(_t(spark, sf, "events"))), "t0", "t1")
@@ -567,14 +615,15 @@ def stream_changes_feed(spark, sf):
 
 @query(f"WITH {EVENTS} SELECT {_CARD_SQL} FROM latest")
 def stream_latest(spark, sf):
-    out, entries = shared_path(spark, "latest"), written(_events(spark, sf), "entries")
+    out, entries = shared_path(spark, "latest"), streams.write_by_bucket(_events(spark, sf), shared_path(spark, "entries"))
     streams.stream_latest(streams.read_changes(spark, _change_files(spark, sf), 2), entries, out, shared_path(spark, "latest-state"), once=True).awaitTermination()
-    return _flat(streams.Snapshots(spark, out, streams.ENTRY_SCHEMA).before())
+    return _flat(streams.BucketedTable(spark, out, ENTRY_SCHEMA).before())
 
 
 @query(f"WITH {EVENTS}, dlat AS (SELECT * FROM latest), {TOKENS} SELECT id, kind, scope, key, value FROM tok")
 def stream_postings(spark, sf):
-    out, held, entries = shared_path(spark, "postings"), shared_path(spark, "latest"), written(_events(spark, sf), "entries")
+    out, held = shared_path(spark, "postings"), shared_path(spark, "latest")
+    entries = streams.write_by_bucket(_events(spark, sf), shared_path(spark, "entries"))
     changes = streams.read_changes(spark, _change_files(spark, sf), 2)
     streams.stream_postings(changes, entries, held, out, shared_path(spark, "postings-state"), once=True).awaitTermination()
-    return streams.Snapshots(spark, out, streams.POSTING_SCHEMA).before()
+    return streams.BucketedTable(spark, out, streams.POSTING_SCHEMA).before()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -54,10 +56,13 @@ class Requester:
 ANONYMOUS = Requester()
 
 
-@dataclass(frozen=True)
 class State:
-    """A catalog: the revision history, the newest revision of each id, and the change log."""
+    """A catalog: the revision history, the newest revision of each id, and the change log. ``changes`` may be a function
+    that makes the log when it is asked for."""
+
+    def __init__(self, entries: DataFrame, latest: DataFrame, changes: DataFrame | Callable[[], DataFrame]):
+        self.entries, self.latest, self._changes = entries, latest, changes
 
-    entries: DataFrame
-    latest: DataFrame
-    changes: DataFrame
+    @cached_property
+    def changes(self) -> DataFrame:
+        return self._changes() if callable(self._changes) else self._changes

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import CHANGE_COLUMNS, ENTRY_COLUMNS
 
-TAGS = ("finance", "pdf", "docs", "search", "code", "support")
-CAPABILITIES = ("summarize", "extract", "classify")
-ENVIRONMENTS = ("prod", "staging", "dev")
-GROUPS = ("eng", "finance", "ops")
+TAGS = ("ledger", "paper", "notes", "lookup", "build", "helpdesk")
+CAPABILITIES = ("shorten", "pull", "label")
+ENVIRONMENTS = ("live", "trial", "lab")
+GROUPS = ("core", "money", "field")
 
 
 def pick(number: Column, values: tuple[str, ...]) -> Column:
@@ -48,13 +48,16 @@ def _numbered_events(events: DataFrame) -> DataFrame:
 
 
 def entries_from_events(events: DataFrame) -> DataFrame:
-    """A revision for each event of a user but every fiftieth, whose change has no entry."""
+    """A revision for each event of a user but every fiftieth, whose change has no entry. Of every sixth event meta is
+    encoded twice: a JSON text that holds JSON."""
     k, kind, user = F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")
     rows = _numbered_events(events).where(k % 50 != 49)
+    quoted = F.concat(F.lit('"'), F.replace(F.replace("props", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    meta = F.when(k % 6 == 0, quoted).otherwise(F.col("props"))
     return rows.select(
         "id", "rev", kind.alias("type"), F.concat(F.lit("ns"), (F.col("user_id") % 5).cast("string")).alias("namespace"),
         F.concat(F.lit("User "), user, F.lit(" "), kind).alias("name"), F.concat(kind, F.lit(" by user "), user).alias("description"),
-        _version(k).alias("version"), _attrs(k).alias("attrs"), F.lit(None).cast("string").alias("manifest"), F.col("props").alias("meta"),
+        _version(k).alias("version"), _attrs(k).alias("attrs"), F.lit(None).cast("string").alias("manifest"), meta.alias("meta"),
         _ms(F.col("ts")).alias("created_at"), _ms(F.col("ts")).alias("updated_at"),
     )
 
@@ -73,20 +76,20 @@ def entries_from_documents(documents: DataFrame) -> DataFrame:
     def revision(rows: DataFrame, rev: int, attrs: Column, when: Column) -> DataFrame:
         return rows.select(
             F.concat(F.lit("doc:"), F.col("lang"), F.lit(":"), k.cast("string")).alias("id"), F.lit(rev).alias("rev"), F.col("lang").alias("type"),
-            F.col("source").alias("namespace"), F.concat(F.lit("Document "), k.cast("string")).alias("name"), F.substring("text", 1, 200).alias("description"),
+            F.col("source").alias("namespace"), F.concat(F.lit("Document "), k.cast("string")).alias("name"), F.col("text").alias("description"),
             _version(k).alias("version"), attrs.alias("attrs"), F.lit(None).cast("string").alias("manifest"), F.lit(None).cast("string").alias("meta"),
             when.alias("created_at"), when.alias("updated_at"),
         )
 
-    second = revision(documents.where(k % 4 == 0), 2, _attrs(k, F.lit("support"), F.lit("prod")), F.timestamp_add("DAY", F.lit(1), at))
+    second = revision(documents.where(k % 4 == 0), 2, _attrs(k, F.lit("helpdesk"), F.lit("live")), F.timestamp_add("DAY", F.lit(1), at))
     return revision(documents, 1, _attrs(k), at).unionByName(second)
 
 
 def commands_from_orders(orders: DataFrame) -> DataFrame:
-    """Publish and set_status commands in order of ``ord``."""
+    """Publish and set_status commands in order of ``ord``; every fifth is for an id that isn't stored."""
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
     op = F.when(key % 3 == 0, "set_status").otherwise("publish")
-    id_ = F.concat(F.lit("cust:"), F.col("o_custkey").cast("string"))
+    id_ = F.concat(F.lit("cust:"), F.col("o_custkey").cast("string"), F.when(key % 5 == 0, ":new").otherwise(""))
     attrs = F.create_map(F.lit("status"), F.array(F.lit("active")), F.lit("tag"), F.array(pick(key * 5, TAGS)))
     return orders.select(
         key.alias("ord"), op.alias("op"), id_.alias("id"), F.lit("customer").alias("type"), F.lit("shop").alias("namespace"),
@@ -98,11 +101,10 @@ def commands_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def entries_from_customers(customer: DataFrame) -> DataFrame:
-    """A stored revision for every fifth customer: what commands then meet."""
+    """A stored revision for every customer: what commands then meet."""
     k = F.col("c_custkey")
     at = F.lit("2024-01-01").cast("timestamp")
-    rows = customer.where(k % 5 == 0)
-    return rows.select(
+    return customer.select(
         F.concat(F.lit("cust:"), k.cast("string")).alias("id"), (k % 3 + 1).cast("int").alias("rev"), F.lit("customer").alias("type"), F.lit("shop").alias("namespace"),
         F.col("c_name").alias("name"), F.lit("").alias("description"), F.lit(None).cast("string").alias("version"),
         F.create_map(F.lit("status"), F.array(F.lit("active"))).alias("attrs"), F.lit(None).cast("string").alias("manifest"),
@@ -113,7 +115,7 @@ def entries_from_customers(customer: DataFrame) -> DataFrame:
 def requesters_from_customers(customer: DataFrame) -> DataFrame:
     """Header-like columns."""
     k = F.col("c_custkey")
-    groups = pick(k, ("", "eng", "finance, ops", " ops ,,eng", "legal"))
+    groups = pick(k, ("", "core", "money, field", " field ,,core", "law"))
     return customer.select(F.lit(None).cast("string").alias("authorization"), F.when(k % 4 != 0, k.cast("string")).alias("sub"), groups.alias("groups"), k.alias("requester"))
 
 
@@ -130,3 +132,34 @@ def bench_runs_from_events(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("suite"), v.alias("p50_ms"), (v * 2).alias("p95_ms"), (v * 3).alias("p99_ms"), (v + 1).alias("req_per_sec_avg"),
         F.col("event_id").alias("ts"), F.col("event_id").cast("string").alias("path"),
     )
+
+
+def json_lines_from_events(events: DataFrame) -> DataFrame:
+    """(value): an entry as a line of JSON for each event, in odd forms: attributes encoded twice or as plain values, a
+    meta that is a text, no description, time zones."""
+    k = F.col("event_id")
+    text = lambda name, value: F.concat(F.lit(f'"{name}":"'), value.cast("string"), F.lit('"'))
+    attrs = F.when(k % 3 == 0, F.concat(F.lit('{"tag":"t'), (k % 7).cast("string"), F.lit('","size":'), (k % 10).cast("string"), F.lit("}")))
+    attrs = attrs.when(k % 3 == 1, F.concat(F.lit('"{\\"tag\\":[\\"t'), (k % 7).cast("string"), F.lit('\\"],\\"size\\":null}"'))).otherwise(F.lit("[1]"))
+    meta = F.when(k % 4 == 0, F.lit("null")).when(k % 4 == 1, F.concat(F.lit('"{\\"n\\":'), k.cast("string"), F.lit('}"'))).otherwise(F.concat(F.lit('{"n":'), k.cast("string"), F.lit("}")))
+    described = F.when(k % 5 != 0, F.concat(F.lit(","), text("description", F.col("event_type")))).otherwise("")
+    time = F.concat(F.lit('"updated_at":"2024-02-03T04:05:06.'), F.lpad((k % 1000).cast("string"), 3, "0"), F.when(k % 2 == 0, "789Z").otherwise("789+02:00"), F.lit('"'))
+    line = F.concat(
+        F.lit("{"), text("id", F.concat(F.lit("line:"), k.cast("string"))), F.lit(',"rev":'), (k % 9).cast("string"), F.lit(","), text("type", F.col("event_type")),
+        F.lit(',"attrs":'), attrs, F.lit(',"meta":'), meta, described, F.lit(","), time, F.lit("}"), F.when(k % 11 == 0, "\n").otherwise(""),
+    )
+    return events.select(line.alias("value"))
+
+
+def bench_files_from_events(events: DataFrame) -> DataFrame:
+    """(run, value): the JSON of a benchmark file for each user, with a summary for each type of event."""
+    per = events.groupBy("user_id", "event_type").agg(F.max("event_id").alias("last"), F.count("*").cast("double").alias("n"))
+    summary = F.struct(
+        F.concat(F.lit("t"), (F.col("user_id") % 2).cast("string")).alias("target"), F.lit("http://x").alias("endpoint"), F.col("event_type").alias("suite"),
+        F.col("n").alias("p50_ms"), (F.col("n") * 2).alias("p95_ms"), (F.col("n") * 3).alias("p99_ms"), (F.col("last") % 100).cast("double").alias("req_per_sec_avg"),
+    )
+    u = F.col("user_id")
+    # later by the clock face is earlier in time for every other user
+    at = F.concat(F.lit("2024-01-01T"), F.lpad((u % 10 + 10).cast("string"), 2, "0"), F.lit(":00:00"), F.when(u % 2 == 0, "Z").otherwise("+09:00"))
+    whole = F.to_json(F.struct(at.alias("generated_at"), F.when(u % 3 != 0, "d").alias("dataset"), F.col("summaries")))
+    return per.groupBy("user_id").agg(F.sort_array(F.collect_list(summary)).alias("summaries")).select(u.alias("run"), whole.alias("value"))

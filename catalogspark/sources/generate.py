@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import ENTRY_COLUMNS, ENTRY_SCHEMA
-from .adapters import CAPABILITIES, ENVIRONMENTS, GROUPS, TAGS, pick
+from .adapters import pick
+
+#: Fixed values, which the published statistics follow from.
+TAGS = ("finance", "pdf", "docs", "search", "code", "support")
+CAPABILITIES = ("summarize", "extract", "classify")
+RAG_CAPABILITIES = ("retrieve", "embed", "rerank")
+ENVIRONMENTS = ("prod", "staging", "dev")
+GROUPS = ("eng", "finance", "ops")
 
 
 def generate_entries(spark: SparkSession, n: int) -> DataFrame:
     """``n`` entries, each a function of its index alone."""
+    return entries_of(spark.range(n).select(F.col("id").alias("i")))
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
+    """The entry of each index of ``rows(i long)``."""
     i = F.col("i")
-    rows = spark.range(n).select(F.col("id").alias("i"))
     kind = F.when(i % 10 < 6, "skill").when(i % 10 < 8, "rag").otherwise("mcp")
     seen = F.when(i % 20 == 0, "restricted").when(i % 8 == 0, "internal").otherwise("public")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     endpoint = text("https://", kind, ".bench.local/", i)
-    capability = F.when(kind == "rag", pick(i, ("retrieve", "embed", "rerank"))).otherwise(pick(i, CAPABILITIES))
+    capability = F.when(kind == "rag", pick(i, RAG_CAPABILITIES)).otherwise(pick(i, CAPABILITIES))
     always = {
         "capability": capability, "tag": pick(i * 5, TAGS), "env": pick(i * 7, ENVIRONMENTS), "status": F.lit("active"), "visibility": seen,
         "endpoint": endpoint, "owner": F.lit("bench-team"),

@@ -11,8 +11,8 @@ _RAW = "id string, rev int, type string, namespace string, name string, descript
 
 
 def read_entries_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One entry per line; blank lines are skipped."""
-    return normalize_entries(spark.read.schema(_RAW).json(path))
+    """One entry per line; blank lines are skipped, a line that isn't an entry stops the job when it is read."""
+    return normalize_entries(spark.read.schema(_RAW).option("mode", "FAILFAST").json(path))
 
 
 def append_revisions(existing: DataFrame, incoming: DataFrame, order_cols: list) -> DataFrame:
@@ -34,15 +34,15 @@ def load_snapshot(latest: DataFrame, changes: DataFrame) -> tuple[DataFrame, Dat
     return latest.select(*ENTRY_COLUMNS), changes.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("last_seq"))
 
 
-def read_bench_runs(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each summary in the ``run-*.json`` files below ``root``."""
+def read_bench_runs(spark: SparkSession, root: str, files: str = "run-*.json") -> DataFrame:
+    """A row for each summary in the files below ``root`` whose names fit ``files``; ``ts`` is the instant of the run."""
     schema = (
         "generated_at string, dataset string, scenario string, summaries array<struct<target:string,endpoint:string,suite:string,"
         "p50_ms:double,p95_ms:double,p99_ms:double,avg_ms:double,req_per_sec_avg:double,bytes_per_sec_avg:double>>"
     )
-    runs = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "run-*.json").option("multiLine", True).json(root)
+    runs = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", files).option("multiLine", True).json(root)
     runs = runs.withColumn("path", F.input_file_name()).where("generated_at is not null and summaries is not null")
     flat = runs.select(
-        F.coalesce("dataset", F.lit("unknown")).alias("dataset"), F.coalesce("scenario", F.lit("default")).alias("scenario"), F.col("generated_at").alias("ts"), "path", F.explode("summaries").alias("s")
+        F.coalesce("dataset", F.lit("unknown")).alias("dataset"), F.coalesce("scenario", F.lit("default")).alias("scenario"), F.try_to_timestamp("generated_at").alias("ts"), "path", F.explode("summaries").alias("s")
     )
     return flat.select("dataset", "scenario", "ts", "path", "s.*")

@@ -3,6 +3,7 @@ and partitions as they were."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,10 +16,22 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="catalogspark-")
 
 
+def _known_dir(spark: SparkSession) -> str:
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known is None and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return known or _own_dir()
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a temporary folder only where that is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    return f"{known.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new path below ``spark.checkpoint.dir``; where that is unset, below a temporary folder if there is one machine."""
+    return f"{_known_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever the session's file systems have it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

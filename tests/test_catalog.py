@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions.normalize import card_view, normalize_attrs, repair_double_encoded, validate_publish
 from catalogspark.operators import benchreport, feed, index, latest, numbering, reads, search, writes
-from catalogspark.schema import ANONYMOUS, ENTRY_COLUMNS, Requester, State
+from catalogspark.schema import ANONYMOUS, ENTRY_COLUMNS, ENTRY_SCHEMA, Requester, State
 from catalogspark.sources import loaders
 from catalogspark.sources.generate import generate_entries, seed_entries
 from catalogspark.sources.storage import shared_path
@@ -144,8 +144,15 @@ def test_feed_passes_hidden_events(spark):
 
 def test_jsonl_round_trip(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"id":"a","rev":1,"type":"t","namespace":"n","name":"x","attrs":{"tag":"one","env":["p"]},"meta":{"k":1}}\n\n')
-    got = loaders.read_entries_jsonl(spark, str(tmp_path / "e.jsonl")).where("id is not null").first()
-    assert got.attrs == {"tag": ["one"], "env": ["p"]} and json.loads(got.meta) == {"k": 1} and got.description == ""
+    got, *more = loaders.read_entries_jsonl(spark, str(tmp_path / "e.jsonl")).collect()
+    assert not more and got.attrs == {"tag": ["one"], "env": ["p"]} and json.loads(got.meta) == {"k": 1} and got.description == ""
+
+
+@pytest.mark.parametrize("line", ["not json", '{"id":"a","rev":1', '{"id":"a","rev":"x"}'])
+def test_a_line_that_is_no_entry_stops_the_job(spark, tmp_path, line):
+    (tmp_path / "e.jsonl").write_text('{"id":"a","rev":1}\n' + line + "\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        loaders.read_entries_jsonl(spark, str(tmp_path / "e.jsonl")).collect()
 
 
 def test_bench_files(spark, tmp_path):
@@ -166,9 +173,57 @@ def test_stream_order_does_not_matter(spark):
         for g in groups:
             spark.createDataFrame([(s, i, r, None, "publish") for s, i, r in g], streams.CHANGE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
         streams.stream_latest(streams.read_changes(spark, path, 1), seed, out, shared_path(spark, "state"), once=True).awaitTermination()
-        results.append(sorted((r.id, r.rev) for r in streams.Snapshots(spark, out, streams.ENTRY_SCHEMA).before().collect()))
+        results.append(sorted((r.id, r.rev) for r in streams.BucketedTable(spark, out, ENTRY_SCHEMA).before().collect()))
     assert results[0] == results[1] == results[2] == [("mcp:acme:code-search", 1), ("skill:acme:pdf-summarize", 2)]
 
 
+def test_a_batch_rewrites_the_buckets_that_it_names(spark):
+    entries = generate_entries(spark, 400)
+    ids = [r.id for r in entries.select("id").collect()]
+    out = shared_path(spark, "out")
+    table = streams.BucketedTable(spark, out, ENTRY_SCHEMA)
+    every = range(streams.BUCKETS)
+    table.write(entries, 0, every)
+    assert set(table.versions().values()) == {0} and table.before().count() == 400
+    want = {i: 1 for i in ids}
+    for number in range(1, 7):
+        touched = ids[number * 3 : number * 3 + 3]
+        new = entries.where(F.col("id").isin(*touched)).withColumn("rev", F.lit(number + 1))
+        buckets = {r.b for r in new.select(streams.bucket_of(F.col("id")).alias("b")).collect()}
+        for _ in range(2):  # a batch that runs again does the same
+            table.write(latest.merge_latest(table.before(number, buckets), new), number, buckets)
+            want |= dict.fromkeys(touched, number + 1)
+            assert {r.id: r.rev for r in table.before().collect()} == want
+        assert {b for b, v in table.versions().items() if v == number} == buckets
+    versions = [r.version for r in table._lists().select("version", "batch").collect()]
+    assert len(versions) <= 3 * streams.BUCKETS
+
+
+def test_change_log_is_numbered_when_asked_for(spark, monkeypatch):
+    stored = seed_entries(spark)
+    batch = stored.select(F.lit(1).alias("ord"), "id", "type", "namespace", "name", "description", "version", "attrs", "manifest", "meta").limit(1)
+    asked = []
+    monkeypatch.setattr(writes, "assign_seq", lambda changes, rows, real=writes.assign_seq: asked.append(1) or real(changes, rows))
+    state = State(stored, latest.latest_revisions(stored), spark.createDataFrame([(7, "x", 1, None, "publish")], streams.CHANGE_SCHEMA))
+    done = writes.publish_batch(state, batch, F.lit("2026-01-01").cast("timestamp"))
+    assert done.entries.count() == stored.count() + 1 and not asked
+    assert sorted(r.seq for r in done.changes.collect()) == [7, 8] and asked == [1]
+
+
+def test_requests_keep_their_order(spark):
+    newest = latest.latest_revisions(seed_entries(spark))
+    asked = spark.createDataFrame([(3, "mcp:acme:code-search"), (2, "skill:acme:pdf-summarize"), (5, "nothing"), (1, "skill:acme:pdf-summarize"), (4, "mcp:acme:code-search")], "ord long, id string")
+    assert [r.ord for r in reads.batch_get(newest, asked).collect()] == [1, 2]
+    assert reads.batch_get_omitted(newest, asked).first().omitted == 2
+    assert [r.ord for r in reads.batch_get(newest, asked, Requester(True, ("eng",))).collect()] == [1, 2, 3, 4]
+
+
+def test_unpacked_bitmaps(spark):
+    seed = latest.latest_revisions(seed_entries(spark))
+    got = {tuple(r) for r in index.unpack_postings(index.packed_postings(seed)).collect()}
+    doc = {r.id: k for k, r in enumerate(seed.orderBy("id").collect())}
+    assert got == {(r.kind, r.scope, r.key, r.value, doc[r.id]) for r in index.tokens(seed).collect()}
+
+
 def test_tables_keep_their_columns(spark):
     assert seed_entries(spark).columns == ENTRY_COLUMNS and ANONYMOUS.groups == ()

@@ -39,6 +39,10 @@ def six(spark):
         ("( & ( type = skill ) ( endpoint=* ) )", "1234"),
         ("(attrs.type=skill)", ""),
         ("(rev=01)", "123456"),
+        ("(rev=99999999999999999999999)", ""),
+        ("(!(rev=-99999999999999999999999))", "123456"),
+        ("(rev=00000000000000000000001)", "123456"),
+        ("(rev=2147483648)", ""),
         ("(!(version=1))", "123456"),
         ("(version=*)", ""),
         ("(description=*)", ""),
