@@ -59,12 +59,12 @@ def measure(docs: DataFrame) -> DataFrame:
     step = step.withColumn("_l", F.filter(F.split("_t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")))
     step = step.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     window = lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(WINDOW)])
-    step = step.withColumn(
-        "_p",
-        F.when(F.col("_n") > WINDOW, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("_n") - WINDOW), lambda i: F.struct(window(i).alias("h"), i.alias("i"))))).otherwise(
-            F.expr("cast(array() as array<struct<h:bigint,i:int>>)")
-        ),
-    )
+    none = "cast(array() as array<{}>)".format
+    windows = F.transform(F.sequence(F.lit(0), F.col("_n") - WINDOW), window)
+    step = step.withColumn("_g", F.when(F.col("_n") > WINDOW, windows).otherwise(F.expr(none("bigint"))))
+    # most texts repeat no window: they are known by counting distinct hashes, and only the others are sorted
+    pairs = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    step = step.withColumn("_p", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), pairs).otherwise(F.expr(none("struct<h:bigint,i:int>"))))
     same = lambda k: F.coalesce(F.get("_p", k)["h"], F.lit(None))
     step = step.withColumn("_r", F.sort_array(F.transform(F.filter("_p", lambda p, k: (p["h"] == same(k - 1)) | (p["h"] == same(k + 1))), lambda p: p["i"])))
     added = F.transform("_r", lambda i, k: F.when(k == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), i - F.get("_r", k - 1))))
