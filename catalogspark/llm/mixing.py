@@ -34,20 +34,23 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean_high").when(F.col("quality") == 0, "clean_low")
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """(_id, _row, doc_id, tokens, words, f): a number for each row, the row whole, its tokens, hashes of its distinct
+def _features(docs: DataFrame, kept: Sequence[str] | None = None) -> DataFrame:
+    """(_id, _row, doc_id, tokens, words, f): a number for each row, its columns (or those ``kept``), its tokens, hashes of its distinct
     words (32 bits), and an array of discrete features, one bin of each kind.
 
     Tokens are runs between blanks; words are such runs in lower case without punctuation at their ends. A null text
     counts as empty; nulls of lang and source are bins of their own."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?" if c != "text" else ""))
-    out = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), named("text").alias("t"), named("lang").alias("lang"), named("source").alias("source"))
-    out = out.withColumn("runs", F.filter(F.split("t", r"\s+"), lambda w: w != ""))
+    out = docs.select(F.struct(*(docs.columns if kept is None else kept)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), named("text").alias("t"), named("lang").alias("lang"), named("source").alias("source"))
+    spaced = F.lower("t")
+    for c in "\n\t\r\f\v":  # then one character splits, which needs no pattern
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    out = out.withColumn("runs", F.filter(F.split(spaced, " "), lambda w: w != ""))
     out = out.withColumn("tokens", F.size("runs").cast("long"))
-    words = F.array_distinct(F.transform("runs", lambda w: F.hash(F.btrim(F.lower(w), F.lit(_MARKS)))))
+    words = F.array_distinct(F.transform("runs", lambda w: F.hash(F.btrim(w, F.lit(_MARKS)))))
     marks = lambda c: F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))
     per = lambda n: F.floor(F.least(F.lit(9), 10 * n / F.greatest(F.col("tokens"), F.lit(1)))).cast("int")
-    symbols = F.length("t") - F.length(F.translate("t", "#*$%|", ""))
+    symbols = sum((marks(c) for c in "*$%|"), marks("#"))
     kinds = {
         "lang": F.col("lang"), "source": F.col("source"), "size": F.floor(F.log2(F.col("tokens") + 1)).cast("int"),
         "word": F.floor(F.least(F.lit(30), F.length("t") / F.greatest(F.col("tokens"), F.lit(1)))).cast("int"),
@@ -184,10 +187,10 @@ def fit_rates(
     return steps, now.tolist(), wanted.tolist()
 
 
-def _rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None) -> DataFrame:
+def _rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None, kept: Sequence[str] | None = None) -> DataFrame:
     """(_row, tokens, p, rate, residual): the fit runs over cells of documents with nearly the same posterior; each document's rate
     follows from its own. Tables with a row for each document are joined by sorting at every size."""
-    held = stored(_features(docs), "features", "zstd")
+    held = stored(_features(docs, kept), "features", "zstd")
     slim = stored(with_words(held, word_evidence(held, labels)), "bins")
     soft = stored(posteriors(slim, labels), "soft")
     drop_stored(slim)
@@ -197,15 +200,18 @@ def _rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], tot
     return held.select("_id", "_row").join(rated.hint("merge"), "_id").drop("_id")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None) -> DataFrame:
+def mixing_rates(
+    docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
     """``docs(doc_id, text, lang, source, ...)`` with ``tokens``, ``p`` (array over DOMAINS), ``rate``, and ``residual``, the
     same on every row: by which share of all tokens the domain that is furthest off misses its target. A row per row.
 
     Empty documents have no tokens and take part like others at their posterior; repeated rows are rated each; an empty
-    table gives no rows; columns of ``docs`` named tokens, p, rate or residual are replaced, all others kept."""
+    table gives no rows; columns of ``docs`` named tokens, p, rate or residual are replaced, all others kept, or
+    those in ``columns``: without the texts there is far less to move."""
     added = ("tokens", "p", "rate", "residual")
-    kept = [F.col(f"_row.{c}") for c in docs.columns if c not in added]
-    return _rated(docs, labels, targets, total).select(*kept, *added)
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in added]
+    return _rated(docs, labels, targets, total, kept).select(*[F.col(f"_row.{c}") for c in kept], *added)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None) -> DataFrame:

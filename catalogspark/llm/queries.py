@@ -56,7 +56,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    rated = mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), columns=["doc_id", "source"])
     return rated.select("doc_id", "source", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "residual")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,8 +16,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one if there is one machine."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known is None and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (known or _own_dir()).rstrip("/")
 
 
 def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
