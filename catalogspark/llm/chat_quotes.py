@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .tables import drop_stored, stored
+from .tables import drop_stored, scratch, stored
 
 #: Marks before a quoted line: one > for each level, with at most three blanks before and one behind each.
 QUOTE_MARKS = r"^(?: {0,3}>)+ ?"
@@ -121,17 +121,8 @@ def _tree_places(messages: DataFrame) -> DataFrame:
     return now.where("step % 2 = 0").join(sizes, "conv_id").select((F.col("step") / 2).cast("long").alias("row"), (F.col("n") - F.col("left")).alias("place"))
 
 
-def reply_order(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, position, reply_to, n_quotes, n_linked, text) per row of ``messages(conv_id, turn, role,
-    text, ...)``.
-
-    ``text`` is the message without quoted lines; ``reply_to`` the latest turn that its first-level quotes come from,
-    or else from any of its quotes, or else the last turn before it in the conversation, null for the first.
-    ``position`` counts from 0 in reply order: in order of turn, role and text, but where a quote answers another turn
-    than the last, the conversation's messages stand in the order of its reply tree, each behind what it answers with all
-    that follows from it (a turn with several messages is answered at its first). Null texts are empty; rows with a null
-    conv_id or turn keep their place (nulls first) and are linked with nothing; repeated rows come back as often as they
-    came, each with a position; an empty table gives no rows; further columns are ignored."""
+def _answered(messages: DataFrame) -> DataFrame:
+    """A row per message in order of turn, with what it answers, and the turn before it (``last``)."""
     slim = messages.select("conv_id", "turn", "role", "text")
     split = split_quotes(slim)
     dealt = split.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -157,7 +148,7 @@ def reply_order(messages: DataFrame) -> DataFrame:
         F.count("*").alias("n_quotes"), F.count("original").alias("n_linked"), F.coalesce(F.max(F.when(F.col("level") == 1, F.col("original"))), F.max("original")).alias("quoted")
     )
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    answered = stored(
+    return stored(
         placed.join(stored(per_row, "quotes"), "row", "left").select(
             "row", "conv_id", "turn", "role", F.col("own").alias("text"), (F.col("at") + F.coalesce("offset", F.lit(0))).cast("long").alias("position"),
             F.when(known, F.coalesce("before", "carried")).alias("last"), F.when(known, F.coalesce("quoted", "before", "carried")).alias("reply_to"),
@@ -165,14 +156,29 @@ def reply_order(messages: DataFrame) -> DataFrame:
         ),
         "answered",
     )
-    trees = stored(answered.where("reply_to <> last").select("conv_id").distinct(), "trees")
+
+
+def reply_order(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, position, reply_to, n_quotes, n_linked, text) per row of ``messages(conv_id, turn, role,
+    text, ...)``.
+
+    ``text`` is the message without quoted lines; ``reply_to`` the latest turn that its first-level quotes come from,
+    or else from any of its quotes, or else the last turn before it in the conversation, null for the first.
+    ``position`` counts from 0 in reply order: in order of turn, role and text, but where a quote answers another turn
+    than the last, the conversation's messages stand in the order of its reply tree, each behind what it answers with all
+    that follows from it (a turn with several messages is answered at its first). Null texts are empty; rows with a null
+    conv_id or turn keep their place (nulls first) and are linked with nothing; repeated rows come back as often as they
+    came, each with a position; an empty table gives no rows; further columns are ignored."""
     out = ["conv_id", "turn", "role", "position", "reply_to", "n_quotes", "n_linked", "text"]
-    if not trees.limit(1).count():
-        return answered.select(*out)
-    within = answered.join(trees, "conv_id", "left_semi")
-    firsts = within.where("turn is not null").groupBy("conv_id", F.col("turn").alias("reply_to")).agg(F.min("row").alias("parent"))
-    tree = stored(within.select("conv_id", "row", "reply_to").join(firsts, ["conv_id", "reply_to"], "left").select("conv_id", "row", "parent"), "tree")
-    places = stored(_tree_places(tree), "places")
+    with scratch() as kept:
+        answered = kept(_answered(messages))
+        trees = stored(answered.where("reply_to <> last").select("conv_id").distinct(), "trees")
+        if not trees.limit(1).count():
+            return answered.select(*out)
+        within = answered.join(trees, "conv_id", "left_semi")
+        firsts = within.where("turn is not null").groupBy("conv_id", F.col("turn").alias("reply_to")).agg(F.min("row").alias("parent"))
+        tree = stored(within.select("conv_id", "row", "reply_to").join(firsts, ["conv_id", "reply_to"], "left").select("conv_id", "row", "parent"), "tree")
+        places = kept(stored(_tree_places(tree), "places"))
     return answered.join(places, "row", "left").withColumn("position", F.coalesce("place", "position")).select(*out)
 
 

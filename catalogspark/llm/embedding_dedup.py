@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import connected_components
-from .tables import stored
+from .tables import scratch, stored
 
 TILE = 1024
 #: Coordinates that are summed before the bound is looked at again.
@@ -219,22 +219,9 @@ def _near_tiles(box: DataFrame, threshold: float) -> DataFrame:
     return left.join(right, key).where((F.col("a") <= F.col("b")) & _near(BOX, threshold)).select("a", "b")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row of ``vectors(vec_id, embedding, label, ...)``.
-
-    Two rows link if their labels are equal and not null and the cosine of their vectors is at least ``threshold``.
-    Null, empty and zero vectors, ones with null or non-finite components, vectors of different lengths and rows with a
-    null vec_id link with nothing. Rows with the same vec_id, label and vector are one vector and come back as often as
-    they came. An empty table gives no rows; further columns are ignored. Equal vectors of a label are compared once,
-    as a class. The work is one comparison of boxes for each pair of blocks of a label, of tiles in near blocks, and a
-    comparison of tiles for each pair that is near; no task holds more than PARTNERS + 1 tiles. Vectors are scaled where
-    their squares leave the range of doubles."""
-    spark = vectors.sparkSession
-    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    kind, label_kind = dict(source.dtypes)["embedding"], dict(source.dtypes)["label"]
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    usable = F.coalesce((F.col("vec_id").isNotNull()) & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = source.where(usable)
+def _linked(rows: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """(label, embedding, h, n, links, component) of the vectors that have copies or links."""
+    kind, label_kind = dict(rows.dtypes)["embedding"], dict(rows.dtypes)["label"]
     distinct = rows.groupBy("label", "embedding", "vec_id").agg(F.lit(1).alias("one"))
     classes = stored(distinct.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     classes = classes.withColumn("dim", F.size("embedding"))
@@ -261,7 +248,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     per_class = classes.select("label", "embedding", "rep", "n").join(links.withColumnRenamed("u", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.where("n > 1 or links is not null")  # of other classes the one row links with nothing
     per_class = per_class.select("label", "embedding", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    per_class = stored(per_class.withColumn("h", F.xxhash64("embedding")), "linked")
+    return stored(per_class.withColumn("h", F.xxhash64("embedding")), "linked")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) per row of ``vectors(vec_id, embedding, label, ...)``.
+
+    Two rows link if their labels are equal and not null and the cosine of their vectors is at least ``threshold``.
+    Null, empty and zero vectors, ones with null or non-finite components, vectors of different lengths and rows with a
+    null vec_id link with nothing. Rows with the same vec_id, label and vector are one vector and come back as often as
+    they came. An empty table gives no rows; further columns are ignored. Equal vectors of a label are compared once,
+    as a class. The work is one comparison of boxes for each pair of blocks of a label, of tiles in near blocks, and a
+    comparison of tiles for each pair that is near; no task holds more than PARTNERS + 1 tiles. Vectors are scaled where
+    their squares leave the range of doubles."""
+    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = F.coalesce((F.col("vec_id").isNotNull()) & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    rows = source.where(usable)
+    with scratch() as kept:
+        per_class = kept(_linked(rows, threshold, tile))
     hot, cold = per_class.where(F.col("n") > HOT_ROWS), per_class.where(F.col("n") <= HOT_ROWS)
     found_in = lambda left, right, how: left.alias("l").join(
         right.alias("r"), (F.col("l.label") == F.col("r.label")) & (F.col("l.h") == F.col("r.h")) & (F.col("l.embedding") == F.col("r.embedding")), how

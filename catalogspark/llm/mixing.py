@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import drop_stored, stored
+from .tables import scratch, stored
 
 #: Classes of the labelled table.
 DOMAINS = ("clean_high", "clean_low", "toxic")
@@ -190,11 +190,11 @@ def fit_rates(
 def _rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None, kept: Sequence[str] | None = None) -> DataFrame:
     """(_row, tokens, p, rate, residual): the fit runs over cells of documents with nearly the same posterior; each document's rate
     follows from its own. Tables with a row for each document are joined by sorting at every size."""
-    held = stored(_features(docs, kept), "features", "zstd")
-    slim = stored(with_words(held, word_evidence(held, labels)), "bins")
-    soft = stored(posteriors(slim, labels), "soft")
-    drop_stored(slim)
-    steps, now, wanted = fit_rates(stored(_cells(soft, len(DOMAINS)), "cells"), targets, total=total)
+    with scratch() as keep:
+        held = keep(stored(_features(docs, kept), "features", "zstd"))
+        slim = stored(with_words(held, word_evidence(held, labels)), "bins")
+        soft = keep(stored(posteriors(slim, labels), "soft"))
+        steps, now, wanted = fit_rates(stored(_cells(soft, len(DOMAINS)), "cells"), targets, total=total)
     off = float(np.abs(np.subtract(now, wanted)).max() / (sum(wanted) or 1.0))
     rated = soft.select("_id", "tokens", "p", _rate(F.col("p"), steps).alias("rate"), F.lit(off).alias("residual"))
     return held.select("_id", "_row").join(rated.hint("merge"), "_id").drop("_id")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import connected_components
 from .kernels import Words, list_array, shingle_sets, text_chunks
-from .tables import drop_stored, stored
+from .tables import drop_stored, scratch, stored
 
 COMMON_LIMIT = 1 << 18
 COMMON_LEAST = 12
@@ -259,19 +259,8 @@ def _with_classes(profiles: DataFrame, classes: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
-    """Groups of texts joined by links: two texts link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` for their sets of
-    distinct ``n``-word shingles (words: runs between blanks and controls 9-13; A-Z lower-cased; n-grams are compared
-    by 64-bit hashes).
-
-    ``docs``: (doc_id long, text string, ...). Returns (doc_id, n_shingles, class_id, component_id), a row per input
-    row: class_id is the smallest doc_id with the same set, component_id the smallest reachable by links.
-    Null or empty texts have no shingles and stand alone; a text under ``n`` words is one shingle; repeated rows come
-    back as often as they came; a null doc_id stays null in every id column; an empty table gives an empty result;
-    further columns are ignored.
-
-    With ``links`` also n_links: the number of other documents that a document links with (doc_ids that repeat count
-    once). Then pairs inside what is linked are looked at as well, so the work grows with the number of links."""
+def _grouped(docs: DataFrame, n: int, percent: int, links: bool) -> tuple[DataFrame, DataFrame]:
+    """The profiles of all texts, and the classes that have copies or links: n, fp1, fp2, size, class_id, component_id."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     here = source.select("text").mapInArrow(_frequent_here(n), "h long, c long")
     often = here.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_LEAST).orderBy(F.desc("c"), "h").limit(COMMON_LIMIT)
@@ -346,9 +335,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, links: bo
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.join(classes.select(F.col("class_id").alias("b"), "size"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("size").alias("near"))
         grouped = grouped.join(near, "class_id", "left").withColumn("n_links", F.coalesce("near", F.lit(0)) + F.col("size") - 1)
+    grouped = grouped.where("size > 1 or component is not null").select("n", "fp1", "fp2", "size", "class_id", F.coalesce("component", "class_id").alias("component_id"), *["n_links"] * links)
+    return profiles, stored(grouped, "grouped")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """Groups of texts joined by links: two texts link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` for their sets of
+    distinct ``n``-word shingles (words: runs between blanks and controls 9-13; A-Z lower-cased; n-grams are compared
+    by 64-bit hashes).
+
+    ``docs``: (doc_id long, text string, ...). Returns (doc_id, n_shingles, class_id, component_id), a row per input
+    row: class_id is the smallest doc_id with the same set, component_id the smallest reachable by links.
+    Null or empty texts have no shingles and stand alone; a text under ``n`` words is one shingle; repeated rows come
+    back as often as they came; a null doc_id stays null in every id column; an empty table gives an empty result;
+    further columns are ignored.
+
+    With ``links`` also n_links: the number of other documents that a document links with (doc_ids that repeat count
+    once). Then pairs inside what is linked are looked at as well, so the work grows with the number of links."""
+    with scratch() as kept:
+        profiles, grouped = map(kept, _grouped(docs, n, percent, links))
     extra = ["n_links"] * links
-    grouped = grouped.where("size > 1 or component is not null").select("n", "fp1", "fp2", "size", "class_id", F.coalesce("component", "class_id").alias("component_id"), *extra)
-    grouped = stored(grouped, "grouped")
     slim = profiles.select("doc_id", "n", "fp1", "fp2")
     alone = slim.where("n = 0 or doc_id is null").withColumns({c: F.lit(None).cast("long") for c in ["size", "class_id", "component_id", *extra]})
     placed = alone.unionByName(_with_classes(slim.where("n > 0 and doc_id is not null"), grouped))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     return (known or _own_dir()).rstrip("/")
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored within are deleted at the end, but for those that the function given is called with."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                drop_stored(df)
+            elif _open:
+                _open[-1].append(df)
+
+
 def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -33,6 +60,8 @@ def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
