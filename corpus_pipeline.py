@@ -11,7 +11,7 @@ from catalogspark.llm.ngram_jaccard import jaccard_components
 from catalogspark.llm.packing import pack
 from catalogspark.llm.quality import ledger, passes
 from catalogspark.llm.queries import word_tokenizer_path
-from catalogspark.llm.tables import stored
+from catalogspark.llm.tables import drop_stored, scratch, stored
 from catalogspark.llm.toxicity import score, train
 
 
@@ -32,23 +32,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score 0.5 or more go, each by its own text. The model learns from the documents that are left and
     their labels."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = _keyed(docs)
-    toxic = score(rows.select(F.col("_key").alias("doc_id"), "text"), model).where("score >= 0.5").select(F.col("doc_id").alias("_key"))
-    return rows.join(stored(toxic, "toxic"), "_key", "left_anti").select(*docs.columns)
+    with scratch() as keep:
+        model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        rows = keep(_keyed(docs))
+        toxic = score(rows.select(F.col("_key").alias("doc_id"), "text"), model).where("score >= 0.5").select(F.col("doc_id").alias("_key"))
+        toxic = keep(stored(toxic, "toxic"))
+    return rows.join(toxic, "_key", "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) one row stays, that with the smallest doc_id, of
     equal ones any; null doc_ids come last. Rows without words stay."""
-    rows = _keyed(docs)
-    groups = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80)
-    several = stored(groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "several")
-    groups = groups.join(several, "component_id").select(F.col("doc_id").alias("_key"), "component_id")
-    placed = stored(groups.join(rows.select("_key", "doc_id"), "_key"), "groups")
-    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key"))
-    gone = placed.select("_key").join(stays.select("_key"), "_key", "left_anti")
-    return rows.join(stored(gone, "gone"), "_key", "left_anti").select(*docs.columns)
+    with scratch() as keep:
+        rows = keep(_keyed(docs))
+        groups = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80)
+        several = stored(groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "several")
+        groups = groups.join(several, "component_id").select(F.col("doc_id").alias("_key"), "component_id")
+        placed = stored(groups.join(rows.select("_key", "doc_id"), "_key"), "groups")
+        stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key"))
+        gone = keep(stored(placed.select("_key").join(stays.select("_key"), "_key", "left_anti"), "gone"))
+    return rows.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,5 +78,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0])
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before = docs
+        with scratch() as keep:  # what a stage stores is deleted as soon as its result is written
+            docs = keep(stored(stage(spark, before, sf_dir), name.split()[0]))
+        drop_stored(before)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    drop_stored(docs)  # the pieces are stored
+    return packed
