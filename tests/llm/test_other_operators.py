@@ -271,3 +271,19 @@ def test_pipeline_goes_by_row(spark, tmp_path):
 def fails(m):
     n, chars, symbols, lines, dup, repeat = m
     return n < 10 or 100 * repeat > 20 * n or 10 * symbols > 3 * n or chars < 2 * n or chars > 25 * n or (dup >= 3 and 10 * dup > 3 * lines)
+
+
+def test_pipeline_of_nothing_and_its_files(spark, tmp_path):
+    """Empty tables give no rows, and a run leaves only what its result reads."""
+    import os
+
+    import corpus_pipeline
+
+    from catalogspark.llm.tables import shared_dir
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    before = set(os.listdir(shared_dir(spark)))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert {x.split("-")[0] for x in set(os.listdir(shared_dir(spark))) - before} <= {"pieces", "counts", "starts"}

@@ -45,12 +45,12 @@ def shingles(text, n):
 
 def brute_components(texts, n, percent):
     sets = [shingles(t, n) for t in texts]
-    best = list(range(len(texts)))
-    for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= percent * len(a | b):
-                    best[j] = min(best[j], best[i])
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 100 * len(a & b) >= percent * len(a | b)]
+    best, old = list(range(len(texts))), None
+    while best != old:
+        old = list(best)
+        for i, j in links:
+            best[i] = best[j] = min(best[i], best[j])
     return sets, best
 
 
