@@ -44,11 +44,14 @@ def packed_postings(latest: DataFrame) -> DataFrame:
 
 def unpack_postings(packed: DataFrame) -> DataFrame:
     """(token, doc) from packed postings: the numbers of the bits that are set."""
-    octets = F.transform(F.sequence(F.lit(0), F.length("bitmap") - 1), lambda k: F.conv(F.substring(F.hex("bitmap"), 2 * k + 1, F.lit(2)), 16, 10).cast("int"))
-    rows = packed.select(*TOKEN, "bucket", F.posexplode(octets).alias("at", "octet")).where("octet <> 0")
-    rows = rows.select(*TOKEN, "bucket", "at", "octet", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where("(shiftright(octet, bit) & 1) = 1")
+    # two levels, so that the empty stretches of a bitmap are passed over: pieces of 64 octets, then octets
+    pieces = F.regexp_extract_all(F.hex("bitmap"), F.lit("(.{128})"), F.lit(1))
+    rows = packed.select(*TOKEN, "bucket", F.posexplode(pieces).alias("piece", "octets")).where(F.col("octets") != "0" * 128)
+    octets = F.regexp_extract_all("octets", F.lit("(..)"), F.lit(1))
+    rows = rows.select(*TOKEN, "bucket", "piece", F.posexplode(octets).alias("at", "octet")).where("octet <> '00'")
+    rows = rows.withColumn("octet", F.conv("octet", 16, 10).cast("int")).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(7)))).where("(shiftright(octet, bit) & 1) = 1")
     # numbers above 0 are counted from 1 in buckets from 1; 0 alone is in bucket 0
-    doc = F.when(F.col("bucket") == 0, F.lit(0)).otherwise((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1)
+    doc = F.when(F.col("bucket") == 0, F.lit(0)).otherwise((F.col("bucket") - 1) * 32768 + (F.col("piece") * 64 + F.col("at")) * 8 + F.col("bit") + 1)
     return rows.select(*TOKEN, doc.cast("long").alias("doc"))
 
 
