@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -25,7 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (known or _own_dir()).rstrip("/")
 
 
-_open: list[list[DataFrame]] = []
+class _Open(threading.local):
+    """Scratches open in a thread, the innermost last."""
+
+    def __init__(self):
+        self.made: list[list[DataFrame]] = []
+
+
+_open = _Open()
 
 
 @contextmanager
@@ -38,16 +46,16 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df)
         return df
 
-    _open.append(made)
+    _open.made.append(made)
     try:
         yield keep
     finally:
-        _open.pop()
+        _open.made.pop()
         for df in made:
             if not any(df is k for k in kept):
                 drop_stored(df)
-            elif _open:
-                _open[-1].append(df)
+            elif _open.made:
+                _open.made[-1].append(df)
 
 
 def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
@@ -60,8 +68,8 @@ def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    if _open:
-        _open[-1].append(out)
+    if _open.made:
+        _open.made[-1].append(out)
     return out
 
 
