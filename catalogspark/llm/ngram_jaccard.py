@@ -294,13 +294,15 @@ def _grouped(docs: DataFrame, n: int, percent: int, links: bool) -> tuple[DataFr
     postings = stored(_dealt(postings), "dealt")
     known = reps.select("doc_id", "bins")
 
-    along = Window.partitionBy("h", "part").orderBy("at", "n", "id")
+    # common n-grams are dealt in one way, so that the neighbours that they give are the same pairs again and again
+    most = postings.agg(F.max("parts")).first()[0] or 1
+    dealt = postings.withColumn("deal", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.lit(most))).otherwise(0))
+    along = Window.partitionBy("h", "deal").orderBy("at", "n", "id")
     row = lambda get: [get(k).over(along).alias(f"x{k}") for k in ("id", "n", "at")] + [F.col(k).alias(f"y{k}") for k in ("id", "n", "at")]
-    beside = postings.select(*row(F.lag)).unionByName(postings.select(*row(F.first)))
-    heads = postings.where("parts > 1").groupBy("h", "part").agg(F.min(F.struct("at", "n", "id")).alias("y"))
-    tops = heads.groupBy("h").agg(F.min("y").alias("x"))
-    heads = heads.join(tops, "h").select(*[F.col(f"{s}.{k}").alias(s + k) for s in ("x", "y") for k in ("id", "n", "at")])
-    beside = beside.unionByName(heads)
+    beside = dealt.select(*row(F.lag)).unionByName(dealt.where("parts = 1").select(*row(F.first)))
+    hot = postings.where("parts > 1")
+    tops = hot.groupBy("h").agg(F.min(F.struct("at", "n", "id")).alias("x"))
+    beside = beside.unionByName(hot.join(tops, "h").select(*[F.col(f"x.{k}").alias(f"x{k}") for k in ("id", "n", "at")], *[F.col(k).alias(f"y{k}") for k in ("id", "n", "at")]))
     first = beside.where((F.col("xid") != F.col("yid")) & _near(percent)).select(F.col("xid").alias("x"), F.col("xn").alias("xn"), F.col("yid").alias("y"), F.col("yn").alias("yn"))
     ordered = lambda df: df.select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
