@@ -47,12 +47,11 @@ def test_cases(html, text):
     "part", ['<a "', "<b>", "<div>x", "</b>", "<b><div>", "<", '<a b="', "<!--", "<!", "<script>", "<li>x", "</ ", "<a =", "<a b='x\"", "<p><b>"]
 )
 def test_time_is_linear(part):
-    for n in (1 << 17, 1 << 18):
-        began = time.time()
-        main_text(part * (n // len(part)))
-        html_extract._features(part * (n // len(part)))
-        spent = time.time() - began
-    assert spent < 8  # quadratic work would take minutes
+    page = part * ((1 << 18) // len(part))
+    began = time.time()
+    main_text(page)
+    html_extract._features(page)
+    assert time.time() - began < 15  # quadratic work would take minutes
 
 
 def article(html):

@@ -101,8 +101,13 @@ def test_jaccard_families(spark):
     assert [got[k] for k in range(90)] == brute_components(texts, 5, 80)[1]
 
 
-@pytest.mark.parametrize("limits", [{}, {"HOT_RUN": 3, "DEALT": 4, "HOT_CLASS": 2}, {"COMMON_LIMIT": 5, "COMMON_LEAST": 2, "BROADCAST_IDS": 0}, {"PART_SHINGLES": 1, "OPEN_BLOCK": 2}])
-def test_jaccard_limits_change_no_result(spark, monkeypatch, limits):
+_HOT = {"HOT_RUN": 3, "DEALT": 4, "HOT_CLASS": 2}
+
+
+@pytest.mark.parametrize(
+    ("limits", "links"), [({}, True), (_HOT, False), (_HOT, True), ({"COMMON_LIMIT": 5, "COMMON_LEAST": 2, "BROADCAST_IDS": 0}, False), ({"PART_SHINGLES": 1, "OPEN_BLOCK": 2}, False)]
+)
+def test_jaccard_limits_change_no_result(spark, monkeypatch, limits, links):
     import random
 
     from catalogspark.llm import ngram_jaccard
@@ -119,11 +124,10 @@ def test_jaccard_limits_change_no_result(spark, monkeypatch, limits):
     texts += [texts[0]] * 4 + ["", ""]
     sets, best = brute_components(texts, 4, 80)
     near = [{j for j, b in enumerate(sets) if j != i and a and b and 100 * len(a & b) >= 80 * len(a | b)} for i, a in enumerate(sets)]
-    for links in (False, True):
-        got = {r.doc_id: r for r in jaccard_components(docs(spark, texts), 4, 80, links=links).where("doc_id is not null").collect()}
-        assert [got[k].component_id for k in range(len(texts))] == best
-        if links:
-            assert [got[k].n_links for k in range(len(texts))] == [len(x) for x in near]
+    got = {r.doc_id: r for r in jaccard_components(docs(spark, texts), 4, 80, links=links).where("doc_id is not null").collect()}
+    assert [got[k].component_id for k in range(len(texts))] == best
+    if links:
+        assert [got[k].n_links for k in range(len(texts))] == [len(x) for x in near]
 
 
 def test_components(spark):
