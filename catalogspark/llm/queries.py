@@ -12,6 +12,7 @@ from .mixing import DOMAINS, mixing_rates
 from .ngram_jaccard import jaccard_components
 from .packing import pack
 from .quality import ledger, passes
+from .token_alignment import align
 from .toxicity import toxicity
 from .url_filter import Rule, judge_urls
 
@@ -80,6 +81,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = align(_table(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -91,6 +101,7 @@ QUERIES = {
     "op8_chat_quotes": op8_chat_quotes,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
