@@ -50,10 +50,10 @@ def _moments(batches):
     )
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray]:
+def _vectors(column: pa.Array, kind: type = np.float64) -> list[np.ndarray]:
     """The vectors of a list column, a matrix for each length."""
     lengths = np.diff(column.offsets.to_numpy())
-    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.values.to_numpy(zero_copy_only=False).astype(kind)
     starts = column.offsets.to_numpy()[:-1]
     return [flat[starts[lengths == d][:, None] + np.arange(d)] for d in np.unique(lengths) if d]
 

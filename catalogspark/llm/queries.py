@@ -15,6 +15,7 @@ from .quality import ledger, passes
 from .token_alignment import align
 from .toxicity import toxicity
 from .url_filter import Rule, judge_urls
+from .whitening import whiten
 
 #: Fixed by the contract of the query.
 URL_RULES = (
@@ -81,6 +82,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), components=4)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op8_chat_quotes": op8_chat_quotes,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_whitening": op11_whitening,
     "op13_token_alignment": op13_token_alignment,
 }
 
