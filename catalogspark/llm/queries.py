@@ -9,6 +9,7 @@ from .embedding_dedup import near_duplicates
 from .html_extract import extract
 from .license_scan import scan_licenses
 from .mixing import DOMAINS, mixing_rates
+from .nearest import nearest
 from .ngram_jaccard import jaccard_components
 from .packing import pack
 from .quality import ledger, passes
@@ -86,6 +87,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"), components=4)
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -107,6 +113,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
     "op11_whitening": op11_whitening,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_token_alignment": op13_token_alignment,
 }
 
