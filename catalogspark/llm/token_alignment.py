@@ -11,11 +11,15 @@ bounded number, come back to the tasks by broadcast; what a text holds of rarer
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from functools import cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +30,19 @@ from .tables import scratch, stored
 
 #: Id pairs (17 bytes each) whose counts are broadcast, at most; rarer ones are joined.
 BROADCAST_PAIRS = 1 << 20
-#: Stretches, and characters of them, that a task keeps besides those of the texts it is at.
-KEPT, KEPT_CHARS = 150_000, 1 << 23
+#: Stretches, and characters of them, that a worker keeps besides those of the texts it is at.
+KEPT, KEPT_CHARS = 250_000, 1 << 23
 #: Characters of text that are worked on together.
 CHARS_AT_ONCE = 1 << 20
 
 _STRETCH = re.compile(r"\s*\S+|\s+")
 #: White space for Python but not for the tokenizers' pattern.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _MARK = "▁"
+#: Fixed value: how byte-level vocabularies of this kind split text before the merges.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Stretches whose characters any version of Unicode puts in the same classes.
+_COMMON = re.compile(r"[ \t\n!-~À-ÖØ-öø-ÿ]+")
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -43,30 +51,25 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in same} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in same)}
 
 
-def slices(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links) of two id lists over the same bytes; a link is an id pair whose tokens share a byte."""
-    end_a, end_b = list(accumulate(a_sizes)), list(accumulate(b_sizes))
-    index_a = {end: k + 1 for k, end in enumerate(end_a)}
-    index_b = {end: k + 1 for k, end in enumerate(end_b)}
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        to_i, to_j = index_a[end], index_b[end]
-        groups.append((a[i:to_i], b[j:to_j]))
-        while i < to_i and j < to_j:  # no inner end is common to both: one of the two tokens ends first
-            links.append((a[i], b[j]))
-            if end_a[i] < end_b[j]:
-                i += 1
-            elif end_b[j] < end_a[i]:
-                j += 1
-            else:
-                i, j = i + 1, j + 1
-    return groups, links
+def slices(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the cumulative byte ends of two token lists over the same bytes: where each group ends in the one and the other."""
+    index_a = dict(zip(end_a.tolist(), range(1, len(end_a) + 1), strict=True))
+    index_b = dict(zip(end_b.tolist(), range(1, len(end_b) + 1), strict=True))
+    common = sorted(index_a.keys() & index_b.keys())
+    return np.fromiter(map(index_a.__getitem__, common), np.int64), np.fromiter(map(index_b.__getitem__, common), np.int64)
+
+
+def links(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each link, by number. In a group no end but the last is common, so that between an end of either list
+    and the next just one token of each goes on: that is a link, and each link is met once."""
+    ends = np.union1d(end_a, end_b)
+    return np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
 
 
 @dataclass
 class PairCounts:
-    """Id pairs (first id in the upper 32 bits) in order, the documents that hold each, and whether no pair of its first
-    id is held by more."""
+    """Id pairs (see ``Aligner.pair``) in order, the documents that hold each, and whether no pair of its first id is held
+    by more."""
 
     pairs: np.ndarray
     n: np.ndarray
@@ -78,14 +81,34 @@ class PairCounts:
         return at, self.pairs[at] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
 
 
-#: What is known of a stretch: see NUMBERS; ``wrong`` if a tokenizer doesn't give its bytes back.
+#: What is known of a stretch; ``wrong`` if a tokenizer doesn't give its bytes back.
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "wrong")
 
 
+def _ranked(path: str, letters: dict[str, int]):
+    """A faster encoder of stretches in common letters, or None if the file's merges aren't in the order of their ids."""
+    import tiktoken
+
+    model = json.loads(Path(path).read_text())["model"]
+    vocabulary = model["vocab"]
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+        return None
+    ranks = {bytes(letters[c] for c in t): k for t, k in vocabulary.items() if all(c in letters for c in t)}
+    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _gathered(pool: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries of the lists ``rows`` behind each other, which of ``rows`` each is of); list k ends at ``ends[k + 1]``."""
+    sizes = ends[rows + 1] - ends[rows]
+    of = np.repeat(np.arange(len(rows)), sizes)
+    return pool[np.arange(len(of)) + np.repeat(ends[rows] - np.cumsum(sizes) + sizes, sizes)], of
+
+
 class Aligner:
     """Groups and links of stretches of text, each worked out once while it is kept."""
 
-    def __init__(self, path_a: str, path_b: str, counts: PairCounts | None = None):
+    def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -94,53 +117,112 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = _byte_of_letter()
-        self.a_bytes = {k: bytes(letters[c] for c in t) for t, k in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
+        self.ranked = _ranked(path_a, letters)
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, k in self.a.get_vocab(with_added_tokens=False).items():
+            self.a_bytes[k] = bytes(letters[c] for c in t) if all(c in letters for c in t) else b""
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(_MARK, " ").encode() for k, p in enumerate(pieces)]
+        self.b_ids = len(pieces)
         self.mark = self.b.piece_to_id(_MARK)
-        # white space in a piece is a run of blanks at its start
-        self.cuts_at_space = not any(re.search(r"\S\s|[^\S ]", p.replace(_MARK, " ")) for k, p in enumerate(pieces) if not self.b.is_byte(k))
-        self.counts = counts
+        several = [p.replace(_MARK, " ") for k, p in enumerate(pieces) if not self.b.is_byte(k) and len(p) > 1]
+        #: whether no piece goes on with a blank, and white space that is part of longer pieces: texts with it aren't cut
+        self.cuts_at_space = not any(re.search(r"\S ", p) for p in several)
+        self.odd = re.compile("[" + re.escape(_ODD_SPACE + "".join(sorted({c for p in several for c in p if c != " " and c.isspace()}))) + "]")
+        # an id of the first and of the second, followed by another of its own or not
+        self.words = [f"{k}{end}" for ids, ends in ((len(self.a_bytes), ",|"), (self.b_ids, ",;")) for end in ends for k in range(ids)]
+        self.counts, self.counts_name = None, None
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.chars = 0
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.rare: list[np.ndarray] = []
-        self.numbers: list[tuple[int, ...]] = []
+        self.numbers = np.zeros((0, len(NUMBERS)), np.int64)
+        self.pairs, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.rare, self.rare_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def use(self, name: str, counts: PairCounts) -> None:
+        """From now on links are weighed by ``counts``, which ``name`` tells from others."""
+        if name != self.counts_name:
+            self.counts, self.counts_name = counts, name
+            self.rare, self.rare_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+            self._weigh(0)
 
     def stretches(self, text: str) -> list[str]:
         """``text`` with a blank before it, cut where white space begins."""
         whole = " " + text
-        return _STRETCH.findall(whole) if self.cuts_at_space and not _ODD_SPACE.search(whole) else [whole]
-
-    def _b_ids(self, stretch: str) -> list[int]:
-        if stretch == " ":
-            return [self.mark]
-        if stretch[0] == " ":
-            return self.b.encode(stretch[1:])  # the processor puts the blank back
-        return self.b.encode(stretch)[1:]
+        return _STRETCH.findall(whole) if self.cuts_at_space and not self.odd.search(whole) else [whole]
+
+    def _encoded(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a: list = [self.ranked.encode_ordinary(s) if self.ranked and _COMMON.fullmatch(s) else None for s in stretches]
+        others = [k for k, ids in enumerate(a) if ids is None]
+        for k, coded in zip(others, self.a.encode_batch_fast([stretches[k] for k in others], add_special_tokens=False), strict=True):
+            a[k] = coded.ids
+        # the processor puts a blank before each; what doesn't begin with one gets it as a mark of its own
+        b = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+        return a, [[self.mark] if s == " " else ids if s[0] == " " else ids[1:] for s, ids in zip(stretches, b, strict=True)]
+
+    def _same(self, stretches: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        both = [(b"".join([parts[k] for own in ids for k in own])) for ids, parts in ((a, self.a_bytes), (b, self.b_bytes))]
+        if both[0] == both[1] == "".join(stretches).encode():
+            # then each is alike, as no token of one stretch takes a byte of the next: lengths tell
+            size = lambda ids, parts: [sum(len(parts[k]) for k in own) for own in ids]
+            raw = [len(s) if s.isascii() else len(s.encode()) for s in stretches]
+            return [x == y == z for x, y, z in zip(size(a, self.a_bytes), size(b, self.b_bytes), raw, strict=True)]
+        joined = lambda ids, parts: b"".join([parts[k] for k in ids])
+        return [joined(x, self.a_bytes) == joined(y, self.b_bytes) == s.encode() for s, x, y in zip(stretches, a, b, strict=True)]
 
     def _learn(self, stretches: list[str]) -> None:
-        for stretch, coded in zip(stretches, self.a.encode_batch_fast(stretches, add_special_tokens=False), strict=True):
-            a, b = coded.ids, self._b_ids(stretch)
-            a_parts, b_parts = [self.a_bytes.get(k, b"") for k in a], [self.b_bytes[k] for k in b]
-            raw = stretch.encode()
-            wrong = b"".join(a_parts) != raw or b"".join(b_parts) != raw
-            groups, links = ([], []) if wrong else slices(a, b, [*map(len, a_parts)], [*map(len, b_parts)])
-            pairs = np.array([x << 32 | y for x, y in links], np.int64)
-            n_best = count_sum = 0
-            if self.counts is not None:
-                at, there = self.counts.of(pairs)
-                n_best, count_sum = int(self.counts.best[at[there]].sum()), int(self.counts.n[at[there]].sum())
-                self.rare.append(pairs[~there])
-            self.at[stretch] = len(self.pairs)
-            self.chars += len(stretch)
-            self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-            self.pairs.append(pairs)
-            self.numbers.append((len(a), len(b), len(groups), len(links), n_best, count_sum, int(wrong)))
+        if not stretches:
+            return
+        a, b = self._encoded(stretches)
+        good = self._same(stretches, a, b)
+        a, b = ([ids if ok else [] for ids, ok in zip(own, good, strict=True)] for own in (a, b))
+        n_a, n_b = (np.fromiter(map(len, own), np.int64, len(stretches)) for own in (a, b))
+        of_a, of_b = (np.repeat(np.arange(len(stretches)), n) for n in (n_a, n_b))
+        id_a, id_b = (np.fromiter(chain.from_iterable(own), np.int64) for own in (a, b))
+        # stretches behind each other on one axis of bytes, of which each ends with tokens of both
+        end_a, end_b = (np.cumsum([len(parts[k]) for k in ids.tolist()], dtype=np.int64) for ids, parts in ((id_a, self.a_bytes), (id_b, self.b_bytes)))
+        cut_a, cut_b = slices(end_a, end_b)
+        link_a, link_b = links(end_a, end_b)
+        last_a, last_b = np.zeros(len(id_a), np.int64), np.zeros(len(id_b), np.int64)
+        last_a[cut_a - 1] = last_b[cut_b - 1] = 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        word = np.concatenate([id_a + last_a * len(self.a_bytes), 2 * len(self.a_bytes) + id_b + last_b * self.b_ids])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        words = [self.words[k] for k in word[order].tolist()]
+        ends = np.cumsum(n_a + n_b).tolist()
+        self.groups += ["".join(words[x:y])[:-1] for x, y in zip([0, *ends], ends, strict=False)]
+
+        per = lambda of: np.bincount(of, minlength=len(stretches)).astype(np.int64)
+        n_links = per(of_a[link_a])
+        known = [n_a, n_b, per(of_a[cut_a - 1]), n_links, np.zeros_like(n_a), np.zeros_like(n_a), ~np.array(good)]
+        first = len(self.numbers)
+        self.numbers = np.concatenate([self.numbers, np.stack(known, axis=1)])
+        self.pairs = np.concatenate([self.pairs, self.pair(id_a[link_a], id_b[link_b])])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n_links)])
+        self.at.update(zip(stretches, range(first, first + len(stretches)), strict=True))
+        self.chars += sum(map(len, stretches))
+        if self.counts is not None:
+            self._weigh(first)
+
+    def pair(self, a, b):
+        """A pair of ids as one number."""
+        return a * self.b_ids + b
+
+    def _weigh(self, first: int) -> None:
+        """n_best and count_sum of the stretches from ``first``, and their links whose pairs have no count."""
+        ends = self.ends[first:]
+        pairs = self.pairs[ends[0] :]
+        at, there = self.counts.of(pairs)
+        for column, values in (("n_best", self.counts.best), ("count_sum", self.counts.n)):
+            own = np.where(there, values[at], 0).astype(np.int64) if len(values) else np.zeros(len(pairs), np.int64)
+            added = np.concatenate([[0], np.cumsum(own)])
+            self.numbers[first:, NUMBERS.index(column)] = np.diff(added[ends - ends[0]])
+        self.rare = np.concatenate([self.rare, pairs[~there]])
+        self.rare_ends = np.concatenate([self.rare_ends, self.rare_ends[-1] + np.concatenate([[0], np.cumsum(~there)])[ends[1:] - ends[0]]])
 
     def place(self, texts: list[str]) -> list[list[int]]:
         """The stretches of each text by number; the numbers hold until the next call."""
@@ -152,15 +234,30 @@ class Aligner:
 
     def sums(self, placed: list[list[int]]) -> np.ndarray:
         """A row of NUMBERS for each text, zeros but for ``wrong`` where a stretch is wrong."""
-        flat = np.fromiter((k for own in placed for k in own), np.int64)
+        flat = np.fromiter(chain.from_iterable(placed), np.int64)
         added = np.zeros((len(flat) + 1, len(NUMBERS)), np.int64)
-        if len(flat):
-            np.cumsum(np.array(self.numbers, np.int64)[flat], axis=0, out=added[1:])
+        np.cumsum(self.numbers[flat], axis=0, out=added[1:])
         ends = np.cumsum([0, *map(len, placed)])
         out = added[ends[1:]] - added[ends[:-1]]
         out[out[:, -1] > 0, :-1] = 0
         return out
 
+    def held(self, placed: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs, how many of the texts that have tokens hold each)."""
+        flat = np.fromiter(chain.from_iterable(placed), np.int64)
+        text = np.repeat(np.arange(len(placed)), [len(p) for p in placed])
+        right = self.sums(placed)[text, -1] == 0
+        once = np.unique(text[right] << 40 | flat[right])
+        pairs, of = _gathered(self.pairs, self.ends, once & (1 << 40) - 1)
+        once = np.unique((once >> 40)[of] << 40 | pairs)  # two ids' product is well under 40 bits
+        return np.unique(once & (1 << 40) - 1, return_counts=True)
+
+
+@cache
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """One for all tasks of a worker, so that what it has learned serves the next."""
+    return Aligner(path_a, path_b)
+
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in runs of bounded size; null is empty."""
@@ -175,21 +272,14 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, run
 
 
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
 def _held(path_a: str, path_b: str):
     """(pair, n): how many texts of a run hold the pair."""
 
     def run(batches):
-        aligner = Aligner(path_a, path_b)
+        aligner = _aligner(path_a, path_b)
         for batch in batches:
             for _, texts in _runs(batch.column("text")):
-                placed = aligner.place(texts)
-                wrong = aligner.sums(placed)[:, -1]
-                own = [np.unique(_joined([aligner.pairs[k] for k in set(p)])) for p, bad in zip(placed, wrong, strict=True) if not bad]
-                pairs, n = np.unique(_joined(own), return_counts=True)
+                pairs, n = aligner.held(aligner.place(texts))
                 yield pa.record_batch({"pair": pa.array(pairs, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
@@ -197,9 +287,11 @@ def _held(path_a: str, path_b: str):
 
 def _aligned(path_a: str, path_b: str, counts, rare: bool):
     """Numbers and groups of each text; with ``rare`` a number of the row's own and the links that have no count yet."""
+    name = uuid.uuid4().hex
 
     def run(batches):
-        aligner = Aligner(path_a, path_b, counts.value)
+        aligner = _aligner(path_a, path_b)
+        aligner.use(name, counts.value)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, texts in _runs(batch.column("text")):
@@ -211,7 +303,11 @@ def _aligned(path_a: str, path_b: str, counts, rare: bool):
                 columns["groups"] = pa.array([";".join([aligner.groups[k] for k in p]) for p in good], pa.string())
                 if rare:
                     columns["row"] = pa.array(np.arange(row, row + len(texts)), pa.int64())
-                    columns["rare"] = pa.array([_joined([aligner.rare[k] for k in p]) for p in good], pa.list_(pa.int64()))
+                    flat = np.fromiter(chain.from_iterable(good), np.int64)
+                    pairs, of = _gathered(aligner.rare, aligner.rare_ends, flat)
+                    text = np.repeat(np.arange(len(good)), [len(p) for p in good])[of]
+                    ends = np.searchsorted(text, np.arange(len(good) + 1)).astype(np.int32)
+                    columns["rare"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs))
                     row += len(texts)
                 yield pa.record_batch(columns)
 
@@ -219,10 +315,13 @@ def _aligned(path_a: str, path_b: str, counts, rare: bool):
 
 
 def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(pair, n, best): id pairs linked anywhere, the rows of ``docs`` that hold each, and whether no pair of its first id
-    is held by more. A first id has no more pairs than the second tokenizer has ids."""
+    """(pair, n, best): id pairs linked anywhere as one number, the rows of ``docs`` that hold each, and whether no pair of
+    its first id is held by more. A first id has no more pairs than the second tokenizer has ids."""
+    import sentencepiece
+
     held = docs.select("text").mapInArrow(_held(path_a, path_b), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy(F.shiftright("pair", 32))
+    ids = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
+    own = Window.partitionBy(F.floor(F.col("pair") / ids))
     return held.withColumn("best", F.col("n") == F.max("n").over(own))
 
 

@@ -49,12 +49,15 @@ def by_hand(coders, texts: list[str | None]) -> list[tuple]:
             if b"".join(p) == raw and b"".join(q) == raw:
                 s, t = spans(p), spans(q)
                 cuts = sorted({e for _, e in s} & {e for _, e in t})
-                groups, links, start = [], [], 0
+                groups, links, at = [], [], [0, 0]
                 for cut in cuts:
-                    i, j = ([k for k, (lo, hi) in enumerate(z) if lo >= start and hi <= cut] for z in (s, t))
+                    i, j = [], []
+                    for own, z, side in ((i, s, 0), (j, t, 1)):
+                        while at[side] < len(z) and z[at[side]][1] <= cut:
+                            own.append(at[side])
+                            at[side] += 1
                     groups.append(",".join(str(x[k]) for k in i) + "|" + ",".join(str(y[k]) for k in j))
                     links += [(x[k], y[m]) for k in i for m in j if s[k][0] < t[m][1] and t[m][0] < s[k][1]]
-                    start = cut
                 held.update(set(links))
                 row = (len(x), len(y), len(groups), links, ";".join(groups))
         rows.append(row)
