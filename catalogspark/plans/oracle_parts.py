@@ -1,39 +1,37 @@
 """Common table expressions in DuckDB SQL for the tables of ``sources.adapters``; attributes are columns of their own."""
 
-_TAGS = "['ledger','paper','notes','lookup','build','helpdesk']"
-_CAPS = "['shorten','pull','label']"
-_ENVS = "['live','trial','lab']"
-_GROUPS = "['core','money','field']"
-
-
-def _attrs(k: str, tag: str | None = None, env: str | None = None) -> str:
-    return f"""
-        CASE {k} % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '1.' || ({k} % 4) END AS version,
-        {tag or f"{_TAGS}[{k} * 5 % 6 + 1]"} AS tag, {_CAPS}[{k} % 3 + 1] AS capability, {env or f"{_ENVS}[{k} * 7 % 3 + 1]"} AS env, 'active' AS status,
-        CASE WHEN {k} % 20 = 0 THEN 'restricted' WHEN {k} % 8 = 0 THEN 'internal' ELSE 'public' END AS visibility,
-        CASE WHEN {k} % 20 = 0 THEN {_GROUPS}[{k} * 11 % 3 + 1] END AS allowed_group,
-        CASE WHEN {k} % 7 <> 0 THEN 'https://host/' || {k} END AS endpoint,
-        CASE WHEN {k} % 5 <> 0 THEN 'team' END AS owner"""
-
-
-EVENTS = f"""
+EVENTS = """
     ev AS (
         SELECT 'user:' || user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rev, event_type AS type,
                'ns' || (user_id % 5) AS namespace, 'User ' || user_id || ' ' || event_type AS name, event_type || ' by user ' || user_id AS description,
-               {_attrs("event_id")}, props AS meta, date_trunc('millisecond', ts) AS updated_at, event_id FROM events),
+               CASE event_type WHEN 'signup' THEN '' WHEN 'error' THEN NULL ELSE CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) END AS version,
+               event_type AS tag, CASE WHEN value < 10 THEN 'small' ELSE 'large' END AS tag2,
+               CASE WHEN event_type IN ('click', 'view') THEN 'browse' WHEN event_type = 'purchase' THEN 'pay' END AS capability, strftime(ts, '%a') AS env,
+               CASE WHEN event_type = 'error' THEN 'disabled' ELSE 'active' END AS status,
+               CASE WHEN value >= 90 THEN 'restricted' WHEN event_type = 'signup' THEN 'internal' ELSE 'public' END AS visibility,
+               CASE WHEN value >= 90 THEN event_type END AS allowed_group, CASE WHEN event_type = 'click' THEN 'app/' || user_id END AS endpoint,
+               CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) END AS owner, props AS meta, date_trunc('millisecond', ts) AS updated_at, event_id FROM events),
     ent AS (SELECT * FROM ev WHERE event_id % 50 <> 49),
     latest AS (SELECT * FROM ent QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1),
     chg AS (SELECT event_id AS seq, id, rev, CASE WHEN type = 'purchase' THEN 'set_status' ELSE 'publish' END AS change_type FROM ev)"""
 
 
-def _doc(rev: int, tag: str | None, env: str | None, more: str, where: str) -> str:
-    return f"""SELECT 'doc:' || lang || ':' || doc_id AS id, {rev} AS rev, lang AS type, source AS namespace, 'Document ' || doc_id AS name,
-        text AS description, {_attrs("doc_id", tag, env)}, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id % 97){more} AS updated_at, doc_id
-        FROM documents {where}"""
+def _document(rev: int) -> str:
+    tags = "'revised' AS tag, NULL AS tag2, 'desk' AS env" if rev == 2 else (
+        "source AS tag, CASE WHEN n_chars < 700 THEN 'short' WHEN n_chars < 2500 THEN 'page' ELSE 'long' END AS tag2, CASE WHEN n_chars > 4000 THEN 'archive' ELSE 'shelf' END AS env"
+    )
+    later, which = (" + INTERVAL 1 DAY", "WHERE lang <> 'en'") if rev == 2 else ("", "")
+    return f"""SELECT 'doc:' || lang || ':' || doc_id AS id, {rev} AS rev, lang AS type, source AS namespace, 'Document ' || doc_id AS name, text AS description,
+        CASE WHEN lang = 'es' THEN '' WHEN n_chars >= 700 THEN (n_chars // 1000) || '.0' END AS version, {tags},
+        CASE WHEN lang = 'en' THEN 'quote' ELSE 'translate' END AS capability, CASE WHEN n_chars < 100 THEN 'disabled' ELSE 'active' END AS status,
+        CASE WHEN source IN ('src3', 'src11') THEN 'restricted' WHEN lang = 'es' THEN 'internal' ELSE 'public' END AS visibility,
+        CASE WHEN source IN ('src3', 'src11') THEN lang END AS allowed_group, CASE WHEN lang <> 'fr' THEN source || '/' || doc_id END AS endpoint,
+        CASE WHEN lang <> 'de' THEN source END AS owner, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (n_chars % 97){later} AS updated_at, doc_id
+        FROM documents {which}"""
 
 
 DOCS = f"""
-    dent AS ({_doc(1, None, None, "", "")} UNION ALL {_doc(2, "'helpdesk'", "'live'", " + INTERVAL 1 DAY", "WHERE doc_id % 4 = 0")}),
+    dent AS ({_document(1)} UNION ALL {_document(2)}),
     dlat AS (SELECT * FROM dent QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1)"""
 
 TOKENS = """
@@ -45,17 +43,18 @@ TOKENS = """
         FROM (SELECT id, unnest(['id','type','name','namespace','version','rev']) AS k, unnest([id, type, name, namespace, version, CAST(rev AS VARCHAR)]) AS v FROM dlat) WHERE v <> ''
         UNION ALL
         SELECT id, 'eq', 'attr', k, v FROM (
-            SELECT id, unnest(['tag','capability','env','status','visibility','allowed_group','endpoint','owner']) AS k,
-                   unnest([tag, capability, env, status, visibility, allowed_group, endpoint, owner]) AS v FROM dlat) WHERE v IS NOT NULL
+            SELECT id, unnest(['tag','tag','capability','env','status','visibility','allowed_group','endpoint','owner']) AS k,
+                   unnest([tag, tag2, capability, env, status, visibility, allowed_group, endpoint, owner]) AS v FROM dlat) WHERE v IS NOT NULL
         UNION ALL
         SELECT id, 'present', 'attr', k, NULL FROM (
-            SELECT id, unnest(['tag','capability','env','status','visibility','allowed_group','endpoint','owner']) AS k,
-                   unnest([tag, capability, env, status, visibility, allowed_group, endpoint, 'x']) AS v FROM dlat) WHERE v IS NOT NULL)"""
+            SELECT id, unnest(['tag','tag','capability','env','status','visibility','allowed_group','endpoint','owner']) AS k,
+                   unnest([tag, NULL, capability, env, status, visibility, allowed_group, endpoint, 'x']) AS v FROM dlat) WHERE v IS NOT NULL)"""
 
 REQUESTERS = """
     req0 AS (
-        SELECT c_custkey AS requester, c_custkey % 4 <> 0 AS authenticated,
-               CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'core' WHEN 2 THEN 'money, field' WHEN 3 THEN ' field ,,core' ELSE 'law' END AS g FROM customer),
+        SELECT c_custkey AS requester, c_acctbal >= 0 AS authenticated,
+               CASE c_mktsegment WHEN 'MACHINERY' THEN 'en,click' WHEN 'BUILDING' THEN 'de, fr' WHEN 'AUTOMOBILE' THEN ' fr ,,purchase' WHEN 'HOUSEHOLD' THEN 'law' ELSE '' END AS g
+        FROM customer),
     req AS (
         SELECT requester, authenticated,
                CASE WHEN authenticated THEN list_distinct(list_filter(list_transform(string_split(g, ','), lambda x: trim(x)), lambda x: x <> '')) ELSE [] END AS groups
@@ -64,7 +63,7 @@ REQUESTERS = """
 COMMANDS = """
     cmd AS (
         SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN 'set_status' ELSE 'publish' END AS op, 'cust:' || o_custkey || CASE WHEN o_orderkey % 5 = 0 THEN ':new' ELSE '' END AS id,
-               ['ledger','paper','notes','lookup','build','helpdesk'][o_orderkey * 5 % 6 + 1] AS tag,
+               o_orderpriority AS tag,
                CASE o_orderstatus WHEN 'P' THEN 'active' WHEN 'O' THEN 'deprecated' ELSE 'disabled' END AS status,
                CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS reason FROM orders),
     base AS (

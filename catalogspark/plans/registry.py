@@ -23,24 +23,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-FLAGSHIP = "(&(type=en)(tag=ledger)(!(env=lab)))"
+FLAGSHIP = "(&(type=en)(tag=long)(!(tag=src4)))"
+#: Filters with the SQL of the same meaning.
 SUITE = {
-    "shorten_live": "(&(capability=shorten)(env=live))",
-    "ledger_active": "(&(type=en)(tag=ledger)(status=active))",
-    "tag_helpdesk": "(tag=helpdesk)",
-    "endpoint_presence": "(endpoint=*)",
-    "tag_never": "(tag=__never__)",
+    "long_translation": ("(&(capability=translate)(tag=long))", "capability = 'translate' AND coalesce(tag2 = 'long', false)"),
+    "other_language": ("(!(type=en))", "type <> 'en'"),
+    "page_or_revised": ("(|(tag=page)(tag=revised))", "(tag = 'revised' OR coalesce(tag2 = 'page', false))"),
+    "shelved_or_open": ("(|(env=shelf)(!(visibility=restricted)))", "(env = 'shelf' OR visibility <> 'restricted')"),
+    "versioned": ("(version=*)", "version <> ''"),
+    "german_owner": ("(&(type=de)(owner=src1))", "type = 'de' AND coalesce(owner = 'src1', false)"),
 }
-SUITE_SQL = {
-    "shorten_live": "capability = 'shorten' AND env = 'live'",
-    "ledger_active": "type = 'en' AND tag = 'ledger' AND status = 'active'",
-    "tag_helpdesk": "tag = 'helpdesk'",
-    "endpoint_presence": "endpoint IS NOT NULL",
-    "tag_never": "tag = '__never__'",
-}
-STAFF = Requester(True, ("money", "field"))
-_STAFF_SQL = "(visibility <> 'restricted' OR allowed_group IN ('money', 'field'))"
-_FLAG_SQL = "type = 'en' AND tag = 'ledger' AND env <> 'lab' AND visibility = 'public'"
+_SUITE = {name: text for name, (text, _) in SUITE.items()}
+STAFF = Requester(True, ("en", "de"))
+_STAFF_SQL = "(visibility <> 'restricted' OR allowed_group IN ('en', 'de'))"
+_FLAG_SQL = "type = 'en' AND tag2 = 'long' AND tag <> 'src4' AND visibility = 'public'"
 _TS = "strftime(updated_at, '%Y-%m-%d %H:%M:%S.%g')"
 _CARD = ["id", "type", "name", "namespace", "rev", "version", "description"]
 _CARD_SQL = f"id, type, name, namespace, rev, version, description, tag, env, {_TS} AS updated_at"
@@ -133,9 +129,9 @@ def search_text(spark, sf):
     return _flat(found.orderBy(F.desc("updated_at"), F.desc("id")).limit(50))
 
 
-@query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE NOT coalesce(version = '1.2', false) AND rev = 1 AND visibility = 'public' ORDER BY updated_at DESC, id DESC LIMIT 200")
+@query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE NOT coalesce(version = '1.0', false) AND rev = 1 AND visibility = 'public' ORDER BY updated_at DESC, id DESC LIMIT 200")
 def search_not_null_version(spark, sf):
-    return _flat(search.search(_docs(spark, sf), "(&(!(version=1.2))(rev=001))", limit=200, view=None))
+    return _flat(search.search(_docs(spark, sf), "(&(!(version=1.0))(rev=001))", limit=200, view=None))
 
 
 @query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE endpoint IS NOT NULL AND version <> '' AND visibility = 'public' ORDER BY updated_at DESC, id DESC LIMIT 200")
@@ -143,9 +139,9 @@ def search_presence(spark, sf):
     return _flat(search.search(_docs(spark, sf), "(&(endpoint=*)(owner=* )(version=*)(rev=*))", limit=200, view=None))
 
 
-@query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE tag = 'ledger' AND {_STAFF_SQL} ORDER BY updated_at DESC, id DESC LIMIT 200")
+@query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE tag = 'revised' AND {_STAFF_SQL} ORDER BY updated_at DESC, id DESC LIMIT 200")
 def search_visibility_group(spark, sf):
-    return _flat(search.search(_docs(spark, sf), "(tag=ledger)", requester=STAFF, limit=200, view=None))
+    return _flat(search.search(_docs(spark, sf), "(tag=revised)", requester=STAFF, limit=200, view=None))
 
 
 @query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE visibility = 'public' AND (updated_at < TIMESTAMP '2024-01-03 12:00:00' OR updated_at = TIMESTAMP '2024-01-03 12:00:00' AND id < 'doc:en:500') ORDER BY updated_at DESC, id DESC LIMIT 30")
@@ -158,19 +154,19 @@ def paginate(spark, sf):
     return search.paginate(_bare_docs(spark, sf).where(search.matches(FLAGSHIP)).select("id", "updated_at"), 10).select("id", "rank", "page", "place")
 
 
-@query(f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter_name, id FROM dlat WHERE {w} AND {_STAFF_SQL}" for n, w in SUITE_SQL.items()))
+@query(f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter_name, id FROM dlat WHERE {w} AND {_STAFF_SQL}" for n, (_, w) in SUITE.items()))
 def search_many(spark, sf):
-    return search.search_many(_bare_docs(spark, sf), SUITE, STAFF)
+    return search.search_many(_bare_docs(spark, sf), _SUITE, STAFF)
 
 
-@query(f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter_name, count(*) AS hits FROM dlat WHERE {w} AND visibility = 'public'" for n, w in SUITE_SQL.items()))
+@query(f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter_name, count(*) AS hits FROM dlat WHERE {w} AND visibility = 'public'" for n, (_, w) in SUITE.items()))
 def filter_hits(spark, sf):
-    return search.filter_hits(_bare_docs(spark, sf), SUITE)
+    return search.filter_hits(_bare_docs(spark, sf), _SUITE)
 
 
-@query(f"WITH {DOCS}, m AS (SELECT id FROM dlat WHERE tag = 'helpdesk' OR NOT env = 'live') SELECT id, (SELECT count(*) FROM m) AS count FROM m ORDER BY id LIMIT 25")
+@query(f"WITH {DOCS}, m AS (SELECT id FROM dlat WHERE tag = 'revised' OR NOT env = 'shelf') SELECT id, (SELECT count(*) FROM m) AS count FROM m ORDER BY id LIMIT 25")
 def ids_with_count(spark, sf):
-    return search.search_ids_with_count(_bare_docs(spark, sf), "(|(tag=helpdesk)(!(env=live)))", 25)
+    return search.search_ids_with_count(_bare_docs(spark, sf), "(|(tag=revised)(!(env=shelf)))", 25)
 
 
 @query(f"WITH {DOCS}, p AS (SELECT updated_at, id FROM dlat WHERE {_FLAG_SQL} ORDER BY updated_at DESC, id DESC LIMIT 20) SELECT CASE WHEN count(*) >= 20 THEN strftime(min(updated_at), '%Y-%m-%d %H:%M:%S.%g') END AS updated_at, CASE WHEN count(*) >= 20 THEN arg_min(id, (updated_at, id)) END AS id FROM p")
@@ -237,11 +233,17 @@ def append_revisions(spark, sf):
     return loaders.append_revisions(stored, rows.where("l_partkey % 2 = 1"), order).select("id", "rev", "l_partkey", "l_quantity", "l_extendedprice")
 
 
-@query(f"WITH {EVENTS} SELECT 'entries' AS part, count(*) AS n FROM ent WHERE namespace <> 'ns2' UNION ALL SELECT 'latest', count(*) FROM latest WHERE namespace <> 'ns2' UNION ALL SELECT 'changes', count(*) FROM chg")
+_OWNED = "CASE WHEN user_id % 3 = 0 THEN 'rag' ELSE 'skill' END || ':ns' || (user_id % 5) || ':' || user_id"
+
+
+@query(f"WITH {EVENTS}, c AS (SELECT event_id, {_OWNED} AS id FROM events) SELECT 'entries' AS part, id, rev, NULL AS seq FROM ent WHERE namespace <> 'ns2' UNION ALL SELECT 'latest', id, rev, NULL FROM latest WHERE namespace <> 'ns2' UNION ALL SELECT 'changes', c.id, chg.rev, seq FROM chg JOIN c ON event_id = seq WHERE split_part(c.id, ':', 2) <> 'ns2'")
 def purge(spark, sf):
-    parts = loaders.purge(_events(spark, sf), _latest(spark, sf), _changes(spark, sf), "ns2")
-    counts = [p.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, p in zip(("entries", "latest", "changes"), parts, strict=True)]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """Changes carry ids of the form type:namespace:name, by which those of the namespace go."""
+    users = _t(spark, sf, "events").select(F.col("event_id").alias("seq"), "user_id")
+    named = _changes(spark, sf).drop("id").join(users, "seq").withColumn("id", F.expr(_OWNED)).select(*CHANGE_COLUMNS)
+    parts = loaders.purge(_events(spark, sf), _latest(spark, sf), named, "ns2")
+    rows = [p.select(F.lit(name).alias("part"), "id", "rev", F.col("seq") if name == "changes" else F.lit(None).cast("long").alias("seq")) for name, p in zip(("entries", "latest", "changes"), parts, strict=True)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query(f"WITH {EVENTS} SELECT (SELECT count(*) FROM latest) AS docs, (SELECT max(seq) FROM chg) AS last_seq")
@@ -345,10 +347,10 @@ def distinct_attr_values(spark, sf):
     return index.distinct_attr_values(_bare_docs(spark, sf))
 
 
-_MIXED = "(|(&(type=en)(tag=ledger))(!(|(endpoint=*)(version=1.2))))"
+_MIXED = "(|(&(type=en)(tag=long))(!(|(endpoint=*)(version=1.0))))"
 
 
-@query(f"WITH {DOCS} SELECT id FROM dlat WHERE type = 'en' AND tag = 'ledger' OR NOT (endpoint IS NOT NULL OR coalesce(version = '1.2', false))")
+@query(f"WITH {DOCS} SELECT id FROM dlat WHERE type = 'en' AND coalesce(tag2 = 'long', false) OR NOT (endpoint IS NOT NULL OR coalesce(version = '1.0', false))")
 def eval_on_postings(spark, sf):
     docs = _bare_docs(spark, sf)
     return index.eval_on_postings(index.build_postings(docs), docs, _MIXED)
@@ -472,7 +474,7 @@ def apply_commands_changes(spark, sf):
 # --- views, normalisation, validation ---------------------------------------------------------------------------------
 
 
-@query(f"WITH {DOCS} SELECT id, type, name, namespace, rev, version, description, tag || ';' || capability || ';' || env || ';' || status || ';' || visibility || ';' || coalesce(endpoint, '') || ';' || coalesce(owner, '') AS attrs, 5 + (endpoint IS NOT NULL)::INT + (owner IS NOT NULL)::INT AS n_attrs FROM dlat")
+@query(f"WITH {DOCS} SELECT id, type, name, namespace, rev, version, description, concat_ws(',', tag, tag2) || ';' || capability || ';' || env || ';' || status || ';' || visibility || ';' || coalesce(endpoint, '') || ';' || coalesce(owner, '') AS attrs, 5 + (endpoint IS NOT NULL)::INT + (owner IS NOT NULL)::INT AS n_attrs FROM dlat")
 def cards(spark, sf):
     view = card_view(_docs(spark, sf))
     keys = ["tag", "capability", "env", "status", "visibility", "endpoint", "owner"]
@@ -525,12 +527,12 @@ def export_set_members(spark, sf):
     return exports.export_set_members(_bare_docs(spark, sf))
 
 
-@query(f"WITH {DOCS} SELECT id, type, namespace, env, status, visibility, tag, capability, coalesce(endpoint, '') AS endpoint FROM dlat")
-def export_flat_bare_docs(spark, sf):
+@query(f"WITH {DOCS} SELECT id, type, namespace, env, status, visibility, concat_ws(',', tag, tag2) AS tag, capability, coalesce(endpoint, '') AS endpoint FROM dlat")
+def export_flat_docs(spark, sf):
     return exports.export_flat_docs(_bare_docs(spark, sf)).withColumn("endpoint", F.coalesce("endpoint", F.lit("")))
 
 
-@query(f"WITH {DOCS} SELECT id AS uid, id AS cn, type AS ou, namespace AS o, env AS l, status AS title, visibility AS employeeType, tag AS businessCategory, capability AS departmentNumber, endpoint AS labeledURI FROM dlat")
+@query(f"WITH {DOCS} SELECT id AS uid, id AS cn, type AS ou, namespace AS o, env AS l, status AS title, visibility AS employeeType, concat_ws(',', tag, tag2) AS businessCategory, capability AS departmentNumber, endpoint AS labeledURI FROM dlat")
 def export_directory_attrs(spark, sf):
     lists = ("businessCategory", "departmentNumber", "labeledURI")
     return exports.export_directory_attrs(_bare_docs(spark, sf)).withColumns({c: F.array_join(c, ",") for c in lists})
@@ -540,9 +542,11 @@ def export_directory_attrs(spark, sf):
     SELECT t || ':bench:' || lpad(CAST(i AS VARCHAR), 9, '0') AS id, upper(t) || ' Bench ' || i AS name, ['finance','pdf','docs','search','code','support'][5 * i % 6 + 1] AS tag,
     CASE t WHEN 'rag' THEN ['retrieve','embed','rerank'][i % 3 + 1] ELSE ['summarize','extract','classify'][i % 3 + 1] END AS capability,
     CASE WHEN i % 20 = 0 THEN 'restricted' WHEN i % 8 = 0 THEN 'internal' ELSE 'public' END AS visibility,
-    CASE WHEN i % 20 = 0 THEN ['eng','finance','ops'][11 * i % 3 + 1] END AS allowed_group, 'https://' || t || '.bench.local/' || i AS endpoint FROM k""")
+    CASE WHEN i % 20 = 0 THEN ['eng','finance','ops'][11 * i % 3 + 1] END AS allowed_group, 'https://' || t || '.bench.local/' || i AS endpoint,
+    '{"endpoint":"https://' || t || '.bench.local/' || i || '","protocol":"' || CASE t WHEN 'mcp' THEN 'mcp' ELSE 'http' END || '"}' AS manifest,
+    '{"source":"bench-generate","index":' || i || '}' AS meta, strftime(TIMESTAMP '2026-01-01' + INTERVAL 1 SECOND * (i % 86400), '%Y-%m-%d %H:%M:%S.%g') AS created_at FROM k""")
 def generated_entries(spark, sf):
-    return entries_of(_t(spark, sf, "events").select(F.col("event_id").alias("i"))).select("id", "name", *[_one(k) for k in ("tag", "capability", "visibility", "allowed_group", "endpoint")])
+    return entries_of(_t(spark, sf, "events").select(F.col("event_id").alias("i"))).select("id", "name", *[_one(k) for k in ("tag", "capability", "visibility", "allowed_group", "endpoint")], "manifest", "meta", _time("created_at"))
 
 
 _READ = """

@@ -6,36 +6,53 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import CHANGE_COLUMNS, ENTRY_COLUMNS
 
-TAGS = ("ledger", "paper", "notes", "lookup", "build", "helpdesk")
-CAPABILITIES = ("shorten", "pull", "label")
-ENVIRONMENTS = ("live", "trial", "lab")
-GROUPS = ("core", "money", "field")
-
 
 def pick(number: Column, values: tuple[str, ...]) -> Column:
     """``values[number % len]``."""
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
 
 
-def _attrs(k: Column, tag: Column | None = None, env: Column | None = None) -> Column:
-    seen = F.when(k % 20 == 0, "restricted").when(k % 8 == 0, "internal").otherwise("public")
-    pair = lambda key, values, there=None: F.when(F.lit(True) if there is None else there, F.struct(F.lit(key).alias("k"), values.alias("v")))
-    none = F.array().cast("array<string>")
-    pairs = F.array(
-        pair("tag", F.array(pick(k * 5, TAGS) if tag is None else tag)),
-        pair("capability", F.array(pick(k, CAPABILITIES))),
-        pair("env", F.array(pick(k * 7, ENVIRONMENTS) if env is None else env)),
-        pair("status", F.array(F.lit("active"))),
-        pair("visibility", F.array(seen)),
-        pair("allowed_group", F.array(pick(k * 11, GROUPS)), k % 20 == 0),
-        pair("endpoint", F.array(F.concat(F.lit("https://host/"), k.cast("string"))), k % 7 != 0),
-        pair("owner", F.when(k % 5 == 0, none).otherwise(F.array(F.lit("team")))),
-    )
+def _attrs(**values: Column) -> Column:
+    """Attributes by name, each a list or null for none."""
+    pairs = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), v.alias("v"))) for k, v in values.items()])
     return F.map_from_entries(F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def _version(k: Column) -> Column:
-    return F.when(k % 4 == 0, None).when(k % 4 == 1, "").otherwise(F.concat(F.lit("1."), (k % 4).cast("string")))
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _event_attrs() -> Column:
+    """What kind of event it is, and by its value who may see it."""
+    kind, value, user = F.col("event_type"), F.col("value"), F.col("user_id").cast("string")
+    closed = value >= 90
+    return _attrs(
+        tag=F.array(kind, F.when(value < 10, "small").otherwise("large")),
+        capability=F.when(kind.isin("click", "view"), F.array(F.lit("browse"))).when(kind == "purchase", F.array(F.lit("pay"))),
+        env=F.array(F.date_format("ts", "EEE")),
+        status=F.array(F.when(kind == "error", "disabled").otherwise("active")),
+        visibility=F.array(F.when(closed, "restricted").when(kind == "signup", "internal").otherwise("public")),
+        allowed_group=F.when(closed, F.array(kind)),
+        endpoint=F.when(kind == "click", F.array(F.concat(F.lit("app/"), user))),
+        owner=F.when(kind == "error", _none()).otherwise(F.array(user)),
+    )
+
+
+def _document_attrs(revised: bool) -> Column:
+    """Source and size as tags, the language's group for sources that not all may see."""
+    lang, source, size = F.col("lang"), F.col("source"), F.col("n_chars")
+    closed = source.isin("src3", "src11")
+    length = F.when(size < 700, "short").when(size < 2500, "page").otherwise("long")
+    return _attrs(
+        tag=F.array(F.lit("revised")) if revised else F.array(source, length),
+        capability=F.array(F.when(lang == "en", "quote").otherwise("translate")),
+        env=F.array(F.lit("desk") if revised else F.when(size > 4000, "archive").otherwise("shelf")),
+        status=F.array(F.when(size < 100, "disabled").otherwise("active")),
+        visibility=F.array(F.when(closed, "restricted").when(lang == "es", "internal").otherwise("public")),
+        allowed_group=F.when(closed, F.array(lang)),
+        endpoint=F.when(lang != "fr", F.array(F.concat(source, F.lit("/"), F.col("doc_id").cast("string")))),
+        owner=F.when(lang == "de", _none()).otherwise(F.array(source)),
+    )
 
 
 def _ms(ts: Column) -> Column:
@@ -57,7 +74,8 @@ def entries_from_events(events: DataFrame) -> DataFrame:
     return rows.select(
         "id", "rev", kind.alias("type"), F.concat(F.lit("ns"), (F.col("user_id") % 5).cast("string")).alias("namespace"),
         F.concat(F.lit("User "), user, F.lit(" "), kind).alias("name"), F.concat(kind, F.lit(" by user "), user).alias("description"),
-        _version(k).alias("version"), _attrs(k).alias("attrs"), F.lit(None).cast("string").alias("manifest"), meta.alias("meta"),
+        F.when(kind == "signup", "").when(kind != "error", F.floor(F.col("value") / 10).cast("string")).alias("version"),
+        _event_attrs().alias("attrs"), F.lit(None).cast("string").alias("manifest"), meta.alias("meta"),
         _ms(F.col("ts")).alias("created_at"), _ms(F.col("ts")).alias("updated_at"),
     )
 
@@ -69,20 +87,20 @@ def changes_from_events(events: DataFrame) -> DataFrame:
 
 
 def entries_from_documents(documents: DataFrame) -> DataFrame:
-    """Revision 1 of each document, and revision 2 of every fourth."""
-    k = F.col("doc_id")
-    at = F.timestamp_add("HOUR", (k % 97).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    """Revision 1 of each document, and revision 2 of those in other languages than English."""
+    k, size = F.col("doc_id"), F.col("n_chars")
+    at = F.timestamp_add("HOUR", (size % 97).cast("int"), F.lit("2024-01-01").cast("timestamp"))
 
-    def revision(rows: DataFrame, rev: int, attrs: Column, when: Column) -> DataFrame:
+    def revision(rows: DataFrame, rev: int, when: Column) -> DataFrame:
         return rows.select(
             F.concat(F.lit("doc:"), F.col("lang"), F.lit(":"), k.cast("string")).alias("id"), F.lit(rev).alias("rev"), F.col("lang").alias("type"),
             F.col("source").alias("namespace"), F.concat(F.lit("Document "), k.cast("string")).alias("name"), F.col("text").alias("description"),
-            _version(k).alias("version"), attrs.alias("attrs"), F.lit(None).cast("string").alias("manifest"), F.lit(None).cast("string").alias("meta"),
+            F.when(F.col("lang") == "es", "").when(size >= 700, F.concat(F.floor(size / 1000).cast("string"), F.lit(".0"))).alias("version"),
+            _document_attrs(rev == 2).alias("attrs"), F.lit(None).cast("string").alias("manifest"), F.lit(None).cast("string").alias("meta"),
             when.alias("created_at"), when.alias("updated_at"),
         )
 
-    second = revision(documents.where(k % 4 == 0), 2, _attrs(k, F.lit("helpdesk"), F.lit("live")), F.timestamp_add("DAY", F.lit(1), at))
-    return revision(documents, 1, _attrs(k), at).unionByName(second)
+    return revision(documents, 1, at).unionByName(revision(documents.where("lang <> 'en'"), 2, F.timestamp_add("DAY", F.lit(1), at)))
 
 
 def commands_from_orders(orders: DataFrame) -> DataFrame:
@@ -90,7 +108,7 @@ def commands_from_orders(orders: DataFrame) -> DataFrame:
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
     op = F.when(key % 3 == 0, "set_status").otherwise("publish")
     id_ = F.concat(F.lit("cust:"), F.col("o_custkey").cast("string"), F.when(key % 5 == 0, ":new").otherwise(""))
-    attrs = F.create_map(F.lit("status"), F.array(F.lit("active")), F.lit("tag"), F.array(pick(key * 5, TAGS)))
+    attrs = F.create_map(F.lit("status"), F.array(F.lit("active")), F.lit("tag"), F.array("o_orderpriority"))
     return orders.select(
         key.alias("ord"), op.alias("op"), id_.alias("id"), F.lit("customer").alias("type"), F.lit("shop").alias("namespace"),
         F.concat(F.lit("Order "), key.cast("string")).alias("name"), F.lit("").alias("description"), F.lit(None).cast("string").alias("version"),
@@ -113,10 +131,11 @@ def entries_from_customers(customer: DataFrame) -> DataFrame:
 
 
 def requesters_from_customers(customer: DataFrame) -> DataFrame:
-    """Header-like columns."""
-    k = F.col("c_custkey")
-    groups = pick(k, ("", "core", "money, field", " field ,,core", "law"))
-    return customer.select(F.lit(None).cast("string").alias("authorization"), F.when(k % 4 != 0, k.cast("string")).alias("sub"), groups.alias("groups"), k.alias("requester"))
+    """Header-like columns: groups by market segment, no subject for those in debt."""
+    segment = F.col("c_mktsegment")
+    groups = F.when(segment == "MACHINERY", "en,click").when(segment == "BUILDING", "de, fr").when(segment == "AUTOMOBILE", " fr ,,purchase").when(segment == "HOUSEHOLD", "law").otherwise("")
+    subject = F.when(F.col("c_acctbal") >= 0, F.col("c_custkey").cast("string"))
+    return customer.select(F.lit(None).cast("string").alias("authorization"), subject.alias("sub"), groups.alias("groups"), F.col("c_custkey").alias("requester"))
 
 
 def batch_requests_from_orders(orders: DataFrame) -> DataFrame:
