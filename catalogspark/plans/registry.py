@@ -101,11 +101,6 @@ def _docs(spark, sf):
     return latest.latest_revisions(adapters.entries_from_documents(_t(spark, sf, "documents")), repair=False)
 
 
-def _bare_docs(spark, sf):
-    """Documents as entries without their texts, for what doesn't read these."""
-    return latest.latest_revisions(adapters.entries_from_documents(_t(spark, sf, "documents")).drop("description"), repair=False)
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(search.search(_docs(spark, sf), FLAGSHIP, limit=1000, view=None))
 
@@ -120,7 +115,7 @@ def search_topk(spark, sf):
 
 @query(f"WITH {DOCS} SELECT count(*) AS n FROM (SELECT 1 FROM dlat WHERE {_FLAG_SQL} LIMIT 15)")
 def search_unordered(spark, sf):
-    return search.search(_bare_docs(spark, sf), FLAGSHIP, limit=15, sort="none", view="ids").agg(F.count("*").alias("n"))
+    return search.search(_docs(spark, sf), FLAGSHIP, limit=15, sort="none", view="ids").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE (contains(lower(name), '1%') OR contains(lower(description), 'th') OR contains(lower(name), 'th')) AND visibility = 'public' ORDER BY updated_at DESC, id DESC LIMIT 50")
@@ -151,22 +146,22 @@ def search_cursor_page2(spark, sf):
 
 @query(f"WITH {DOCS}, r AS (SELECT id, row_number() OVER (ORDER BY updated_at DESC, id DESC) - 1 AS rank FROM dlat WHERE {_FLAG_SQL}) SELECT id, rank, rank // 10 AS page, rank % 10 AS place FROM r")
 def paginate(spark, sf):
-    return search.paginate(_bare_docs(spark, sf).where(search.matches(FLAGSHIP)).select("id", "updated_at"), 10).select("id", "rank", "page", "place")
+    return search.paginate(_docs(spark, sf).where(search.matches(FLAGSHIP)).select("id", "updated_at"), 10).select("id", "rank", "page", "place")
 
 
 @query(f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter_name, id FROM dlat WHERE {w} AND {_STAFF_SQL}" for n, (_, w) in SUITE.items()))
 def search_many(spark, sf):
-    return search.search_many(_bare_docs(spark, sf), _SUITE, STAFF)
+    return search.search_many(_docs(spark, sf), _SUITE, STAFF)
 
 
 @query(f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter_name, count(*) AS hits FROM dlat WHERE {w} AND visibility = 'public'" for n, (_, w) in SUITE.items()))
 def filter_hits(spark, sf):
-    return search.filter_hits(_bare_docs(spark, sf), _SUITE)
+    return search.filter_hits(_docs(spark, sf), _SUITE)
 
 
 @query(f"WITH {DOCS}, m AS (SELECT id FROM dlat WHERE tag = 'revised' OR NOT env = 'shelf') SELECT id, (SELECT count(*) FROM m) AS count FROM m ORDER BY id LIMIT 25")
 def ids_with_count(spark, sf):
-    return search.search_ids_with_count(_bare_docs(spark, sf), "(|(tag=revised)(!(env=shelf)))", 25)
+    return search.search_ids_with_count(_docs(spark, sf), "(|(tag=revised)(!(env=shelf)))", 25)
 
 
 @query(f"WITH {DOCS}, p AS (SELECT updated_at, id FROM dlat WHERE {_FLAG_SQL} ORDER BY updated_at DESC, id DESC LIMIT 20) SELECT CASE WHEN count(*) >= 20 THEN strftime(min(updated_at), '%Y-%m-%d %H:%M:%S.%g') END AS updated_at, CASE WHEN count(*) >= 20 THEN arg_min(id, (updated_at, id)) END AS id FROM p")
@@ -295,12 +290,12 @@ def entitlement_pairs(spark, sf):
 
 @query(f"WITH {DOCS}, {REQUESTERS} SELECT requester AS subject, count(*) AS visible FROM req, dlat WHERE {_SEES} GROUP BY requester")
 def entitlement_counts(spark, sf):
-    return entitlements.entitlement_counts(_bare_docs(spark, sf), _requesters(spark, sf))
+    return entitlements.entitlement_counts(_docs(spark, sf), _requesters(spark, sf))
 
 
 @query(f"WITH {DOCS} SELECT visibility AS class, NULL AS allowed_group, count(*) AS entries FROM dlat GROUP BY 1 UNION ALL SELECT 'restricted', allowed_group, count(*) FROM dlat WHERE visibility = 'restricted' GROUP BY 2")
 def visibility_counts(spark, sf):
-    return index.visibility_counts(_bare_docs(spark, sf))
+    return index.visibility_counts(_docs(spark, sf))
 
 
 @query(f"WITH {REQUESTERS} SELECT requester, authenticated, CASE WHEN authenticated THEN CAST(requester AS VARCHAR) END AS subject, array_to_string(list_sort(groups), ',') AS groups FROM req")
@@ -314,37 +309,37 @@ def requesters_parsed(spark, sf):
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT id, kind, scope, key, value FROM tok")
 def tokens(spark, sf):
-    return index.tokens(_bare_docs(spark, sf))
+    return index.tokens(_docs(spark, sf))
 
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT kind, scope, key, value, count(*) AS n FROM tok GROUP BY ALL")
 def postings_size(spark, sf):
-    return index.token_counts(_bare_docs(spark, sf))
+    return index.token_counts(_docs(spark, sf))
 
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT kind, scope, key, value, count(*) AS n FROM tok GROUP BY ALL")
 def packed_postings_size(spark, sf):
-    return index.packed_postings(_bare_docs(spark, sf)).groupBy(*index.TOKEN).agg(F.sum("n").alias("n"))
+    return index.packed_postings(_docs(spark, sf)).groupBy(*index.TOKEN).agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {DOCS}, {TOKENS}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS doc FROM dlat) SELECT kind, scope, key, value, doc FROM tok JOIN n ON n.id = tok.id")
 def packed_postings_members(spark, sf):
-    return index.unpack_postings(index.packed_postings(_bare_docs(spark, sf)))
+    return index.unpack_postings(index.packed_postings(_docs(spark, sf)))
 
 
 @query(f"WITH {DOCS}, {TOKENS}, c AS (SELECT kind, count(*) AS n FROM tok GROUP BY kind, scope, key, value), s AS (SELECT count(*) FILTER (kind = 'eq') AS eq_tokens, count(*) FILTER (kind = 'present') AS presence_tokens, CAST(sum(n) AS BIGINT) AS cardinality FROM c), d AS (SELECT count(*) AS docs FROM dlat) SELECT docs, eq_tokens, presence_tokens, cardinality, (cardinality + docs) * 4 AS memory_approx FROM s, d")
 def index_stats(spark, sf):
-    return index.index_stats(_bare_docs(spark, sf))
+    return index.index_stats(_docs(spark, sf))
 
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT kind, scope, key, value, count(*) AS n FROM tok WHERE scope = 'attr' AND key IN ('tag', 'env', 'owner') GROUP BY ALL")
 def attr_value_counts(spark, sf):
-    return index.attr_value_counts(_bare_docs(spark, sf), ["tag", "env", "owner"])
+    return index.attr_value_counts(_docs(spark, sf), ["tag", "env", "owner"])
 
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT key, count(DISTINCT value) AS values FROM tok WHERE scope = 'attr' AND kind = 'eq' GROUP BY key")
 def distinct_attr_values(spark, sf):
-    return index.distinct_attr_values(_bare_docs(spark, sf))
+    return index.distinct_attr_values(_docs(spark, sf))
 
 
 _MIXED = "(|(&(type=en)(tag=long))(!(|(endpoint=*)(version=1.0))))"
@@ -352,7 +347,7 @@ _MIXED = "(|(&(type=en)(tag=long))(!(|(endpoint=*)(version=1.0))))"
 
 @query(f"WITH {DOCS} SELECT id FROM dlat WHERE type = 'en' AND coalesce(tag2 = 'long', false) OR NOT (endpoint IS NOT NULL OR coalesce(version = '1.0', false))")
 def eval_on_postings(spark, sf):
-    docs = _bare_docs(spark, sf)
+    docs = _docs(spark, sf)
     return index.eval_on_postings(index.build_postings(docs), docs, _MIXED)
 
 
@@ -524,18 +519,18 @@ def status_validated(spark, sf):
 
 @query(f"WITH {DOCS}, {TOKENS} SELECT kind, 'bench:' || CASE kind WHEN 'eq' THEN 'eq:' ELSE 'pr:' END || scope || ':' || key || coalesce(':' || replace(replace(replace(value, ':', '%3A'), '/', '%2F'), ' ', '%20'), '') AS set_key, id FROM tok UNION ALL SELECT 'universe', 'bench:universe', id FROM dlat")
 def export_set_members(spark, sf):
-    return exports.export_set_members(_bare_docs(spark, sf))
+    return exports.export_set_members(_docs(spark, sf))
 
 
 @query(f"WITH {DOCS} SELECT id, type, namespace, env, status, visibility, concat_ws(',', tag, tag2) AS tag, capability, coalesce(endpoint, '') AS endpoint FROM dlat")
 def export_flat_docs(spark, sf):
-    return exports.export_flat_docs(_bare_docs(spark, sf)).withColumn("endpoint", F.coalesce("endpoint", F.lit("")))
+    return exports.export_flat_docs(_docs(spark, sf)).withColumn("endpoint", F.coalesce("endpoint", F.lit("")))
 
 
 @query(f"WITH {DOCS} SELECT id AS uid, id AS cn, type AS ou, namespace AS o, env AS l, status AS title, visibility AS employeeType, concat_ws(',', tag, tag2) AS businessCategory, capability AS departmentNumber, endpoint AS labeledURI FROM dlat")
 def export_directory_attrs(spark, sf):
     lists = ("businessCategory", "departmentNumber", "labeledURI")
-    return exports.export_directory_attrs(_bare_docs(spark, sf)).withColumns({c: F.array_join(c, ",") for c in lists})
+    return exports.export_directory_attrs(_docs(spark, sf)).withColumns({c: F.array_join(c, ",") for c in lists})
 
 
 @query("""WITH i AS (SELECT event_id AS i FROM events), k AS (SELECT i, CASE WHEN i % 10 < 6 THEN 'skill' WHEN i % 10 < 8 THEN 'rag' ELSE 'mcp' END AS t FROM i)
@@ -621,7 +616,7 @@ def stream_changes_feed(spark, sf):
 def stream_latest(spark, sf):
     out, entries = shared_path(spark, "latest"), streams.write_by_bucket(_events(spark, sf), shared_path(spark, "entries"))
     streams.stream_latest(streams.read_changes(spark, _change_files(spark, sf), 2), entries, out, shared_path(spark, "latest-state"), once=True).awaitTermination()
-    return _flat(streams.BucketedTable(spark, out, ENTRY_SCHEMA).before())
+    return _flat(streams.latest_table(spark, out).rows())
 
 
 @query(f"WITH {EVENTS}, dlat AS (SELECT * FROM latest), {TOKENS} SELECT id, kind, scope, key, value FROM tok")
@@ -630,4 +625,4 @@ def stream_postings(spark, sf):
     entries = streams.write_by_bucket(_events(spark, sf), shared_path(spark, "entries"))
     changes = streams.read_changes(spark, _change_files(spark, sf), 2)
     streams.stream_postings(changes, entries, held, out, shared_path(spark, "postings-state"), once=True).awaitTermination()
-    return streams.BucketedTable(spark, out, streams.POSTING_SCHEMA).before()
+    return streams.postings_table(spark, out).rows().drop("rev")

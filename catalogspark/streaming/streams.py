@@ -1,27 +1,24 @@
 """The change feed, the latest table and the postings kept current by Structured Streaming.
 
-No watermark: late and repeated changes are safe because a lower revision never replaces a higher one. Tables are kept by
-buckets of ids: each micro-batch rewrites the buckets of the ids that it names under its batch id, from the newest
-version before it, so a batch that runs again does no harm."""
+No watermark: late and repeated changes are safe because a lower revision never replaces a higher one. Tables are
+:class:`~catalogspark.sources.runs.RunTable`: a micro-batch writes the rows of the ids that it names and reads none of
+what the table has; a batch that runs again does no harm."""
 
 from __future__ import annotations
 
-from collections.abc import Collection
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.access import visible_to
-from ..operators.index import TOKEN, apply_postings_delta, postings_delta
-from ..operators.latest import merge_latest
+from ..operators.index import TOKEN, tokens
+from ..operators.latest import newest
 from ..schema import ANONYMOUS, CHANGE_COLUMNS, CHANGE_SCHEMA, ENTRY_COLUMNS, ENTRY_SCHEMA, Requester
-from ..sources.storage import delete
+from ..sources.runs import RunTable
 
-#: Parts of a table that a batch rewrites one by one.
-BUCKETS = 64
-POSTING_SCHEMA = "id string, kind string, scope string, key string, value string"
+#: Entries of a bucket on average, and buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 500_000, 65_536
+POSTING_SCHEMA = "id string, rev int, kind string, scope string, key string, value string"
 
 
 def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -34,82 +31,36 @@ def stream_changes_feed(changes: DataFrame, entries: DataFrame, requester: Reque
     return changes.join(entries.select("id", "rev", "attrs"), ["id", "rev"]).where(visible_to(requester)).select(*CHANGE_COLUMNS)
 
 
-def bucket_of(id_: Column) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(BUCKETS)).cast("int")
-
-
-def _with_bucket(schema: StructType) -> StructType:
-    return StructType([*schema.fields, StructField("bucket", IntegerType())])
-
-
-def write_by_bucket(table: DataFrame, path: str) -> DataFrame:
-    """``table(id, ...)`` written with a column ``bucket`` that its files are parted by, so that a batch reads its ids' alone."""
-    table.withColumn("bucket", bucket_of(F.col("id"))).repartition("bucket").write.partitionBy("bucket").parquet(path)
-    return table.sparkSession.read.schema(_with_bucket(table.schema)).parquet(path)
-
-
-class BucketedTable:
-    """Versions of a table below one folder: each batch writes the buckets of ids that it touches, and a list of which
-    batch wrote each bucket last. Buckets that neither the newest version nor the one before it needs are removed."""
-
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-
-    def _lists(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("bucket int, version long, batch long").parquet(f"{self.path}/lists")
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-
-    def versions(self, batch: int | None = None) -> dict[int, int]:
-        """The batch that wrote each bucket (BUCKETS at most) last, of all or of those before a batch."""
-        lists = self._lists()
-        if lists is None:
-            return {}
-        known = lists if batch is None else lists.where(F.col("batch") < batch)
-        last = known.agg(F.max("batch")).first()[0]
-        return {} if last is None else {r["bucket"]: r["version"] for r in known.where(F.col("batch") == last).collect()}
-
-    def before(self, batch: int | None = None, buckets: Collection[int] | None = None) -> DataFrame:
-        """The newest version, or the newest before a batch; all of it or some buckets. Empty if there is none."""
-        paths = [f"{self.path}/rows/{v}/bucket={b}" for b, v in sorted(self.versions(batch).items()) if buckets is None or b in buckets]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def write(self, table: DataFrame, batch: int, buckets: Collection[int]) -> None:
-        """The rows that the touched buckets have from this batch on; a batch that runs again writes the same again."""
-        old = self.versions(batch)
-        rows = table.select(*self.schema.fieldNames()).withColumn("bucket", bucket_of(F.col("id")))
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/{batch}")
-        # a bucket without rows has no folder
-        there = {r["bucket"] for r in self.spark.read.schema(_with_bucket(self.schema)).parquet(f"{self.path}/rows/{batch}").select("bucket").distinct().collect()}
-        new = {b: v for b, v in old.items() if b not in buckets} | {b: batch for b in buckets if b in there}
-        made = self.spark.createDataFrame([(b, v) for b, v in sorted(new.items())], "bucket int, version long").coalesce(1)
-        made.write.mode("overwrite").parquet(f"{self.path}/lists/batch={batch}")
-        self._expire(batch, old)
-
-    def _expire(self, batch: int, old: dict[int, int]) -> None:
-        lists = self._lists().where(F.col("batch") < batch)
-        done = [r["batch"] for r in lists.select("batch").distinct().orderBy(F.desc("batch")).limit(3).collect()]
-        if len(done) < 2:
-            return
-        for r in lists.where(F.col("batch") == done[1]).collect():  # the list before the one that ``batch`` started from
-            if old.get(r["bucket"]) != r["version"]:
-                delete(self.spark, f"{self.path}/rows/{r['version']}/bucket={r['bucket']}")
-        for number in done[1:]:
-            delete(self.spark, f"{self.path}/lists/batch={number}")
-
-
-def _named(batch: DataFrame, entries: DataFrame) -> tuple[DataFrame, list[int]]:
-    """The newest revision of each id that a batch names, and their buckets; changes without a revision are passed over.
-    Of entries written by bucket only these are read."""
-    asked = batch.select("id", "rev").distinct()
-    buckets = sorted(r["b"] for r in asked.select(bucket_of(F.col("id")).alias("b")).distinct().collect())  # BUCKETS at most
-    known = entries.where(F.col("bucket").isin(*buckets)) if "bucket" in entries.columns and buckets else entries
-    rows = asked.join(known, ["id", "rev"]).select(*ENTRY_COLUMNS)
-    return rows.groupBy("id").agg(F.max_by(F.struct(*ENTRY_COLUMNS), "rev").alias("r")).select("r.*"), buckets
+def bucket_of(id_: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int")
+
+
+def write_by_bucket(table: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``table(id, ...)`` written in as many buckets of ids as its size asks for, so that a batch reads its ids' alone.
+    Their number stands in the path, in a column ``buckets``."""
+    buckets = min(MOST_BUCKETS, max(1, -(-table.count() // bucket_rows)))
+    parted = table.withColumns({"buckets": F.lit(buckets), "bucket": bucket_of(F.col("id"), buckets)})
+    parted.repartition("bucket").write.partitionBy("buckets", "bucket").parquet(path)
+    schema = StructType([*table.schema.fields, StructField("buckets", IntegerType()), StructField("bucket", IntegerType())])
+    return table.sparkSession.read.schema(schema).parquet(path)
+
+
+class _Revisions:
+    """Entries by (id, rev), of which a batch reads only the buckets that it names, where they are written by bucket."""
+
+    def __init__(self, entries: DataFrame):
+        self.entries = entries
+        first = entries.select("buckets").first() if "buckets" in entries.columns else None
+        self.buckets = first[0] if first else None
+
+    def named(self, batch: DataFrame) -> DataFrame:
+        """The newest revision of each id that a batch names; changes without a revision are passed over."""
+        asked = batch.select("id", "rev").distinct()
+        known = self.entries
+        if self.buckets:
+            numbers = asked.select(bucket_of(F.col("id"), self.buckets).alias("b")).distinct().collect()  # MOST_BUCKETS at most
+            known = known.where(F.col("bucket").isin(*[r["b"] for r in numbers])) if numbers else known.limit(0)
+        return newest(asked.join(known, ["id", "rev"]).select(*ENTRY_COLUMNS), ["rev"]).select(*ENTRY_COLUMNS)
 
 
 def _started(changes: DataFrame, each, checkpoint: str, once: bool) -> StreamingQuery:
@@ -117,29 +68,38 @@ def _started(changes: DataFrame, each, checkpoint: str, once: bool) -> Streaming
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()
 
 
+def latest_table(spark: SparkSession, path: str) -> RunTable:
+    return RunTable(spark, path, ENTRY_SCHEMA)
+
+
+def postings_table(spark: SparkSession, path: str) -> RunTable:
+    """Tokens of an id's newest revision; those of older ones are passed over when the table is read."""
+    return RunTable(spark, path, POSTING_SCHEMA)
+
+
 def stream_latest(changes: DataFrame, entries: DataFrame, out_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the latest table, a :class:`BucketedTable` at ``out_path``, current."""
-    table = BucketedTable(entries.sparkSession, out_path, ENTRY_SCHEMA)
+    """Keep the latest table, a :func:`latest_table` at ``out_path``, current."""
+    table, revisions = latest_table(entries.sparkSession, out_path), _Revisions(entries)
 
     def each(batch: DataFrame, number: int) -> None:
-        named, buckets = _named(batch, entries)
-        table.write(merge_latest(table.before(number, buckets), named), number, buckets)
+        slim = batch.select("id", "rev").persist()
+        table.upsert(revisions.named(slim), number)
+        slim.unpersist()
 
     return _started(changes, each, checkpoint, once)
 
 
 def stream_postings(changes: DataFrame, entries: DataFrame, latest_path: str, postings_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the latest table and its postings, by the same buckets, current: each batch applies the tokens that its ids
-    lose and gain."""
-    spark = entries.sparkSession
-    latest, postings = BucketedTable(spark, latest_path, ENTRY_SCHEMA), BucketedTable(spark, postings_path, POSTING_SCHEMA)
+    """Keep the latest table and its postings, a :func:`postings_table`, current."""
+    spark, revisions = entries.sparkSession, _Revisions(entries)
+    latest, postings = latest_table(spark, latest_path), postings_table(spark, postings_path)
 
     def each(batch: DataFrame, number: int) -> None:
-        named, buckets = _named(batch, entries)
-        old = latest.before(number, buckets)
-        named = named.join(old.select("id", F.col("rev").alias("_r")), "id", "left").where("_r is null or _r <= rev").drop("_r")
-        delta = postings_delta(old, named.select(*ENTRY_COLUMNS))
-        postings.write(apply_postings_delta(postings.before(number, buckets), delta), number, buckets)
-        latest.write(merge_latest(old, named.select(*ENTRY_COLUMNS)), number, buckets)
+        slim = batch.select("id", "rev").persist()
+        named = revisions.named(slim).persist()
+        postings.upsert(tokens(named, "rev").select("id", "rev", *TOKEN), number)
+        latest.upsert(named, number)
+        named.unpersist()
+        slim.unpersist()
 
     return _started(changes, each, checkpoint, once)

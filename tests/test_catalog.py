@@ -1,5 +1,8 @@
 import json
+import re
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from catalogspark.operators import benchreport, feed, index, latest, numbering,
 from catalogspark.schema import ANONYMOUS, ENTRY_COLUMNS, ENTRY_SCHEMA, Requester, State
 from catalogspark.sources import loaders
 from catalogspark.sources.generate import generate_entries, seed_entries
+from catalogspark.sources.runs import RunTable
 from catalogspark.sources.storage import shared_path
 from catalogspark.streaming import streams
 
@@ -173,30 +177,80 @@ def test_stream_order_does_not_matter(spark):
         for g in groups:
             spark.createDataFrame([(s, i, r, None, "publish") for s, i, r in g], streams.CHANGE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
         streams.stream_latest(streams.read_changes(spark, path, 1), seed, out, shared_path(spark, "state"), once=True).awaitTermination()
-        results.append(sorted((r.id, r.rev) for r in streams.BucketedTable(spark, out, ENTRY_SCHEMA).before().collect()))
+        results.append(sorted((r.id, r.rev) for r in streams.latest_table(spark, out).rows().collect()))
     assert results[0] == results[1] == results[2] == [("mcp:acme:code-search", 1), ("skill:acme:pdf-summarize", 2)]
 
 
-def test_a_batch_rewrites_the_buckets_that_it_names(spark):
+def _run_files(path):
+    """(run, rows) of the runs that are there."""
+    root = Path(path) / "runs"
+    return {p.name: sum(pq.read_metadata(f).num_rows for f in p.glob("*.parquet")) for p in root.iterdir()} if root.exists() else {}
+
+
+def test_a_batch_writes_its_own_rows(spark, tmp_path):
     entries = generate_entries(spark, 400)
     ids = [r.id for r in entries.select("id").collect()]
-    out = shared_path(spark, "out")
-    table = streams.BucketedTable(spark, out, ENTRY_SCHEMA)
-    every = range(streams.BUCKETS)
-    table.write(entries, 0, every)
-    assert set(table.versions().values()) == {0} and table.before().count() == 400
-    want = {i: 1 for i in ids}
-    for number in range(1, 7):
-        touched = ids[number * 3 : number * 3 + 3]
+    table = RunTable(spark, str(tmp_path), ENTRY_SCHEMA, fanout=3)
+    table.upsert(entries, 0)
+    want = dict.fromkeys(ids, 1)
+    written = 0
+    for number in range(1, 14):
+        touched = ids[number * 3 : number * 3 + 6]  # three of the batch before and three others
         new = entries.where(F.col("id").isin(*touched)).withColumn("rev", F.lit(number + 1))
-        buckets = {r.b for r in new.select(streams.bucket_of(F.col("id")).alias("b")).collect()}
         for _ in range(2):  # a batch that runs again does the same
-            table.write(latest.merge_latest(table.before(number, buckets), new), number, buckets)
+            table.upsert(new, number)
             want |= dict.fromkeys(touched, number + 1)
-            assert {r.id: r.rev for r in table.before().collect()} == want
-        assert {b for b, v in table.versions().items() if v == number} == buckets
-    versions = [r.version for r in table._lists().select("version", "batch").collect()]
-    assert len(versions) <= 3 * streams.BUCKETS
+            assert {r.id: r.rev for r in table.rows().collect()} == want
+        assert len(table._read([r for r in table.runs() if r.run == f"{number}-0"]).collect()) in (0, 6)
+        written += 6
+    runs = table.runs()
+    assert len(runs) <= 2 * 4 and max(r.level for r in runs) >= 2 and sum(r.rows for r in runs) < 400 + written
+    assert {r.run for r in runs} <= _run_files(tmp_path).keys() and len(_run_files(tmp_path)) <= 2 * len(runs) + 3
+    assert all(_run_files(tmp_path)[r.run] == r.rows for r in runs)
+    assert len(list((tmp_path / "lists").glob("batch=*"))) <= 3
+    assert [r.rev for r in table.row(ids[4]).collect()] == [want[ids[4]]] and table.row("nobody").count() == 0
+    assert {r.id: r.rev for r in table.rows(13).collect()} != want  # as it was before the last batch
+
+
+def test_later_batches_win_among_equal_revisions(spark, tmp_path):
+    seed = seed_entries(spark).limit(1)
+    table = RunTable(spark, str(tmp_path), ENTRY_SCHEMA, fanout=2)
+    assert table.rows().count() == 0
+    for number, (rev, name) in enumerate([(3, "a"), (3, "b"), (2, "c"), (3, "d"), (1, "e")]):
+        table.upsert(seed.withColumns({"rev": F.lit(rev), "name": F.lit(name)}), number)
+        assert [r.name for r in table.rows().collect()] == [["a", "b", "b", "d", "d"][number]]
+
+
+def test_postings_of_the_newest_revision_alone(spark, tmp_path):
+    seed = seed_entries(spark)
+    table = streams.postings_table(spark, str(tmp_path))
+    for number, rev in enumerate((1, 2, 1)):
+        table.upsert(index.tokens(seed.where(F.col("rev") == rev), "rev").select("id", "rev", *index.TOKEN), number)
+        table.fanout = 2
+    got = sorted(map(tuple, table.rows().select("id", *index.TOKEN).collect()), key=str)
+    assert got == sorted(map(tuple, index.tokens(latest.latest_revisions(seed)).select("id", *index.TOKEN).collect()), key=str)
+
+
+def test_entries_are_bucketed_by_their_number(spark, tmp_path):
+    got = streams.write_by_bucket(generate_entries(spark, 100), str(tmp_path / "e"), bucket_rows=10)
+    assert got.select("buckets").distinct().collect()[0][0] == 10 and got.count() == 100
+    assert 1 < got.select("bucket").distinct().count() <= 10
+    log = spark.createDataFrame([("skill:bench:000000001", 1), ("skill:bench:000000001", 2), ("nobody", 1)], "id string, rev int")
+    assert [r.rev for r in streams._Revisions(got).named(log).collect()] == [1]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_and_columns_reach_the_scan(spark, tmp_path):
+    generate_entries(spark, 50).write.parquet(str(tmp_path / "e"))
+    newest = latest.latest_revisions(spark.read.parquet(str(tmp_path / "e")))
+    plan = _plan(reads.get_latest(newest, "skill:bench:000000001"))
+    scans = re.findall(r"FileScan parquet.*", plan)
+    assert len(scans) == 2 and all("EqualTo(id,skill:bench:000000001)" in x for x in scans)
+    hits = re.findall(r"FileScan parquet.*ReadSchema: (\S+)", _plan(search.filter_hits(newest, {"a": "(tag=pdf)"})))
+    assert len(hits) == 2 and not any("description" in x or "manifest" in x or "name" in x for x in hits)
 
 
 def test_change_log_is_numbered_when_asked_for(spark, monkeypatch):
