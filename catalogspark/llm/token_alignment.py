@@ -32,6 +32,8 @@ from .tables import scratch, stored
 BROADCAST_PAIRS = 1 << 20
 #: Stretches, and characters of them, that a worker keeps besides those of the texts it is at.
 KEPT, KEPT_CHARS = 250_000, 1 << 23
+#: New stretches that are encoded in one call.
+TOGETHER = 64
 #: Characters of text that are worked on together.
 CHARS_AT_ONCE = 1 << 20
 
@@ -122,9 +124,11 @@ class Aligner:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for t, k in self.a.get_vocab(with_added_tokens=False).items():
             self.a_bytes[k] = bytes(letters[c] for c in t) if all(c in letters for c in t) else b""
+        self.a_sizes = np.fromiter(map(len, self.a_bytes), np.int64)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(_MARK, " ").encode() for k, p in enumerate(pieces)]
         self.b_ids = len(pieces)
+        self.b_sizes = np.fromiter(map(len, self.b_bytes), np.int64)
         self.mark = self.b.piece_to_id(_MARK)
         several = [p.replace(_MARK, " ") for k, p in enumerate(pieces) if not self.b.is_byte(k) and len(p) > 1]
         #: whether no piece goes on with a blank, and white space that is part of longer pieces: texts with it aren't cut
@@ -139,6 +143,7 @@ class Aligner:
         self.at: dict[str, int] = {}
         self.chars = 0
         self.groups: list[str] = []
+        self.uses = np.zeros(0, np.int64)
         self.numbers = np.zeros((0, len(NUMBERS)), np.int64)
         self.pairs, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.rare, self.rare_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -155,36 +160,48 @@ class Aligner:
         whole = " " + text
         return _STRETCH.findall(whole) if self.cuts_at_space and not self.odd.search(whole) else [whole]
 
-    def _encoded(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a: list = [self.ranked.encode_ordinary(s) if self.ranked and _COMMON.fullmatch(s) else None for s in stretches]
-        others = [k for k, ids in enumerate(a) if ids is None]
-        for k, coded in zip(others, self.a.encode_batch_fast([stretches[k] for k in others], add_special_tokens=False), strict=True):
-            a[k] = coded.ids
-        # the processor puts a blank before each; what doesn't begin with one gets it as a mark of its own
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
-        return a, [[self.mark] if s == " " else ids if s[0] == " " else ids[1:] for s, ids in zip(stretches, b, strict=True)]
-
-    def _same(self, stretches: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
-        both = [(b"".join([parts[k] for own in ids for k in own])) for ids, parts in ((a, self.a_bytes), (b, self.b_bytes))]
-        if both[0] == both[1] == "".join(stretches).encode():
-            # then each is alike, as no token of one stretch takes a byte of the next: lengths tell
-            size = lambda ids, parts: [sum(len(parts[k]) for k in own) for own in ids]
-            raw = [len(s) if s.isascii() else len(s.encode()) for s in stretches]
-            return [x == y == z for x, y, z in zip(size(a, self.a_bytes), size(b, self.b_bytes), raw, strict=True)]
-        joined = lambda ids, parts: b"".join([parts[k] for k in ids])
-        return [joined(x, self.a_bytes) == joined(y, self.b_bytes) == s.encode() for s, x, y in zip(stretches, a, b, strict=True)]
+    def _encode(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of some stretches behind each other. Neither tokenizer merges over their ends, so these are the ids of each."""
+        a = self.ranked.encode_ordinary(text) if self.ranked and _COMMON.fullmatch(text) else self.a.encode(text, add_special_tokens=False).ids
+        if text == " ":
+            return a, [self.mark]
+        # the processor puts a blank before the text: the text's own, or a mark that isn't of the text
+        return a, self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+
+    def _right(self, text: str, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)) == text.encode()
+
+    def _encoded(self, stretches: list[str]) -> tuple[list[str], int, list[int], list[int]]:
+        """(the stretches in a new order, the wrong ones last; how many are right; the ids of the right ones)."""
+        runs: dict[bool, list[str]] = {True: [], False: []}
+        alone = []
+        for s in stretches:
+            # white space alone ends a text; long stretches are texts of their own
+            (alone if not self.cuts_at_space or s[-1].isspace() or len(s) > 100 else runs[_COMMON.fullmatch(s) is not None]).append(s)
+        together = [own[k : k + TOGETHER] for own in runs.values() for k in range(0, len(own), TOGETHER)] + [[s] for s in alone]
+        right, wrong, id_a, id_b = [], [], [], []
+        while together:
+            own = together.pop()
+            a, b = self._encode(text := "".join(own))
+            if self._right(text, a, b):
+                right += own
+                id_a += a
+                id_b += b
+            elif len(own) == 1:
+                wrong += own
+            else:
+                together += [[s] for s in own]
+        return right + wrong, len(right), id_a, id_b
 
     def _learn(self, stretches: list[str]) -> None:
         if not stretches:
             return
-        a, b = self._encoded(stretches)
-        good = self._same(stretches, a, b)
-        a, b = ([ids if ok else [] for ids, ok in zip(own, good, strict=True)] for own in (a, b))
-        n_a, n_b = (np.fromiter(map(len, own), np.int64, len(stretches)) for own in (a, b))
-        of_a, of_b = (np.repeat(np.arange(len(stretches)), n) for n in (n_a, n_b))
-        id_a, id_b = (np.fromiter(chain.from_iterable(own), np.int64) for own in (a, b))
-        # stretches behind each other on one axis of bytes, of which each ends with tokens of both
-        end_a, end_b = (np.cumsum([len(parts[k]) for k in ids.tolist()], dtype=np.int64) for ids, parts in ((id_a, self.a_bytes), (id_b, self.b_bytes)))
+        stretches, n, id_a, id_b = self._encoded(stretches)
+        # stretches behind each other on one axis of bytes; each ends with tokens of both
+        id_a, id_b = np.array(id_a, np.int64), np.array(id_b, np.int64)
+        end_a, end_b = np.cumsum(self.a_sizes[id_a]), np.cumsum(self.b_sizes[id_b])
+        ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in stretches[:n]], dtype=np.int64)
+        to_a, to_b = np.searchsorted(end_a, ends) + 1, np.searchsorted(end_b, ends) + 1
         cut_a, cut_b = slices(end_a, end_b)
         link_a, link_b = links(end_a, end_b)
         last_a, last_b = np.zeros(len(id_a), np.int64), np.zeros(len(id_b), np.int64)
@@ -192,15 +209,18 @@ class Aligner:
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         word = np.concatenate([id_a + last_a * len(self.a_bytes), 2 * len(self.a_bytes) + id_b + last_b * self.b_ids])
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-        words = [self.words[k] for k in word[order].tolist()]
-        ends = np.cumsum(n_a + n_b).tolist()
-        self.groups += ["".join(words[x:y])[:-1] for x, y in zip([0, *ends], ends, strict=False)]
-
-        per = lambda of: np.bincount(of, minlength=len(stretches)).astype(np.int64)
-        n_links = per(of_a[link_a])
-        known = [n_a, n_b, per(of_a[cut_a - 1]), n_links, np.zeros_like(n_a), np.zeros_like(n_a), ~np.array(good)]
+        words = list(map(self.words.__getitem__, word[order].tolist()))
+        to = (to_a + to_b).tolist()
+        self.groups += ["".join(words[x:y])[:-1] for x, y in zip([0, *to], to, strict=False)] + [""] * (len(stretches) - n)
+
+        rest = np.zeros(len(stretches) - n, np.int64)
+        each = lambda to: np.concatenate([np.diff(to, prepend=0), rest])
+        n_links = each(np.searchsorted(link_a, to_a))
+        nothing = np.zeros(len(stretches), np.int64)
+        known = [each(to_a), each(to_b), each(np.searchsorted(cut_a, to_a, "right")), n_links, nothing, nothing, np.concatenate([nothing[:n], rest + 1])]
         first = len(self.numbers)
         self.numbers = np.concatenate([self.numbers, np.stack(known, axis=1)])
+        self.uses = np.concatenate([self.uses, nothing])
         self.pairs = np.concatenate([self.pairs, self.pair(id_a[link_a], id_b[link_b])])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n_links)])
         self.at.update(zip(stretches, range(first, first + len(stretches)), strict=True))
@@ -208,6 +228,24 @@ class Aligner:
         if self.counts is not None:
             self._weigh(first)
 
+    def _forget(self) -> None:
+        """Keep the stretches that were met again, if that makes room."""
+        stay = self.uses > 1
+        kept = [s for s, k in self.at.items() if stay[k]]
+        if len(kept) > KEPT // 2 or sum(map(len, kept)) > KEPT_CHARS // 2:
+            self.clear()
+            return
+        rows = np.flatnonzero(stay)
+        number = np.cumsum(stay) - 1
+        self.at = {s: int(number[self.at[s]]) for s in kept}
+        self.chars = sum(map(len, kept))
+        self.groups = [self.groups[k] for k in rows]
+        pooled = lambda pool, ends: (_gathered(pool, ends, rows)[0], np.concatenate([[0], np.cumsum(ends[rows + 1] - ends[rows])]))
+        self.pairs, self.ends = pooled(self.pairs, self.ends)
+        if self.counts is not None:
+            self.rare, self.rare_ends = pooled(self.rare, self.rare_ends)
+        self.numbers, self.uses = self.numbers[rows], self.uses[rows] // 2
+
     def pair(self, a, b):
         """A pair of ids as one number."""
         return a * self.b_ids + b
@@ -227,10 +265,12 @@ class Aligner:
     def place(self, texts: list[str]) -> list[list[int]]:
         """The stretches of each text by number; the numbers hold until the next call."""
         if len(self.at) > KEPT or self.chars > KEPT_CHARS:
-            self.clear()
+            self._forget()
         cut = [self.stretches(t) if t else [] for t in texts]
-        self._learn(list({s for own in cut for s in own} - self.at.keys()))
-        return [[self.at[s] for s in own] for own in cut]
+        self._learn(list(set(chain.from_iterable(cut)) - self.at.keys()))
+        placed = [list(map(self.at.__getitem__, own)) for own in cut]
+        self.uses += np.bincount(np.fromiter(chain.from_iterable(placed), np.int64), minlength=len(self.uses))
+        return placed
 
     def sums(self, placed: list[list[int]]) -> np.ndarray:
         """A row of NUMBERS for each text, zeros but for ``wrong`` where a stretch is wrong."""

@@ -103,3 +103,22 @@ def test_query(spark, coders):
         w = want[r.doc_id]
         assert tuple(r)[1:7] == w[:6]
         assert r.groups_sha256 == (hashlib.sha256(w[6].encode()).hexdigest() if w[6] else "")
+
+
+def test_what_is_forgotten_comes_back_the_same(coders, monkeypatch):
+    """With little room most stretches are forgotten between runs, those met again stay."""
+    import catalogspark.llm.token_alignment as module
+
+    monkeypatch.setattr(module, "KEPT", 12)
+    aligner = module.Aligner(A, B)
+    texts = [t for t in TEXTS if t] + ["plain words again", "more plain words"]
+    want = {t: r for t, r in zip(texts, by_hand(coders, texts), strict=True)}
+    for round_ in range(3):
+        for k in range(0, len(texts), 5):
+            some = texts[k : k + 5]
+            placed = aligner.place(some)
+            numbers = aligner.sums(placed)
+            for text, own, row in zip(some, placed, numbers, strict=True):
+                groups = "" if row[-1] else ";".join(aligner.groups[n] for n in own)
+                assert (*row[:4], groups) == (*want[text][:4], want[text][6]), (round_, text)
+        assert len(aligner.at) < 40
