@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.access import groups_of, visibility_of, visible_to
-from ..functions.filters import Leaf, filter_leaves, read_filter
+from ..functions.filters import Leaf, any_of, filter_leaves, read_filter
 from ..functions.normalize import VIEWS
 from ..schema import ANONYMOUS, TOP_COLUMNS, Requester
 from .numbering import number_rows
@@ -35,24 +35,55 @@ def build_postings(latest: DataFrame) -> DataFrame:
     return tokens(latest)
 
 
-def packed_postings(latest: DataFrame) -> DataFrame:
-    """(token, bucket, bitmap, n): documents numbered by id, 32768 to a bucket, so no token is gathered whole."""
-    numbered = number_rows(latest, ["id"], "doc")
-    grouped = tokens(numbered, "doc").groupBy(*TOKEN, F.bitmap_bucket_number("doc").alias("bucket"))
+def number_documents(latest: DataFrame) -> DataFrame:
+    """``latest`` with ``doc``, each document's place in order of id."""
+    return number_rows(latest, ["id"], "doc")
+
+
+def _bitmaps(rows: DataFrame, *key: str) -> DataFrame:
+    """(key, bucket, bitmap, n) of ``rows(key, doc)``: 32768 documents to a bucket, so no key is gathered whole."""
+    grouped = rows.groupBy(*key, F.bitmap_bucket_number("doc").alias("bucket"))
     return grouped.agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc")).alias("bitmap")).withColumn("n", F.bitmap_count("bitmap"))
 
 
-def unpack_postings(packed: DataFrame) -> DataFrame:
-    """(token, doc) from packed postings: the numbers of the bits that are set."""
-    # two levels, so that the empty stretches of a bitmap are passed over: pieces of 64 octets, then octets
-    pieces = F.regexp_extract_all(F.hex("bitmap"), F.lit("(.{128})"), F.lit(1))
-    rows = packed.select(*TOKEN, "bucket", F.posexplode(pieces).alias("piece", "octets")).where(F.col("octets") != "0" * 128)
-    octets = F.regexp_extract_all("octets", F.lit("(..)"), F.lit(1))
-    rows = rows.select(*TOKEN, "bucket", "piece", F.posexplode(octets).alias("at", "octet")).where("octet <> '00'")
-    rows = rows.withColumn("octet", F.conv("octet", 16, 10).cast("int")).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(7)))).where("(shiftright(octet, bit) & 1) = 1")
+def pack_postings(numbered: DataFrame) -> DataFrame:
+    """(token, bucket, bitmap, n) of documents that have numbers (see :func:`number_documents`)."""
+    return _bitmaps(tokens(numbered, "doc"), *TOKEN)
+
+
+def pack_universe(numbered: DataFrame) -> DataFrame:
+    """(bucket, bitmap, n): all documents."""
+    return _bitmaps(numbered.select("doc"))
+
+
+def packed_postings(latest: DataFrame) -> DataFrame:
+    """(token, bucket, bitmap, n), with documents numbered by id."""
+    return pack_postings(number_documents(latest))
+
+
+#: Bytes of a bitmap that are one number.
+_WORD = 8
+
+
+def _words(packed: DataFrame, *kept: str) -> DataFrame:
+    """(kept, bucket, w, bits): the eight-byte words of bitmaps that aren't empty, the first byte in the highest bits."""
+    slice_ = lambda w: F.conv(F.hex(F.substring("bitmap", w * _WORD + 1, F.lit(_WORD))), 16, -10).cast("long")
+    words = F.transform(F.sequence(F.lit(0), F.lit(4096 // _WORD - 1)), lambda w: slice_(w))
+    return packed.select(*kept, "bucket", F.posexplode(words).alias("w", "bits")).where("bits <> 0")
+
+
+def _documents(words: DataFrame, *kept: str) -> DataFrame:
+    """(kept, doc): the documents of the bits that are set."""
+    rows = words.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("bits", b) == 1)))
+    # the lowest bits of a word are its last byte; within a byte the lowest bit is the first document
+    at = F.col("w") * (8 * _WORD) + (_WORD - 1 - F.floor(F.col("bit") / 8)) * 8 + F.col("bit") % 8
     # numbers above 0 are counted from 1 in buckets from 1; 0 alone is in bucket 0
-    doc = F.when(F.col("bucket") == 0, F.lit(0)).otherwise((F.col("bucket") - 1) * 32768 + (F.col("piece") * 64 + F.col("at")) * 8 + F.col("bit") + 1)
-    return rows.select(*TOKEN, doc.cast("long").alias("doc"))
+    return rows.select(*kept, F.when(F.col("bucket") == 0, F.lit(0)).otherwise((F.col("bucket") - 1) * 32768 + at + 1).cast("long").alias("doc"))
+
+
+def unpack_postings(packed: DataFrame) -> DataFrame:
+    """(token, doc) from packed postings."""
+    return _documents(_words(packed, *TOKEN), *TOKEN)
 
 
 def token_counts(latest: DataFrame) -> DataFrame:
@@ -84,28 +115,61 @@ def visibility_counts(latest: DataFrame) -> DataFrame:
     return classes.select("class", "allowed_group", "entries").unionByName(groups.select("class", "allowed_group", "entries"))
 
 
-def eval_on_postings(postings: DataFrame, universe: DataFrame, text: str) -> DataFrame:
-    """Ids that a filter takes, by one pass over the postings of its leaves: per id, which leaves it has."""
-    leaves = list(dict.fromkeys(tuple(x[:4]) for x in filter_leaves(text)))
+def _leaves(text: str) -> list[tuple]:
+    """The distinct leaves (kind, scope, key, value) of a filter."""
+    return list(dict.fromkeys(tuple(x[:4]) for x in filter_leaves(text)))
+
 
-    def is_leaf(kind, scope, key, value):
-        if (scope, key, kind) == ("top", "rev", "eq"):  # as a token is written: without zeros in front
-            digits = value.strip().lstrip("-0") or "0"
-            value = f"-{digits}" if value.strip().startswith("-") and digits != "0" else digits
-        same = (F.col("kind") == kind) & (F.col("scope") == scope) & (F.col("key") == key)
-        return same if kind == "present" else same & (F.col("value") == F.lit(value))
+def _is_leaf(kind: str, scope: str, key: str, value: str) -> Column:
+    """Whether a token is what a leaf asks for."""
+    if (scope, key, kind) == ("top", "rev", "eq"):  # as a token is written: without zeros in front
+        digits = value.strip().lstrip("-0") or "0"
+        value = f"-{digits}" if value.strip().startswith("-") and digits != "0" else digits
+    same = (F.col("kind") == kind) & (F.col("scope") == scope) & (F.col("key") == key)
+    return F.coalesce(same if kind == "present" else same & (F.col("value") == F.lit(value)), F.lit(False))
 
+
+def eval_on_postings(postings: DataFrame, universe: DataFrame, text: str) -> DataFrame:
+    """Ids that a filter takes, by one pass over the postings of its leaves: per id, which leaves it has."""
+    leaves = _leaves(text)
     names = {leaf: f"l{k}" for k, leaf in enumerate(leaves)}
-    tests = [is_leaf(*leaf) for leaf in leaves]
-    wanted = tests[0]
-    for t in tests[1:]:
-        wanted = wanted | t
-    held = postings.where(F.coalesce(wanted, F.lit(False))).groupBy("id").agg(*[F.bool_or(F.coalesce(t, F.lit(False))).alias(names[x]) for x, t in zip(leaves, tests, strict=True)])
+    held = postings.where(any_of([_is_leaf(*x) for x in leaves])).groupBy("id").agg(*[F.bool_or(_is_leaf(*x)).alias(names[x]) for x in leaves])
     # ids without any leaf matter only if the filter takes them, as under a negation
     every = universe.select("id").join(held, "id", "left")
     return every.where(read_filter(text, lambda leaf: F.coalesce(F.col(names[tuple(Leaf(leaf)[:4])]), F.lit(False)))).select("id")
 
 
+class _Bits:
+    """Bits of 64 documents, combined like the filter's truth values."""
+
+    def __init__(self, bits: Column, every: Column):
+        self.bits, self.every = bits, every
+
+    def __and__(self, other: _Bits) -> _Bits:
+        return _Bits(self.bits.bitwiseAND(other.bits), self.every)
+
+    def __or__(self, other: _Bits) -> _Bits:
+        return _Bits(self.bits.bitwiseOR(other.bits), self.every)
+
+    def __invert__(self) -> _Bits:
+        return _Bits(self.every.bitwiseAND(F.bitwise_not(self.bits)), self.every)
+
+
+def eval_on_packed(packed: DataFrame, universe: DataFrame, text: str) -> DataFrame:
+    """(doc): numbers of the documents that a filter takes, from packed postings and a packed universe.
+
+    Only the leaves' bitmaps are read. They meet by word of 64 documents, not by document; conjunction, disjunction and
+    complement within the universe are bit operations on the words, and only words that keep a bit are unpacked."""
+    leaves = _leaves(text)
+    which = F.coalesce(*[F.when(_is_leaf(*x), k) for k, x in enumerate(leaves)])
+    words = _words(packed.withColumn("leaf", which).where("leaf is not null"), "leaf")
+    both = words.unionByName(_words(universe).withColumn("leaf", F.lit(-1)))
+    bits_of = lambda k: F.coalesce(F.bit_or(F.when(F.col("leaf") == k, F.col("bits"))), F.lit(0).cast("long"))
+    met = both.groupBy("bucket", "w").agg(bits_of(-1).alias("every"), *[bits_of(k).alias(f"l{k}") for k in range(len(leaves))])
+    taken = read_filter(text, lambda leaf: _Bits(F.col(f"l{leaves.index(tuple(Leaf(leaf)[:4]))}"), F.col("every")))
+    return _documents(met.select("bucket", "w", taken.bits.alias("bits")).where("bits <> 0"))
+
+
 def search_on_postings(postings: DataFrame, latest: DataFrame, filter: str, requester: Requester = ANONYMOUS, limit: int = 20, view: str | None = "card") -> DataFrame:
     """What :func:`~catalogspark.operators.search.search` gives, from the postings."""
     ids = eval_on_postings(postings, latest, filter)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import CHANGE_COLUMNS, ENTRY_COLUMNS, State
+from ..sources.storage import written
 from .latest import merge_latest
 from .numbering import assign_seq
 
@@ -69,24 +70,74 @@ def set_status_batch(state: State, batch: DataFrame, now: Column) -> tuple[State
     return _committed(state, _stamped(rows, now), now), rejected
 
 
+def _blocks(commands: DataFrame) -> DataFrame:
+    """``commands`` with ``_block``: ranges of (id, ord), so that the commands of an id with very many are many blocks. They
+    are written, so that blocks stay as they are."""
+    return written(commands.repartitionByRange("id", "ord").withColumn("_block", F.spark_partition_id()), "commands")
+
+
+def _within(blocks: DataFrame) -> DataFrame:
+    """What a block alone tells: publishes of the id up to a command, the last one's content, the last status and reason
+    behind it, and how many commands, of all and of those from the first publish on."""
+    own = Window.partitionBy("_block", "id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    seg = Window.partitionBy("_block", "id", "_seg").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    publish = F.col("op") == "publish"
+    rows = blocks.withColumn("_seg", F.count_if(publish).over(own))
+    return rows.withColumns(
+        {
+            "_content": F.first(F.when(publish, F.struct(*_CONTENT))).over(seg),
+            "_s": F.last(F.when(~publish, F.col("status")), ignorenulls=True).over(seg),
+            "_r": F.last(F.when(~publish, F.col("reason")), ignorenulls=True).over(seg),
+            "_k": F.count("*").over(own),
+            "_from": F.count_if(F.col("_seg") > 0).over(own),
+        }
+    )
+
+
+def _carried(within: DataFrame, stored: DataFrame) -> DataFrame:
+    """(_block, id, _before): what an id has before each of its blocks: whether it is there, its revision, content, and
+    the status and reason laid over it. An id has a row for each of its blocks here, however many its commands."""
+    state = F.struct("_seg", "_content", "_s", "_r", "_k", "_from")
+    ends = within.groupBy("_block", "id").agg(F.max_by(state, "ord").alias("e")).select("_block", "id", "e.*").withColumn("_pub", F.col("_seg") > 0)
+    by_id = Window.partitionBy("id").orderBy("_block")
+    before = by_id.rowsBetween(Window.unboundedPreceding, -1)
+    upto = by_id.rowsBetween(Window.unboundedPreceding, 0)
+    rows = ends.join(stored, "id", "left")
+    there = F.col("_rev").isNotNull() | F.coalesce(F.bool_or("_pub").over(before), F.lit(False))
+    rows = rows.withColumns({"_there": there, "_group": F.count_if("_pub").over(upto)})
+    since = Window.partitionBy("id", "_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_s": F.last("_s", ignorenulls=True).over(since), "_r": F.last("_r", ignorenulls=True).over(since)})
+    made = F.sum(F.when(F.col("_there"), F.col("_k")).otherwise(F.col("_from"))).over(before)
+    content = F.coalesce(F.last(F.when(F.col("_pub"), F.col("_content")), ignorenulls=True).over(before), F.col("_stored"))
+    return rows.select(
+        "_block", "id",
+        F.struct(
+            F.col("_there").alias("there"), (F.coalesce("_rev", F.lit(0)) + F.coalesce(made, F.lit(0))).alias("rev"), content.alias("content"),
+            F.lag("_s").over(by_id).alias("s"), F.lag("_r").over(by_id).alias("r"),
+        ).alias("_before"),
+    )
+
+
 def apply_commands(state: State, commands: DataFrame, now: Column) -> tuple[State, DataFrame]:
     """(state, rejected) for an ordered mix (ord, op, id, content, status, reason), many to an id: the result of applying
-    them one at a time. A command's segment is the number of publishes up to it; within a segment the publish, or in
-    segment 0 the stored latest revision, gives the content, and the last status and reason so far are laid over it. The
-    commands of one id are one group of a window: they depend on one another."""
+    them one at a time.
+
+    A publish replaces the content, a status command lays a status and perhaps a reason over it; so what some commands do
+    is told by their last publish, the last status and reason behind it, and how many there are. That adds up: commands
+    are ranged into blocks by (id, ord), each block is worked out alone, and what the blocks of an id do is carried to the
+    next. An id with very many commands is many blocks."""
+    within = _within(_blocks(commands))
     stored = state.latest.join(commands.select("id").distinct(), "id", "left_semi").select("id", F.col("rev").alias("_rev"), F.struct(*_CONTENT).alias("_stored"))
-    by_id = Window.partitionBy("id").orderBy("ord")
-    publish = F.col("op") == "publish"
-    rows = commands.join(stored, "id", "left").withColumn("_seg", F.sum(F.when(publish, 1).otherwise(0)).over(by_id.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_ok", (F.col("_seg") > 0) | F.col("_rev").isNotNull())
+    rows = within.join(_carried(within, stored), ["_block", "id"])
+    rows = rows.withColumn("_ok", (F.col("_seg") > 0) | F.col("_before.there"))
     rejected = rows.where(~F.col("_ok")).select(*commands.columns)
-    in_seg = Window.partitionBy("id", "_seg").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("_seg") > 0
     good = rows.where("_ok").withColumns(
         {
-            "_base": F.when(F.col("_seg") > 0, F.first(F.struct(*_CONTENT)).over(in_seg)).otherwise(F.col("_stored")),
-            "_s": F.last(F.when(~publish, F.col("status")), ignorenulls=True).over(in_seg),
-            "_r": F.last(F.when(~publish, F.col("reason")), ignorenulls=True).over(in_seg),
-            "rev": (F.coalesce("_rev", F.lit(0)) + F.row_number().over(by_id)).cast("int"),
+            "_base": F.when(own, F.col("_content")).otherwise(F.col("_before.content")),
+            "_s": F.when(own, F.col("_s")).otherwise(F.coalesce("_s", "_before.s")),
+            "_r": F.when(own, F.col("_r")).otherwise(F.coalesce("_r", "_before.r")),
+            "rev": (F.col("_before.rev") + F.when(F.col("_before.there"), F.col("_k")).otherwise(F.col("_from"))).cast("int"),
         }
     )
     laid = good.select(

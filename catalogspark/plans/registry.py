@@ -288,6 +288,24 @@ def entitlement_pairs(spark, sf):
     return entitlements.entitlements(_latest(spark, sf), _requesters(spark, sf))
 
 
+_PARTS = """
+    own AS (SELECT requester, 'groups:' || array_to_string(list_sort(groups), ',') AS part, groups FROM req WHERE authenticated),
+    open AS (SELECT visibility AS part, id FROM dlat WHERE visibility <> 'restricted'),
+    shut AS (SELECT DISTINCT part, id FROM own, dlat WHERE visibility = 'restricted' AND list_contains(groups, allowed_group))"""
+
+
+@query(f"WITH {DOCS}, {REQUESTERS}, {_PARTS} SELECT * FROM open UNION ALL SELECT * FROM shut")
+def entitlement_parts(spark, sf):
+    return entitlements.entitlement_parts(_docs(spark, sf), _requesters(spark, sf))[1]
+
+
+@query(f"WITH {DOCS}, {REQUESTERS}, {_PARTS} SELECT requester AS subject, id FROM req, open WHERE req.requester % 10 = 0 AND (part = 'public' OR authenticated) UNION ALL SELECT requester, id FROM own JOIN shut USING (part) WHERE requester % 10 = 0")
+def entitlements_expanded(spark, sf):
+    """Of chosen requesters alone; the parts are those of all."""
+    members, parts = entitlements.entitlement_parts(_docs(spark, sf), _requesters(spark, sf))
+    return entitlements.expand(members.where("subject % 10 = 0"), parts)
+
+
 @query(f"WITH {DOCS}, {REQUESTERS} SELECT requester AS subject, count(*) AS visible FROM req, dlat WHERE {_SEES} GROUP BY requester")
 def entitlement_counts(spark, sf):
     return entitlements.entitlement_counts(_docs(spark, sf), _requesters(spark, sf))
@@ -351,6 +369,13 @@ def eval_on_postings(spark, sf):
     return index.eval_on_postings(index.build_postings(docs), docs, _MIXED)
 
 
+@query(f"WITH {DOCS} SELECT id FROM dlat WHERE type = 'en' AND coalesce(tag2 = 'long', false) OR NOT (endpoint IS NOT NULL OR coalesce(version = '1.0', false))")
+def eval_on_packed(spark, sf):
+    numbered = index.number_documents(_docs(spark, sf))
+    found = index.eval_on_packed(index.pack_postings(numbered), index.pack_universe(numbered), _MIXED)
+    return numbered.select("doc", "id").join(found, "doc").select("id")
+
+
 @query(f"WITH {DOCS} SELECT {_CARD_SQL} FROM dlat WHERE {_FLAG_SQL} ORDER BY updated_at DESC, id DESC LIMIT 20")
 def search_on_postings(spark, sf):
     docs = _docs(spark, sf)

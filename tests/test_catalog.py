@@ -138,6 +138,40 @@ def test_replay(spark):
     assert done.latest.count() == len({w[0] for w in want} | {"i1"})
 
 
+def test_replay_of_one_id_in_many_blocks(spark):
+    import random
+
+    random.seed(4)
+    hot = lambda k: "hot" if k % 3 else f"i{random.randrange(40)}"
+    commands = [{"ord": k, "op": random.choice(["set_status"] * 30 + ["publish"]), "id": hot(k), "name": f"n{k}", "status": random.choice(["active", "deprecated", "disabled"]), "reason": random.choice([None, None, "r1", "r2"])} for k in range(3000)]
+    rows = [(c["ord"], c["op"], c["id"], "t", "n", c["name"], "", None, {"status": ["active"]}, None, None, c["status"], c["reason"]) for c in commands]
+    df = spark.createDataFrame(rows, "ord long, op string, id string, type string, namespace string, name string, description string, version string, attrs map<string,array<string>>, manifest string, meta string, status string, reason string").repartition(8)
+    stored = seed_entries(spark).limit(1).withColumns({"id": F.lit("i1"), "name": F.lit("old"), "rev": F.lit(4)})
+    state = State(stored, stored, spark.createDataFrame([], "seq long, id string, rev int, changed_at timestamp, change_type string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert writes._blocks(df).where("id = 'hot'").select("_block").distinct().count() > 1
+        done, refused = writes.apply_commands(state, df, F.lit("2026-01-01").cast("timestamp"))
+        got = done.entries.where("not (id = 'i1' and rev = 4)").select("id", "rev", "name", F.col("attrs")["status"][0], F.get_json_object("meta", "$.reason")).collect()
+        out = sorted(r.ord for r in refused.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, rejected = _one_at_a_time({"i1": [4, "old", "active", None]}, commands)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and out == rejected and rejected
+
+
+def test_a_page_reads_as_far_as_it_reaches(spark, tmp_path):
+    seed = seed_entries(spark).where("id like 'skill:%' and rev = 1")
+    log = spark.range(1, 50_001).select(F.col("id").alias("seq"), F.when(F.col("id") % 40 == 0, "skill:acme:pdf-summarize").otherwise("gone").alias("id"), F.lit(1).alias("rev"), F.lit(None).cast("timestamp").alias("changed_at"), F.lit("publish").alias("change_type"))
+    log.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    page = feed.changes_feed(log, seed, since=1000, limit=60)
+    assert [r.seq for r in page.collect()] == list(range(1040, 1000 + 61 * 40, 40))
+    assert "LessThanOrEqual(seq,4000)" in _plan(page)  # ranges of 1000 and 2000 numbers
+    assert feed.next_since(log, seed, since=1000, limit=60).first().next_since == 3400
+    assert feed.changes_feed(log, seed, since=49_000, limit=60).count() == 25 and feed.next_since(log, seed, since=49_000, limit=60).first().next_since == 50_000
+
+
 def test_feed_passes_hidden_events(spark):
     seed = seed_entries(spark)
     log = spark.createDataFrame([(5, "rag:acme:sec-filings", 1, None, "publish"), (6, "gone", 1, None, "publish")], "seq long, id string, rev int, changed_at timestamp, change_type string")
@@ -272,6 +306,37 @@ def test_requests_keep_their_order(spark):
     assert [r.ord for r in reads.batch_get(newest, asked, Requester(True, ("eng",))).collect()] == [1, 2, 3, 4]
 
 
+def test_numbers_of_equal_and_null_keys(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "a", "x"), (None, "b", "y"), (2, "a", "z"), (1, None, "w"), (2, None, "v")], "k int, s string, wide string")
+    got = sorted((r.n, r.k, r.s) for r in numbering.number_rows(rows, ["-k", "s"], "n").collect())
+    assert [g[0] for g in got] == [0, 1, 2, 3, 4] and [g[1:] for g in got] == [(2, None), (2, "a"), (2, "a"), (1, None), (None, "b")]
+    assert {r.wide for r in numbering.number_rows(rows, ["-k", "s"], "n").collect()} == set("vwxyz")
+    only = numbering.ranks(rows, ["-k", "s"])
+    assert only.columns == ["k", "s", "rank"] and sorted(r["rank"] for r in only.collect()) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("text", ["(tag=pdf)", "(!(tag=pdf))", "(&(type=rag)(|(tag=pdf)(!(env=prod))))", "(!(&(endpoint=*)(!(capability=embed))))", "(tag=__never__)", "(!(tag=__never__))", "(&(rev=01)(name=*)(!(id=mcp:acme:finance-tools)))"])
+def test_bitmaps_equal_predicates(spark, bench, text):
+    more = bench.unionByName(generate_entries(spark, 45_000).where("id > 'skill' and substring(id, -5) >= '10000'"))  # more than a bucket
+    numbered = index.number_documents(more).cache()
+    found = index.eval_on_packed(index.pack_postings(numbered), index.pack_universe(numbered), text)
+    assert sorted(r.doc for r in found.collect()) == sorted(r.doc for r in numbered.where(search.filter_expr(text)).select("doc").collect())
+    numbered.unpersist()
+
+
+def test_parts_are_as_large_as_what_they_hold(spark, bench):
+    from catalogspark.operators import entitlements
+
+    asks = spark.range(2000).select(F.col("id").alias("subject"), (F.col("id") % 4 != 0).alias("authenticated"), F.when(F.col("id") % 2 == 0, F.array(F.lit("eng"), F.lit("ops"))).otherwise(F.array(F.lit("ops"), F.lit("eng"), F.lit("eng"))).alias("groups"))
+    asks = asks.unionByName(asks.where("subject = 3").withColumn("groups", F.array(F.lit("finance"))))  # a subject of two rows sees what either does
+    members, parts = entitlements.entitlement_parts(bench, asks)
+    assert {r.part for r in members.select("part").distinct().collect()} == {"public", "internal", "groups:eng,ops", "groups:eng,finance,ops"}
+    assert parts.count() < 2 * 10_005 and parts.count() == parts.distinct().count()
+    counts = {r.subject: r.n for r in entitlements.expand(members.where("subject < 4"), parts).groupBy("subject").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).where("n = d").collect()}
+    seen = lambda *groups: bench.where(search.visible_to(Requester(True, groups))).count()
+    assert counts == {0: bench.where(search.visible_to(ANONYMOUS)).count(), 1: seen("eng", "ops"), 2: seen("eng", "ops"), 3: seen("eng", "ops", "finance")}
+
+
 def test_unpacked_bitmaps(spark):
     seed = latest.latest_revisions(seed_entries(spark))
     got = {tuple(r) for r in index.unpack_postings(index.packed_postings(seed)).collect()}
