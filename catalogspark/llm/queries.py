@@ -96,9 +96,8 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-    found = align(_table(spark, sf_dir, "documents"), a, b)
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    found = align(_table(spark, sf_dir, "documents"), a, b, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
 
 
 QUERIES = {

@@ -6,15 +6,16 @@ and the word behind it: neither tokenizer merges over the place where a word end
 up in the vocabularies), so a stretch's groups are the same in every text and are kept while a task meets it again. Where
 that doesn't hold, a text is one stretch.
 
-Document counts of id pairs are added up within tasks, then over the cluster. The counts of the most frequent pairs, a
-bounded number, come back to the tasks by broadcast; what a text holds of rarer pairs is joined."""
+Each text is read once: its numbers and pairs are stored, and so are the pairs' document counts of each task, which are
+then added up. The counts of the most frequent pairs, a bounded number, come back to the stored rows by broadcast; what a
+text holds of rarer pairs is joined."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -84,7 +85,7 @@ class PairCounts:
 
 
 #: What is known of a stretch; ``wrong`` if a tokenizer doesn't give its bytes back.
-NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "wrong")
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "wrong")
 
 
 def _ranked(path: str, letters: dict[str, int]):
@@ -136,7 +137,6 @@ class Aligner:
         self.odd = re.compile("[" + re.escape(_ODD_SPACE + "".join(sorted({c for p in several for c in p if c != " " and c.isspace()}))) + "]")
         # an id of the first and of the second, followed by another of its own or not
         self.words = [f"{k}{end}" for ids, ends in ((len(self.a_bytes), ",|"), (self.b_ids, ",;")) for end in ends for k in range(ids)]
-        self.counts, self.counts_name = None, None
         self.clear()
 
     def clear(self) -> None:
@@ -146,14 +146,6 @@ class Aligner:
         self.uses = np.zeros(0, np.int64)
         self.numbers = np.zeros((0, len(NUMBERS)), np.int64)
         self.pairs, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.rare, self.rare_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def use(self, name: str, counts: PairCounts) -> None:
-        """From now on links are weighed by ``counts``, which ``name`` tells from others."""
-        if name != self.counts_name:
-            self.counts, self.counts_name = counts, name
-            self.rare, self.rare_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
-            self._weigh(0)
 
     def stretches(self, text: str) -> list[str]:
         """``text`` with a blank before it, cut where white space begins."""
@@ -217,7 +209,7 @@ class Aligner:
         each = lambda to: np.concatenate([np.diff(to, prepend=0), rest])
         n_links = each(np.searchsorted(link_a, to_a))
         nothing = np.zeros(len(stretches), np.int64)
-        known = [each(to_a), each(to_b), each(np.searchsorted(cut_a, to_a, "right")), n_links, nothing, nothing, np.concatenate([nothing[:n], rest + 1])]
+        known = [each(to_a), each(to_b), each(np.searchsorted(cut_a, to_a, "right")), n_links, np.concatenate([nothing[:n], rest + 1])]
         first = len(self.numbers)
         self.numbers = np.concatenate([self.numbers, np.stack(known, axis=1)])
         self.uses = np.concatenate([self.uses, nothing])
@@ -225,8 +217,6 @@ class Aligner:
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n_links)])
         self.at.update(zip(stretches, range(first, first + len(stretches)), strict=True))
         self.chars += sum(map(len, stretches))
-        if self.counts is not None:
-            self._weigh(first)
 
     def _forget(self) -> None:
         """Keep the stretches that were met again, if that makes room."""
@@ -242,26 +232,12 @@ class Aligner:
         self.groups = [self.groups[k] for k in rows]
         pooled = lambda pool, ends: (_gathered(pool, ends, rows)[0], np.concatenate([[0], np.cumsum(ends[rows + 1] - ends[rows])]))
         self.pairs, self.ends = pooled(self.pairs, self.ends)
-        if self.counts is not None:
-            self.rare, self.rare_ends = pooled(self.rare, self.rare_ends)
         self.numbers, self.uses = self.numbers[rows], self.uses[rows] // 2
 
     def pair(self, a, b):
         """A pair of ids as one number."""
         return a * self.b_ids + b
 
-    def _weigh(self, first: int) -> None:
-        """n_best and count_sum of the stretches from ``first``, and their links whose pairs have no count."""
-        ends = self.ends[first:]
-        pairs = self.pairs[ends[0] :]
-        at, there = self.counts.of(pairs)
-        for column, values in (("n_best", self.counts.best), ("count_sum", self.counts.n)):
-            own = np.where(there, values[at], 0).astype(np.int64) if len(values) else np.zeros(len(pairs), np.int64)
-            added = np.concatenate([[0], np.cumsum(own)])
-            self.numbers[first:, NUMBERS.index(column)] = np.diff(added[ends - ends[0]])
-        self.rare = np.concatenate([self.rare, pairs[~there]])
-        self.rare_ends = np.concatenate([self.rare_ends, self.rare_ends[-1] + np.concatenate([[0], np.cumsum(~there)])[ends[1:] - ends[0]]])
-
     def place(self, texts: list[str]) -> list[list[int]]:
         """The stretches of each text by number; the numbers hold until the next call."""
         if len(self.at) > KEPT or self.chars > KEPT_CHARS:
@@ -282,15 +258,13 @@ class Aligner:
         out[out[:, -1] > 0, :-1] = 0
         return out
 
-    def held(self, placed: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(pairs, how many of the texts that have tokens hold each)."""
+    def links_of(self, placed: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, pair, how often) of the pairs that each text links, in order of text and pair."""
         flat = np.fromiter(chain.from_iterable(placed), np.int64)
-        text = np.repeat(np.arange(len(placed)), [len(p) for p in placed])
-        right = self.sums(placed)[text, -1] == 0
-        once = np.unique(text[right] << 40 | flat[right])
-        pairs, of = _gathered(self.pairs, self.ends, once & (1 << 40) - 1)
-        once = np.unique((once >> 40)[of] << 40 | pairs)  # two ids' product is well under 40 bits
-        return np.unique(once & (1 << 40) - 1, return_counts=True)
+        pairs, of = _gathered(self.pairs, self.ends, flat)
+        text = np.repeat(np.arange(len(placed)), [len(p) for p in placed])[of]
+        both, times = np.unique(text << 40 | pairs, return_counts=True)  # two ids' product is well under 40 bits
+        return both >> 40, both & (1 << 40) - 1, times
 
 
 @cache
@@ -312,91 +286,138 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, run
 
 
-def _held(path_a: str, path_b: str):
-    """(pair, n): how many texts of a run hold the pair."""
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest() if text else ""
 
-    def run(batches):
-        aligner = _aligner(path_a, path_b)
-        for batch in batches:
-            for _, texts in _runs(batch.column("text")):
-                pairs, n = aligner.held(aligner.place(texts))
-                yield pa.record_batch({"pair": pa.array(pairs, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return run
+class _Tally:
+    """Counts of pairs of a task, added up when there are many parts."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, pairs: np.ndarray) -> None:
+        self.parts.append(np.unique(pairs, return_counts=True))
+        if len(self.parts) > 32:
+            self.parts = [self.total()]
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pairs, of = np.unique(np.concatenate([p for p, _ in self.parts]), return_inverse=True)
+        n = np.zeros(len(pairs), np.int64)
+        np.add.at(n, of, np.concatenate([n for _, n in self.parts]))
+        return pairs, n
+
+
+_COLUMNS = ", ".join(f"{n} long" for n in NUMBERS[:-1]) + ", groups string, pairs array<long>, times array<int>"
 
 
-def _aligned(path_a: str, path_b: str, counts, rare: bool):
-    """Numbers and groups of each text; with ``rare`` a number of the row's own and the links that have no count yet."""
-    name = uuid.uuid4().hex
+def _read(path_a: str, path_b: str, digest: bool):
+    """A row for each text, and at the end a row for each pair of the task with the number of texts that hold it."""
 
     def run(batches):
-        aligner = _aligner(path_a, path_b)
-        aligner.use(name, counts.value)
+        aligner, tally, kind = _aligner(path_a, path_b), _Tally(), None
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             for first, texts in _runs(batch.column("text")):
                 placed = aligner.place(texts)
                 numbers = aligner.sums(placed)
                 good = [p if not bad else [] for p, bad in zip(placed, numbers[:, -1], strict=True)]
-                columns = {"doc_id": batch.column("doc_id").slice(first, len(texts))}
-                columns |= {name: pa.array(numbers[:, k], pa.int64()) for k, name in enumerate(NUMBERS[:-1])}
-                columns["groups"] = pa.array([";".join([aligner.groups[k] for k in p]) for p in good], pa.string())
-                if rare:
-                    columns["row"] = pa.array(np.arange(row, row + len(texts)), pa.int64())
-                    flat = np.fromiter(chain.from_iterable(good), np.int64)
-                    pairs, of = _gathered(aligner.rare, aligner.rare_ends, flat)
-                    text = np.repeat(np.arange(len(good)), [len(p) for p in good])[of]
-                    ends = np.searchsorted(text, np.arange(len(good) + 1)).astype(np.int32)
-                    columns["rare"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs))
-                    row += len(texts)
-                yield pa.record_batch(columns)
+                text, pairs, times = aligner.links_of(good)
+                tally.add(pairs)
+                groups = [";".join([aligner.groups[k] for k in p]) for p in good]
+                ends = pa.array(np.searchsorted(text, np.arange(len(good) + 1)).astype(np.int32))
+                yield pa.record_batch(
+                    {
+                        "doc_id": batch.column("doc_id").slice(first, len(texts)),
+                        **{name: pa.array(numbers[:, k], pa.int64()) for k, name in enumerate(NUMBERS[:-1])},
+                        "groups": pa.array(map(_sha256, groups) if digest else groups, pa.string()),
+                        "pairs": pa.ListArray.from_arrays(ends, pa.array(pairs)),
+                        "times": pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
+                        "row": pa.array(np.arange(row, row + len(texts)), pa.int64()),
+                        "pair": pa.nulls(len(texts), pa.int64()),
+                        "n": pa.nulls(len(texts), pa.int64()),
+                    }
+                )
+                row += len(texts)
+        pairs, n = tally.total()
+        if len(pairs):
+            lists = {"groups": pa.string(), "pairs": pa.list_(pa.int64()), "times": pa.list_(pa.int32()), "row": pa.int64()}
+            nothing = {"doc_id": kind, **dict.fromkeys(NUMBERS[:-1], pa.int64()), **lists}
+            yield pa.record_batch({**{name: pa.nulls(len(pairs), t) for name, t in nothing.items()}, "pair": pa.array(pairs), "n": pa.array(n)})
 
     return run
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(pair, n, best): id pairs linked anywhere as one number, the rows of ``docs`` that hold each, and whether no pair of
-    its first id is held by more. A first id has no more pairs than the second tokenizer has ids."""
-    import sentencepiece
+def _weighed(counts, rare: bool):
+    """n_best and count_sum of stored rows; with ``rare`` their links whose pairs have no count yet."""
 
-    held = docs.select("text").mapInArrow(_held(path_a, path_b), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    ids = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
-    own = Window.partitionBy(F.floor(F.col("pair") / ids))
+    def run(batches):
+        known = counts.value
+        for batch in batches:
+            pairs, times = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("pairs", "times"))
+            ends = np.concatenate([[0], np.cumsum(batch.column("pairs").value_lengths().to_numpy())])
+            at, there = known.of(pairs)
+            columns = {c: batch.column(c) for c in batch.schema.names if c not in ("pairs", "times")}
+            for name, values in (("n_best", known.best), ("count_sum", known.n)):
+                own = np.where(there, values[at], 0) * times if len(values) else np.zeros(len(pairs), np.int64)
+                columns[name] = pa.array(np.diff(np.concatenate([[0], np.cumsum(own)])[ends]), pa.int64())
+            if rare:
+                left = pa.array(np.concatenate([[0], np.cumsum(~there)])[ends].astype(np.int32))
+                columns["pairs"] = pa.ListArray.from_arrays(left, pa.array(pairs[~there]))
+                columns["times"] = pa.ListArray.from_arrays(left, pa.array(times[~there].astype(np.int32)))
+            yield pa.record_batch(columns)
+
+    return run
+
+
+def pair_counts(read: DataFrame, ids_b: int) -> DataFrame:
+    """(pair, n, best): id pairs linked anywhere as one number, the rows that hold each, and whether no pair of its first id
+    is held by more. A first id has no more pairs than the second tokenizer has ids."""
+    held = read.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(F.floor(F.col("pair") / ids_b))
     return held.withColumn("best", F.col("n") == F.max("n").over(own))
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, digest: bool = False, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) per row of ``docs(doc_id, text, ...)``.
 
     The first tokenizer (a ``tokenizers`` file, byte-level) encodes a blank and the text, the second (a ``sentencepiece``
     model that puts the blank there itself) the text. ``groups`` is ``a1,a2|b1;a3|b2,b3``: the ids between bytes where both
-    tokenizers end a token. A link is an occurrence of two tokens that share a byte; the count of its id pair is the
-    number of rows that hold it linked. ``n_best`` counts links whose pair has the highest count of its first id, ties
-    included; ``count_sum`` adds the counts of all links.
+    tokenizers end a token; with ``digest`` its SHA-256, so that the texts of the groups are neither kept nor moved. A link
+    is an occurrence of two tokens that share a byte; the count of its id pair is the number of rows that hold it linked.
+    ``n_best`` counts links whose pair has the highest count of its first id, ties included; ``count_sum`` adds the counts
+    of all links.
 
     Null and empty texts and texts whose tokens don't give blank and text back byte by byte (such as any with U+2581) have
     no tokens: zeros and an empty text. Rows with a null or repeated doc_id are rows of their own. Strings of special
     tokens are ordinary text. An empty table gives no rows; further columns are ignored."""
+    import sentencepiece
+
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
-    id_kind = dict(source.dtypes)["doc_id"]
+    kind = f"doc_id {dict(source.dtypes)['doc_id']}"
+    ids_b = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
     with scratch() as keep:
-        counts = stored(pair_counts(source, path_a, path_b), "pairs")
+        read = keep(stored(source.mapInArrow(_read(path_a, path_b, digest), f"{kind}, {_COLUMNS}, row long, pair long, n long"), "aligned", "zstd"))
+        counts = keep(stored(pair_counts(read, ids_b), "pairs"))
         found = counts.count()
         frequent = counts
-        if found > broadcast_pairs:  # those above a quantile of the counts; the equal ones beside it are joined
+        if found > broadcast_pairs:  # those above a quantile of the counts; the others are joined
             limit = counts.agg(F.percentile_approx("n", 1 - broadcast_pairs / found, 100_000)).first()[0]
-            frequent, keep_counts = counts.where(F.col("n") > limit), keep(counts)
+            frequent = counts.where(F.col("n") > limit)
         table = frequent.orderBy("pair").toArrow()
         known = spark.sparkContext.broadcast(PairCounts(*(table.column(c).to_numpy() for c in ("pair", "n", "best"))))
-        columns = f"doc_id {id_kind}, " + ", ".join(f"{n} long" for n in NUMBERS[:-1]) + ", groups string"
+        rows = read.where("pair is null").drop("pair", "n")
+        numbers = f"{kind}, " + ", ".join(f"{n} long" for n in NUMBERS[:-1]) + ", groups string"
+        result = [*NUMBERS[:-1], "n_best", "count_sum", "groups"]
         if found <= broadcast_pairs:
-            return source.mapInArrow(_aligned(path_a, path_b, known, False), columns)
-        rows = keep(stored(source.mapInArrow(_aligned(path_a, path_b, known, True), columns + ", row long, rare array<long>"), "aligned", "zstd"))
-    links = rows.select("row", F.explode("rare").alias("pair")).groupBy("row", "pair").agg(F.count("*").alias("times"))
-    added = links.join(keep_counts, "pair").groupBy("row").agg(
-        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum")
-    )
-    full = rows.drop("rare").join(added, "row", "left")
+            return rows.drop("row").mapInArrow(_weighed(known, False), f"{numbers}, n_best long, count_sum long").select("doc_id", *result)
+        part = keep(stored(rows.mapInArrow(_weighed(known, True), f"{numbers}, row long, n_best long, count_sum long, pairs array<long>, times array<int>"), "weighed", "zstd"))
+    links = part.select("row", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("t"))))
+    added = links.join(counts, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("t")).otherwise(0)).alias("more_best"), F.sum(F.col("t") * F.col("n")).alias("more_sum"))
+    full = part.drop("pairs", "times").join(added, "row", "left")
     sums = {"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))}
-    return full.withColumns(sums).select("doc_id", *NUMBERS[:-1], "groups")
+    return full.withColumns(sums).select("doc_id", *result)
