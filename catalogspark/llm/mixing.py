@@ -21,6 +21,10 @@ DOMAINS = ("clean_high", "clean_low", "toxic")
 TARGETS: Mapping[str, float] = {"clean_high": 0.75, "clean_low": 0.15, "toxic": 0.10}
 #: The fit ends when all domains are off by less than this share of the total, or when no step gains more than this.
 TOLERANCE = 1e-6
+#: No document comes more often than this.
+MOST = 4.0
+#: Steps into which a posterior is cut for its calibration, and labelled documents that a cell is held to be worth before.
+GRID, PRIOR_DOCS = 10, 2.0
 _SMOOTH = 1.0
 #: A word speaks for a domain if it is in so many labelled documents at least, and in so many standard deviations more of
 #: the domain's than its share in all of them lets expect.
@@ -105,7 +109,7 @@ def with_words(held: DataFrame, evidence: DataFrame, domains: Sequence[str] = DO
 
 
 def posteriors(slim: DataFrame, labels: DataFrame, domain: Column | None = None, domains: Sequence[str] = DOMAINS) -> DataFrame:
-    """(_id, tokens, p) per row of ``slim(_id, doc_id, tokens, f)``: the probabilities of each domain, which sum to 1.
+    """(_id, doc_id, tokens, p) per row of ``slim(_id, doc_id, tokens, f)``: the probabilities of each domain, which sum to 1.
 
     Naive Bayes over the bins of f: counts of all labelled rows, one row for each bin. A doc_id labelled twice counts
     with each label; labels without a document, of null or of no domain count nothing. Without any label all domains
@@ -123,12 +127,31 @@ def posteriors(slim: DataFrame, labels: DataFrame, domain: Column | None = None,
         mass = [row[f"n{k}"] + _SMOOTH * (row["size"] + 1) for k in k_of]
         known = F.when(F.col("kind") == name, F.array(*[F.log((F.col("n")[k] + _SMOOTH) / mass[k]) for k in k_of])).otherwise(known)
         unseen = F.when(F.split("b", "=")[0] == name, F.array(*[F.lit(float(np.log(_SMOOTH / m))) for m in mass])).otherwise(unseen)
-    each = slim.select("_id", "tokens", F.explode("f").alias("b")).join(bins.select("b", known.alias("s")), "b", "left")
+    each = slim.select("_id", "doc_id", "tokens", F.explode("f").alias("b")).join(bins.select("b", known.alias("s")), "b", "left")
     score = F.coalesce("s", unseen, F.array(*[F.lit(0.0)] * len(domains)))
-    summed = each.select("_id", "tokens", score.alias("s")).groupBy("_id", "tokens").agg(*[(F.sum(F.col("s")[k]) + prior[k]).alias(f"z{k}") for k in k_of])
+    summed = each.select("_id", "doc_id", "tokens", score.alias("s")).groupBy("_id", "doc_id", "tokens").agg(*[(F.sum(F.col("s")[k]) + prior[k]).alias(f"z{k}") for k in k_of])
     top = F.greatest(*[F.col(f"z{k}") for k in k_of])
     odds = [F.exp(F.col(f"z{k}") - top) for k in k_of]
-    return summed.select("_id", "tokens", F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("p"))
+    return summed.select("_id", "doc_id", "tokens", F.array(*[o / sum(odds[1:], odds[0]) for o in odds]).alias("p"))
+
+
+def calibrated(soft: DataFrame, labels: DataFrame, domain: Column | None = None, domains: Sequence[str] = DOMAINS) -> DataFrame:
+    """(_id, tokens, p) of ``soft(_id, doc_id, tokens, p)``: naive Bayes is too sure of itself, so the labelled tokens in
+    each cell of a grid of posteriors say what the posterior is worth. A cell's posterior is the share of each domain in
+    its labelled tokens and in PRIOR_DOCS documents of average length at the posterior before; so over the labelled
+    documents of a cell expected and true tokens agree. The table of cells has at most (GRID + 2)^(domains - 1) rows."""
+    marked = _marked(labels, domain, domains)
+    cell = F.transform("p", lambda x: F.round(x * GRID).cast("int"))
+    seen = soft.select("doc_id", "tokens", cell.alias("c")).join(marked, "doc_id")
+    mean = seen.agg(F.avg("tokens")).first()[0]
+    if not mean:
+        return soft.select("_id", "tokens", "p")
+    of = [F.sum(F.when(F.col("d") == d, F.col("tokens")).otherwise(0)) for d in domains]
+    cells = stored(seen.groupBy("c").agg(F.array(*of).alias("n"), F.sum("tokens").alias("all")), "cells")
+    prior = PRIOR_DOCS * float(mean)
+    better = F.transform("p", lambda x, k: (F.get("n", k) + prior * x) / (F.col("all") + prior))
+    met = soft.select("_id", "tokens", "p", cell.alias("c")).join(F.broadcast(cells), "c", "left")
+    return met.select("_id", "tokens", F.when(F.col("all").isNotNull(), better).otherwise(F.col("p")).alias("p"))
 
 
 def _cells(soft: DataFrame, k: int) -> DataFrame:
@@ -139,25 +162,24 @@ def _cells(soft: DataFrame, k: int) -> DataFrame:
     return soft.where("tokens > 0").groupBy(*near).agg(F.sum("tokens").alias("tokens"), F.array(*mean).alias("p")).select("tokens", "p")
 
 
-def _rate(p: Column, steps: Sequence[Sequence[float]]) -> Column:
-    """Rate after the given steps from 1: each goes along the posterior and back to zero at least."""
+def _rate(p: Column, steps: Sequence[Sequence[float]], most: float = MOST) -> Column:
+    """Rate after the given steps from 1: each goes along the posterior and back to between zero and ``most``."""
     if not steps:
-        return F.lit(1.0)
+        return F.least(F.lit(1.0), F.lit(float(most)))
     moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    move = lambda r, s: F.greatest(F.lit(0.0), r - sum((p[k] * s[k] for k in range(1, len(steps[0]))), p[0] * s[0]))
-    return F.aggregate(moves, F.lit(1.0), move)
+    moved = lambda r, s: r - sum((p[k] * s[k] for k in range(1, len(steps[0]))), p[0] * s[0])
+    return F.aggregate(moves, F.lit(1.0), lambda r, s: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), moved(r, s))))
 
 
 def fit_rates(
-    soft: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Sequence[str] = DOMAINS, total: float | None = None
+    soft: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Sequence[str] = DOMAINS, total: float | None = None, most: float = MOST
 ) -> tuple[list[list[float]], list[float], list[float]]:
     """(steps, expected tokens of each domain, their targets) for documents (tokens, p).
 
-    Minimises the squared distance of ``sum(rate * tokens * p)`` from the targets over rates >= 0, starting at 1. Each
-    step goes along the gradient, scaled by the domains' second moments; a step that makes the distance no smaller is
-    halved; it ends at the targets or, where rates can't reach them, at the least distance: what is off then is told by the
-    sums returned. ``total`` tokens, by default as many as let no domain that is short of its share lose any: the largest ratio
-    of present tokens to wanted share."""
+    Minimises the squared distance of ``sum(rate * tokens * p)`` from the targets over ``0 <= rate <= most``, starting at
+    1. Each step goes along the gradient, scaled by the domains' second moments, and back into these bounds; a step that
+    makes the distance no smaller is halved. It ends at the targets or, where rates within the bounds can't reach them, at
+    the least distance: what is off then is told by the sums returned. ``total`` tokens, by default as many as there are."""
     k = len(domains)
     share = np.array([targets[d] for d in domains], float)
     share /= share.sum()
@@ -169,15 +191,16 @@ def fit_rates(
         for j in range(i, k):
             moment[i, j] = moment[j, i] = float(first[at] or 0)
             at += 1
+    wanted = share * (total if total is not None else now.sum())
     if not now.sum():
-        return [], now.tolist(), (share * (total or 0)).tolist()
-    wanted = share * (total if total is not None else float(np.max(now[share > 0] / share[share > 0])))
+        return [], now.tolist(), wanted.tolist()
+    now = now * min(1.0, most)
     scaled = np.linalg.pinv(moment + 1e-9 * np.trace(moment) * np.eye(k))
     steps: list[list[float]] = []
     pace = 1.0
     while np.abs(off := now - wanted).max() > TOLERANCE * wanted.sum() and pace > TOLERANCE:
         trial = steps + [(pace * scaled @ off).tolist()]
-        sums = soft.withColumn("r", _rate(F.col("p"), trial)).agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()
+        sums = soft.withColumn("r", _rate(F.col("p"), trial, most)).agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()
         after = np.array([float(x) for x in sums])
         gain = 1 - np.linalg.norm(after - wanted) / np.linalg.norm(off)
         if gain > 0:
@@ -187,37 +210,40 @@ def fit_rates(
     return steps, now.tolist(), wanted.tolist()
 
 
-def _rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None, kept: Sequence[str] | None = None) -> DataFrame:
-    """(_row, tokens, p, rate, residual): the fit runs over cells of documents with nearly the same posterior; each document's rate
-    follows from its own. Tables with a row for each document are joined by sorting at every size."""
+def _rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None, most: float, kept: Sequence[str] | None = None) -> tuple[DataFrame, float]:
+    """((_row, tokens, p, rate), residual): the fit runs over cells of documents with nearly the same posterior; each
+    document's rate follows from its own. Tables with a row for each document are joined by sorting at every size."""
     with scratch() as keep:
         held = keep(stored(_features(docs, kept), "features", "zstd"))
         slim = stored(with_words(held, word_evidence(held, labels)), "bins")
-        soft = keep(stored(posteriors(slim, labels), "soft"))
-        steps, now, wanted = fit_rates(stored(_cells(soft, len(DOMAINS)), "cells"), targets, total=total)
+        soft = keep(stored(calibrated(stored(posteriors(slim, labels), "sure"), labels), "soft"))
+        steps, now, wanted = fit_rates(stored(_cells(soft, len(DOMAINS)), "cells"), targets, total=total, most=most)
     off = float(np.abs(np.subtract(now, wanted)).max() / (sum(wanted) or 1.0))
-    rated = soft.select("_id", "tokens", "p", _rate(F.col("p"), steps).alias("rate"), F.lit(off).alias("residual"))
-    return held.select("_id", "_row").join(rated.hint("merge"), "_id").drop("_id")
+    rated = soft.select("_id", "tokens", "p", _rate(F.col("p"), steps, most).alias("rate"))
+    return held.select("_id", "_row").join(rated.hint("merge"), "_id").drop("_id"), off
 
 
 def mixing_rates(
-    docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None, columns: Sequence[str] | None = None
+    docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None, most: float = MOST, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """``docs(doc_id, text, lang, source, ...)`` with ``tokens``, ``p`` (array over DOMAINS), ``rate``, and ``residual``, the
-    same on every row: by which share of all tokens the domain that is furthest off misses its target. A row per row.
+    """``docs(doc_id, text, lang, source, ...)`` with ``tokens``, ``p`` (array over DOMAINS), ``rate`` (0 to ``most``), and
+    ``residual``, the same on every row: by which share of all tokens the domain that is furthest off misses its target. A
+    row per row.
 
     Empty documents have no tokens and take part like others at their posterior; repeated rows are rated each; an empty
     table gives no rows; columns of ``docs`` named tokens, p, rate or residual are replaced, all others kept, or
     those in ``columns``: without the texts there is far less to move."""
     added = ("tokens", "p", "rate", "residual")
     kept = [c for c in (docs.columns if columns is None else columns) if c not in added]
-    return _rated(docs, labels, targets, total, kept).select(*[F.col(f"_row.{c}") for c in kept], *added)
+    rated, off = _rated(docs, labels, targets, total, most, kept)
+    return rated.withColumn("residual", F.lit(off)).select(*[F.col(f"_row.{c}") for c in kept], *added)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None) -> DataFrame:
-    """``docs`` in the mixture: each row as often as its rate says, the fraction decided by a hash of doc_id, so that the
-    same documents are repeated whenever it runs. All columns are kept."""
-    rated = _rated(docs, labels, targets, total)
+def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None, most: float = MOST) -> tuple[DataFrame, float]:
+    """(``docs`` in the mixture, residual): each row as often as its rate says, the fraction decided by a hash of doc_id, so
+    that the same documents are repeated whenever it runs, and none more often than ``most`` rounded up. All columns are
+    kept. The residual is that of :func:`mixing_rates`: rates within the bounds may not reach the targets."""
+    rated, off = _rated(docs, labels, targets, total, most)
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
     copies = F.floor(F.col("rate") + chance).cast("int")
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")
+    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*"), off

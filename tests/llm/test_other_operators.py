@@ -1,5 +1,7 @@
 """Embeddings, pages, conversations, the registered queries and the pipeline."""
 
+import collections
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -239,6 +241,10 @@ def test_pipeline(spark):
             assert docs.columns == columns
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert ids[0] > ids[1] >= ids[2] >= ids[3] >= ids[4] == ids[5]
+    copies = collections.Counter(r.doc_id for r in seen[4].collect())
+    assert max(copies.values()) <= corpus_pipeline.MOST_COPIES and len(copies) > 0.9 * len(ids[3])
+    size = lambda d: d.agg(F.sum(F.length("text"))).first()[0]
+    assert 0.85 < size(seen[4]) / size(seen[3]) < 1.15
     from test_text_operators import brute_components, brute_quality
 
     kept = {r.doc_id for r in seen[0].collect() if not fails(brute_quality(r.text))}
@@ -248,6 +254,19 @@ def test_pipeline(spark):
     assert ids[3] == {rows[k][0] for k, b in enumerate(best) if b == k}
 
 
+def test_columns_named_like_those_of_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    named = ("n_words", "failures", "word_chars", "_key", "_row", "rate", "tokens", "p", "component_id", "score")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in named})
+    docs.write.parquet(str(tmp_path / "d"))
+    docs, columns = spark.read.parquet(str(tmp_path / "d")), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        assert docs.count() > 10 and all(r[c] == f"{c}{r.doc_id}" for r in docs.collect() for c in named)
+
+
 def test_pipeline_goes_by_row(spark, tmp_path):
     """Rows without a doc_id or with another's are judged by their own texts."""
     import corpus_pipeline

@@ -323,7 +323,7 @@ def test_mixing(spark):
     for d, share in mixing.TARGETS.items():
         assert abs(total[d] / sum(total.values()) - share) < 0.01
     assert all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in rated)
-    once, again = (sorted(r.doc_id for r in mixing.mixed(source, labels).collect()) for _ in range(2))
+    once, again = (sorted(r.doc_id for r in mixing.mixed(source, labels)[0].collect()) for _ in range(2))
     assert once == again
     copies, rates = collections.Counter(once), {r.doc_id: r.rate for r in rated}
     assert all(abs(copies[k] - rates[k]) < 1 for k in rates)
@@ -351,7 +351,7 @@ def test_mixing_reads_words(spark):
 
 
 def brute_mixing(held, labels, domains):
-    """Posteriors by plain loops from rows (doc_id, words, f) and labels (doc_id, domain)."""
+    """Posteriors by plain loops from rows (doc_id, words, f, tokens) and labels (doc_id, domain)."""
     import math
 
     by_doc = collections.defaultdict(list)
@@ -407,7 +407,15 @@ def brute_mixing(held, labels, domains):
                 z[k] += math.log((table[b][k] if b in table else 0) + 1.0) - math.log(sum(n[k] for n in rows) + len(rows) + 1.0)
         odds = [math.exp(x - max(z)) for x in z]
         out.append([o / sum(odds) for o in odds])
-    return out, len(evidence)
+    # what labelled tokens say of each cell of the grid
+    cell = lambda p: tuple(math.floor(x * mixing.GRID + 0.5) for x in p)
+    marked = [(r.tokens, d, cell(p)) for r, p in zip(held, out, strict=True) for d in by_doc.get(r.doc_id, ())]
+    told = collections.defaultdict(lambda: [0] * len(domains))
+    for tokens, d, c in marked:
+        told[c][domains.index(d)] += tokens
+    prior = mixing.PRIOR_DOCS * sum(m[0] for m in marked) / len(marked)
+    better = lambda p, n: [(n[k] + prior * p[k]) / (sum(n) + prior) for k in range(len(domains))]
+    return [better(p, told[cell(p)]) if cell(p) in told else p for p in out], len(evidence)
 
 
 def test_posteriors_and_rates_equal_plain_loops(spark):
@@ -438,11 +446,11 @@ def test_posteriors_and_rates_equal_plain_loops(spark):
     tokens, p = np.array([r.tokens for r in held], float), np.array(want)
     share = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
     present = (tokens[:, None] * p).sum(0)
-    wanted = share * max(present / share)
+    wanted = share * present.sum()
     rate, scale = np.ones(len(held)), np.linalg.inv((tokens[:, None, None] * p[:, :, None] * p[:, None, :]).sum(0))
     for _ in range(500):
         off = (rate[:, None] * tokens[:, None] * p).sum(0) - wanted
-        rate = np.maximum(rate - p @ (0.5 * scale @ off), 0)
+        rate = np.clip(rate - p @ (0.5 * scale @ off), 0, mixing.MOST)
     assert np.abs((rate[:, None] * tokens[:, None] * p).sum(0) - wanted).max() < 1e-5 * wanted.sum()
     sums = (np.array([got[r.doc_id].rate for r in held])[:, None] * tokens[:, None] * p).sum(0)
     assert np.abs(sums - wanted).max() < 2e-3 * wanted.sum()
@@ -452,10 +460,37 @@ def test_posteriors_and_rates_equal_plain_loops(spark):
 def test_targets_out_of_reach_tell_what_is_off(spark):
     """No document is of the wanted domain: the fit ends at the least distance and says so."""
     soft = spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (20, [0.9, 0.1, 0.0])], "tokens long, p array<double>")
-    steps, now, wanted = mixing.fit_rates(soft, {"clean_high": 0.5, "clean_low": 0.0, "toxic": 0.5}, total=100.0)
+    steps, now, wanted = mixing.fit_rates(soft, {"clean_high": 0.5, "clean_low": 0.0, "toxic": 0.5}, total=100.0, most=10.0)
     assert wanted == [50.0, 0.0, 50.0] and now[2] == 0 and abs(now[0] - 50) < 5 and now[1] < 1
 
 
+def test_no_document_comes_more_often_than_allowed(spark):
+    """Little is left of the domain that should be half of all: its few documents come as often as they may, not more."""
+    rows = [(k, "plain words of a page " * 8, "en", "web", None) for k in range(400)] + [(400 + k, "scum trash idiot moron", "en", "web", None) for k in range(40)]
+    source = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, 1, int(k >= 400)) for k in range(0, 440, 2)], "doc_id long, quality int, toxic int")
+    targets = {"clean_high": 0.5, "clean_low": 0.0, "toxic": 0.5}
+    for most in (3.0, 1.5, 0.5):
+        rated = mixing.mixing_rates(source, labels, targets, most=most).collect()
+        assert all(0 <= r.rate <= most + 1e-9 for r in rated) and rated[0].residual > 0.2
+        assert min(r.rate for r in rated if r.doc_id >= 400) == pytest.approx(most)
+        out, off = mixing.mixed(source, labels, targets, most=most)
+        assert off == pytest.approx(rated[0].residual) and max(collections.Counter(r.doc_id for r in out.collect()).values()) <= -(-most // 1)
+
+
+@pytest.mark.parametrize(("size", "near"), [("sf0.01", 0.07), ("sf0.1", 0.02)])
+def test_mixture_of_test_tables(spark, size, near):
+    """Targets met by expected tokens, nearly by true labels (of a sample); no document dropped whole or drawn often."""
+    source, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.mixing_rates(source.repartition(8), labels, columns=["doc_id"])
+    rows = got.join(labels.withColumn("d", mixing.label_domain()), "doc_id", "left").select("d", "tokens", "p", "rate", "residual").collect()
+    assert rows[0].residual <= mixing.TOLERANCE and 0.5 < min(r.rate for r in rows) and max(r.rate for r in rows) < mixing.MOST
+    total = sum(r.rate * r.tokens for r in rows)
+    for k, (d, share) in enumerate(mixing.TARGETS.items()):
+        assert sum(r.rate * r.tokens * r.p[k] for r in rows) / total == pytest.approx(share, abs=1e-5)
+        assert sum(r.rate * r.tokens for r in rows if r.d == d) / sum(r.rate * r.tokens for r in rows if r.d) == pytest.approx(share, abs=near)
+
+
 def test_held_out_documents_of_sf01(spark):
     """Recall and log loss on a fifth of the labels, and shares by true labels after mixing."""
     sf = "/root/testdata/sf0.1"
@@ -479,7 +514,7 @@ def test_mixing_edges(spark):
     source = docs(spark, TEXTS, True)
     got = mixing.mixing_rates(source, labels)
     assert got.count() == len(TEXTS) + 2 and {tuple(r.p) for r in got.collect()} == {(1 / 3,) * 3}
-    assert mixing.mixed(source, labels).columns == source.columns
+    assert mixing.mixed(source, labels)[0].columns == source.columns
     assert mixing.mixing_rates(empty(spark), labels).count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
