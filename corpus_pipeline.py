@@ -4,6 +4,8 @@ Each stage takes (spark, docs, sf_dir), where docs has the columns of ``document
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalogspark.llm.mixing import mixed
@@ -15,18 +17,23 @@ from catalogspark.llm.tables import drop_stored, scratch, stored
 from catalogspark.llm.toxicity import score, train
 
 
-#: Shares of tokens; the filters before have taken out most of what isn't of high quality.
-MIXTURE = {"clean_high": 0.9, "clean_low": 0.1, "toxic": 0.0}
+#: Shares of tokens. The filters before have taken out nearly all that isn't of high quality (half a hundredth of the
+#: tokens is left): more of it could only come from the same few documents again and again.
+MIXTURE = {"clean_high": 0.995, "clean_low": 0.002, "toxic": 0.003}
+#: No document comes more often than this.
+MOST_COPIES = 2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return ledger(docs).where(passes("v1")).select(*docs.columns)
+    """Rejected documents go. Columns of ``docs`` may be named like measurements."""
+    whole = docs.select("text", F.struct(*docs.columns).alias("_doc"))
+    return ledger(whole).where(passes("v1")).select("_doc.*")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_key``, a number of each row's own, kept in a file so that it stays the same."""
-    return stored(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed", "zstd")
+    """(_key, _doc): a number of each row's own, kept in a file so that it stays the same, and the row, whatever its
+    columns are called."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*docs.columns).alias("_doc")), "keyed", "zstd")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +42,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scratch() as keep:
         model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
         rows = keep(_keyed(docs))
-        toxic = score(rows.select(F.col("_key").alias("doc_id"), "text"), model).where("score >= 0.5").select(F.col("doc_id").alias("_key"))
+        toxic = score(rows.select(F.col("_key").alias("doc_id"), "_doc.text"), model).where("score >= 0.5").select(F.col("doc_id").alias("_key"))
         toxic = keep(stored(toxic, "toxic"))
-    return rows.join(toxic, "_key", "left_anti").select(*docs.columns)
+    return rows.join(toxic, "_key", "left_anti").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +52,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     equal ones any; null doc_ids come last. Rows without words stay."""
     with scratch() as keep:
         rows = keep(_keyed(docs))
-        groups = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80)
+        groups = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "_doc.text"), n=5, percent=80)
         several = stored(groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "several")
         groups = groups.join(several, "component_id").select(F.col("doc_id").alias("_key"), "component_id")
-        placed = stored(groups.join(rows.select("_key", "doc_id"), "_key"), "groups")
+        placed = stored(groups.join(rows.select("_key", "_doc.doc_id"), "_key"), "groups")
         stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key"))
         gone = keep(stored(placed.select("_key").join(stays.select("_key"), "_key", "left_anti"), "gone"))
-    return rows.join(gone, "_key", "left_anti").select(*docs.columns)
+    return rows.join(gone, "_key", "left_anti").select("_doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the rates fitted to the target weights say."""
-    return mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MIXTURE)
+    """Documents come as often as the rates fitted to the target weights say, MOST_COPIES times at most. Where such rates
+    miss the weights by more than a hundredth of all tokens, a warning says so."""
+    out, off = mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MIXTURE, most=MOST_COPIES)
+    if off > 0.01:
+        warnings.warn(f"rates of 0 to {MOST_COPIES} miss the target weights by {off:.1%} of all tokens", stacklevel=2)
+    return out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
