@@ -18,6 +18,8 @@ TRAIN_PER_CLASS = 4000
 MIN_TEXTS = 8
 #: Gradient steps, the length of a step, and the tasks that share one.
 STEPS, RATE, PARTS = 60, 0.15, 12
+#: Toxic texts of the sample weigh as much as the root of how many others there are to each, at most so much.
+MOST_WEIGHT = 4.0
 #: Pull of each weight to exactly zero, in units of the share of texts that must speak for it, times the root of their
 #: number: what chance makes a word say shrinks as the sample grows.
 PULL = 0.022
@@ -92,19 +94,20 @@ def _cells(vocabulary):
     return run
 
 
-def gradient(labels: np.ndarray, bags: np.ndarray, sentences: np.ndarray, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Of minus the noisy-or log likelihood of one chunk; ``weights`` end with the bias."""
+def gradient(labels: np.ndarray, bags: np.ndarray, sentences: np.ndarray, words: np.ndarray, weights: np.ndarray, toxic: float = 1.0) -> np.ndarray:
+    """Of minus the noisy-or log likelihood of one chunk, in which toxic texts count ``toxic`` times; ``weights`` end with
+    the bias."""
     z = np.bincount(sentences, weights[words], len(bags)) + weights[-1]
     log_none = np.bincount(bags, _log_not(z), len(labels))  # log(1 - P) of each document
     p = -np.expm1(log_none)
-    ratio = np.where(labels > 0, -np.exp(log_none) / np.maximum(p, 1e-6), 1.0)  # d loss / d log-odds mass
+    ratio = np.where(labels > 0, -toxic * np.exp(log_none) / np.maximum(p, 1e-6), 1.0)  # d loss / d log-odds mass
     dz = ratio[bags] / (1 + np.exp(-z))
     out = np.bincount(words, dz[sentences], len(weights))
     out[-1] = dz.sum()
     return out
 
 
-def _gradients(weights):
+def _gradients(weights, toxic: float):
     """One row for each task: the sum over its chunks, and their texts."""
 
     def run(batches):
@@ -112,7 +115,7 @@ def _gradients(weights):
         for batch in batches:
             for row in zip(*(batch.column(f.split(" ")[0]).to_pylist() for f in _CELLS.split(", ")), strict=True):
                 parts = [np.frombuffer(x, np.int32) for x in row]
-                total += gradient(*parts, weights.value)
+                total += gradient(*parts, weights.value, toxic)
                 texts += len(parts[0])
         if texts:
             yield pa.record_batch({"g": pa.array([total.tobytes()]), "n": pa.array([texts], pa.int64())})
@@ -128,11 +131,13 @@ def fit(rows: DataFrame) -> NoisyOr:
     words = np.sort(counted.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
     sent = context.broadcast(words)
     cells = stored(rows.mapInArrow(_cells(sent), _CELLS).repartition(PARTS), "cells", "zstd")
+    n = {int(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic = float(np.clip(np.sqrt(n.get(0, 0) / max(n.get(1, 0), 1)), 1, MOST_WEIGHT))
     weights = np.append(np.zeros(len(words)), _BIAS)
     m, v = np.zeros(len(weights)), np.zeros(len(weights))
     for step in range(1, STEPS + 1):
         now = context.broadcast(weights)
-        parts = cells.mapInArrow(_gradients(now), "g binary, n long").collect()
+        parts = cells.mapInArrow(_gradients(now, toxic), "g binary, n long").collect()
         now.unpersist()
         texts = sum(r["n"] for r in parts)
         if not texts:
@@ -195,9 +200,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
     return model
 
 
+def _offending(p: np.ndarray, of: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The sentences (probability ``p``, text ``of``) of 0.5 or more; of texts that reach it only together, those with the
+    highest probabilities that reach it."""
+    alone = p >= 0.5
+    diffuse = scores >= 0.5
+    diffuse[of[alone]] = False
+    for d in np.flatnonzero(diffuse):
+        own = np.flatnonzero(of == d)
+        own = own[np.argsort(-p[own], kind="stable")]
+        enough = np.flatnonzero(1 - np.cumprod(1 - p[own]) >= 0.5)
+        alone[own[: enough[0] + 1 if len(enough) else len(own)]] = True
+    return np.flatnonzero(alone)
+
+
 def score(docs: DataFrame, model: NoisyOr, located: bool = False) -> DataFrame:
     """(doc_id, score) per row of ``docs``; with ``located`` also ``spans``: (begin, end, score) in code points of the
-    text, from the first to the last word of each sentence that alone scores 0.5 or more.
+    text, from the first to the last word of each sentence that alone scores 0.5 or more. Where none does, but all
+    together, they are the fewest highest ones that together do: every text of 0.5 or more has spans.
 
     Null and empty texts score 0; repeated rows are scored each; an empty table gives no rows; further columns are
     ignored."""
@@ -208,14 +228,15 @@ def score(docs: DataFrame, model: NoisyOr, located: bool = False) -> DataFrame:
             ids = batch.column("doc_id")
             for a, b, data, offsets in text_chunks(batch.column("text")):
                 chunk = SentenceWords(data, offsets)
-                out = {"doc_id": ids.slice(a, b - a), "score": sent.value.document_scores(chunk, b - a)}
+                scores = sent.value.document_scores(chunk, b - a)
+                out = {"doc_id": ids.slice(a, b - a), "score": scores}
                 if located:
                     p = 1 / (1 + np.exp(-sent.value.sentence_scores(chunk)))
                     first = np.flatnonzero(chunk.new)
                     last = np.append(first[1:], len(chunk.new)) - 1
                     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
                     spans: list[list[dict]] = [[] for _ in range(b - a)]
-                    for s in np.flatnonzero(p >= 0.5):
+                    for s in _offending(p, chunk.sentence_row, scores):
                         d = int(chunk.sentence_row[s])
                         begin, end = points[chunk.start[first[s]]] - points[offsets[d]], points[chunk.end[last[s]]] - points[offsets[d]]
                         spans[d].append({"begin": int(begin), "end": int(end), "score": float(p[s])})
