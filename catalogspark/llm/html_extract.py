@@ -31,6 +31,8 @@ DOUBT = 0.5
 #: Prior importance of a block whose class or id is made of noise words, and of a form: little, as long as they don't
 #: hold most of the page.
 PRIOR_WORDS, PRIOR_FORM = 0.02, 0.02
+#: The same of noise words within an article: repeats on other pages must agree.
+PRIOR_INSIDE = 0.5
 #: Prior importance of a block outside articles whose class or id says header, if it holds an h1: repeats decide.
 PRIOR_TITLED = 0.5
 #: Prior importance of text in an article or main element.
@@ -46,7 +48,7 @@ _READ = frozenset("class id role hidden aria-hidden style".split())
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is never part of a page's text.
-_SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title select option textarea noframes noembed".split())
+_SILENT = frozenset("script style noscript template iframe svg canvas audio video head title select option textarea noframes noembed annotation annotation-xml".split())
 _RAW = frozenset("script style textarea title iframe noscript noframes noembed xmp".split())
 _HEAD = frozenset("meta link title base script style noscript template".split())
 _BLOCKS = frozenset(
@@ -62,9 +64,10 @@ _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dia
 _NOISE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside ad ads adv advert advertisement advertising "
     "adverts sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe signup popup "
-    "modal overlay share sharing social related recommended comment comments commentlist discussion replies disqus respond pagination "
-    "pager login search skip".split()
+    "modal overlay share sharing social related recommended discussion pagination pager login search skip".split()
 )
+#: Words of a class or id of what readers say.
+_READER_WORDS = frozenset("comment comments commentlist replies disqus respond".split())
 #: Words of a class or id that do so only outside articles.
 _TOP_WORDS = frozenset("header masthead banner toolbar topbar".split())
 #: A class with one of these words says what a wrapper has, not what it is.
@@ -95,7 +98,9 @@ def _label(tag: str, names: str, role: str, hidden: bool) -> tuple[str, bool, in
         kind = _FORM
     elif tag not in _INLINE and tag not in ("body", "html", "main", "article"):
         telling = [token for token in tokens if _WRAPPERS.isdisjoint(token)]
-        if any(not _NOISE_WORDS.isdisjoint(token) for token in telling):
+        if any(not _READER_WORDS.isdisjoint(token) for token in telling):
+            kind = _NEVER
+        elif any(not _NOISE_WORDS.isdisjoint(token) for token in telling):
             kind = _WORDS
         elif tag == "header" or any(not _TOP_WORDS.isdisjoint(token) for token in telling):
             kind = _TOP
@@ -301,7 +306,7 @@ def _decide(page: Page, importance: Mapping[int, float]) -> tuple[bytearray, lis
         if kind == _NEVER:
             value = 0.0
         elif kind == _WORDS:
-            value *= PRIOR_WORDS
+            value *= PRIOR_INSIDE if inside[k] else PRIOR_WORDS
         elif kind == _FORM:
             value *= PRIOR_FORM
         elif kind == _TOP and not inside[k]:
@@ -343,10 +348,28 @@ def _decide(page: Page, importance: Mapping[int, float]) -> tuple[bytearray, lis
                 roots.append(k)
                 end = page.closes[k]
         if roots and 2 * sum(mass[k] for k in roots) >= mass[0]:
-            return cut, roots
+            return cut, [*_headline(page, importance, cut, titled, roots), *roots]
     return cut, [0]
 
 
+def _headline(page: Page, importance: Mapping[int, float], cut: bytearray, titled: bytearray, roots: list[int]) -> list[int]:
+    """What belongs to an article but stands before it, where the article has no h1 of its own: beside the article or
+    what is around it, from the branch with an h1 that isn't on other pages too."""
+    if any(titled[k] for k in roots):
+        return []
+    title = next((k for k in range(roots[0] - 1, 0, -1) if page.tags[k] == "h1" and not cut[k] and importance.get(page.keys[k], 1.0) >= IMPORTANCE), 0)
+    around, k = set(), roots[0]
+    while k >= 0:
+        around.add(k)
+        k = page.parents[k]
+    while title and page.parents[title] not in around:
+        title = page.parents[title]
+    if not title:
+        return []
+    level = page.parents[title]
+    return [k for k in range(title, roots[0]) if page.parents[k] == level and not cut[k] and k not in around]
+
+
 def _gather(page: Page, cut: bytearray, root: int) -> list[str]:
     """The blocks of text of a branch."""
     out: list[list[str]] = [[]]
@@ -388,7 +411,7 @@ def _features(html: str) -> list[tuple[int, int, int, int, int]]:
         up = parents[k]
         silent[k] = silent[up] or tags[k] in _SILENT
         link[k] = link[up] or tags[k] == "a"
-        judged[k] = k if (tags[k] not in _PROSE or page.named[k]) and not silent[k] else -1
+        judged[k] = k if (tags[k] not in _PROSE or tags[k] == "h1" or page.named[k]) and not silent[k] else -1
     first: dict[int, int] = {}  # style: its number
     number = [first.setdefault(keys[k], len(first)) if judged[k] >= 0 else -1 for k in range(n)]
     layouts: list[list[str]] = [[] for _ in first]

@@ -114,7 +114,7 @@ def brute_tree(pages):
                 spans.append((~e, open_at[~e], len(pieces)))
         own = collections.defaultdict(lambda: ([], []))
         for k, a, b in sorted(spans):
-            if k == 0 or (page.tags[k] not in html_extract._PROSE or page.named[k]):
+            if k == 0 or (page.tags[k] not in html_extract._PROSE or page.tags[k] == "h1" or page.named[k]):
                 own[page.keys[k] if k else 0][0].append(tuple(page.tags[c] for c in range(len(page.tags)) if page.parents[c] == k) if k else ())
                 own[page.keys[k] if k else 0][1].extend(pieces[a:b])
         for style, (layout, texts) in own.items():
@@ -159,3 +159,46 @@ def test_a_large_host_is_dealt_to_several_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert all(got[k] == text for k, (_, text) in enumerate(made[:50]))
     assert len(got) == 60 and not any("Stay with us" in text for text in got.values())
+
+
+def _site(spark, make, n=20):
+    df = spark.createDataFrame([(k, f"http://site.org/{k}", make(k)) for k in range(n)], SCHEMA)
+    return {r.page_id: r.text for r in extract(df).collect()}
+
+
+def _words(k: int, n: int = 25) -> str:
+    return " ".join(f"w{x}" for x in np.random.default_rng(k).integers(0, 99999, n))
+
+
+@pytest.mark.parametrize("mark", ['id="related-work"', 'class="discussion"', 'class="cookie-recipe"', 'class="search-results"', 'class="notice"'])
+def test_sections_of_an_article_are_kept_whatever_they_are_called(spark, mark):
+    """Their text differs from page to page; a block of the same class words that repeats goes."""
+    make = lambda k: f"<body><article><h1>T{k}</h1><p>{_words(k)}</p><section {mark}><p>{_words(1000 + k)}</p></section><div class='related'><p>Read more of our best stories</p></div></article></body>"
+    assert _site(spark, make) == {k: f"T{k}\n{_words(k)}\n{_words(1000 + k)}" for k in range(20)}
+
+
+@pytest.mark.parametrize("around", ["{}", "<div class='page'>{}</div>"])
+def test_a_headline_and_lead_before_the_article(spark, around):
+    make = lambda k: "<body><header><h1>The Site</h1></header>" + around.format(f"<h1>Headline {k}</h1><p class='lead'>Lead {_words(k, 5)}</p><article><p>{_words(100 + k)}</p></article>") + "</body>"
+    assert _site(spark, make) == {k: f"Headline {k}\nLead {_words(k, 5)}\n{_words(100 + k)}" for k in range(20)}
+
+
+def test_a_title_of_the_site_is_no_headline(spark):
+    make = lambda k: f"<body><div><h1>The Site</h1></div><article><p>{_words(k)}</p></article></body>"
+    assert _site(spark, make) == {k: _words(k) for k in range(20)}
+    own = lambda k: f"<body><div><h1>Section {k}</h1></div><article><h1>Own</h1><p>{_words(k)}</p></article></body>"
+    assert _site(spark, own, 3) == {k: f"Own\n{_words(k)}" for k in range(3)}
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_comments_never_come_back(spark, inside):
+    post, said = "<p>A short post.</p>", "".join(f"<div class='comment'><p>{_words(k, 40)}</p></div>" for k in range(60))
+    comments = f"<div class='comment-list'>{said}</div>"
+    html = f"<body><article>{post}{comments}</article></body>" if inside else f"<body><div class='post'>{post}</div>{comments}</body>"
+    assert main_text(html) == "A short post."
+    assert set(_site(spark, lambda k: html.replace("short", f"short {k}"), 6).values()) == {f"A short {k} post." for k in range(6)}
+
+
+def test_formulas_and_objects_within_a_sentence():
+    html = "<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> then <object data='a'>the picture</object> shows <svg><text>no</text></svg>it.</p></article>"
+    assert main_text(html) == "If x=2 then the picture shows it."
