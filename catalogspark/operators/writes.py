@@ -38,7 +38,7 @@ def _committed(state: State, rows: DataFrame, now: Column) -> State:
         new = assign_seq(state.changes, rows.select("ord", "id", "rev", "change_type")).withColumn("changed_at", now)
         return state.changes.unionByName(new.select(*CHANGE_COLUMNS))
 
-    return State(state.entries.unionByName(entries), merge_latest(state.latest, entries), log)
+    return State(state.entries.unionByName(entries), merge_latest(state.latest, entries), log, rows.select("ord", "change_type", *ENTRY_COLUMNS))
 
 
 def publish_batch(state: State, batch: DataFrame, now: Column) -> State:

@@ -14,6 +14,7 @@ from ..functions.filters import text_match
 from ..operators import benchreport, entitlements, feed, index, latest, numbering, reads, search, writes
 from ..schema import CHANGE_COLUMNS, ENTRY_SCHEMA, Requester, State
 from ..sources import adapters, exports, loaders
+from ..sources.catalog import StoredCatalog
 from ..sources.generate import entries_of
 from ..sources.storage import shared_path
 from ..streaming import streams
@@ -491,6 +492,50 @@ def apply_commands_changes(spark, sf):
     return done.changes.join(before.changes.select("seq"), "seq", "left_anti").select("seq", "id", "rev", "change_type")
 
 
+def _stored(spark, sf) -> StoredCatalog:
+    """Customers, then the commands of orders in two batches, the second of them twice."""
+    catalog = StoredCatalog(spark, shared_path(spark, "catalog"))
+    catalog.load(adapters.entries_from_customers(_t(spark, sf, "customer")))
+    part = F.when(F.col("ord") <= 1000, 1).otherwise(2)
+    for batch in (1, 2, 2):
+        catalog.apply(_commands(spark, sf).where(part == batch), _now(), batch)
+    return catalog
+
+
+_NEWEST = "newest AS (SELECT id, rev, name, status, reason, op, ord FROM laid QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1)"
+
+
+@query(f"WITH {_REPLAY}, {_NEWEST} SELECT id, rev, name, status, reason FROM newest UNION ALL SELECT id, rev, name, 'active', reason FROM base WHERE id NOT IN (SELECT id FROM newest)")
+def stored_catalog(spark, sf):
+    return _stored(spark, sf).latest.rows().select("id", "rev", "name", _one("status"), F.get_json_object("meta", "$.reason").alias("reason"))
+
+
+@query(f"WITH {_REPLAY} SELECT (SELECT count(*) FROM base) + row_number() OVER (ORDER BY ord) AS seq, id, rev, op AS change_type FROM laid UNION ALL SELECT row_number() OVER (ORDER BY id, rev), id, rev, 'publish' FROM base")
+def stored_changes(spark, sf):
+    return _stored(spark, sf).changes().select("seq", "id", "rev", "change_type")
+
+
+_LIVE = """
+    held AS (
+        SELECT n.id, n.rev, n.name, n.status, c.tag FROM newest n LEFT JOIN (
+            SELECT id, arg_max(tag, ord) AS tag FROM cmd WHERE op = 'publish' GROUP BY id) c ON c.id = n.id
+        UNION ALL SELECT id, rev, name, 'active', NULL FROM base WHERE id NOT IN (SELECT id FROM newest)),
+    t AS (
+        SELECT unnest(['id', 'type', 'name', 'namespace', 'rev', 'status', 'tag']) AS key, unnest([id, 'customer', name, 'shop', CAST(rev AS VARCHAR), status, tag]) AS value FROM held),
+    c AS (SELECT key, value, count(*) AS n FROM t WHERE value IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {_REPLAY}, {_NEWEST}, {_LIVE} SELECT (SELECT count(*) FROM held) AS docs, count(*) AS eq_tokens, count(DISTINCT key) AS presence_tokens, CAST(2 * sum(n) AS BIGINT) AS cardinality, CAST(2 * sum(n) + (SELECT count(*) FROM held) AS BIGINT) * 4 AS memory_approx FROM c")
+def stored_stats(spark, sf):
+    """Kept current by the batches' deltas; no entry is scanned."""
+    return _stored(spark, sf).stats()
+
+
+@query(f"WITH {_REPLAY}, {_NEWEST}, {_LIVE} SELECT 'eq' AS kind, key, value, n FROM c WHERE key IN ('status', 'tag') UNION ALL SELECT 'present', key, NULL, CAST(sum(n) AS BIGINT) FROM c WHERE key IN ('status', 'tag') GROUP BY key")
+def stored_value_counts(spark, sf):
+    return _stored(spark, sf).token_counts().where("scope = 'attr'").select("kind", "key", "value", "n")
+
+
 # --- views, normalisation, validation ---------------------------------------------------------------------------------
 
 

@@ -58,10 +58,11 @@ ANONYMOUS = Requester()
 
 class State:
     """A catalog: the revision history, the newest revision of each id, and the change log. ``changes`` may be a function
-    that makes the log when it is asked for."""
+    that makes the log when it is asked for. ``added`` are the revisions of the last batch: ord, change_type and the entry
+    columns."""
 
-    def __init__(self, entries: DataFrame, latest: DataFrame, changes: DataFrame | Callable[[], DataFrame]):
-        self.entries, self.latest, self._changes = entries, latest, changes
+    def __init__(self, entries: DataFrame, latest: DataFrame, changes: DataFrame | Callable[[], DataFrame], added: DataFrame | None = None):
+        self.entries, self.latest, self._changes, self.added = entries, latest, changes, added
 
     @cached_property
     def changes(self) -> DataFrame:

@@ -63,9 +63,12 @@ class RunTable:
         paths = [f"{self.path}/runs/{r.run}" for r in runs]
         return self.spark.read.schema(self._full).parquet(*paths) if paths else self.spark.createDataFrame([], self._full)
 
-    def rows(self, batch: int | None = None) -> DataFrame:
-        """The table, or as it was before a batch."""
-        return newest(self._read(self.runs(batch)), self.rank).select(*self.schema.fieldNames())
+    def rows(self, batch: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+        """The table, or as it was before a batch; all of it or the rows of ``ids(id)``, which are met before anything is
+        shuffled where they are few."""
+        own = self._read(self.runs(batch))
+        own = own if ids is None else own.join(ids.distinct(), "id", "left_semi")
+        return newest(own, self.rank).select(*self.schema.fieldNames())
 
     def row(self, id_: str) -> DataFrame:
         """The rows of an id: files and row groups without its place are passed over."""

@@ -11,6 +11,7 @@ from catalogspark.operators import benchreport, feed, index, latest, numbering,
 from catalogspark.schema import ANONYMOUS, ENTRY_COLUMNS, ENTRY_SCHEMA, Requester, State
 from catalogspark.sources import loaders
 from catalogspark.sources.generate import generate_entries, seed_entries
+from catalogspark.sources.catalog import StoredCatalog
 from catalogspark.sources.runs import RunTable
 from catalogspark.sources.storage import shared_path
 from catalogspark.streaming import streams
@@ -346,3 +347,31 @@ def test_unpacked_bitmaps(spark):
 
 def test_tables_keep_their_columns(spark):
     assert seed_entries(spark).columns == ENTRY_COLUMNS and ANONYMOUS.groups == ()
+
+
+def test_a_stored_catalog_replays_and_counts(spark, tmp_path):
+    import random
+
+    random.seed(8)
+    seed = latest.latest_revisions(seed_entries(spark))
+    catalog = StoredCatalog(spark, str(tmp_path))
+    assert catalog.entries().count() == catalog.changes().count() == 0 and tuple(catalog.stats().first()) == (0, 0, 0, 0, 0)
+    catalog.load(seed)
+    known = [r.id for r in seed.select("id").collect()]
+    commands = [{"ord": k, "op": random.choice(["publish", "set_status"]), "id": random.choice([*known, "new:a", "new:b"]), "name": f"n{k}", "status": random.choice(["active", "disabled"]), "reason": random.choice([None, "r1"])} for k in range(60)]
+    rows = [(c["ord"], c["op"], c["id"], "t", "n", c["name"], "", None, {"status": ["active"], "tag": [f"t{c['ord'] % 5}"]}, None, None, c["status"], c["reason"]) for c in commands]
+    df = spark.createDataFrame(rows, "ord long, op string, id string, type string, namespace string, name string, description string, version string, attrs map<string,array<string>>, manifest string, meta string, status string, reason string")
+    refused = []
+    for batch, (a, b) in enumerate([(0, 20), (20, 21), (20, 45), (45, 60)], 1):
+        number = batch if batch < 3 else batch - 1  # the third runs as the second again, with other rows
+        lost = catalog.apply(df.where(f"ord >= {a} and ord < {b}"), F.lit("2026-01-01").cast("timestamp"), number)
+        refused = [o for o in refused if o < a] + [r.ord for r in lost.collect()]
+        now = catalog.latest.rows()
+        assert tuple(catalog.stats().first()) == tuple(index.index_stats(now).first())
+        counts = lambda df: sorted(map(tuple, df.collect()), key=str)
+        assert counts(catalog.token_counts()) == counts(index.token_counts(now))
+    want, out = _one_at_a_time({r.id: [r.rev, r.name, "active", None] for r in seed.collect()}, commands)
+    got = {(r.id, r.rev, r.name) for r in catalog.entries().collect()} - {(r.id, r.rev, r.name) for r in seed.collect()}
+    assert got == {w[:3] for w in want} and sorted(refused) == out
+    assert sorted(r.seq for r in catalog.changes().collect()) == list(range(1, len(known) + len(want) + 1))
+    assert {r.id: r.rev for r in catalog.latest.rows().collect()} == {w[0]: w[1] for w in [(r.id, r.rev) for r in seed.collect()] + [w[:2] for w in want]}
