@@ -12,6 +12,8 @@ from .tables import drop_stored, scratch, stored
 
 #: Marks before a quoted line: one > for each level, with at most three blanks before and one behind each.
 QUOTE_MARKS = r"^(?: {0,3}>)+ ?"
+#: Bits of a row's number within its partition, and parts in which a conversation's messages meet its size.
+_ROW_BITS, SALTS = 33, 16
 #: What ends a sentence.
 SENTENCES = r"[.!?]+\s+|\n+"
 
@@ -97,6 +99,21 @@ def link_quotes(split: DataFrame) -> DataFrame:
     return passages.select("row", "passage", "level", "body").join(best, ["row", "passage"], "left")
 
 
+def _siblings(messages: DataFrame) -> DataFrame:
+    """``messages(conv_id, row, parent)`` with ``next``, the next reply to the same message, and ``eldest``, whether it is the
+    first. Replies follow each other within the partition that their rows were numbered in, and partitions one another by
+    their first replies: a message with very many replies is as many groups as partitions hold some."""
+    m = messages.withColumns({"up": F.coalesce("parent", F.lit(-1)), "part": F.shiftright("row", _ROW_BITS)})
+    key = ["conv_id", "up", "part"]
+    heads = m.groupBy(*key).agg(F.min("row").alias("head"))
+    by_part = Window.partitionBy("conv_id", "up").orderBy("part")
+    heads = heads.withColumns({"after": F.lead("head").over(by_part), "nth": F.row_number().over(by_part)})
+    m = m.join(heads, key)
+    here = Window.partitionBy(*key).orderBy("row")
+    follows = F.coalesce(F.lead("row").over(here), "after")
+    return m.withColumns({"next": follows, "eldest": (F.col("nth") == 1) & (F.col("row") == F.col("head"))}).select("conv_id", "row", "parent", "next", "eldest")
+
+
 def _tree_places(messages: DataFrame) -> DataFrame:
     """(row, place): the place of each message of ``messages(conv_id, row, parent)`` in its conversation, every message before
     its replies and these, one after the other with all that follows from them, in order of row.
@@ -104,9 +121,8 @@ def _tree_places(messages: DataFrame) -> DataFrame:
     The way round the trees of a conversation enters and leaves each message once. Each of these steps knows the next;
     doubling the reach of all of them in a round counts, in log(steps) rounds, how many messages are still to be entered
     after each. A message has two rows, however many replies it has."""
-    kids = Window.partitionBy("conv_id", "parent").orderBy("row")
-    m = messages.withColumn("next", F.lead("row").over(kids)).withColumn("nth", F.row_number().over(kids))
-    first = m.where("nth = 1 and parent is not null").select(F.col("parent").alias("row"), F.col("row").alias("child"))
+    m = _siblings(messages)
+    first = m.where("eldest and parent is not null").select(F.col("parent").alias("row"), F.col("row").alias("child"))
     m = m.join(first, "row", "left")
     # a step: 2 * row for entering, 2 * row + 1 for leaving
     enter = m.select("conv_id", (2 * F.col("row")).alias("step"), F.coalesce(2 * F.col("child"), 2 * F.col("row") + 1).alias("to"), F.lit(1).cast("long").alias("left"))
@@ -117,8 +133,10 @@ def _tree_places(messages: DataFrame) -> DataFrame:
         new = stored(now.join(ahead, "to", "left").select("conv_id", "step", F.col("far").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "tour")
         drop_stored(now)
         now = new
-    sizes = messages.groupBy("conv_id").agg(F.count("*").alias("n"))
-    return now.where("step % 2 = 0").join(sizes, "conv_id").select((F.col("step") / 2).cast("long").alias("row"), (F.col("n") - F.col("left")).alias("place"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))  # a conversation with very many messages is met in so many parts
+    sizes = messages.groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("salt", salts)
+    entered = now.where("step % 2 = 0").withColumn("salt", F.pmod(F.xxhash64("step"), F.lit(SALTS)).cast("int"))
+    return entered.join(sizes, ["conv_id", "salt"]).select((F.col("step") / 2).cast("long").alias("row"), (F.col("n") - F.col("left")).alias("place"))
 
 
 def _answered(messages: DataFrame) -> DataFrame:

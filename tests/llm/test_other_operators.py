@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catalogspark.llm import chat_quotes
 from catalogspark.llm.chat_quotes import chat_lines, reply_order
 from catalogspark.llm.embedding_dedup import links_between, near_duplicates
 from catalogspark.llm.html_extract import extract, main_text
@@ -305,3 +306,28 @@ def test_pipeline_of_nothing_and_its_files(spark, tmp_path):
     before = set(os.listdir(shared_dir(spark)))
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert {x.split("-")[0] for x in set(os.listdir(shared_dir(spark))) - before} <= {"pieces", "counts", "starts"}
+
+
+def test_a_message_with_half_of_all_replies(spark):
+    """Its replies are groups of their partitions; places equal a walk of the trees by plain loops."""
+    rng = np.random.default_rng(6)
+    rows, parent = [], {}
+    for k in range(3000):
+        row = (k % 6 << 33) + k // 6  # numbered in six partitions
+        parent[row] = None if k < 6 and k % 6 == 0 else 0 if k % 2 else int(rng.choice(list(parent)))
+        rows.append((1, row, parent[row]))
+    rows += [(2, (7 << 33) + k, None if k == 0 else (7 << 33) + int(rng.integers(0, k))) for k in range(50)]
+    parent |= {r: p for c, r, p in rows if c == 2}
+    df = spark.createDataFrame(rows, "conv_id long, row long, parent long").repartition(5)
+    groups = chat_quotes._siblings(df).groupBy("conv_id", F.coalesce("parent", F.lit(-1)), F.shiftright("row", 33)).count().agg(F.max("count")).first()[0]
+    assert sum(p == 0 for p in parent.values()) > 1500 and groups < 600
+    want, kids = {}, collections.defaultdict(list)
+    for row, up in sorted(parent.items()):
+        kids[up, row >> 33 == 7].append(row)
+    for other in (False, True):
+        open_, place = sorted(kids[None, other], reverse=True), 0
+        while open_:
+            row = open_.pop()
+            want[row], place = place, place + 1
+            open_ += sorted(kids[row, other], reverse=True)
+    assert {r.row: r.place for r in chat_quotes._tree_places(df).collect()} == want
