@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.index import TOKEN, postings_delta, tokens
+from ..operators.index import TOKEN, postings_delta
 from ..operators.latest import newest
 from ..operators.numbering import assign_seq
 from ..operators.writes import apply_commands, publish_batch, set_status_batch
@@ -73,11 +73,11 @@ class StoredCatalog:
         self._run(lambda state: (publish_batch(state, rows, now), None), rows, now, batch)
 
     def set_status(self, rows: DataFrame, now: Column, batch: int) -> DataFrame:
-        """The rejected commands."""
+        """The rejected commands, to be read before the next batch."""
         return self._run(lambda state: set_status_batch(state, rows, now), rows, now, batch)
 
     def apply(self, commands: DataFrame, now: Column, batch: int) -> DataFrame:
-        """The rejected commands."""
+        """The rejected commands, to be read before the next batch."""
         return self._run(lambda state: apply_commands(state, commands, now), commands, now, batch)
 
     def _run(self, command: Callable[[State], tuple[State, DataFrame | None]], rows: DataFrame, now: Column, batch: int) -> DataFrame | None:
