@@ -338,6 +338,21 @@ def test_parts_are_as_large_as_what_they_hold(spark, bench):
     assert counts == {0: bench.where(search.visible_to(ANONYMOUS)).count(), 1: seen("eng", "ops"), 2: seen("eng", "ops"), 3: seen("eng", "ops", "finance")}
 
 
+def test_pairs_are_dealt_to_tasks_and_repeat_in_files(spark, tmp_path):
+    from catalogspark.operators import entitlements
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    subjects = spark.range(9000).select(F.when(F.col("id") > 0, F.col("id")).alias("subject"), F.lit("public").alias("part"))
+    parts = spark.range(1000).select(F.lit("public").alias("part"), F.concat(F.lit("entry:"), "id").alias("id"))
+    members = subjects.unionByName(spark.createDataFrame([(1, "empty")], "subject long, part string"))
+    entitlements.expand(members, parts).withColumn("task", F.spark_partition_id()).write.parquet(str(tmp_path / "pairs"))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    got = pairs.agg(F.count("*"), F.countDistinct("subject", "id"), F.count_if(F.col("subject").isNull()), F.countDistinct("task")).first()
+    assert tuple(got)[:3] == (9_000_000, 8_999_000, 1000) and got[3] > 1
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 9_000_000 * 0.3
+
+
 def test_unpacked_bitmaps(spark):
     seed = latest.latest_revisions(seed_entries(spark))
     got = {tuple(r) for r in index.unpack_postings(index.packed_postings(seed)).collect()}
