@@ -16,9 +16,11 @@ def _parts(order: list[str]) -> tuple[list[str], list]:
     return names, [F.desc(n) if c.startswith("-") else F.asc(n) for c, n in zip(order, names, strict=True)]
 
 
-def ranks(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """The columns of the order with each row's 0-based place; equal rows have places of their own."""
+def ranks(rows: DataFrame, order: list[str], name: str = "rank", carried: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of the order, and narrow ones that are carried with them, with each row's 0-based place; equal rows have
+    places of their own."""
     names, sort = _parts(order)
+    names = [*names, *carried]
     placed = rows.select(*names).repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_m", F.monotonically_increasing_id())
     kept = written(placed, "numbered").withColumn("_p", F.shiftrightunsigned("_m", _ROW_BITS))
     # a row for each partition, however long the table
@@ -48,6 +50,8 @@ def update_rank(latest: DataFrame) -> DataFrame:
 
 
 def assign_seq(changes: DataFrame, batch: DataFrame) -> DataFrame:
-    """Sequence numbers behind the last one, in order of ``ord``."""
+    """Sequence numbers behind the last one, in order of ``ord``. Changes are narrow, so their columns go with the order
+    instead of meeting it again."""
     last = changes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))
-    return number_rows(batch, ["ord"], "_k").crossJoin(F.broadcast(last)).withColumn("seq", F.col("_last") + F.col("_k") + 1).drop("_k", "_last")
+    numbered = ranks(batch, ["ord"], "_k", tuple(c for c in batch.columns if c != "ord")).select(*batch.columns, "_k")
+    return numbered.crossJoin(F.broadcast(last)).withColumn("seq", F.col("_last") + F.col("_k") + 1).drop("_k", "_last")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.index import TOKEN, postings_delta
+from ..operators.index import TOKEN, counts_delta
 from ..operators.latest import newest
 from ..operators.numbering import assign_seq
 from ..operators.writes import apply_commands, publish_batch, set_status_batch
@@ -99,7 +99,7 @@ class StoredCatalog:
         old = self.latest.rows(batch, rows.select("id")).persist()
         ranked = old.select(*ENTRY_COLUMNS).withColumn("_new", F.lit(0)).unionByName(rows.select(*ENTRY_COLUMNS).withColumn("_new", F.lit(1)))
         new = newest(ranked, ["rev", "_new"]).where("_new = 1").select(*ENTRY_COLUMNS).persist()
-        moved = postings_delta(old, new).groupBy(*TOKEN).agg(F.sum(F.when(F.col("change") == "added", 1).otherwise(-1)).alias("d")).where("d <> 0")
+        moved = counts_delta(old, new)
         moved = moved.withColumn("id", F.to_json(F.array(*TOKEN), {"ignoreNullFields": "false"})).persist()
         before = self.counts.rows(batch, moved.select("id")).select("id", F.col("n").alias("_n"))
         counted = moved.join(before, "id", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("n", F.col("_n") + F.col("d")).persist()

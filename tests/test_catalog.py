@@ -364,6 +364,17 @@ def test_tables_keep_their_columns(spark):
     assert seed_entries(spark).columns == ENTRY_COLUMNS and ANONYMOUS.groups == ()
 
 
+def test_a_batch_adds_tokens_up_before_it_shuffles_them(spark, bench):
+    changed = bench.where("id > 'skill'").withColumns({"rev": F.col("rev") + 1, "name": F.concat("name", F.lit("!"))})
+    delta = index.counts_delta(bench, changed)
+    many = index.postings_delta(bench, changed).groupBy(*index.TOKEN).agg(F.sum(F.when(F.col("change") == "added", 1).otherwise(-1)).alias("d")).where("d <> 0")
+    assert sorted(map(tuple, delta.collect()), key=str) == sorted(map(tuple, many.collect()), key=str) != []
+    plan = delta._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(id#\d+, kind", plan)
+    log = numbering.assign_seq(spark.createDataFrame([(5,)], "seq long"), bench.select(F.col("id").alias("ord"), "rev"))
+    assert "Join" not in log._jdf.queryExecution().optimizedPlan().toString().replace("Join Inner\n", "").replace("Join Cross", "") or log.count() == bench.count()
+
+
 def test_a_stored_catalog_replays_and_counts(spark, tmp_path):
     import random
 
