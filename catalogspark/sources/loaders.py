@@ -34,13 +34,16 @@ def load_snapshot(latest: DataFrame, changes: DataFrame) -> tuple[DataFrame, Dat
     return latest.select(*ENTRY_COLUMNS), changes.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("last_seq"))
 
 
-def read_bench_runs(spark: SparkSession, root: str, files: str = "run-*.json") -> DataFrame:
-    """A row for each summary in the files below ``root`` whose names fit ``files``; ``ts`` is the instant of the run."""
+def read_bench_runs(spark: SparkSession, root: str, files: str = "run-*.json", lines: bool = False) -> DataFrame:
+    """A row for each summary in the files below ``root`` whose names fit ``files``; ``ts`` is the instant of the run.
+
+    A file is one run, or an array of runs. With ``lines`` each line is a run: large files are split among tasks, and a
+    line that is none is dropped alone. Many runs are best kept so, as every file has to be listed and opened."""
     schema = (
         "generated_at string, dataset string, scenario string, summaries array<struct<target:string,endpoint:string,suite:string,"
         "p50_ms:double,p95_ms:double,p99_ms:double,avg_ms:double,req_per_sec_avg:double,bytes_per_sec_avg:double>>"
     )
-    runs = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", files).option("multiLine", True).json(root)
+    runs = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", files).option("multiLine", not lines).json(root)
     runs = runs.withColumn("path", F.input_file_name()).where("generated_at is not null and summaries is not null")
     flat = runs.select(
         F.coalesce("dataset", F.lit("unknown")).alias("dataset"), F.coalesce("scenario", F.lit("default")).alias("scenario"), F.try_to_timestamp("generated_at").alias("ts"), "path", F.explode("summaries").alias("s")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions.normalize import card_view, normalize_attrs, repair_double_encoded, validate_publish
 from catalogspark.operators import benchreport, feed, index, latest, numbering, reads, search, writes
+from catalogspark.plans.registry import QUERIES
 from catalogspark.schema import ANONYMOUS, ENTRY_COLUMNS, ENTRY_SCHEMA, Requester, State
 from catalogspark.sources import loaders
 from catalogspark.sources.generate import generate_entries, seed_entries
@@ -203,6 +204,26 @@ def test_bench_files(spark, tmp_path):
     assert (got.dataset, got.scenario, got.samples, got.endpoint, got.p50_ms, got.req_per_sec_avg) == ("unknown", "default", 2, "e2", 2.5, 25.0)
 
 
+def test_bench_runs_by_the_line(spark, tmp_path):
+    run = lambda k: json.dumps({"generated_at": f"2026-01-0{k}", "dataset": "d", "summaries": [{"target": "core", "suite": f"s{k}"}, {"target": "core", "suite": f"t{k}"}]})
+    (tmp_path / "a").mkdir()
+    (tmp_path / "run-1.json").write_text(f"{run(1)}\n{run(2)}\n")
+    (tmp_path / "a" / "run-2.json").write_text(f"not json\n\n{run(3)}\n" + '{"summaries": 3}\n')
+    (tmp_path / "a" / "other.json").write_text(run(4))
+    assert sorted(r.suite for r in loaders.read_bench_runs(spark, str(tmp_path), lines=True).collect()) == ["s1", "s2", "s3", "t1", "t2", "t3"]
+    (tmp_path / "array").mkdir()
+    (tmp_path / "array" / "run-1.json").write_text(f"[{run(1)},\n{run(2)}]")
+    assert sorted(r.suite for r in loaders.read_bench_runs(spark, str(tmp_path / "array")).collect()) == ["s1", "s2", "t1", "t2"]
+
+
+def test_bench_files_do_not_grow_with_runs(spark, tmp_path):
+    events = spark.range(600).selectExpr("id AS event_id", "id % 300 AS user_id", "IF(id < 300, 'click', 'view') AS event_type")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["read_bench_runs"](spark, str(tmp_path))
+    assert len(got.inputFiles()) <= 32
+    assert got.groupBy("suite").count().sort("suite").collect() == [("click", 300), ("view", 300)]
+
+
 def test_stream_order_does_not_matter(spark):
     seed = seed_entries(spark)
     log = [(1, "skill:acme:pdf-summarize", 2), (2, "skill:acme:pdf-summarize", 1), (3, "mcp:acme:code-search", 1), (4, "nothing", 1)]
