@@ -374,6 +374,23 @@ def test_pairs_are_dealt_to_tasks_and_repeat_in_files(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 9_000_000 * 0.3
 
 
+def test_pairs_are_made_a_list_at_a_time(spark, monkeypatch):
+    from catalogspark.operators import entitlements
+
+    monkeypatch.setattr(entitlements, "IDS_LISTED", 4)
+    monkeypatch.setattr(entitlements, "SUBJECTS_LISTED", 8)
+    part = lambda n: F.when(F.col("id") < n, "public").otherwise("internal").alias("part")
+    members = spark.range(200).select(F.when(F.col("id") > 0, F.col("id")).alias("subject"), part(129))
+    parts = spark.range(60).select(part(59), F.concat(F.lit("entry:"), "id").alias("id"))
+    pairs = entitlements.expand(members, parts)
+    # where lists of both sides came out behind the join, all pairs of two lists were in memory at once
+    assert pairs._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0].count("Generate explode") == 1
+    got = pairs.agg(F.count("*"), F.countDistinct(F.coalesce("subject", F.lit(-1)), "id"), F.count_if(F.col("subject").isNull())).first()
+    assert tuple(got) == (129 * 59 + 71, 129 * 59 + 71, 59)
+    lists = [len(r.subject) for r in entitlements._listed(members, "subject", 8).collect()]
+    assert max(lists) == 8 and min(lists) > 0 and sum(lists) == 200
+
+
 def test_unpacked_bitmaps(spark):
     seed = latest.latest_revisions(seed_entries(spark))
     got = {tuple(r) for r in index.unpack_postings(index.packed_postings(seed)).collect()}
