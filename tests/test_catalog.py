@@ -391,6 +391,18 @@ def test_pairs_are_made_a_list_at_a_time(spark, monkeypatch):
     assert max(lists) == 8 and min(lists) > 0 and sum(lists) == 200
 
 
+def test_rows_of_a_part_never_meet_in_one_task(spark):
+    from catalogspark.operators import entitlements
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    parts = spark.range(3).select(F.lit("public").alias("part"), F.concat(F.lit("entry:"), "id").alias("id"))
+    pairs = entitlements.expand(spark.range(2).select(F.col("id").alias("subject"), F.lit("public").alias("part")), parts)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 6
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 1 and "SortMergeJoin [key" in plan  # and none by part alone
+
+
 def test_unpacked_bitmaps(spark):
     seed = latest.latest_revisions(seed_entries(spark))
     got = {tuple(r) for r in index.unpack_postings(index.packed_postings(seed)).collect()}
